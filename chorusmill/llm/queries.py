@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, simple8b
-from .common import documents
+from . import gif, html_text, packing, pieces, simple8b
+from .common import documents, tune
 from .tokens import vocabulary_path
 
 
@@ -15,12 +15,28 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary_path("byte_bpe_50k.json"), window=1024, end_id=0)
 
 
+def op2_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.digests(gif.store_documents(documents(spark, sf_dir)))
+
+
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(documents(spark, sf_dir), vocabulary_path("piece_bpe_32k.model"))
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return html_text.extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op10_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.read_token_files(simple8b.write_token_files(documents(spark, sf_dir), vocabulary_path("byte_bpe_50k.json"), end_id=2))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_gif": op2_gif,
+    "op3_pieces": op3_pieces,
+    "op5_html_text": op5_html_text,
     "op10_simple8b": op10_simple8b,
 }
 
