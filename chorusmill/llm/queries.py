@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import gif, html_text, packing, pieces, simple8b
+from . import gif, html_text, packing, pieces, simple8b, suffix_dedup
 from .common import documents, tune
 from .tokens import vocabulary_path
 
@@ -28,6 +28,10 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(documents(spark, sf_dir), length=100)
+
+
 def op10_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.read_token_files(simple8b.write_token_files(documents(spark, sf_dir), vocabulary_path("byte_bpe_50k.json"), end_id=2))
 
@@ -37,6 +41,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_gif": op2_gif,
     "op3_pieces": op3_pieces,
     "op5_html_text": op5_html_text,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_simple8b": op10_simple8b,
 }
 
