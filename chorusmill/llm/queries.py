@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import gif, html_text, language_id, packing, pieces, simple8b, suffix_dedup
+from . import gif, html_text, hyperminhash, language_id, packing, pieces, simple8b, suffix_dedup
 from .common import documents, tune
 from .tokens import vocabulary_path
 
@@ -28,6 +28,10 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op6_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_duplicates(documents(spark, sf_dir), num=85, den=100)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(documents(spark, sf_dir), vocabulary_path("piece_bpe_32k.model"))
 
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_gif": op2_gif,
     "op3_pieces": op3_pieces,
     "op5_html_text": op5_html_text,
+    "op6_hyperminhash": op6_hyperminhash,
     "op7_language_id": op7_language_id,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_simple8b": op10_simple8b,
