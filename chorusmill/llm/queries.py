@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import gif, html_text, hyperminhash, language_id, packing, pieces, simple8b, suffix_dedup
+from . import cap_filters, gif, html_text, hyperminhash, language_id, packing, pieces, simple8b, suffix_dedup
 from .common import documents, tune
 from .tokens import vocabulary_path
 
@@ -36,6 +36,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(documents(spark, sf_dir), vocabulary_path("piece_bpe_32k.model"))
 
 
+def op8_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cap_filters.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), limit=0.93)
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(documents(spark, sf_dir), length=100)
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_html_text": op5_html_text,
     "op6_hyperminhash": op6_hyperminhash,
     "op7_language_id": op7_language_id,
+    "op8_cap_filters": op8_cap_filters,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_simple8b": op10_simple8b,
 }
