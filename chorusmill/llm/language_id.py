@@ -308,3 +308,22 @@ def predict(docs: DataFrame, path: str, model: Model | None = None) -> DataFrame
     model = model or train(docs, path)
     rows = texts_of(docs).withColumn("held_out", F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
     return rows.mapInArrow(_predictor(model), "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def _keeper(model: Model):
+    predicting = _predictor(model)
+
+    def run(batches):
+        for batch in batches:
+            text = batch.column("text").cast(pa.string()).fill_null("")
+            ids = pa.nulls(batch.num_rows, pa.int64())
+            probe = pa.RecordBatch.from_arrays([ids, text, pa.array([False] * batch.num_rows)], names=["doc_id", "text", "held_out"])
+            found = next(predicting(iter([probe])))
+            yield batch.filter(pa.array([x != UNDETERMINED for x in found.column("lang_pred").to_pylist()], pa.bool_()))
+
+    return run
+
+
+def keep_identified(docs: DataFrame, path: str, model: Model | None = None) -> DataFrame:
+    """The rows of docs, with all their columns, whose language can be told; null texts and texts without letters go."""
+    return docs.mapInArrow(_keeper(model or train(docs, path)), docs.schema)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cap_filters, gif, html_text, hyperminhash, language_id, packing, pieces, simple8b, suffix_dedup
+from . import cap_filters, gif, html_text, hyperminhash, language_id, packing, pieces, simple8b, suffix_dedup, surrogates
 from .common import documents, tune
 from .tokens import vocabulary_path
 
@@ -23,6 +23,10 @@ def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(documents(spark, sf_dir), vocabulary_path("piece_bpe_32k.model"))
 
 
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace_entities(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     return html_text.extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_gif": op2_gif,
     "op3_pieces": op3_pieces,
+    "op4_surrogates": op4_surrogates,
     "op5_html_text": op5_html_text,
     "op6_hyperminhash": op6_hyperminhash,
     "op7_language_id": op7_language_id,
