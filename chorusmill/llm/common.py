@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import gc
+import os
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +24,14 @@ _OWN_SCRATCH: dict[str, str] = {}
 
 
 def tune(spark: SparkSession) -> None:
-    """Session settings that the Arrow operators rely on (runtime settings only)."""
+    """What the Arrow operators rely on: small batches, and workers that can import this package where it lies.
+
+    On a cluster whose executors do not see this folder, the package is shipped as usual (--py-files).
+    """
+    root = str(Path(__file__).resolve().parents[2])
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
@@ -55,6 +65,16 @@ def delete_table(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished jobs whose DataFrames are out of use; they would otherwise wait for a full collection.
+
+    The scheduler holds on to the last job's plan, so a tiny job goes first.
+    """
+    spark.range(1).count()
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

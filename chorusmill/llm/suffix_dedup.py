@@ -26,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, binary_column, blocks, materialize, mix64
+from .common import binary_column, blocks, materialize, mix64, release_shuffles
 
 LENGTH = 100
 GRAM = 20
 #: Documents and suffixes that the splitter sample holds at most.
 SAMPLE_DOCS = 3000
 SAMPLE_SUFFIXES = 60_000
+#: Bytes whose names are made at once; a longer document comes in overlapping parts.
+BLOCK_BYTES = 1 << 20
 #: Segments below which the quicksort hands over to a plain sort.
 SMALL = 2048
 _BASE = 0x9E3779B97F4A7C15
@@ -45,7 +47,7 @@ _POWERS: dict[str, np.ndarray] = {}
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64, at least n of each."""
     if "up" not in _POWERS or len(_POWERS["up"]) < n:
-        size = max(n, 2 * BLOCK_BYTES)
+        size = max(n, 2 * BLOCK_BYTES + 1024)
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             p = np.full(size, base, np.uint64)
             p[0] = 1
@@ -114,7 +116,7 @@ def anchors(x: np.ndarray, doc_ends: np.ndarray, length: int, gram: int) -> dict
 
 def _segments(raw: np.ndarray, offs: np.ndarray, length: int):
     """(rows, bytes, ends, shift) of runs of whole documents; a long one comes in parts that overlap by length - 1 bytes."""
-    for lo, hi in blocks(offs):
+    for lo, hi in blocks(offs, BLOCK_BYTES):
         size = int(offs[hi] - offs[lo])
         if hi - lo == 1 and size > 2 * BLOCK_BYTES:
             for s in range(0, size - length + 1, BLOCK_BYTES):
@@ -204,10 +206,14 @@ def _unpack(batches, layout) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndar
     return {k: join(v) for k, v in parts.items() if k != "doc"}, join(ids), join(texts)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """(id, name, text): a null doc_id as the least one, a null text as empty; name tells rows of one doc_id apart."""
+def _keyed(docs: DataFrame, rest: bool = False) -> DataFrame:
+    """(id, name, text): a null doc_id as the least one, a null text as empty; name tells rows of one doc_id apart.
+
+    With rest, the row's columns but its text come along as one struct.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text).alias("name"), text.alias("text"))
+    more = [F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("rest")] if rest else []
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text).alias("name"), text.alias("text"), *more)
 
 
 def _spans_of(batch, length: int, gram: int):
@@ -247,9 +253,14 @@ def _splitters(docs: DataFrame, parts: int, length: int, gram: int) -> tuple[np.
 def _scatter(splitters: tuple[np.ndarray, ...], length: int, gram: int):
     def run(batches):
         for batch in batches:
-            for keys, s in _spans_of(batch, length, gram):
-                bucket = bucket_of((s["grams"], s["spans"], keys[s["doc"], 0], keys[s["doc"], 1], s["first"]), splitters)
-                yield _pack(bucket, keys, s, _SUFFIX)
+            keys, parts, before = [], [], 0
+            for some, s in _spans_of(batch, length, gram):
+                bucket = bucket_of((s["grams"], s["spans"], some[s["doc"], 0], some[s["doc"], 1], s["first"]), splitters)
+                parts.append((bucket, {name: (s[name] + before if name == "doc" else s[name].astype(kind)) for name, kind in _SUFFIX}))
+                keys.append(some)
+                before += len(some)
+            if parts:
+                yield _pack(np.concatenate([b for b, _ in parts]), np.concatenate(keys), {name: np.concatenate([c[name] for _, c in parts]) for name, _ in _SUFFIX}, _SUFFIX)
 
     return run
 
@@ -339,6 +350,7 @@ def _open_strings(buckets: int, length: int):
             fresh = np.flatnonzero(new)
             if len(known):
                 yield _pack(np.full(len(known), -1), keys, {"high": h[known], "low": w[known], "doc": d[known], "first": f[known]}, _NAME)
+            fresh = fresh[np.lexsort([f[fresh], d[fresh]])]  # in corpus order places compress better on the way
             yield _pack((h[fresh] % np.uint64(buckets)).astype(np.int64), keys, {"high": h[fresh], "low": w[fresh], "doc": d[fresh], "first": f[fresh]}, _NAME)
 
     return run
@@ -381,21 +393,26 @@ def _string_sort(batches):
         yield pa.RecordBatch.from_arrays([pa.array(v) for v in _starts_to_runs(ids[rows], texts[rows], f[rows])], names=names_)
 
 
-def removed_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
+def _sorted_suffixes(docs: DataFrame, parts: int, length: int, gram: int) -> DataFrame:
+    """(id, name, kind, span): kind 1 repeats as a whole, kind 2 is open."""
+    splitters = _splitters(docs, parts, length, gram)
+    dealt = _keyed(docs).mapInArrow(_scatter(splitters, length, gram), _PAYLOAD).repartitionById(max(parts, len(splitters[0]) + 1), F.col("bucket"))
+    return materialize(dealt.mapInArrow(_bucket_sort(np.unique(splitters[0])), "id long, name long, kind byte, span long"), "suffixes")
+
+
+def removed_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, rest: bool = False) -> tuple[DataFrame, DataFrame]:
     """(base, marks): the keyed documents and, per (id, name), its repeated strings as start << 8 | count lists.
 
     base is dealt by its key once; the open strings' stage and the caller's join share that shuffle.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    splitters = _splitters(docs, parts, length, gram)
-    dealt = _keyed(docs).mapInArrow(_scatter(splitters, length, gram), _PAYLOAD).repartitionById(max(parts, len(splitters[0]) + 1), F.col("bucket"))
-    sorted_ = materialize(dealt.mapInArrow(_bucket_sort(np.unique(splitters[0])), "id long, name long, kind byte, span long"), "suffixes")
-    spark.sparkContext._jvm.System.gc()  # lets Spark drop the suffixes' shuffle files
-    base = _keyed(docs).repartition(parts, "id", "name")
+    sorted_ = _sorted_suffixes(docs, parts, length, gram)
+    release_shuffles(spark)
+    base = _keyed(docs, rest).repartition(parts, "id", "name")
     open_ = sorted_.where("kind = 2").groupBy("id", "name").agg(F.collect_list("span").alias("open"))
-    strings = base.join(open_.hint("shuffle_hash"), ["id", "name"]).select("id", "name", "open", "text").mapInArrow(_open_strings(64 * parts, length), _PAYLOAD)
-    by_name = strings.repartition(parts, F.when(F.col("bucket") < 0, F.xxhash64("keys")).otherwise(F.col("bucket").cast("long")))
+    strings = base.join(open_.hint("shuffle_hash"), ["id", "name"]).select("id", "name", "open", *base.columns[2:]).mapInArrow(_open_strings(parts, length), _PAYLOAD)
+    by_name = strings.repartitionById(parts, F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("keys"), F.lit(parts)).cast("int")).otherwise(F.col("bucket")))
     late = by_name.mapInArrow(_string_sort, "id long, name long, span long")
     marks = sorted_.where("kind = 1").select("id", "name", "span").unionByName(late).groupBy("id", "name").agg(F.collect_list("span").alias("spans"))
     return base, marks
@@ -460,14 +477,16 @@ def _cleaner(length: int):
         for batch in batches:
             texts = []
             for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                raw = text.encode()
-                texts.append(_cut(raw, merged(spans, length, len(raw))).decode(errors="ignore"))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("name"), pa.array(texts, pa.string())], names=["id", "name", "text"])
+                raw = text.encode() if spans else b""
+                texts.append(_cut(raw, merged(spans, length, len(raw))).decode(errors="ignore") if spans else text)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column("rest")], names=["text", "rest"])
 
     return run
 
 
-def cleaned_texts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(id, name, text) with the repeated strings removed; a character cut in two goes whole. Only changed texts are listed."""
-    base, marks = removed_ranges(docs, length, gram)
-    return base.join(marks.hint("shuffle_hash"), ["id", "name"]).select("id", "name", "text", "spans").mapInArrow(_cleaner(length), "id long, name long, text string")
+def clean(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """docs with the repeated strings removed from text (a character cut in two goes whole); null texts become empty."""
+    base, marks = removed_ranges(docs, length, gram, rest=True)
+    kind = base.schema["rest"].dataType.simpleString()
+    out = base.join(marks.hint("shuffle_hash"), ["id", "name"], "left").select("text", "spans", "rest").mapInArrow(_cleaner(length), f"text string, rest {kind}")
+    return out.select(*[F.col("text") if c == "text" else F.col("rest")[c].alias(c) for c in docs.columns])
