@@ -33,7 +33,7 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hyperminhash.near_duplicates(documents(spark, sf_dir), num=85, den=100)
+    return hyperminhash.near_duplicates(documents(spark, sf_dir), num=85, den=100, words=3)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
