@@ -95,8 +95,11 @@ def score_media(media: DataFrame, profiles: DataFrame) -> DataFrame:
 
     scored = scored.withColumn("_hits", F.transform("_profiles", lambda p: F.filter(F.transform(p["terms"], hit), lambda h: F.size(h["sources"]) > 0)))
 
+    def of_group(g: int):
+        return lambda x: x["g"] == g
+
     def flags(p: Column, h: Column) -> Column:
-        group = [F.exists(h, lambda x, g=g: x["g"] == g).alias(name) for g, name in enumerate(WEIGHTS)]
+        group = [F.exists(h, of_group(g)).alias(name) for g, name in enumerate(WEIGHTS)]
         conflict = (p["dog"] & F.col("_species")) | (p["feeder"] & F.col("_product"))
         return F.struct(*group, F.exists(h, lambda x: (x["g"] == 0) & x["brand"]).alias("brand"), F.exists(h, lambda x: (x["g"] == 0) & x["alias"]).alias("alias"), conflict.alias("conflict"))
 
@@ -107,10 +110,10 @@ def score_media(media: DataFrame, profiles: DataFrame) -> DataFrame:
     scored = scored.withColumns({"_v": F.when(at >= 0, F.get("_verdicts", at)), "_h": F.when(at >= 0, F.get("_hits", at)).otherwise(F.slice(F.coalesce(F.get("_hits", F.lit(0)), F.array()), 1, 0))})
     v, h = F.col("_v"), F.col("_h")
     bare = lambda x: F.struct(x["term"].alias("term"), x["sources"].alias("sources"))
-    by_group = F.create_map(*(x for g, name in enumerate(WEIGHTS) for x in (F.lit(name), F.transform(F.filter(h, lambda y, g=g: y["g"] == g), bare))))
+    by_group = F.create_map(*(x for g, name in enumerate(WEIGHTS) for x in (F.lit(name), F.transform(F.filter(h, of_group(g)), bare))))
     return scored.withColumns({
         "relevance_tier": F.coalesce(v["tier"], F.lit("LOW")), "relevance_score": F.round(F.coalesce(v["score"], F.lit(-1.0)), 3), "relevance_reason": F.coalesce(v["reason"], F.lit("insufficient rendered semantic groups")),
-        "matched_groups": F.filter(F.array(*(F.when(F.exists(h, lambda x, g=g: x["g"] == g), F.lit(name)) for g, name in enumerate(WEIGHTS))), lambda x: x.isNotNull()),
+        "matched_groups": F.filter(F.array(*(F.when(F.exists(h, of_group(g)), F.lit(name)) for g, name in enumerate(WEIGHTS))), lambda x: x.isNotNull()),
         "evidence_terms": clean(F.transform(h, lambda x: x["term"])), "evidence_sources": F.array_sort(F.array_distinct(F.flatten(F.transform(h, lambda x: x["sources"])))), "group_hits": by_group,
         "deliverable_eligible": F.coalesce(v["tier"].isin("HIGH", "MEDIUM"), F.lit(False)), "relevance_model_version": F.lit(MODEL_VERSION),
     }).drop("_e", "_species", "_product", "_profiles", "_hits", "_flags", "_verdicts", "_at", "_v", "_h")
