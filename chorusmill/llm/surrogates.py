@@ -33,7 +33,8 @@ _CYRILLIC_LOWER, _CYRILLIC_UPPER = "абвгдежзиклмнопрстуфхц
 _GREEK_LOWER, _GREEK_UPPER = "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"
 
 _TITLES = "|".join([*FEMALE_TITLES, *MALE_TITLES, *OTHER_TITLES])
-_GIVEN = "|".join([*FEMALE, *MALE, *FEMALE_CYRILLIC, *MALE_CYRILLIC])
+#: Given names that need no title before them; shorter ones are too often other words.
+_GIVEN = "|".join(x for x in (*FEMALE, *MALE, *FEMALE_CYRILLIC, *MALE_CYRILLIC) if len(x) >= 5)
 _NAME = r"\p{Lu}[\p{Ll}\p{M}]+(?:[-'’]\p{Lu}[\p{Ll}\p{M}]+)*+"
 
 #: Entity types in the order in which the pattern tries them. Each begins at a border, so a run is scanned once.
@@ -49,8 +50,13 @@ PATTERNS = {
     "person": rf"(?<![\p{{L}}\p{{N}}])(?:(?:(?:{_TITLES})\.? )+{_NAME}(?: {_NAME}){{0,2}}|(?:{_GIVEN}) {_NAME}(?: {_NAME})?)(?![\p{{L}}\p{{N}}])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: What every entity has; texts without it are not scanned further.
-HINT = rf"[@\d]|(?<![\p{{L}}\p{{N}}])(?:{_TITLES}|{_GIVEN})[. ]"
+#: What every entity has; texts without it are not scanned further. Names begin with a capital, which is looked at first.
+MARKS = "[@0-9]"
+NAME_MARK = rf"[A-ZА-Я](?<=(?<![\p{{L}}\p{{N}}]).)(?<=(?=(?:{_TITLES}|{_GIVEN})[. ]).)"
+
+
+def _hint(text: Column) -> Column:
+    return text.rlike(MARKS) | text.rlike(NAME_MARK)
 
 
 def _entity_type(value: Column) -> Column:
@@ -224,7 +230,7 @@ def replace_entities(docs: DataFrame, key: str = "corpus-key-1") -> DataFrame:
     """
     mark = lambda name: f"_surrogates_{name}"
     text = F.col("text")
-    has = F.coalesce(text.rlike(HINT) & text.rlike(ANY), F.lit(False))
+    has = F.coalesce(_hint(text) & text.rlike(ANY), F.lit(False))
     clean = docs.where(~has).withColumns({"n_entities": F.lit(0), "entity_types": F.lit("")})
     dirty = materialize(docs.where(has).withColumns({mark("row"): F.monotonically_increasing_id(), mark("found"): F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1))}), "with-entities")
     table = surrogate_table(dirty.select(F.col(mark("found")).alias("found")), key)
@@ -232,7 +238,7 @@ def replace_entities(docs: DataFrame, key: str = "corpus-key-1") -> DataFrame:
     parts = each.select("row", "place", "kind", "entity", F.posexplode(_parts(F.col("kind"), F.col("entity"))).alias("at", "p")).select("row", "place", "kind", "entity", "at", "p.*")
     drawn = parts.join(table, ["type", "value"]).groupBy("row", "place", "kind", "entity").agg(F.array_sort(F.collect_list(F.struct("at", "value", "surrogate"))).alias("names"))
     # a person's words are replaced one by one, titles stay
-    words = F.transform(F.split("entity", " "), lambda w: F.coalesce(F.element_at(F.map_from_entries(F.array_distinct(F.transform("names", lambda x: F.struct(x["value"], x["surrogate"])))), w), w))
+    words = F.transform(F.split("entity", " "), lambda w: F.coalesce(F.get(F.filter("names", lambda x: x["value"] == w), F.lit(0))["surrogate"], w))
     spelled = F.when(F.col("kind") == "person", F.array_join(words, " ")).otherwise(F.col("names")[0]["surrogate"])
     rows = drawn.select("row", "place", "kind", spelled.alias("surrogate")).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("place", "surrogate"))).alias("s"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
     joined = dirty.join(rows.select(F.col("row").alias(mark("row")), F.col("s").alias(mark("s")), F.col("kinds").alias(mark("kinds"))), mark("row"))
