@@ -171,9 +171,8 @@ def _packer(path: str, window: int, end_id: int):
             seq += 1
         crcs = [zlib.crc32(memoryview(coded[k])[4 * s : 4 * (s + z)]) for k, s, z, _, _ in rows]
         col = np.array(rows, np.int64).reshape(-1, 5)
-        ids = np.array(docs, np.int64)
         batch = pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(rows), task, np.int32)), pa.array(ids[col[:, 0]]), pa.array(col[:, 1]), pa.array(col[:, 2]), pa.array(crcs, pa.int64()), pa.array(n[col[:, 0]]), pa.array(col[:, 3]), pa.array(col[:, 4])],
+            [pa.array(np.full(len(rows), task, np.int32)), pa.array([docs[k] for k in col[:, 0].tolist()], pa.int64()), pa.array(col[:, 1]), pa.array(col[:, 2]), pa.array(crcs, pa.int64()), pa.array(n[col[:, 0]]), pa.array(col[:, 3]), pa.array(col[:, 4])],
             names=["task", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "local_sequence", "offset"],
         )
         return batch, seq

@@ -106,6 +106,8 @@ def decode(payload: bytes) -> np.ndarray:
     return out
 
 
+#: Stands for a null doc_id in a block; it is the least id, as null is first in order.
+NO_ID = -(1 << 63)
 _BLOCK = "shard int, block int, first_id long, doc_ids binary, lengths binary, n_ids long, n_words long, payload binary"
 
 
@@ -133,7 +135,7 @@ def _block_writer(path: str, end_id: int):
             ids_col, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for first in range(0, len(texts), 100):
                 for doc, ids in zip(ids_col[first : first + 100], enc.encode(texts[first : first + 100]), strict=True):
-                    docs.append(doc)
+                    docs.append(NO_ID if doc is None else doc)
                     lengths.append(len(ids) // 4 + 1)
                     parts.append(ids + end)
                     held += lengths[-1]
@@ -168,7 +170,8 @@ def _block_reader(batches):
             ends = np.cumsum(n)
             view = memoryview(ids).cast("B")
             crcs = [zlib.crc32(view[4 * (e - k) : 4 * e]) for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(docs, "<i8")), pa.array(shard_start + ends - n), pa.array(n), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            keys = np.frombuffer(docs, "<i8")
+            yield pa.RecordBatch.from_arrays([pa.array(keys, mask=keys == NO_ID), pa.array(shard_start + ends - n), pa.array(n), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_token_files(files: DataFrame) -> DataFrame:

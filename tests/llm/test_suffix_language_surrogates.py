@@ -1,0 +1,164 @@
+from __future__ import annotations
+
+import hashlib
+import os
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from chorusmill.llm import language_id, suffix_dedup, surrogates
+from chorusmill.llm.tokens import vocabulary_path
+
+from .data import SCHEMA, clashing, frame, odd_texts, prose
+
+PATH = vocabulary_path("piece_bpe_32k.model")
+DATA = "/root/testdata/sf0.01"
+
+
+def brute(rows, length):
+    seen, out = set(), {}
+    for d, t in sorted(rows, key=lambda r: r[0]):
+        b = (t or "").encode()
+        mask = bytearray(len(b))
+        for i in range(len(b) - length + 1):
+            k = b[i : i + length]
+            if k in seen:
+                mask[i : i + length] = b"\1" * length
+            else:
+                seen.add(k)
+        kept = bytes(x for x, m in zip(b, mask, strict=True) if not m)
+        out[d] = (len(b), sum(mask), sum(1 for i in range(len(b)) if mask[i] and (i == 0 or not mask[i - 1])), hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def passages(seed):
+    rng = random.Random(seed)
+    shared = [prose(rng, n) for n in (12, 25, 60, 200)]
+    texts = []
+    for _ in range(50):
+        parts = [prose(rng, rng.randrange(40))]
+        for _ in range(rng.randrange(4)):
+            s = rng.choice(shared)
+            cut = rng.randrange(max(1, len(s) // 3))
+            parts += [s[cut : len(s) - rng.randrange(1 + len(s) // 3)], prose(rng, rng.randrange(10))]
+        texts.append("".join(rng.sample(parts, len(parts))))
+    return texts + [texts[0]] * 9 + ["z" * 700, "yz" * 400, texts[1] + texts[1]]
+
+
+@pytest.mark.parametrize(("seed", "length"), [(1, 100), (2, 40)])
+def test_suffix_dedup_against_brute_force(spark, seed, length):
+    rows = [(k * 2 + 5, t) for k, t in enumerate(passages(seed) + odd_texts())]
+    docs = clashing(spark.createDataFrame([(d, t, None, None, None) for d, t in rows], SCHEMA).repartition(5))
+    got = {r[0]: tuple(r)[1:] for r in suffix_dedup.digests(docs, length=length).collect()}
+    assert got == brute(rows, length)
+
+
+def test_long_documents_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 512)
+    rows = [(k, t) for k, t in enumerate(passages(3)[:14])] + [(50, prose(random.Random(1), 900)), (51, prose(random.Random(1), 900)[77:])]
+    raw = [(t or "").encode() for _, t in rows]
+    offs = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    seen = sum(int(s["count"].sum()) for _, _, x, ends, _ in suffix_dedup._segments(np.frombuffer(b"".join(raw), np.uint8), offs, 100) for s in [suffix_dedup.anchors(x, ends, 100, 20)])
+    assert seen == sum(max(0, len(r) - 99) for r in raw)
+
+
+def test_multikey_quicksort(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SMALL", 8)
+    rng = np.random.default_rng(2)
+    cols = [rng.integers(0, 4, 500), rng.integers(0, 5, 500), rng.integers(0, 1000, 500)]
+    order = suffix_dedup.multikey_quicksort(cols)
+    rows = list(zip(*(c[order].tolist() for c in cols), strict=True))
+    assert rows == sorted(zip(*(c.tolist() for c in cols), strict=True))
+    split = tuple(c[suffix_dedup.multikey_quicksort(cols)][[100, 101, 250, 400]] for c in cols)
+    keys = list(zip(*(c.tolist() for c in cols), strict=True))
+    borders = list(zip(*(c.tolist() for c in split), strict=True))
+    assert suffix_dedup.bucket_of(tuple(cols), split).tolist() == [sum(b <= k for b in borders) for k in keys]
+
+
+def test_clean_keeps_rows_and_columns(spark):
+    docs = frame(spark)
+    out = suffix_dedup.clean(docs)
+    assert out.columns == docs.columns and out.count() == docs.count()
+    texts = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert texts[15] == odd_texts()[5] and texts[None] == "a row without an id" and texts[0] == ""
+    assert suffix_dedup.digests(frame(spark, [])).count() == 0 and suffix_dedup.clean(frame(spark, [])).count() == 0
+
+
+def enumerate_sum(word, vocabulary, logp, unknown):
+    text = language_id.MARK + word
+    known = set(vocabulary)
+    total = [np.zeros(logp.shape[1]) for _ in range(len(text) + 1)]
+    total[0] += 1
+    for e in range(1, len(text) + 1):
+        for s in range(e):
+            if text[s:e] in known:
+                total[e] = total[e] + total[s] * np.exp(logp[vocabulary[text[s:e]]])
+            elif e - s == 1:
+                total[e] = total[e] + total[s] * np.exp(logp[unknown])
+    return np.log(total[-1])
+
+
+def test_forward_sums_all_segmentations():
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    vocabulary = {sp.id_to_piece(i): i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
+    model = language_id.fit([("a", "theory", 9), ("a", "other", 3), ("b", "größe", 5), ("b", "weiter", 4)], {"a": 2, "b": 1}, PATH)
+    words = ["theory", "weiter", "größe", "日本ж", "x", "o" * 60, "theother" * 8]
+    got = language_id.word_scores(words, model)
+    for w, g in zip(words, got, strict=True):
+        assert np.allclose(g, enumerate_sum(w, vocabulary, model.logp, sp.get_piece_size()), rtol=1e-6)
+
+
+def test_language_edge_cases(spark):
+    rows = [(k, t, "fr" if k % 2 else "en", None, None) for k, t in enumerate(["le chat et la maison sont ici"] * 2 + ["the cat and the house are here", "le chien et la rue"] * 10)]
+    rows += [(100, None, "en", None, None), (101, "", None, None, None), (102, "12 34 !!", None, None, None), (103, "ÉCOLE", None, None, None), (None, "the house", None, None, None)]
+    docs = clashing(spark.createDataFrame(rows, SCHEMA))
+    got = {r["doc_id"]: r for r in language_id.predict(docs, PATH).collect()}
+    assert len(got) == len(rows) and all(got[k]["lang_pred"] == "und" and got[k]["score"] == 0 for k in (100, 101, 102))
+    assert got[103]["lang_pred"] in ("en", "fr") and 0 <= got[103]["score"] <= 1 and got[None]["held_out"] is False
+    assert {r["doc_id"] for r in language_id.keep_identified(docs, PATH).collect()} == {r[0] for r in rows} - {100, 101, 102}
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {r["lang_pred"] for r in language_id.predict(unlabelled, PATH).collect()} == {"und"}
+    assert language_id.predict(frame(spark, []), PATH).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables are not here")
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    got = language_id.predict(docs, PATH).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0]
+    assert got >= 0.97
+
+
+def test_surrogates(spark):
+    texts = [
+        "Mail a.b@mail7.example.com or call +1 (974) 555-3436; card 4111 1111 1111 1111, also 4845168114407329.", "again a.b@mail7.example.com and c@mail7.example.com at 97.51.17.173", "Mrs. Alice Smith met Dr. Smith and Mr Robert Jones. Госпожа Мария Иванова тоже.",
+        'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" 123-45-6789 DE89 3704 0044 0532 0130 00', "clean text, version 2.0 of 12 things", None, "", "Alice Smith again",
+    ]
+    docs = clashing(spark.createDataFrame([(k, t, None, None, None) for k, t in enumerate(texts)] + [(1, texts[1], None, None, None)], SCHEMA))
+    out = surrogates.replace_entities(docs)
+    assert set(docs.columns) | {"entity_types", "n_entities"} == set(out.columns)
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert out.count() == len(texts) + 1 and [got[k]["text"] for k in (4, 5, 6)] == texts[4:7] and got[4]["n_entities"] == 0
+    originals = ["a.b@mail7", "974) 555", "4111 1111", "4845168114407329", "97.51.17.173", "Alice", "Smith", "Robert", "Jones", "Мария", "04dbebab", "123-45-6789", "3704 0044"]
+    assert not any(o in (r["text"] or "") for r in got.values() for o in originals)
+    mail = re.search(r"\S+@\S+", got[0]["text"])[0]
+    assert mail in got[1]["text"] and re.fullmatch(r"[a-z]\.[a-z]@[a-z]{4}\d\.[a-z]{7}\.com", mail)
+    assert re.search(r"c?\w@(\S+)", got[1]["text"])[1] == mail.split("@")[1]
+    card = re.search(r"\d{4} \d{4} \d{4} \d{4}", got[0]["text"])[0].replace(" ", "")
+    assert sum(sum(divmod(int(c) * (2 - k % 2), 10)) for k, c in enumerate(card)) % 10 == 0
+    people = re.search(r"Mrs\. (\w+) (\S+) met Dr\. (\S+) and Mr (\w+) (\S+)\. Госпожа (\w+) (\w+) ", got[2]["text"])
+    assert people[1] in surrogates.FEMALE and people[2] == people[3] and people[4] in surrogates.MALE and people[6] in surrogates.FEMALE_CYRILLIC
+    assert got[7]["text"] == f"{people[1]} {people[2]} again"
+    assert surrogates.replace_entities(frame(spark, [])).count() == 0
+
+
+def test_surrogates_stay_distinct(spark):
+    found = spark.createDataFrame([([f"Mr {a}{b}" for a in ("Ab", "Cd", "Ef", "Gh", "Kl", "Mn", "Op", "Rs", "Tu", "Vw") for b in ("an", "en", "in", "on", "un", "ar", "er", "ir", "or", "ur", "as", "es", "is", "os", "us")],)], "found array<string>")
+    table = surrogates.surrogate_table(found, "k").collect()
+    assert len(table) == 150 and len({r["surrogate"] for r in table}) == 150 and not {r["surrogate"].lower() for r in table} & {r["value"].lower() for r in table}
+    assert sorted(map(tuple, surrogates.surrogate_table(found, "k").collect())) == sorted(map(tuple, table))
+    assert sorted(map(tuple, surrogates.surrogate_table(found, "other").collect())) != sorted(map(tuple, table))
