@@ -30,6 +30,8 @@ LEAST = 10
 #: Threshold as an inner product, and in standard deviations of a random direction's (the lesser one holds).
 CAP, CAP_DEVIATIONS = 0.46875, 3.75
 CHUNK = 512
+#: Groups up to this size are first compared all at once, as most meet by chance.
+SMALL_GROUP = 16
 #: Rows of the list of large filter groups up to which it is broadcast; beyond that it is joined by shuffle.
 BROADCAST_ROWS = 50_000
 
@@ -159,42 +161,65 @@ def _group_links(here: int, ids, copies, vectors, filters, chunk, i, j, limit: f
 _FOUND = "a long, b long, links long"
 
 
+def _linked_groups(batch: pa.RecordBatch, starts: np.ndarray, ends: np.ndarray, limit: float) -> np.ndarray:
+    """Which groups of a batch may hold a link: small ones are compared all at once, large ones always may."""
+    raw = batch.column("vector").to_pylist()
+    sizes = ends - starts
+    if len({len(r) for r in raw}) > 1 or len(set(batch.column("dim").to_pylist())) > 1:
+        return sizes > 1
+    x = _vector(b"".join(raw), len(raw) * batch.column("dim")[0].as_py()).reshape(len(raw), -1)
+    x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    may = sizes > SMALL_GROUP
+    group = np.repeat(np.arange(len(starts)), sizes)
+    for step in range(1, int(min(SMALL_GROUP, sizes.max()))):
+        rows = np.flatnonzero(group[step:] == group[:-step])
+        rows = rows[~may[group[rows]]]
+        near = np.einsum("ij,ij->i", x[rows], x[rows + step]) >= limit - 1e-9
+        may[group[rows[near]]] = True
+    return may
+
+
 def _verified(limit: float):
     """Groups arrive sorted by (label, dim, filter, i, j); rows with b null carry link counts, the others are forest edges."""
 
-    def finish(key, rows):
-        _, _, here, i, j = key
-        ids = [r[0] for r in rows]
-        copies = np.array([r[1] for r in rows], np.int64)
-        vectors = np.stack([_vector(r[2], key[1]) for r in rows])
-        filters = [np.array(r[3], np.int64) for r in rows]
-        links, edges = _group_links(here, ids, copies, vectors, filters, np.array([r[4] for r in rows]), i, j, limit)
-        for k in np.flatnonzero(links):
-            yield ids[k], None, int(links[k])
-        for a, b in edges:
-            yield a, b, 0
-
-    def pack(found):
-        a, b, n = zip(*found, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], names=["a", "b", "links"])
+    def finish(rows: pa.RecordBatch):
+        one = lambda c: rows.column(c)[0].as_py()
+        ids = rows.column("rep").to_pylist()
+        vectors = np.stack([_vector(r, one("dim")) for r in rows.column("vector").to_pylist()])
+        filters = [np.array(f, np.int64) for f in rows.column("filters").to_pylist()]
+        links, edges = _group_links(one("filter"), ids, rows.column("copies").to_numpy(), vectors, filters, rows.column("chunk").to_numpy(), one("i"), one("j"), limit)
+        found = [(ids[k], None, int(links[k])) for k in np.flatnonzero(links)] + [(a, b, 0) for a, b in edges]
+        if found:
+            a, b, n = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], names=["a", "b", "links"])
+
+    def groups(batch: pa.RecordBatch):
+        new = np.ones(batch.num_rows, bool)
+        new[1:] = False
+        for c in ("label", "dim", "filter", "i", "j"):
+            col = batch.column(c)
+            v = (col.dictionary_encode().indices if c == "label" else col).to_numpy(zero_copy_only=False)
+            new[1:] |= v[1:] != v[:-1]
+        return np.flatnonzero(new)
+
+    def settle(batch: pa.RecordBatch, starts: np.ndarray, ends: np.ndarray):
+        if len(starts):
+            whole = batch.slice(0, int(ends[-1]))
+            for k in np.flatnonzero(_linked_groups(whole, starts, ends, limit)):
+                yield from finish(batch.slice(int(starts[k]), int(ends[k] - starts[k])))
 
     def run(batches):
-        key, rows, found = None, [], []
+        held = None  # the group that may go on in the next batch
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("label", "dim", "filter", "i", "j", "rep", "copies", "vector", "filters", "chunk")]
-            for label, dim, f, i, j, *row in zip(*cols, strict=True):
-                if (label, dim, f, i, j) != key:
-                    if len(rows) > 1:
-                        found += finish(key, rows)
-                    key, rows = (label, dim, f, i, j), []
-                rows.append(row)
-            if len(found) > 10_000:
-                yield pack(found)
-                found = []
-        if len(rows) > 1:
-            found += finish(key, rows)
-        if found:
-            yield pack(found)
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            starts = groups(batch)
+            yield from settle(batch, starts[:-1], starts[1:])
+            held = batch.slice(int(starts[-1]))
+        if held is not None:
+            yield from settle(held, np.zeros(1, np.int64), np.array([held.num_rows]))
 
     return run
 
