@@ -29,23 +29,25 @@ BLOCK_IDS = 1 << 17
 def encode(ids: np.ndarray) -> bytes:
     """Simple-8b words (little-endian) of unsigned ids; greedy: each word takes the selector that packs most.
 
-    How far each selector can reach from any position is found for all positions at once (next id too
-    wide, by a reversed minimum); then only the words' start positions are walked.
+    Where a selector's count of ids all fit its width is found for all positions at once, from running counts
+    of wider ids; then only the words' start positions are walked.
     """
     ids = np.ascontiguousarray(ids, dtype=np.uint64)
     n = len(ids)
     if n == 0:
         return b""
     best = np.full(n, 15, np.int64)
-    room = n - np.arange(n)
     for s in range(14, -1, -1):
-        wide = np.flatnonzero(ids >= np.uint64(1 << int(WIDTHS[s])))
-        if len(wide) == n:
-            break  # no id fits this or any narrower width
-        # distance to the next id that does not fit
-        stops = np.append(wide, n)
-        reach = stops[np.searchsorted(wide, np.arange(n), side="left")] - np.arange(n)
-        ok = np.minimum(reach, room) >= COUNTS[s]
+        k = int(COUNTS[s])
+        if k > n:
+            continue
+        wide = np.zeros(n + 1, np.int32)
+        np.cumsum(ids >= np.uint64(1 << int(WIDTHS[s])), out=wide[1:])
+        ok = np.flatnonzero(wide[k:] == wide[:-k])  # no wide id among the next k
+        if len(ok) == 0 and s < 14:
+            if k > 60 or not (wide[1:] == wide[:-1]).any():
+                break  # narrower selectors want more ids that are smaller still
+            continue
         best[ok] = s
     take = COUNTS[best].tolist()
     starts, i = [], 0

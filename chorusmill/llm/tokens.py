@@ -9,6 +9,7 @@ are encoded once per worker; the others go to the library together.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -23,6 +24,15 @@ CACHE_ENTRIES = 1_200_000
 CACHE_CHARS = 64
 _MISS_BATCH = 1024
 
+
+
+def _byte_letters() -> dict[int, int]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for 256 and on, in order."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    return {b: b for b in printable} | {b: 256 + k for k, b in enumerate(rest)}
+
+
 _ENCODERS: dict[str, CachedEncoder] = {}
 
 
@@ -40,6 +50,12 @@ class CachedEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.chunk = re.compile(f"[{SPACES}]*[{LETTERS}]+(?=[{PUNCTUATION}])|[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
         self.cache: dict[str, bytes] = {}
+        # one run of letters is one pre-token, so it can go to the library's model directly
+        form = json.loads(self.tokenizer.to_str())
+        before = form.get("pre_tokenizer") or {}
+        plain = form.get("normalizer") is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        self.single = re.compile(f" ?[{LETTERS}]+") if plain else None
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -59,7 +75,13 @@ class CachedEncoder:
         return out
 
     def _learn(self, wanted: set[str], once: dict[str, bytes]) -> None:
-        queue = list(wanted)
+        queue = []
+        for chunk in wanted:
+            if self.single is not None and self.single.fullmatch(chunk):
+                found = self.model.tokenize(chunk.encode().decode("latin-1").translate(self.letters))
+                (self.cache if len(chunk) <= CACHE_CHARS else once)[chunk] = array("I", [t.id for t in found]).tobytes()
+            else:
+                queue.append(chunk)
         for first in range(0, len(queue), _MISS_BATCH):
             part = queue[first : first + _MISS_BATCH]
             for chunk, enc in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
