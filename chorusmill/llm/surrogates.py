@@ -33,8 +33,8 @@ _CYRILLIC_LOWER, _CYRILLIC_UPPER = "абвгдежзиклмнопрстуфхц
 _GREEK_LOWER, _GREEK_UPPER = "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"
 
 _TITLES = "|".join([*FEMALE_TITLES, *MALE_TITLES, *OTHER_TITLES])
-#: Given names that need no title before them; shorter ones are too often other words.
-_GIVEN = "|".join(x for x in (*FEMALE, *MALE, *FEMALE_CYRILLIC, *MALE_CYRILLIC) if len(x) >= 5)
+#: Given names that need no title before them: all listed ones, as a capitalised word must follow.
+_GIVEN = "|".join([*FEMALE, *MALE, *FEMALE_CYRILLIC, *MALE_CYRILLIC])
 _NAME = r"\p{Lu}[\p{Ll}\p{M}]+(?:[-'’]\p{Lu}[\p{Ll}\p{M}]+)*+"
 
 #: Entity types in the order in which the pattern tries them. Each begins at a border, so a run is scanned once.

@@ -162,3 +162,15 @@ def test_surrogates_stay_distinct(spark):
     assert len(table) == 150 and len({r["surrogate"] for r in table}) == 150 and not {r["surrogate"].lower() for r in table} & {r["value"].lower() for r in table}
     assert sorted(map(tuple, surrogates.surrogate_table(found, "k").collect())) == sorted(map(tuple, table))
     assert sorted(map(tuple, surrogates.surrogate_table(found, "other").collect())) != sorted(map(tuple, table))
+
+
+def test_short_given_names_without_titles(spark):
+    names = [*surrogates.FEMALE, *surrogates.MALE, *surrogates.FEMALE_CYRILLIC, *surrogates.MALE_CYRILLIC]
+    texts = ["Then John Smith and Mary Jones came.", "Это Иван Петров.", "Adam said no, Eva too."] + [f"seen: {x} {'Зайцев' if x > 'z' else 'Walker'}." for x in names]
+    docs = spark.createDataFrame([(k, t, None, None, None) for k, t in enumerate(texts)], SCHEMA)
+    got = {r["doc_id"]: r for r in surrogates.replace_entities(docs).collect()}
+    assert got[0]["n_entities"] == 2 and not re.search("John|Smith|Mary|Jones", got[0]["text"]) and re.fullmatch(r"Then \S+ \S+ and \S+ \S+ came\.", got[0]["text"])
+    assert got[1]["n_entities"] == 1 and not re.search("Иван|Петров", got[1]["text"])
+    assert got[2]["text"] == texts[2] and got[2]["n_entities"] == 0
+    for k, x in enumerate(names, 3):
+        assert got[k]["entity_types"] == "person" and re.fullmatch(r"seen: (\S+) \S+\.", got[k]["text"])[1] != x and not re.search("Walker|Зайцев", got[k]["text"])
