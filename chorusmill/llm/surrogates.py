@@ -142,22 +142,22 @@ def _from(values: list[str], number: Column) -> Column:
 
 
 def _name(value: Column, kind: Column, seed: Column, attempt: Column) -> Column:
-    """A name of the same script, gender and case; later attempts join further parts, so there is always another one."""
+    """A name of the same script, gender and case; each attempt from the third on joins one part more, so there is always another one."""
     cyrillic = value.rlike(r"\p{IsCyrillic}")
-    n = [_draw(seed, F.lit(k)) for k in range(8)]
 
-    def given(k: int) -> Column:
-        female = F.when(cyrillic, _from(FEMALE_CYRILLIC, n[k])).otherwise(_from(FEMALE, n[k]))
-        male = F.when(cyrillic, _from(MALE_CYRILLIC, n[k])).otherwise(_from(MALE, n[k]))
+    def given(k: Column) -> Column:
+        n = _draw(seed, k)
+        female = F.when(cyrillic, _from(FEMALE_CYRILLIC, n)).otherwise(_from(FEMALE, n))
+        male = F.when(cyrillic, _from(MALE_CYRILLIC, n)).otherwise(_from(MALE, n))
         return F.when(kind == "female", female).otherwise(male)
 
-    def surname(k: int) -> Column:
-        return F.when(cyrillic, F.concat(_from(SURNAME_HEADS_CYRILLIC, n[k]), _from(SURNAME_TAILS_CYRILLIC, n[k + 1]))).otherwise(F.concat(_from(SURNAME_HEADS, n[k]), _from(SURNAME_TAILS, n[k + 1])))
+    def surname(k: Column) -> Column:
+        n, m = _draw(seed, k), _draw(seed, k + 1)
+        return F.when(cyrillic, F.concat(_from(SURNAME_HEADS_CYRILLIC, n), _from(SURNAME_TAILS_CYRILLIC, m))).otherwise(F.concat(_from(SURNAME_HEADS, n), _from(SURNAME_TAILS, m)))
 
-    first = F.when(kind == "surname", surname(0)).otherwise(given(0))
-    second = F.when(kind == "surname", surname(2)).otherwise(given(2))
-    third = F.when(kind == "surname", surname(4)).otherwise(given(4))
-    return F.when(attempt == 0, first).when(attempt < 3, F.concat_ws("-", first, second)).otherwise(F.concat_ws("-", first, second, third))
+    count = F.when(attempt == 0, 1).when(attempt < 3, 2).otherwise(attempt)
+    parts = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.when(kind == "surname", surname(k * 2)).otherwise(given(k * 2)))
+    return F.array_join(parts, "-")
 
 
 def _surrogate(key: str) -> Column:

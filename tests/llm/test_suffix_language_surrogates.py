@@ -174,3 +174,20 @@ def test_short_given_names_without_titles(spark):
     assert got[2]["text"] == texts[2] and got[2]["n_entities"] == 0
     for k, x in enumerate(names, 3):
         assert got[k]["entity_types"] == "person" and re.fullmatch(r"seen: (\S+) \S+\.", got[k]["text"])[1] != x and not re.search("Walker|Зайцев", got[k]["text"])
+
+
+def test_more_names_than_three_parts_give(spark, monkeypatch):
+    letters = "бвгджзклмнпр"
+    names = [f"{a.upper()}а{b}о{c}" for a in letters for b in letters for c in letters[:9]]
+    found = spark.createDataFrame([([f"Господин {x} Зайцев" for x in names],)], "found array<string>")
+    tables = []
+
+    def counted(df, label, real=surrogates.materialize):
+        tables.append(label)
+        assert len(tables) < 60, "surrogates never become distinct"
+        return real(df, label)
+
+    monkeypatch.setattr(surrogates, "materialize", counted)
+    table = surrogates.surrogate_table(found, "k").where("type = 'male'").collect()
+    assert len(table) == len(names) > 1200 and len({r["surrogate"] for r in table}) == len(names)
+    assert all(set(r["surrogate"].split("-")) <= set(surrogates.MALE_CYRILLIC) for r in table)
