@@ -4,8 +4,10 @@ A tolerant pass builds the tree of block elements and links (formatting elements
 on). For every node: C characters, T tags, LC link characters and LT link tags of its subtree give the
 density  C/T * log_b((C*T) / (LC*LT)),  b = ln(C*LC/(C-LC) + C*LC_body/C_body + e).  A node's sum is that
 of its children's densities; the node with the largest sum is the core of the text. The least density on
-its path to the body is the threshold from which blocks outside it count as text too. An article or main
-element around the core counts whole. Elements that are furniture by tag, role, class or id never count.
+its path to the body is the threshold from which blocks outside it count as text too, further article or main
+elements by their sums. An article or main element around the core counts whole, so its headings and short
+sections stay, but has no part in the choice of the core but for ties. Elements that are furniture by tag,
+role, class or id never count.
 """
 
 from __future__ import annotations
@@ -209,27 +211,27 @@ def extract(page: str | None) -> str:
     for k in range(n - 1, 0, -1):
         whole[tree.parent[k]] += whole[k]
         sums[tree.parent[k]] += dens[k]
-    in_roots = any(tree.rooted[k] and whole[k] for k in range(n))
-    choice = [k for k in range(n) if not tree.dead[k] and whole[k] and tree.tag[k] != "a" and (tree.rooted[k] or not in_roots)]
+    choice = [k for k in range(n) if not tree.dead[k] and whole[k] and tree.tag[k] != "a"]
     if not choice:
         return ""
-    core = max(choice, key=lambda k: (sums[k], dens[k], -k))
+    core = max(choice, key=lambda k: (sums[k], tree.rooted[k], dens[k], -k))
     path = [core]
     while path[-1] != body and tree.parent[path[-1]] >= 0:
         path.append(tree.parent[path[-1]])
     threshold = min(dens[k] for k in path)
-    around = [k for k in path if tree.rooted[k]]
-    if around:
-        core = around[-1]
+    core = next((k for k in reversed(path) if tree.rooted[k]), core)
+    if path[-1] != 0:
+        path.append(0)
+    on_path = set(path)
     inside = [False] * n
     for k in range(n):
         up = tree.parent[k]
         inside[k] = k == core or (up >= 0 and inside[up])
-        if not inside[k] and not around and k not in path and not tree.dead[k] and dens[k] >= threshold and tree.tag[k] != "a":
-            inside[k] = True
-    if not around:
-        for k in path:  # text that stands between the blocks of the path
-            inside[k] = True
+        if not inside[k] and k not in on_path and not tree.dead[k] and whole[k] and tree.tag[k] != "a":
+            root = tree.rooted[k] and not tree.rooted[up]
+            inside[k] = dens[k] >= threshold or (root and sums[k] >= threshold)
+    for k in path:  # text that stands between the blocks of the path
+        inside[k] = True
     out, last = [], -1
     for block, node, text, _ in tree.runs:
         if not inside[node]:

@@ -129,3 +129,24 @@ def test_density_prefers_text_to_links():
     body = "".join(f"<p>This is paragraph {k} of the text, with some words in it to read.</p>" for k in range(6))
     got = html_text.extract(f"<body><div><ul>{links}</ul></div><div>{body}</div></body>")
     assert got.startswith("This is paragraph 0") and got.count("\n") == 5
+
+
+def paragraphs(word, count):
+    return [f"This is {word} {k} of the text, with " + "some more words in it " * (1 + k % 3) + "to read." for k in range(count)]
+
+
+def marked(texts):
+    return "".join(f"<p>{t}</p>" for t in texts)
+
+
+def test_density_decides_beside_articles():
+    body, first, second, third = (paragraphs(w, n) for w, n in (("body", 6), ("first", 6), ("second", 4), ("third", 5)))
+    cards = "".join(f'<article><a href="/{k}"><h3>Card {k}</h3></a></article>' for k in range(5))
+    menu = "<nav>" + "".join(f'<a href="/{k}">Menu {k}</a>' for k in range(8)) + "</nav>"
+    assert html_text.extract(f"<body>{menu}<div class=content>{marked(body)}</div><div>{cards}</div></body>") == "\n".join(body)
+    parts = "".join(f"<article><h2>Head {k}</h2>{marked(t)}</article>" for k, t in enumerate((first, second, third)))
+    want = "\n".join(x for k, t in enumerate((first, second, third)) for x in [f"Head {k}", *t])
+    for page in (f"<body>{parts}</body>", f"<body>{menu}<div>{parts}</div><footer>us</footer></body>", f"<body>{menu}<main>{parts}</main></body>"):
+        assert html_text.extract(page) == want
+    whole = f"<body>{menu}<article><h1>T</h1><section>{marked(first)}</section><section><h2>S</h2><p>Short.</p></section></article></body>"
+    assert html_text.extract(whole) == "\n".join(["T", *first, "S", "Short."])
