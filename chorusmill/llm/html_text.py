@@ -7,7 +7,8 @@ of its children's densities; the node with the largest sum is the core of the te
 its path to the body is the threshold from which blocks outside it count as text too, further article or main
 elements by their sums. An article or main element around the core counts whole, so its headings and short
 sections stay, but has no part in the choice of the core but for ties. Elements that are furniture by tag,
-role, class or id never count.
+role, class or id never count. By form, fieldset, class and id that holds only where enough text stands
+outside them: wrappers of the text that is otherwise found nowhere on the page are no furniture.
 """
 
 from __future__ import annotations
@@ -24,13 +25,21 @@ from pyspark.sql import functions as F
 RAW = frozenset("script style textarea title noscript iframe noframes xmp template svg math".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-FURNITURE = frozenset("nav footer aside form button select menu dialog object canvas audio video head fieldset".split())
+FURNITURE = frozenset("nav footer aside button select menu dialog object canvas audio video head".split())
+#: These and elements with the class words below may also wrap the text.
+WRAPPERS = frozenset("form fieldset".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form toolbar".split())
 FURNITURE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer "
     "comment comments commentlist disqus reply replies respond cookie cookies consent gdpr notice notices banner popup modal overlay newsletter subscribe subscription signup "
     "share sharing social related recommended recommendations widget toolbar pagination pager login search skip masthead".split()
 )
+#: Of these, parts that are often longer than the text itself.
+THREAD_WORDS = frozenset("comment comments commentlist disqus reply replies respond".split())
+#: An element that may be a wrapper is one if the text outside furniture is less than this share of its own; the second is
+#: for those with such an element, the third for those with thread words or without elements that have text.
+WRAPPER_SHARE, HEADED_SHARE, THREAD_SHARE = 0.5, 1.0, 0.02
+HEADED = frozenset("article main h1".split())
 HEADERS = frozenset(("header",))
 ROOTS = frozenset("article main".split())
 NEVER_FURNITURE = frozenset("html body article main".split())
@@ -52,6 +61,7 @@ class _Tree:
         self.tag = ["html"]
         self.dead = [False]
         self.rooted = [False]
+        self.soft: dict[int, tuple[object, bool]] = {}  # nodes that may be furniture or wrappers: what makes them alike, thread words
         self.runs: list[tuple[int, int, str, bool]] = []  # block number, node, text, in a link
         self.block = 0
 
@@ -125,12 +135,15 @@ class _Tree:
         up = stack[-1]
         rooted = self.rooted[up] or name in ROOTS
         dead = self.dead[up] or name in FURNITURE or (name in HEADERS and not rooted)
+        alike: object = None
+        words: set[str] = set()
         if not dead and len(rest) > 1:
-            words: set[str] = set()
+            named = ""
             for key, *value in _ATTR.findall(rest):
                 key, text = key.lower(), "".join(value)
                 if key in ("class", "id"):
                     words.update(_WORDS.findall(text.lower()))
+                    named = text.lower() if key == "class" else named
                 elif key == "role":
                     role = text.strip().lower()
                     rooted = rooted or role == "main"
@@ -142,7 +155,11 @@ class _Tree:
                 elif key == "style":
                     dead = dead or _HIDDEN.search(text) is not None
             if name not in NEVER_FURNITURE and (not words.isdisjoint(FURNITURE_WORDS) or ("header" in words and not rooted)):
-                dead = True
+                alike = (name, named) if named else len(self.parent)
+        if alike is None and name in WRAPPERS:
+            alike = len(self.parent)
+        if alike is not None and not dead:
+            self.soft[len(self.parent)] = alike, not words.isdisjoint(THREAD_WORDS)
         self.parent.append(up)
         self.tag.append(name)
         self.dead.append(dead)
@@ -191,15 +208,13 @@ def densities(parent: list[int], chars: list[int], link_chars: list[int], is_lin
     return out
 
 
-def extract(page: str | None) -> str:
-    """The main text: blocks in page order joined by one newline, white space in a block as one space."""
-    if not page:
-        return ""
-    tree = _Tree()
-    tree.parse(page)
+def _scores(tree: _Tree, off: list[bool]) -> tuple[int, list[float], list[float], list[int]]:
+    """The body's number and, of every node, density, sum of its children's densities, and characters; nodes that are off have no text."""
     n = len(tree.parent)
     chars, link_chars = [0] * n, [0] * n
     for _, node, text, linked in tree.runs:
+        if off[node]:
+            continue
         k = len(text) if " " not in text else len(text.strip())
         chars[node] += k
         if linked:
@@ -211,7 +226,53 @@ def extract(page: str | None) -> str:
     for k in range(n - 1, 0, -1):
         whole[tree.parent[k]] += whole[k]
         sums[tree.parent[k]] += dens[k]
-    choice = [k for k in range(n) if not tree.dead[k] and whole[k] and tree.tag[k] != "a"]
+    return body, dens, sums, whole
+
+
+def _off(tree: _Tree, wrappers: set[object]) -> list[bool]:
+    """Which nodes are furniture or in furniture, if the elements alike to wrappers are none."""
+    off = list(tree.dead)
+    for k in range(1, len(off)):
+        if off[tree.parent[k]] or (k in tree.soft and tree.soft[k][0] not in wrappers):
+            off[k] = True
+    return off
+
+
+def _furniture(tree: _Tree) -> list[bool]:
+    """Which nodes are furniture: of the elements that may be wrappers, those whose weighted text exceeds all text outside furniture are none."""
+    n = len(tree.parent)
+    wrappers: set[object] = set()
+    off = _off(tree, wrappers)
+    if not tree.soft:
+        return off
+    own, headed, wraps = [0] * n, [tree.tag[k] in HEADED for k in range(n)], [False] * n
+    for _, node, text, linked in tree.runs:
+        own[node] += 0 if linked else len(text.strip())
+    within = list(own)
+    for k in range(n - 1, 0, -1):
+        within[tree.parent[k]] += within[k]
+        headed[tree.parent[k]] |= headed[k]
+        wraps[tree.parent[k]] |= within[k] > 0
+    weight = {k: within[k] * (THREAD_SHARE if thread or not wraps[k] else HEADED_SHARE if headed[k] else WRAPPER_SHARE) for k, (_, thread) in tree.soft.items()}
+    outside = sum(own[k] for k in range(n) if not off[k])
+    for k in sorted(weight, key=lambda k: (-weight[k], k)):
+        if off[k] and not off[tree.parent[k]] and weight[k] > outside:
+            wrappers.add(tree.soft[k][0])
+            off = _off(tree, wrappers)
+            outside = sum(own[j] for j in range(n) if not off[j])
+    return off
+
+
+def extract(page: str | None) -> str:
+    """The main text: blocks in page order joined by one newline, white space in a block as one space."""
+    if not page:
+        return ""
+    tree = _Tree()
+    tree.parse(page)
+    n = len(tree.parent)
+    off = _furniture(tree)
+    body, dens, sums, whole = _scores(tree, off)
+    choice = [k for k in range(n) if not off[k] and whole[k] and tree.tag[k] != "a"]
     if not choice:
         return ""
     core = max(choice, key=lambda k: (sums[k], tree.rooted[k], dens[k], -k))
@@ -227,14 +288,14 @@ def extract(page: str | None) -> str:
     for k in range(n):
         up = tree.parent[k]
         inside[k] = k == core or (up >= 0 and inside[up])
-        if not inside[k] and k not in on_path and not tree.dead[k] and whole[k] and tree.tag[k] != "a":
+        if not inside[k] and k not in on_path and not off[k] and whole[k] and tree.tag[k] != "a":
             root = tree.rooted[k] and not tree.rooted[up]
             inside[k] = dens[k] >= threshold or (root and sums[k] >= threshold)
     for k in path:  # text that stands between the blocks of the path
         inside[k] = True
     out, last = [], -1
     for block, node, text, _ in tree.runs:
-        if not inside[node]:
+        if not inside[node] or off[node]:
             continue
         if block == last:
             out[-1].append(text)

@@ -150,3 +150,19 @@ def test_density_decides_beside_articles():
         assert html_text.extract(page) == want
     whole = f"<body>{menu}<article><h1>T</h1><section>{marked(first)}</section><section><h2>S</h2><p>Short.</p></section></article></body>"
     assert html_text.extract(whole) == "\n".join(["T", *first, "S", "Short."])
+
+
+def test_wrappers_are_no_furniture():
+    text, more, talk = paragraphs("text", 6), paragraphs("more", 6), paragraphs("talk", 40)
+    article, other = f"<article><h1>T</h1>{marked(text)}</article>", '<div class="sidebar"><p>Read this, too.</p></div><form><p>Sign up here.</p></form>'
+    thread = f'<div class="comments">{marked(talk)}</div>'
+    want = "\n".join(["T", *text])
+    for opening in ("<div class='content has-sidebar'>", "<div id='main-menu-page'>", "<div class='post social'>", "<form action=x>", "<form><fieldset><div id=page-header>"):
+        for inner in (article, f"<div><h1>T</h1>{marked(text)}</div>"):
+            assert html_text.extract(f"<body><p>Small print.</p>{opening}{inner}{'</div>' * 2}</form></body>").endswith(want)
+            assert html_text.extract(f"<body>{opening}{inner}{other}{thread}</div></form></body>") == want
+    posts = "".join(f"<div class='post social'>{marked(t)}</div>" for t in (text, more))
+    assert html_text.extract(f"<body>{'<nav><a href=x>Menu</a></nav>' * 4}{posts}<div class=social><p>Tell them.</p></div></body>") == "\n".join(text + more)
+    assert html_text.extract(f"<body>{article}{other}{thread}</body>") == want
+    assert html_text.extract('<body><div class="ad">Longer than the text itself.</div><article><p>Short.</p></article></body>') == "Short."
+    assert html_text.extract("<body><form>only this</form></body>") == "only this"
