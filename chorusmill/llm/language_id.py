@@ -19,9 +19,8 @@ from pyspark.sql import functions as F
 from .common import texts_of
 
 MARK = "▁"
-#: Bounds of the training sample: labelled rows per language, and distinct (language, word) counts.
+#: Bound of the training sample: labelled rows per language. All their words count.
 TRAIN_ROWS = 400
-TRAIN_WORDS = 60_000
 EM_ROUNDS = 3
 #: Pseudo count of every piece in every language.
 SMOOTHING = 0.02
@@ -263,7 +262,7 @@ def _counted(batches):
 
 
 def train(docs: DataFrame, path: str) -> Model:
-    """Learn from text and lang of rows that are not held out: TRAIN_ROWS rows per language of least hash, TRAIN_WORDS counts.
+    """Learn from text and lang of rows that are not held out: TRAIN_ROWS rows per language of least hash, all their words.
 
     Row counts for the prior cover all such rows. Null texts, null langs and null ids are no training rows.
     """
@@ -278,8 +277,7 @@ def train(docs: DataFrame, path: str) -> Model:
     near = usable.select(F.col("lang").cast("string").alias("lang"), F.col("text"), place.alias("place")).where(F.col("place") <= limit[F.col("lang")])
     first = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place", F.xxhash64("text")))).where(F.col("rank") <= TRAIN_ROWS)
     counted = first.select("lang", "text").mapInArrow(_counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "lang", "word").limit(TRAIN_WORDS).collect()
-    return fit([(r["lang"], r["word"], r["n"]) for r in top], per_lang, path)
+    return fit([(r["lang"], r["word"], r["n"]) for r in counted.collect()], per_lang, path)
 
 
 def _predictor(model: Model):

@@ -126,6 +126,16 @@ def test_language_edge_cases(spark):
     assert language_id.predict(frame(spark, []), PATH).count() == 0
 
 
+def test_all_words_of_the_training_rows_count(spark, monkeypatch):
+    letters = "abcdefghijklmnopqrst"
+    word = lambda k: "".join(letters[k // 20**j % 20] for j in range(5))
+    rows = [(k, " ".join(word(k * 100 + j) for j in range(100)), "de" if k % 2 else "zu", None, None) for k in range(1400)]
+    monkeypatch.setattr(language_id, "fit", lambda counts, per_lang, path: counts)
+    counts = language_id.train(spark.createDataFrame(rows, SCHEMA), PATH)
+    seen = {lang: sum(n for x, _, n in counts if x == lang) for lang in ("de", "zu")}
+    assert seen == {"de": 40_000, "zu": 40_000} and len({(x, w) for x, w, _ in counts}) == 80_000
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables are not here")
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
