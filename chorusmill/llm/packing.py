@@ -3,8 +3,9 @@
 A document of n ids gives n // window whole windows and a remainder. Each task packs its remainders:
 all pairs and triples of lengths that fill a window exactly are enumerated, their repeat counts x are
 fitted by min ||A x - h||, x >= 0 against the histogram h of remainders (image-space multiplicative
-updates), rounded down, and what is left is packed greedily, longest first, with the best fit; where
-nothing fits, the longest remainder is cut to close the window. The last partial window is cut into
+updates; the least x are dropped step by step until no more are left than there are lengths), rounded
+within the histogram, and fitted anew to what is left while that places any. The last remainders are packed
+greedily, longest first, with the best fit; where nothing fits, the longest is cut to close the window. The last partial window is cut into
 sequences whose lengths are powers of two, so nothing is padded.
 
 A task needs no ids of others: only the count of its sequences (one row per task) is combined.
@@ -25,6 +26,8 @@ from .common import materialize, texts_of
 #: Ids that a task holds at once; its remainders are packed each time so many have come.
 SHARD_IDS = 8_000_000
 ITERATIONS = 60
+#: Updates before each dropping of combinations.
+ROUNDS = 12
 
 
 def combinations(window: int, present: np.ndarray) -> np.ndarray:
@@ -56,27 +59,41 @@ def fit_repeats(combos: np.ndarray, hist: np.ndarray, iterations: int = ITERATIO
     return x
 
 
+def fit_sparse(combos: np.ndarray, hist: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Combinations, no more than there are lengths (as many as a basic solution has), and their repeats."""
+    most = max(1, np.count_nonzero(hist[1:]))
+    x = fit_repeats(combos, hist, ROUNDS)
+    while len(combos) > most:
+        best = np.sort(np.argsort(-x, kind="stable")[: max(most, len(combos) // 3)])
+        combos = combos[best]
+        x = fit_repeats(combos, hist, ROUNDS)
+    return combos, fit_repeats(combos, hist)
+
+
 def plan_windows(hist: np.ndarray, window: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, repeats) of exactly filled windows within hist; counts are rounded down and never exceed what is there."""
-    combos = combinations(window, hist > 0)
-    if len(combos) == 0:
-        return []
-    x = fit_repeats(combos, hist)
+    """(lengths, repeats) of exactly filled windows within hist; counts are rounded and never exceed what is there."""
     left = hist.astype(np.int64).copy()
     plan = []
-    for k in np.argsort(-x, kind="stable"):
-        if x[k] < 1:
-            break
-        parts = [int(v) for v in combos[k] if v]
-        need: dict[int, int] = {}
-        for v in parts:
-            need[v] = need.get(v, 0) + 1
-        n = min(int(x[k] + 1e-9), *(int(left[v]) // c for v, c in need.items()))
-        if n > 0:
-            for v, c in need.items():
-                left[v] -= n * c
-            plan.append((tuple(parts), n))
-    return plan
+    while True:
+        combos = combinations(window, left > 0)
+        if len(combos) == 0:
+            return plan
+        combos, x = fit_sparse(combos, left)
+        before = len(plan)
+        for k in np.argsort(-x, kind="stable"):
+            if x[k] < 0.5:
+                break
+            parts = [int(v) for v in combos[k] if v]
+            need: dict[int, int] = {}
+            for v in parts:
+                need[v] = need.get(v, 0) + 1
+            n = min(int(x[k] + 0.5), *(int(left[v]) // c for v, c in need.items()))
+            if n > 0:
+                for v, c in need.items():
+                    left[v] -= n * c
+                plan.append((tuple(parts), n))
+        if len(plan) == before:
+            return plan
 
 
 def pack_lengths(lengths: np.ndarray, window: int) -> list[list[tuple[int, int, int]]]:

@@ -75,6 +75,20 @@ def test_least_squares_fit_the_histogram():
     assert packing.plan_windows(np.zeros(65, int), 64) == [] and packing.pack_lengths(np.zeros(0, int), 64) == []
 
 
+def test_plan_places_most_pieces():
+    rng = np.random.default_rng(4)
+    for count in (1000, 8000):
+        hist = np.bincount(np.minimum(rng.lognormal(6, 0.7, count).astype(int), 1023), minlength=1025)
+        hist[0] = 0
+        plan = packing.plan_windows(hist, 1024)
+        used = np.zeros(1025, int)
+        for parts, n in plan:
+            assert sum(parts) == 1024 and n > 0
+            for v in parts:
+                used[v] += n
+        assert (used <= hist).all() and used.sum() > 0.75 * hist.sum()
+
+
 def test_simple8b_round_trip():
     rng = np.random.default_rng(1)
     cases = [[], [0], [0] * 500, [1 << 59, (1 << 60) - 1, (1 << 60) - 2, (1 << 64) - 1, 0, 5], list(range(70)), [(1 << 64) - 1] * 3]
