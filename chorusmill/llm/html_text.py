@@ -1,14 +1,16 @@
 """Main text of web pages by composite text density.
 
 A tolerant pass builds the tree of block elements and links (formatting elements only pass their text
-on). For every node: C characters, T tags, LC link characters and LT link tags of its subtree give the
-density  C/T * log_b((C*T) / (LC*LT)),  b = ln(C*LC/(C-LC) + C*LC_body/C_body + e).  A node's sum is that
+on and count as tags of the node they stand in). For every node: C characters, T tags, LC link characters and
+LT link tags of its subtree give the density  C/T * log_b((C*T) / (LC*LT)),  b = ln(C*LC/(C-LC) + C*LC_body/C_body + e).  A node's sum is that
 of its children's densities; the node with the largest sum is the core of the text. The least density on
 its path to the body is the threshold from which blocks outside it count as text too, further article or main
 elements by their sums. An article or main element around the core counts whole, so its headings and short
 sections stay, but has no part in the choice of the core but for ties. Elements that are furniture by tag,
 role, class or id never count. By form, fieldset, class and id that holds only where enough text stands
-outside them: wrappers of the text that is otherwise found nowhere on the page are no furniture.
+outside them: wrappers of the text that is otherwise found nowhere on the page are no furniture. Within the
+core, lists of links (LINKS links or more that make up LINK_SHARE of an element's text) are menus and go, unless
+nothing else is left.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ THREAD_WORDS = frozenset("comment comments commentlist disqus reply replies resp
 #: for those with such an element, the third for those with thread words or without elements that have text.
 WRAPPER_SHARE, HEADED_SHARE, THREAD_SHARE = 0.5, 1.0, 0.02
 HEADED = frozenset("article main h1".split())
+#: What makes an element a list of links.
+LINKS, LINK_SHARE = 3, 0.9
 HEADERS = frozenset(("header",))
 ROOTS = frozenset("article main".split())
 NEVER_FURNITURE = frozenset("html body article main".split())
@@ -59,6 +63,7 @@ class _Tree:
     def __init__(self):
         self.parent = [-1]
         self.tag = ["html"]
+        self.inner = [0]  # formatting and empty elements that stand directly in a node
         self.dead = [False]
         self.rooted = [False]
         self.soft: dict[int, tuple[object, bool]] = {}  # nodes that may be furniture or wrappers: what makes them alike, thread words
@@ -102,6 +107,8 @@ class _Tree:
             self.runs.append((self.block, node, html.unescape(raw) if "&" in raw else raw, links > 0))
 
     def _open(self, name: str, rest: str, stack: list[int], links: int) -> int:
+        if name in INLINE or name in VOID:
+            self.inner[stack[-1]] += 1
         if name in INLINE:
             if name == "br":
                 self._text(" ", stack[-1], links)
@@ -162,6 +169,7 @@ class _Tree:
             self.soft[len(self.parent)] = alike, not words.isdisjoint(THREAD_WORDS)
         self.parent.append(up)
         self.tag.append(name)
+        self.inner.append(0)
         self.dead.append(dead)
         self.rooted.append(rooted)
         stack.append(len(self.parent) - 1)
@@ -185,11 +193,11 @@ class _Tree:
         return links
 
 
-def densities(parent: list[int], chars: list[int], link_chars: list[int], is_link: list[bool], body: int) -> list[float]:
-    """Composite density of every node, from the counts of its own text; children follow their parents in the lists."""
+def densities(parent: list[int], chars: list[int], link_chars: list[int], tags: list[int], is_link: list[bool], body: int) -> list[float]:
+    """Composite density of every node, from the counts of its own text and tags; children follow their parents in the lists."""
     n = len(parent)
     c, lc = list(chars), list(link_chars)
-    t, lt = [1] * n, [1 if x else 0 for x in is_link]
+    t, lt = list(tags), [1 if x else 0 for x in is_link]
     for k in range(n - 1, 0, -1):
         p = parent[k]
         c[p] += c[k]
@@ -220,7 +228,7 @@ def _scores(tree: _Tree, off: list[bool]) -> tuple[int, list[float], list[float]
         if linked:
             link_chars[node] += k
     body = next((k for k in range(n) if tree.tag[k] == "body"), 0)
-    dens = densities(tree.parent, chars, link_chars, [t == "a" for t in tree.tag], body)
+    dens = densities(tree.parent, chars, link_chars, [1 + k for k in tree.inner], [t == "a" for t in tree.tag], body)
     sums = [0.0] * n
     whole = list(chars)
     for k in range(n - 1, 0, -1):
@@ -263,6 +271,28 @@ def _furniture(tree: _Tree) -> list[bool]:
     return off
 
 
+def _menus(tree: _Tree, off: list[bool], path: set[int]) -> list[bool]:
+    """off, and the elements beside the path to the core whose text is that of links, and all in them."""
+    n = len(tree.parent)
+    chars, linked, links = [0] * n, [0] * n, [0] * n
+    for _, node, text, in_link in tree.runs:
+        if not off[node]:
+            size = len(text.strip())
+            chars[node] += size
+            linked[node] += size if in_link else 0
+    for k in range(n - 1, 0, -1):
+        up = tree.parent[k]
+        links[k] += tree.tag[k] == "a" and chars[k] > 0
+        chars[up] += chars[k]
+        linked[up] += linked[k]
+        links[up] += links[k]
+    out = list(off)
+    for k in range(1, n):
+        menu = k not in path and links[k] >= LINKS and linked[k] >= LINK_SHARE * chars[k]
+        out[k] = out[k] or out[tree.parent[k]] or menu
+    return out if any(not out[node] and text.strip() for _, node, text, _ in tree.runs) else off
+
+
 def extract(page: str | None) -> str:
     """The main text: blocks in page order joined by one newline, white space in a block as one space."""
     if not page:
@@ -276,6 +306,7 @@ def extract(page: str | None) -> str:
     if not choice:
         return ""
     core = max(choice, key=lambda k: (sums[k], tree.rooted[k], dens[k], -k))
+    densest = core
     path = [core]
     while path[-1] != body and tree.parent[path[-1]] >= 0:
         path.append(tree.parent[path[-1]])
@@ -294,6 +325,7 @@ def extract(page: str | None) -> str:
     for k in path:  # text that stands between the blocks of the path
         inside[k] = True
     out, last = [], -1
+    off = _menus(tree, off, on_path | {densest})
     for block, node, text, _ in tree.runs:
         if not inside[node] or off[node]:
             continue

@@ -166,3 +166,44 @@ def test_wrappers_are_no_furniture():
     assert html_text.extract(f"<body>{article}{other}{thread}</body>") == want
     assert html_text.extract('<body><div class="ad">Longer than the text itself.</div><article><p>Short.</p></article></body>') == "Short."
     assert html_text.extract("<body><form>only this</form></body>") == "only this"
+
+
+def test_wrapped_and_split_pages_are_whole():
+    text, more = paragraphs("text", 3), paragraphs("more", 3)
+    for opening in ('<div id="page" class="layout sidebar-right">', '<div class="site has-banner">', '<div class="ad-free post">', '<form id="aspnetForm">'):
+        assert html_text.extract(f"<body>{opening}<div>{marked(text)}</div></div></form></body>") == "\n".join(text)
+    links = "<ul>" + "".join(f"<li><a href=/{k}>Link number {k} here</a></li>" for k in range(40)) + "</ul>"
+    for page in (f"<main>{links}<article>{marked(text)}</article></main>", f"<main>{links}<div>{marked(text)}</div></main>", f"<article>{marked(text)}{links}</article>"):
+        assert html_text.extract(f"<body>{page}</body>") == "\n".join(text)
+    assert html_text.extract(f"<body><article>{marked(text)}</article><article>{marked(more)}</article></body>") == "\n".join(text + more)
+    assert html_text.extract(f"<body>{links}</body>").count("Link number") == 40
+
+
+def test_density_against_every_subtree():
+    import math
+    import random
+
+    rng = random.Random(5)
+    for n in (1, 2, 7, 60):
+        parent = [-1] + [rng.randrange(k) for k in range(1, n)]
+        link = [k > 0 and rng.random() < 0.3 for k in range(n)]
+        chars, tags = [rng.choice((0, 0, 5, 40, 300)) for _ in range(n)], [1 + rng.randrange(3) for _ in range(n)]
+        linked = [c if x else 0 for c, x in zip(chars, link, strict=True)]
+
+        def under(k, parent=parent, n=n):
+            while True:
+                found = {j for j in range(n) if j in k or parent[j] in k}
+                if found == k:
+                    return k
+                k = found
+
+        got = html_text.densities(parent, chars, linked, tags, link, 0)
+        share = sum(linked) / max(1, sum(chars))
+        for k in range(n):
+            rows = under({k})
+            c, t, lc, lt = (sum(v[j] for j in rows) for v in (chars, tags, linked, link))
+            want = 0.0
+            if c:
+                base = math.log(c * lc / max(1, c - lc) + share * c + math.e)
+                want = c / t * math.log(max(1.0, c * t / (max(1, lc) * max(1, lt)))) / max(math.log(base), 0.1)
+            assert math.isclose(got[k], want, rel_tol=1e-9, abs_tol=1e-12)
