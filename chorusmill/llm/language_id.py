@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,11 +25,13 @@ TRAIN_ROWS = 400
 EM_ROUNDS = 3
 #: Pseudo count of every piece in every language.
 SMOOTHING = 0.02
-#: Words longer than this are scored one by one; typical probability of a character, which keeps sums near 1.
+#: Words longer than this are learned from and scored one by one, in logarithms; typical probability of a character, which keeps sums near 1.
 LONG_WORD = 40
 CHAR_SCALE = 12.0
 CACHE_WORDS = 700_000
 UNDETERMINED = "und"
+#: Least posterior of a predicted language at which a document counts as identified.
+LEAST_POSTERIOR = 0.5
 
 _WORD = re.compile(r"[^\W\d_]+")
 _STATE: dict = {}
@@ -136,11 +139,11 @@ def fit(counts: list[tuple[str, str, int]], rows: dict[str, int], path: str) ->
     table: dict[str, np.ndarray] = {}
     index = {x: k for k, x in enumerate(languages)}
     for lang, word, n in counts:
-        if len(word) <= LONG_WORD:
-            table.setdefault(word, np.zeros(len(languages)))[index[lang]] += n
-    words = sorted(table)
+        table.setdefault(word, np.zeros(len(languages)))[index[lang]] += n
+    words = sorted(x for x in table if len(x) <= LONG_WORD)
+    long = [(lattice([x], path), table[x]) for x in sorted(table) if len(x) > LONG_WORD]
     prob = np.full((size + 1, len(languages)), 1.0 / (size + 1))
-    if words:
+    if table:
         freq = np.array([table[x] for x in words])
         parts = [(lattice(words[a : a + 4000], path), freq[a : a + 4000]) for a in range(0, len(words), 4000)]
         for _ in range(EM_ROUNDS):
@@ -153,6 +156,11 @@ def fit(counts: list[tuple[str, str, int]], rows: dict[str, int], path: str) ->
                 gain = alpha[w, s] * scaled * beta[w, e] / np.maximum(whole[w], 1e-300) * f[w]
                 for k in range(len(languages)):
                     expected[:, k] += np.bincount(p, weights=gain[:, k], minlength=size + 1)
+            logp = np.log(prob)
+            for lat, f in long:
+                _, s, e, p, sizes = lat
+                alpha, beta = _long_sums(lat, logp, forward=True), _long_sums(lat, logp, forward=False)
+                np.add.at(expected, p, np.exp(alpha[s] + logp[p] + beta[e] - alpha[int(sizes[0])]) * f)
             prob = expected / expected.sum(axis=0)
     return Model(languages, prior, np.log(prob), path)
 
@@ -189,20 +197,26 @@ def word_scores(words: list[str], model: Model) -> np.ndarray:
     return out
 
 
-def _long_word(word: str, model: Model) -> np.ndarray:
-    """The same sum with a running scale, for words of any length."""
-    _, s, e, p, sizes = lattice([word], model.path)
+def _long_sums(lat, logp: np.ndarray, forward: bool) -> np.ndarray:
+    """Log sums over all segmentations of one word's first (forward) or last characters, by place; for words of any length."""
+    _, s, e, p, sizes = lat
     n = int(sizes[0])
-    alpha = np.full((n + 1, len(model.languages)), -np.inf)
-    alpha[0] = 0.0
-    order = np.argsort(e, kind="stable")
-    cuts = np.searchsorted(e[order], np.arange(1, n + 2))
-    for end in range(1, n + 1):
-        rows = order[cuts[end - 1] : cuts[end]]
-        step = alpha[s[rows]] + model.logp[p[rows]]
+    near, far = (e, s) if forward else (s, e)
+    out = np.full((n + 1, logp.shape[1]), -np.inf)
+    out[0 if forward else n] = 0.0
+    order = np.argsort(near, kind="stable")
+    cuts = np.searchsorted(near[order], np.arange(n + 2))
+    for at in range(1, n + 1) if forward else range(n - 1, -1, -1):
+        rows = order[cuts[at] : cuts[at + 1]]
+        step = out[far[rows]] + logp[p[rows]]
         top = step.max(axis=0)
-        alpha[end] = top + np.log(np.exp(step - top).sum(axis=0))
-    return alpha[n]
+        out[at] = top + np.log(np.exp(step - top).sum(axis=0))
+    return out
+
+
+def _long_word(word: str, model: Model) -> np.ndarray:
+    lat = lattice([word], model.path)
+    return _long_sums(lat, model.logp, forward=True)[int(lat[4][0])]
 
 
 class Scorer:
@@ -308,7 +322,7 @@ def predict(docs: DataFrame, path: str, model: Model | None = None) -> DataFrame
     return rows.mapInArrow(_predictor(model), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def _keeper(model: Model):
+def _keeper(model: Model, least: float, lang_type: pa.DataType | None):
     predicting = _predictor(model)
 
     def run(batches):
@@ -317,11 +331,25 @@ def _keeper(model: Model):
             ids = pa.nulls(batch.num_rows, pa.int64())
             probe = pa.RecordBatch.from_arrays([ids, text, pa.array([False] * batch.num_rows)], names=["doc_id", "text", "held_out"])
             found = next(predicting(iter([probe])))
-            yield batch.filter(pa.array([x != UNDETERMINED for x in found.column("lang_pred").to_pylist()], pa.bool_()))
+            lang, score = found.column("lang_pred"), found.column("score")
+            if lang_type is not None:
+                at = batch.schema.get_field_index("lang")
+                batch = batch.set_column(at, batch.schema.field(at), lang.cast(lang_type))
+            yield batch.filter(pc.and_(pc.not_equal(lang, UNDETERMINED), pc.greater_equal(score, least)))
 
     return run
 
 
-def keep_identified(docs: DataFrame, path: str, model: Model | None = None) -> DataFrame:
-    """The rows of docs, with all their columns, whose language can be told; null texts and texts without letters go."""
-    return docs.mapInArrow(_keeper(model or train(docs, path)), docs.schema)
+def keep_identified(docs: DataFrame, path: str, model: Model | None = None, least: float = LEAST_POSTERIOR) -> DataFrame:
+    """The rows of docs whose language can be told, with all their columns; a string column lang then holds that language.
+
+    So a null label is filled in, and one that the text contradicts is replaced. A row goes if its text is null or
+    has no letters, or if no language has a posterior of at least `least`. Equal texts fare alike, so repeated rows
+    and ties (the language first in order) are decided alike; columns of any name, lang excepted, stay as they are.
+    Where nothing can be learned (no labelled rows), all rows stay as they are. An empty table gives no rows.
+    """
+    model = model or train(docs, path)
+    if not model.languages:
+        return docs
+    lang = next((f.dataType.simpleString() for f in docs.schema if f.name == "lang"), None)
+    return docs.mapInArrow(_keeper(model, least, pa.string() if lang == "string" else None), docs.schema)

@@ -1,7 +1,8 @@
 """The corpus pipeline: language, near duplicates, repeated passages, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
-documents. run() writes every stage's rows before the next one reads them.
+documents. run() writes every stage's rows before the next one reads them. Every stage gives no rows for an
+empty table, keeps columns of any name as they are, and treats equal rows alike.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ def _with_text(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without text or letters go."""
+    """Documents whose language cannot be told go (no letters, or no language at least as likely as all others together);
+    lang becomes the predicted language, so null and wrong labels are mended."""
     tune(spark)
     return language_id.keep_identified(docs, vocabulary_path("piece_bpe_32k.model"))
 

@@ -5,7 +5,7 @@ import re
 import corpus_pipeline
 from chorusmill.llm.tokens import vocabulary_path
 
-from .data import frame, odd_rows
+from .data import clashing, frame, odd_rows
 from .test_near_duplicates import brute as near_brute
 from .test_suffix_language_surrogates import brute as repeat_brute
 
@@ -22,6 +22,7 @@ def test_stages_against_brute_force(spark, tmp_path):
         assert k == 4 or docs.columns == columns
     language, near, repeats, private, packed = out
     assert set(language) == {r[0] for r in rows if re.search(r"[^\W\d_]", r[1] or "")}
+    assert {r["lang"] for r in language.values()} == {"en"}  # half the labels were null
     left = [(d, r["text"]) for d, r in language.items()]
     _, component = near_brute(left, 80, 100, 5)
     assert set(near) == {d for d, c in component.items() if c == d}
@@ -42,3 +43,11 @@ def test_run_reads_documents(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
     frame(spark, []).write.parquet(str(tmp_path / "none" / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_clashing_columns_stay(spark, tmp_path):
+    docs = clashing(frame(spark, [r for r in odd_rows()[:-2]]))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, str(tmp_path)).collect(), docs.schema)
+        assert docs.columns[:5] == frame(spark, []).columns and docs.where("name <> 'name' OR id <> 'id' OR rest <> 'rest' OR key <> 'key'").count() == 0
+    assert docs.count() > 5 and corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() > 0

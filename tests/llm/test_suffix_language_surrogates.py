@@ -113,6 +113,23 @@ def test_forward_sums_all_segmentations():
         assert np.allclose(g, enumerate_sum(w, vocabulary, model.logp, sp.get_piece_size()), rtol=1e-6)
 
 
+def test_long_words_are_learned(spark):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    counts = [("a", "theory", 9), ("b", "weiter", 4), ("a", "theother" * 4, 2), ("b", "größe" * 7, 3), ("a", "ж" * 30, 1)]
+    apart = language_id.fit(counts, {"a": 2, "b": 1}, PATH)
+    assert apart.logp.shape == (sp.get_piece_size() + 1, 2)
+    limit = language_id.LONG_WORD
+    try:
+        language_id.LONG_WORD = 5  # all words but none of five letters the long way
+        assert np.allclose(language_id.fit(counts, {"a": 2, "b": 1}, PATH).logp, apart.logp, rtol=1e-6)
+    finally:
+        language_id.LONG_WORD = limit
+    longer = language_id.fit([*counts, ("a", "weiter" * 12, 5)], {"a": 2, "b": 1}, PATH)
+    assert not np.allclose(longer.logp, apart.logp)
+
+
 def test_language_edge_cases(spark):
     rows = [(k, t, "fr" if k % 2 else "en", None, None) for k, t in enumerate(["le chat et la maison sont ici"] * 2 + ["the cat and the house are here", "le chien et la rue"] * 10)]
     rows += [(100, None, "en", None, None), (101, "", None, None, None), (102, "12 34 !!", None, None, None), (103, "ÉCOLE", None, None, None), (None, "the house", None, None, None)]
@@ -121,6 +138,11 @@ def test_language_edge_cases(spark):
     assert len(got) == len(rows) and all(got[k]["lang_pred"] == "und" and got[k]["score"] == 0 for k in (100, 101, 102))
     assert got[103]["lang_pred"] in ("en", "fr") and 0 <= got[103]["score"] <= 1 and got[None]["held_out"] is False
     assert {r["doc_id"] for r in language_id.keep_identified(docs, PATH).collect()} == {r[0] for r in rows} - {100, 101, 102}
+    kept = {r["doc_id"]: r for r in language_id.keep_identified(docs, PATH).collect()}
+    assert all(kept[k]["lang"] == got[k]["lang_pred"] for k in kept) and kept[103]["lang"] and kept[None]["lang"] == "en" and kept[0]["name"] == "name"
+    assert (kept[0]["lang"], kept[2]["lang"]) == ("fr", "en")  # the label of 0 was wrong, that of 2 right
+    assert language_id.keep_identified(docs, PATH, least=1.1).count() == 0
+    assert language_id.keep_identified(docs.withColumn("lang", F.lit(None).cast("string")), PATH).count() == len(rows)
     unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
     assert {r["lang_pred"] for r in language_id.predict(unlabelled, PATH).collect()} == {"und"}
     assert language_id.predict(frame(spark, []), PATH).count() == 0
