@@ -69,16 +69,33 @@ def mismatch_count(media_id: Column, page: Column, comments: Column) -> Column:
     return (own + F.size(F.filter(F.coalesce(comments, F.array()), wrong))).cast("int")
 
 
-def collection_check(expected: Column, media_url: Column, page: Column, comments: Column) -> Column:
-    """The collection's count: identity not true, wrong media, wrong permalinks; a missing permalink is fine. Codes sorted."""
-    urls = F.filter(F.transform(F.coalesce(comments, F.array()), lambda c: c["comment_url"]), lambda u: F.coalesce(u, F.lit("")) != "")
-    own = canonical_media(media_url)["media_id"]
-    codes = F.transform(urls, lambda u: canonical_media(u)["media_id"])
-    wrong = F.filter(codes, lambda c: F.coalesce(c != expected, F.lit(True)))
+def media_path(url: Column) -> Column:
+    """The route of a media address as a key (/p/CODE/), null if it is none."""
+    m = canonical_media(url)
+    return F.concat(F.lit("/"), m["media_type"], F.lit("/"), m["media_id"], F.lit("/"))
+
+
+def is_media_payload(payload: Column) -> Column:
+    """Whether any of a job's addresses (url, requested_url, discovery_url, navigation_source_url) is of the media host."""
+    named = (payload["url"], payload["requested_url"], payload["discovery_url"], payload["navigation_source_url"])
+    return F.exists(F.array(*named), lambda u: F.contains(F.lower(F.coalesce(u, F.lit(""))), F.lit("instagram.com/")))
+
+
+def collection_check(expected: Column, media: Column, page: Column, comments: Column) -> Column:
+    """The collection's count and the codes seen, sorted.
+
+    The page's own count, one for an identity that is not confirmed, one for a media that is missing or another one,
+    and one for each permalink of another media; permalinks that are missing or none count nothing.
+    """
+    own = F.coalesce(F.nullif(media["media_id"], F.lit("")), canonical_media(media["media_url"])["media_id"], F.lit(""))
+    want = F.coalesce(expected, F.lit(""))
+    codes = F.filter(F.transform(F.coalesce(comments, F.array()), lambda c: canonical_media(c["comment_url"])["media_id"]), lambda c: c.isNotNull())
+    wrong = F.filter(codes, lambda c: (c != want) | (c != own))
     unsure = F.when(F.coalesce(page["identity_verified"], F.lit(False)), 0).otherwise(1)
-    count = unsure + F.when(F.coalesce(own == expected, F.lit(False)), 0).otherwise(1) + F.size(wrong)
-    observed = F.array_sort(F.array_distinct(F.filter(F.concat(F.array(own), codes), lambda c: c.isNotNull())))
-    return F.struct(count.cast("int").alias("mismatch_count"), observed.alias("observed_shortcodes"))
+    count = F.coalesce(page["shortcode_mismatch_count"], F.lit(0)) + unsure + F.when((own == "") | (own != want), 1).otherwise(0) + F.size(wrong)
+    seen = F.concat(F.coalesce(page["observed_shortcodes"], F.array().cast("array<string>")), F.array(F.nullif(own, F.lit(""))), codes)
+    observed = F.array_sort(F.array_distinct(F.filter(seen, lambda c: c.isNotNull())))
+    return F.struct((count == 0).alias("ok"), F.nullif(own, F.lit("")).alias("actual_shortcode"), count.cast("int").alias("mismatch_count"), observed.alias("observed_shortcodes"))
 
 
 def route_evidence(requested: Column, final: Column, location: Column, canonical: Column, og: Column, comment_urls: Column, error: Column, ready: Column) -> Column:

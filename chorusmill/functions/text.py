@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values of the text rules.
 STOP_WORDS = ["the", "and", "for", "with", "from", "this", "that", "amazon", "pack", "count"]
 EDGE = " ,;|-."
-EXPANSION_PATTERNS = [
-    r"^(?:load|show|view)\s+(?:all\s+)?(?:previous\s+)?(?:\d+\s+)?(?:more\s+)?comments?(?:\s*\(\d+\))?$",
-    r"^(?:view|show|load)\s+(?:all\s+)?(?:\d+\s+)?(?:more\s+)?repl(?:y|ies)(?:\s*\(\d+\))?$",
-    r"^(?:加载|显示|查看)(?:全部|所有|更多|之前的)?\s*\d*\s*条?(?:更多)?评论$",
-    r"^查看更多评论$",
-    r"^(?:查看|显示|加载)(?:全部|所有|更多)?\s*\d*\s*条?(?:更多)?回复$",
-]
+WHITE = r"(?U)[\s\x1c-\x1f]+"
+EXPANSION_PATTERN = r"^(?:load|show|view)\s+(?:all\s+)?(?:previous\s+)?(?:\d+\s+)?(?:more\s+)?comments?(?:\s*\(\d+\))?$|^(?:view|show|load)\s+(?:all\s+)?(?:\d+\s+)?(?:more\s+)?repl(?:y|ies)(?:\s*\(\d+\))?$|^(?:加载|显示|查看)(?:全部|所有|更多|之前的)?\s*\d*\s*条?(?:更多)?评论$|^查看更多评论$|^(?:查看|显示|加载)(?:全部|所有|更多)?\s*\d*\s*条?(?:更多)?回复$"
 TRIGGER_PATTERN = r"^(?:comment|comments|open comments|view comments|评论|打开评论|查看评论)$"
 EMPTY_PATTERN = r"(?:no comments yet|be the first to comment|comments are turned off|暂无评论|还没有评论|成为第一个评论的人|评论已关闭)"
 RESTRICTIONS = [
@@ -24,24 +22,56 @@ RESTRICTIONS = [
     ("unavailable", r"sorry, this page isn.?t available|page not available|页面不可用"),
     ("login_required", r"log in to instagram|登录 instagram 以继续"),
 ]
+#: What a page shows when it fails, in order of precedence; the last also by its address.
+PAGE_ERRORS = [
+    ("rate_limited", r"http error 429|too many requests|try again later|操作过于频繁"),
+    ("unavailable", r"sorry, this page isn.?t available|page not available|页面不可用"),
+    ("login_required", r"log in to instagram|登录 instagram"),
+]
+LOGIN_ADDRESS = r"/accounts/login"
+RATE_LIMIT_PATTERN = r"(?i)http\s*(?:error\s*)?429|too many requests|try again later|rate[_ -]?limited|操作过于频繁"
+COUNT_BEFORE = r"(?i)([\d,.]+)\s*(万|k|m)?\s*(?:comments?|条评论|评论)"
+COUNT_AFTER = r"(?i)(?:comments?|条评论|评论)\s*([\d,.]+)\s*(万|k|m)?"
+COUNT_ALONE = r"(?i)^\s*([\d,.]+)\s*(万|k|m)?\s*$"
+LIKES_PATTERN = r"(?i)(\d[\d,.]*)\s*(?:likes?|次赞|赞)"
+BADGE_PATTERN = r"(?i)\s*(?:verified|已验证)\s*"
+CARD_NOISE = r"(?i)^(?:reply|like|likes|see translation|view translation|回复|赞|查看翻译|翻译|\d[\d,.]*\s*(?:likes?|次赞|赞))$"
+SEARCH_PREFIX = "https://www.google.com/search?q="
+SEARCH_SITES = "site:instagram.com/p/ OR site:instagram.com/reel/ "
+TAG_ADDRESS = "https://www.instagram.com/explore/tags/"
 UI_LABELS = ["帖子", "Reels", "轮播"]
 
 
 def clean_text(value: Column) -> Column:
     """White space collapsed, edge punctuation stripped; null as empty."""
-    return F.btrim(F.regexp_replace(F.coalesce(value.cast("string"), F.lit("")), r"(?U)\s+", " "), F.lit(EDGE))
+    return F.btrim(F.regexp_replace(F.coalesce(value.cast("string"), F.lit("")), WHITE, " "), F.lit(EDGE))
 
 
 def distinct_folded(values: Column) -> Column:
-    """Values in order, without those that equal an earlier one in lower case."""
-    seen = F.transform(values, lambda v: F.lower(v))
-    return F.filter(values, lambda v, i: F.array_position(seen, F.lower(v)) == i + 1)
+    """Values in order, without blanks and without those that equal an earlier one in lower case. values is evaluated once."""
+    none, kind = F.array().cast("array<string>"), "struct<lows:array<string>,values:array<string>>"
+
+    def add(kept: Column, v: Column) -> Column:
+        low = F.lower(v)
+        more = F.struct(F.array_append(kept["lows"], low), F.array_append(kept["values"], v)).cast(kind)
+        return F.when((low == "") | F.array_contains(kept["lows"], low), kept).otherwise(more)
+
+    return F.aggregate(values, F.struct(none, none).cast(kind), add, lambda kept: kept["values"])
 
 
 def clean(values: Column) -> Column:
     """Cleaned values in order, blanks dropped, the first spelling of each kept; a null list is an empty one."""
-    cleaned = F.transform(F.coalesce(values, F.array().cast("array<string>")), clean_text)
-    return distinct_folded(F.filter(cleaned, lambda v: v != ""))
+    return distinct_folded(F.transform(F.coalesce(values, F.array().cast("array<string>")), clean_text))
+
+
+def clean_list(values: list[str | None]) -> list[str]:
+    """clean() of constants."""
+    out: dict[str, str] = {}
+    for value in values:
+        value = re.sub(r"\s+", " ", value or "").strip(EDGE)
+        if value:
+            out.setdefault(value.lower(), value)
+    return list(out.values())
 
 
 def words(value: Column) -> Column:
@@ -50,10 +80,16 @@ def words(value: Column) -> Column:
     return F.filter(found, lambda w: (F.length(w) > 2) & ~w.isin(STOP_WORDS))
 
 
-def contains_terms(text: Column, terms: Column) -> Column:
-    """The cleaned terms that text contains, case folded."""
+def found_terms(folded: Column, terms: list[str]) -> Column:
+    """The cleaned ones of constant terms that a folded text contains."""
+    hits = [F.when(F.contains(folded, F.lit(t.lower())), F.lit(t)) for t in clean_list(terms)]
+    return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
+
+
+def contains_terms(text: Column, terms: Column | list[str]) -> Column:
+    """The cleaned terms that text contains, case folded. Constant terms (a list) are cleaned once and become plain tests."""
     folded = F.lower(F.coalesce(text, F.lit("")))
-    return F.filter(clean(terms), lambda t: F.contains(folded, F.lower(t)))
+    return F.filter(clean(terms), lambda t: F.contains(folded, F.lower(t))) if isinstance(terms, Column) else found_terms(folded, terms)
 
 
 def compact(value: Column) -> Column:
@@ -81,13 +117,10 @@ def _group(text: Column, pattern: str, group: int) -> Column:
 
 def visible_count(raw: Column) -> Column:
     """Count of a rendered label: commas, decimals, 万, k and m; rounded half up; null if there is none."""
-    text = F.regexp_replace(F.coalesce(raw, F.lit("")), " ", " ")
-    number, unit = r"([\d,.]+)", r"\s*(万|k|m)?\s*"
-    before = rf"(?i){number}{unit}(?:comments?|条评论|评论)"
-    after = rf"(?i)(?:comments?|条评论|评论)\s*{number}\s*(万|k|m)?"
-    alone = rf"(?i)^\s*{number}\s*(万|k|m)?\s*$"
-    hit = F.when(text.rlike(before), F.lit(1)).when(text.rlike(after), F.lit(2)).when(text.rlike(alone), F.lit(3))
-    pick = lambda g: F.when(hit == 1, _group(text, before, g)).when(hit == 2, _group(text, after, g)).when(hit == 3, _group(text, alone, g))
+    text = F.regexp_replace(F.coalesce(raw, F.lit("")), "\u00a0", " ")
+    rules = [COUNT_BEFORE, COUNT_AFTER, COUNT_ALONE]
+    hit = F.coalesce(*(F.when(text.rlike(p), F.lit(k)) for k, p in enumerate(rules)))
+    pick = lambda g: F.coalesce(*(F.when(hit == k, _group(text, p, g)) for k, p in enumerate(rules)))
     value = F.regexp_replace(pick(1), ",", "").try_cast("double")
     scale = F.when(pick(2) == "万", 10000.0).when(F.lower(pick(2)) == "k", 1000.0).when(F.lower(pick(2)) == "m", 1000000.0).otherwise(1.0)
     return F.floor(value * scale + 0.5).cast("long")
@@ -95,7 +128,7 @@ def visible_count(raw: Column) -> Column:
 
 def like_text(text: Column) -> Column:
     """The rendered number before a likes label, as it stands."""
-    return _group(F.coalesce(text, F.lit("")), r"(?i)(\d[\d,.]*)\s*(?:likes?|次赞|赞)", 1)
+    return _group(F.coalesce(text, F.lit("")), LIKES_PATTERN, 1)
 
 
 def restriction(text: Column) -> Column:
@@ -108,9 +141,9 @@ def restriction(text: Column) -> Column:
 
 def visible_error(text: Column, url: Column) -> Column:
     """rate_limited, unavailable or login_required, the first that text or address shows; else null."""
-    kind = restriction(text)
-    login = (kind == "login_required") | F.coalesce(url, F.lit("")).rlike(r"/accounts/login(?:/|$|\?)")
-    return F.when(kind == "rate_limited", "rate_limited").when(kind == "unavailable", "unavailable").when(login, "login_required")
+    value = F.lower(F.coalesce(text, F.lit("")))
+    shown = [F.when(value.rlike(pattern), F.lit(name)) for name, pattern in PAGE_ERRORS]
+    return F.coalesce(*shown, F.when(F.coalesce(url, F.lit("")).rlike(LOGIN_ADDRESS), F.lit("login_required")))
 
 
 def normal_label(value: Column) -> Column:
@@ -118,7 +151,7 @@ def normal_label(value: Column) -> Column:
 
 
 def is_expansion_label(value: Column) -> Column:
-    return normal_label(value).rlike("(?i)" + "|".join(f"(?:{p})" for p in EXPANSION_PATTERNS))
+    return normal_label(value).rlike("(?i)" + EXPANSION_PATTERN)
 
 
 def is_trigger_label(value: Column) -> Column:
@@ -139,14 +172,13 @@ def is_expansion_control(parts: Column) -> Column:
 
 def author_name(value: Column) -> Column:
     """Without the badge text and the leading @; blank as null."""
-    return F.nullif(F.trim(F.regexp_replace(F.regexp_replace(value, r"(?i)\s*(?:verified|已验证)\s*", " "), r"^\s*@", "")), F.lit(""))
+    return F.nullif(F.trim(F.regexp_replace(F.regexp_replace(value, BADGE_PATTERN, " "), r"^\s*@", "")), F.lit(""))
 
 
 def own_text(card: Column, author: Column, buttons: Column, time_text: Column) -> Column:
     """A comment's text from its card's lines: without author, buttons, time, and reply, like and translation lines."""
     lines = F.transform(F.split(card, r"\r?\n"), lambda x: F.trim(x))
-    noise = r"(?i)^(?:reply|like|likes|see translation|view translation|回复|赞|查看翻译|翻译|\d[\d,.]*\s*(?:likes?|次赞|赞))$"
-    keep = lambda x: (x != "") & (F.coalesce(x != author, F.lit(True))) & ~F.array_contains(F.coalesce(buttons, F.array().cast("array<string>")), x) & F.coalesce(x != time_text, F.lit(True)) & ~x.rlike(noise)
+    keep = lambda x: (x != "") & (F.coalesce(x != author, F.lit(True))) & ~F.array_contains(F.coalesce(buttons, F.array().cast("array<string>")), x) & F.coalesce(x != time_text, F.lit(True)) & ~x.rlike(CARD_NOISE)
     return F.nullif(F.array_join(F.filter(lines, keep), " "), F.lit(""))
 
 
@@ -160,15 +192,36 @@ def truth(value: Column) -> Column:
     return ~F.lower(F.trim(F.coalesce(value.cast("string"), F.lit("")))).isin("0", "false", "no", "off")
 
 
-def search_url(base: Column, site: Column, query: Column) -> Column:
-    return F.concat(base, F.url_encode(F.concat(F.lit("site:"), site, F.lit(" "), query)))
+def search_url(query: Column) -> Column:
+    """The public search for a query's media: percent-coded, slashes as they are."""
+    coded = F.url_encode(F.concat(F.lit(SEARCH_SITES), F.coalesce(query, F.lit(""))))
+    for form, plain in (("+", "%20"), ("%2F", "/"), ("%7E", "~"), ("*", "%2A")):
+        coded = F.replace(coded, F.lit(form), F.lit(plain))
+    return F.concat(F.lit(SEARCH_PREFIX), coded)
 
 
 def tag_slug(query: Column) -> Column:
-    """Lower-case letters and digits, 80 at most; null if none."""
-    return F.nullif(F.substring(F.regexp_replace(F.lower(query), r"[^\p{L}\p{N}]+", ""), 1, 80), F.lit(""))
-
-
-def has_rate_limit(record: Column) -> Column:
-    """Whether any text in a nested value names a rate limit."""
-    return F.lower(F.to_json(record)).rlike("rate.?limit|too many requests|try again later|操作过于频繁|请稍后再试")
+    """ASCII letters and digits in lower case, 80 at most; null if there are none."""
+    return F.nullif(F.substring(F.lower(F.regexp_replace(query, "[^A-Za-z0-9]+", "")), 1, 80), F.lit(""))
+
+
+def tag_url(query: Column) -> Column:
+    return F.concat(F.lit(TAG_ADDRESS), tag_slug(query), F.lit("/"))
+
+
+def has_rate_limit(value: Column, kind: T.DataType) -> Column:
+    """Whether any text in a value of that type names a rate limit; names of fields and keys of maps do not count."""
+    if isinstance(kind, T.StructType):
+        tests = [has_rate_limit(value[f.name], f.dataType) for f in kind.fields]
+    elif isinstance(kind, T.ArrayType):
+        tests = [F.coalesce(F.exists(value, lambda v: has_rate_limit(v, kind.elementType)), F.lit(False))]
+    elif isinstance(kind, T.MapType):
+        tests = [F.coalesce(F.exists(F.map_values(value), lambda v: has_rate_limit(v, kind.valueType)), F.lit(False))]
+    elif isinstance(kind, T.StringType):
+        tests = [F.coalesce(value.rlike(RATE_LIMIT_PATTERN), F.lit(False))]
+    else:
+        tests = []
+    out = F.lit(False)
+    for test in tests:
+        out = out | test
+    return out

@@ -22,8 +22,9 @@ def audit_status(status: Column, coverage: Column, remaining: Column, visible: C
 
 
 def collection_status(status: Column, rows: Column, platform_total: Column) -> Column:
-    """The collection's rule: as many rows as the platform shows pass."""
-    return F.when(status.isin(RESTRICTED) & (rows == 0), "BLOCKED").when(F.coalesce(rows >= platform_total, F.lit(False)), "PASS").otherwise("PARTIAL")
+    """The collection's rule: any state but none, ready and unknown bars; as many rows as the platform shows pass."""
+    barred = F.coalesce(~status.isin("ready", "unknown"), F.lit(False))
+    return F.when(barred & (rows == 0), "BLOCKED").when(F.coalesce(rows >= platform_total, F.lit(False)), "PASS").otherwise("PARTIAL")
 
 
 def audit_reasons(status: Column, audit: Column, coverage: Column, remaining: Column, visible: Column, platform: Column, rows: Column, texts: Column, ids: Column, mismatch: Column) -> Column:
@@ -68,14 +69,34 @@ def latest_audits(reports: DataFrame) -> DataFrame:
     return reports.groupBy("media_id").agg(F.max_by(F.struct(*reports.columns), "ord").alias("r"), F.min("ord").alias("place")).select("r.*", "place")
 
 
+#: What an audit of a media that was never captured takes from its candidate as it is (fixed values).
+CARRIED = [
+    "discovery_media_type", "discovery_url", "requested_media_type", "requested_url", "rendered_media_type", "rendered_url",
+    "working_media_url", "relevance_tier", "relevance_score", "evidence_terms",
+]
+CARRIED_COUNTS = ["route_fallback_attempt_count", "route_fallback_success_count", "shortcode_mismatch_count"]
+ZERO_COUNTS = ["captured_rows", "text_rows", "stable_id_rows", "main_comment_rows", "reply_rows", "expand_action_count", "scroll_round_count", "scroll_action_count"]
+
+
 def synthetic_audits(candidates: DataFrame, audits: DataFrame) -> DataFrame:
-    """Audits of candidates that were never captured; candidates carry shortcode, media_type, url, tier, score, terms, decision, stop_reason, eligibility."""
-    left = candidates.where(_has(F.col("shortcode"))).join(audits.select(F.col("media_id").alias("shortcode")), "shortcode", "left_anti")
-    decision = F.coalesce(F.nullif("decision", F.lit("")), F.lit("AUDIT_ONLY"))
-    stop = F.coalesce(F.nullif("stop_reason", F.lit("")), F.when(F.col("relevance_tier") == "LOW", "semantic_low_audit_only").otherwise("target_posts_budget"))
-    zeros = {c: F.lit(0) for c in ("captured_rows", "text_rows", "stable_id_rows", "main_comment_rows", "reply_rows", "shortcode_mismatch_count", "route_fallback_attempt_count", "route_fallback_success_count", "expand_action_count", "scroll_round_count", "scroll_action_count")}
-    values = {"audit_status": F.lit("PARTIAL"), "page_status": F.lit("not_collected"), "stop_reason": stop, "reason": F.lower(decision), "collection_status": decision, "deliverable_eligible": F.coalesce("deliverable_eligible", F.lit(False))}
-    return left.select(F.col("shortcode").alias("media_id"), "media_type", F.col("url").alias("media_url"), "relevance_tier", "relevance_score", "evidence_terms", *(v.alias(k) for k, v in (zeros | values).items()))
+    """Audits of candidates that were never captured, with the candidate's routes, owner, relevance and mismatches.
+
+    Candidate columns that are absent count as null. A candidate that is listed twice gives one row per listing.
+    """
+    captured = audits.select(F.col("media_id").alias("shortcode")).distinct()
+    left = candidates.where(_has(F.col("shortcode"))).join(captured, "shortcode", "left_anti")
+    have = lambda c, kind="string": F.col(c) if c in candidates.columns else F.lit(None).cast(kind)
+    kinds = {"relevance_score": "double", "evidence_terms": "array<string>"}
+    decision = F.coalesce(F.nullif(have("decision"), F.lit("")), F.lit("AUDIT_ONLY"))
+    stop = F.coalesce(F.nullif(have("stop_reason"), F.lit("")), F.when(have("relevance_tier") == "LOW", "semantic_low_audit_only").otherwise("target_posts_budget"))
+    values = {"media_id": F.col("shortcode"), "media_type": have("media_type"), "media_url": have("url"), "media_owner": have("owner")}
+    values |= {c: have(c, kinds.get(c, "string")) for c in CARRIED}
+    values["evidence_terms"] = F.coalesce(values["evidence_terms"], F.array().cast("array<string>"))
+    values |= {c: F.coalesce(have(c, "int"), F.lit(0)).cast("int") for c in CARRIED_COUNTS} | {c: F.lit(0) for c in ZERO_COUNTS}
+    values |= {c: F.lit(None).cast("int") for c in ("visible_comment_count", "remaining_expand_controls", "platform_comment_count")}
+    values |= {"audit_status": F.lit("PARTIAL"), "page_status": F.lit("not_collected"), "stop_reason": stop, "reason": F.lower(decision)}
+    values |= {"captured_at": F.lit(None).cast("string"), "collection_status": decision, "deliverable_eligible": F.coalesce(have("deliverable_eligible", "boolean"), F.lit(False))}
+    return left.select(*(v.alias(k) for k, v in values.items()))
 
 
 def reviewed(audits: DataFrame, review: DataFrame) -> DataFrame:
@@ -100,11 +121,17 @@ def finished(audits: DataFrame, delivery: DataFrame) -> DataFrame:
     return out.withColumn("collection_status", F.when(~F.col("deliverable_eligible") & (F.col("captured_rows") > 0), "EXCLUDED_FROM_DELIVERABLE").otherwise(F.col("collection_status")))
 
 
-def stop_reason(observed: Column, delivered: Column, target: int, soft: bool, automation: str | None = None, checkpoint: str | None = None) -> Column:
+def last_restriction(reports: DataFrame) -> DataFrame:
+    """One row: the page state of the last capture that was barred (null if none was)."""
+    barred = (F.col("audit_status") == "BLOCKED") | (F.col("page_status").isin(RESTRICTED) & (F.col("page_status") != "MEDIA_ID_MISMATCH"))
+    return reports.agg(F.max_by("page_status", F.when(barred, F.col("ord"))).alias("_checkpoint"))
+
+
+def stop_reason(observed: Column, delivered: Column, target: int, soft: bool, automation: str | None = None, checkpoint: Column | str | None = None) -> Column:
     """The run's stop reason from the set of observed ones."""
     first = F.coalesce(*(F.when(F.array_contains(observed, r), F.lit(r)) for r in STOP_PRIORITY), F.lit("captures_exhausted"))
-    fixed = automation if automation in ("rate_limited", "semantic_saturation") else checkpoint
-    base = F.lit(fixed) if fixed else first
+    kept = checkpoint if isinstance(checkpoint, Column) else F.lit(checkpoint).cast("string")
+    base = F.lit(automation) if automation in ("rate_limited", "semantic_saturation") else F.coalesce(F.nullif(kept, F.lit("")), first)
     return F.when((delivered >= target) & F.lit(bool(target) and not soft), "target_comments_reached").otherwise(base)
 
 
@@ -120,8 +147,8 @@ def quality_gate(mismatches: Column, medias: Column, passed: Column, invalid: Co
     return F.when(mismatches > 0, "FAIL").when((medias > 0) & (passed == medias) & (invalid == 0), "PASS").otherwise("WARNING")
 
 
-def manifest(rows: DataFrame, delivery: DataFrame, audits: DataFrame, counters: DataFrame, target: int = 0, soft: bool = False, automation: str | None = None, checkpoint: str | None = None) -> DataFrame:
-    """The one-row run manifest: one aggregate per input, joined as single rows."""
+def manifest(rows: DataFrame, delivery: DataFrame, audits: DataFrame, counters: DataFrame, target: int = 0, soft: bool = False, automation: str | None = None, checkpoint: DataFrame | str | None = None) -> DataFrame:
+    """The counts and states of a run in one row: one aggregate per input, joined as single rows."""
     when = lambda test: F.coalesce(F.sum(F.when(test, 1).otherwise(0)), F.lit(0))
     reply = F.col("parent_comment_id").isNotNull() | (F.col("depth") > 0)
     d = delivery.agg(F.count("*").alias("final_collected_count"), when(~reply).alias("main_comment_count"), when(reply).alias("reply_count"))
@@ -132,11 +159,46 @@ def manifest(rows: DataFrame, delivery: DataFrame, audits: DataFrame, counters:
         total("route_fallback_success_count").alias("route_fallback_success_count"), F.collect_set("stop_reason").alias("_stops"),
     )
     out = counters.crossJoin(rows.agg(F.count("*").alias("internal_raw_unique_count"))).crossJoin(d).crossJoin(a)  # single rows
+    out = out.crossJoin(checkpoint) if isinstance(checkpoint, DataFrame) else out.withColumn("_checkpoint", F.lit(checkpoint).cast("string"))
     n = F.col("final_collected_count")
-    out = out.withColumns({"deliverable_excluded_count": F.col("internal_raw_unique_count") - n, "candidate_media_count": F.col("media_count"), "Valid_Comment_Total": n, "stop_reason": stop_reason(F.col("_stops"), n, target, soft, automation, checkpoint), "target_reached": F.lit(bool(target)) & (n >= target)})
+    out = out.withColumns({"deliverable_excluded_count": F.col("internal_raw_unique_count") - n, "candidate_media_count": F.col("media_count"), "Valid_Comment_Total": n, "stop_reason": stop_reason(F.col("_stops"), n, target, soft, automation, F.col("_checkpoint")), "target_reached": F.lit(bool(target)) & (n >= target)})
     out = out.withColumns({"Workflow_Status": workflow_status(F.col("stop_reason")), "Coverage_Status": coverage_status(F.col("target_reached"), soft, F.col("stop_reason")), "target_shortfall_reason": F.when(~F.col("target_reached"), F.col("stop_reason"))})
     gate = quality_gate(F.col("shortcode_mismatch_count"), F.col("media_count"), F.col("pass_media_count"), F.col("invalid_row_count"))
-    return out.withColumn("quality_gate", gate).drop("_stops")
+    return out.withColumn("quality_gate", gate).drop("_stops", "_checkpoint")
+
+
+#: Pacing of a live run and its defaults, as the manifest names them (fixed values).
+PACING = {
+    "navigation_delay_min_seconds": 20.0, "navigation_delay_max_seconds": 35.0, "scroll_delay_min_seconds": 3.0, "scroll_delay_max_seconds": 6.0,
+    "post_batch_size": 5, "batch_rest_min_seconds": 120.0, "batch_rest_max_seconds": 300.0, "rate_limit_cooldown_level1_seconds": 3600,
+    "rate_limit_cooldown_level2_seconds": 14400, "rate_limit_cooldown_level3_seconds": 43200, "rate_limit_count": 0, "rate_limit_level": 0,
+}
+#: Access-control states that have no default (fixed values).
+ACCESS_STATES = ["cooldown_started_at", "cooldown_until", "cooldown_ended_at", "readonly_preflight_status", "readonly_preflight_at", "recovery_phase"]
+MANIFEST_TAG = "instagram_raw_manifest_v1"
+
+
+def access_columns(access: dict) -> dict[str, Column]:
+    """The access-control columns of a manifest from a checkpoint's section; absent values have their defaults."""
+    paced = {k: F.lit(access.get(k, v)).cast("double" if isinstance(v, float) else "int") for k, v in PACING.items()}
+    return paced | {k: F.lit(access.get(k)).cast("string") for k in ACCESS_STATES}
+
+
+def manifest_record(counts: DataFrame, asins: list[str], target: int = 0, soft: bool = False, smoke: bool = False, automation: dict | None = None) -> DataFrame:
+    """The whole manifest: manifest() with the run's settings and its access control."""
+    automation = automation or {}
+    goal = automation.get("collection_goal") or automation.get("settings", {}).get("collection_goal") or "target"
+    settings = {
+        "schema_version": F.lit(MANIFEST_TAG), "generated_at": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX"), "run_mode": F.lit("smoke" if smoke else "asin_research"),
+        "amazon_asins": F.array(*(F.lit(a) for a in asins)).cast("array<string>"), "standalone_media_records": F.lit(0), "target_comments": F.lit(target or None).cast("int"),
+        "collection_goal": F.lit(goal), "soft_target": F.lit(soft),
+    }
+    return counts.withColumns(settings | access_columns(automation.get("access_control") or {}))
+
+
+def patched(record: DataFrame, access: dict) -> DataFrame:
+    """A manifest with the access control of a later checkpoint; all else stays."""
+    return record.withColumns(access_columns(access))
 
 
 def gate_sheet(run: DataFrame, standalone: int, exported: int) -> DataFrame:

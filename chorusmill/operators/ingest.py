@@ -17,14 +17,20 @@ def _blank_null(value: Column) -> Column:
 
 
 def checked(captures: DataFrame) -> DataFrame:
-    """Adds ident, mismatch, accepted (all comments or none) and error (null for a valid capture)."""
+    """Adds ident, mismatch, accepted (all comments or none; a capture without comments has none) and error (null for a valid capture)."""
     ident = identity.media_identity(F.col("media.media_url"))
-    error = F.when(F.coalesce(F.col("schema_version") != CAPTURE_TAG, F.lit(True)), "schema_version").when(ident.isNull(), "media_url").when(F.col("comments").isNull(), "comments")
-    out = captures.withColumns({"ident": ident, "error": error})
+    error = F.when(F.coalesce(F.col("schema_version") != CAPTURE_TAG, F.lit(True)), "schema_version").when(ident.isNull(), "media_url")
+    out = captures.withColumns({"ident": ident, "error": error, "comments": F.coalesce("comments", F.array())})
     out = out.withColumn("mismatch", identity.mismatch_count(F.col("ident.media_id"), F.col("page"), F.col("comments")))
     return out.withColumn("accepted", F.when(F.col("mismatch") == 0, F.col("comments")).otherwise(F.slice("comments", 1, 0)))
 
 
+def strict(captures: DataFrame) -> DataFrame:
+    """The checked captures as they are; the first invalid one fails the query."""
+    told = F.concat(F.lit("invalid capture: "), F.col("error"))
+    return captures.withColumn("error", F.when(F.col("error").isNotNull(), F.raise_error(told)).otherwise(F.col("error"))).where("error IS NULL")
+
+
 def valid(captures: DataFrame) -> DataFrame:
     return captures.where("error IS NULL")
 
@@ -79,31 +85,35 @@ def technical_key() -> Column:
     )
 
 
-def ordered_union(pairs: Column) -> Column:
-    """Distinct values of array<struct<ord, pos, v>> in their order."""
-    return F.array_distinct(F.filter(F.transform(F.array_sort(pairs), lambda p: p["v"]), lambda v: v.isNotNull()))
+def key_digest() -> Column:
+    """The technical key as one short string: the id, or a digest of media, author and text."""
+    exact = F.sha2(F.to_json(F.struct("media_id", "author", "comment_text")), 256)
+    return F.when(F.col("comment_id").isNotNull(), F.concat(F.lit("id:"), F.col("comment_id"))).otherwise(F.concat(F.lit("exact:"), exact))
 
 
 def dedupe(rows: DataFrame) -> DataFrame:
-    """First row of each technical key, with the union of ASINs and, of later rows, the scalar query appended.
+    """First row of each technical key by (ord, pos), with the union of ASINs and the scalar queries of all its rows in order.
 
-    One aggregation: the first row by a minimum over (ord, pos), provenance by distinct values, so a key with
-    very many copies is combined before the shuffle and never held as a list of its rows.
+    Rows are combined per key and query first, so a key with very many copies reaches the second aggregation as one
+    row per distinct query, whatever the skew; no list is longer than a key's distinct queries or ASIN sets.
     """
-    provenance = rows.select(technical_key().alias("key"), "ord", "pos", F.explode_outer("amazon_asins").alias("asin"), "matched_query")
-    asins = provenance.groupBy("key").agg(F.array_sort(F.collect_set("asin")).alias("asins"))
-    queries = rows.select(technical_key().alias("key"), "ord", "pos", F.col("matched_query").alias("v")).where("v IS NOT NULL")
-    queries = queries.groupBy("key", "v").agg(F.min(F.struct("ord", "pos")).alias("at"))
-    queries = queries.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias("later"))
-    first = rows.groupBy(technical_key().alias("key")).agg(F.min_by(F.struct(*[c for c in rows.columns]), F.struct("ord", "pos")).alias("r"))
-    out = first.join(asins, "key", "left").join(queries, "key", "left").select("r.*", "asins", "later")
-    merged = F.array_distinct(F.concat("matched_queries", F.coalesce("later", F.array().cast("array<string>"))))
-    return out.withColumns({"amazon_asins": F.coalesce("asins", "amazon_asins"), "matched_queries": merged}).drop("asins", "later")
+    at = F.struct("ord", "pos")
+    per_query = rows.groupBy(key_digest().alias("_key"), F.col("matched_query").alias("_query")).agg(
+        F.min(at).alias("_at"), F.min_by(F.struct(*rows.columns), at).alias("_row"), F.array_distinct(F.flatten(F.collect_set("amazon_asins"))).alias("_asins")
+    )
+    merged = per_query.groupBy("_key").agg(
+        F.min_by("_row", "_at").alias("_row"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("_asins")))).alias("_asins"),
+        F.array_sort(F.collect_list(F.when(F.col("_query").isNotNull(), F.struct("_at", "_query")))).alias("_asked"),
+    )
+    out = merged.select("_row.*", "_asins", "_asked")
+    queries = F.array_distinct(F.concat(F.coalesce("matched_queries", F.array().cast("array<string>")), F.transform("_asked", lambda q: q["_query"])))
+    return out.withColumns({"amazon_asins": F.col("_asins"), "matched_queries": queries}).select(*rows.columns)
 
 
 def counters(rows: DataFrame) -> DataFrame:
     """raw_captured_count (before the validity check), invalid_row_count, technical_duplicate_count in one pass."""
-    flagged = rows.select(is_valid_row().alias("ok"), technical_key().alias("key"))
+    flagged = rows.select(is_valid_row().alias("ok"), key_digest().alias("key"))
     by_key = flagged.groupBy("ok", "key").agg(F.count("*").alias("n"))
     kept = F.when(F.col("ok"), 1).otherwise(0)
     return by_key.agg(
@@ -113,12 +123,21 @@ def counters(rows: DataFrame) -> DataFrame:
     )
 
 
+def prefix_end(counts: DataFrame, order: str, n: str, target: int) -> DataFrame:
+    """One row: the least `order` value at which the running sum of n reaches target, null if it never does.
+
+    Every value counted adds at least 1, so the first `target` values decide, and no more than those are ever in one place.
+    """
+    first = counts.where(F.col(n) > 0).orderBy(order).limit(max(1, target))
+    reached = first.withColumn("_sum", F.sum(n).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    return reached.where(F.col("_sum") >= target).agg(F.min(order).alias("_end"))
+
+
 def target_prefix(rows: DataFrame, target: int) -> DataFrame:
     """Rows of the captures up to and including the one whose new unique rows reach the target."""
-    fresh = rows.where(is_valid_row()).groupBy(technical_key().alias("key")).agg(F.min("ord").alias("ord")).groupBy("ord").agg(F.count("*").alias("n"))
-    per = rows.select("ord").distinct().join(fresh, "ord", "left").select("ord", F.coalesce("n", F.lit(0)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(per.withColumn("before", before).where(F.col("before") < target).select("ord"), "ord", "left_semi")
+    fresh = rows.where(is_valid_row()).groupBy(key_digest().alias("key")).agg(F.min("ord").alias("ord")).groupBy("ord").agg(F.count("*").alias("n"))
+    kept = rows.crossJoin(prefix_end(fresh, "ord", "n", target))  # one row on that side
+    return kept.where(F.col("_end").isNull() | (F.col("ord") <= F.col("_end"))).drop("_end")
 
 
 def unseen(captures: DataFrame, processed: DataFrame) -> DataFrame:
@@ -134,6 +153,7 @@ def delivered(rows: DataFrame, eligibility: DataFrame) -> DataFrame:
 
 
 def lineage(rows: DataFrame) -> DataFrame:
-    """Rows with parent_author where the parent is a row of the same media."""
-    parents = rows.select("media_id", F.col("comment_id").alias("parent_comment_id"), F.col("author").alias("parent_author"))
+    """Rows with parent_author where the parent is a row of the same media; of rows that share an id the first is the parent."""
+    named = rows.where("comment_id IS NOT NULL").groupBy("media_id", F.col("comment_id").alias("parent_comment_id"))
+    parents = named.agg(F.min_by("author", F.struct("ord", "pos")).alias("parent_author"))
     return rows.join(parents, ["media_id", "parent_comment_id"], "left")

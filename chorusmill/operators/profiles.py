@@ -12,9 +12,11 @@ FUNCTIONS = ["joint mobility", "joint health", "pain relief", "skin care", "oral
 SCENARIOS = ["senior dog", "large breed dog", "daily use", "post surgery", "small to medium dogs", "wet or dry dog food", "daily mealtime"]
 PAINS = ["stiffness", "arthritis", "limping", "struggling to get up", "side effects", "eating too fast", "fast eating", "gulping food"]
 INGREDIENTS = ["glucosamine", "chondroitin", "MSM", "omega 3", "food-safe", "BPA-free"]
-GENERIC = (
-    "joint mobility health support supplement supplements product products senior adult dogs dog cats cat with plus advanced formula daily care medium capacity feeder bowl slow feeding small notch pattern"
-).split()
+GENERIC = [
+    "joint", "mobility", "health", "support", "supplement", "supplements", "product", "products", "senior", "adult", "dogs", "dog",
+    "cats", "cat", "with", "plus", "advanced", "formula", "daily", "care", "medium", "capacity", "feeder", "bowl", "slow", "feeding",
+    "small", "notch", "pattern",
+]
 PHRASES = ["Fun Feeder Slo Bowl", "Outward Hound Fun Feeder", "Cosequin", "Dasuquin"]
 CAPTION_PHRASES = ["slow feeding", "eat fast", "eating too fast", "longer mealtime", "improve digestion", "mental stimulation", "puzzle enrichment", "wet food", "dry food", "small snout", "gobbles"]
 
@@ -24,24 +26,29 @@ def _strings(values: list[str]) -> Column:
     return F.array(*(F.lit(v) for v in values))
 
 
-def _list(column: str) -> Column:
-    return F.coalesce(F.col(column), F.array().cast("array<string>"))
-
-
 def _known(corpus: Column, phrases: list[str], by_word: bool = True) -> Column:
     """Phrases the corpus holds, or (by_word) all of whose words it holds."""
 
-    def has(p: Column) -> Column:
-        whole = F.contains(corpus, F.lower(p))
-        return whole | F.forall(F.split(p, " "), lambda w: F.contains(corpus, w)) if by_word else whole
+    def has(p: str) -> Column:
+        whole = F.contains(corpus, F.lit(p.lower()))
+        every = F.lit(by_word)
+        for w in p.split(" "):
+            every = every & F.contains(corpus, F.lit(w))
+        return whole | every
 
-    return F.filter(_strings(phrases), has)
+    return F.array_compact(F.array(*(F.when(has(p), F.lit(p)) for p in phrases)))
 
 
 def build_profiles(products: DataFrame) -> DataFrame:
     """Profiles of product facts (schemas.PRODUCT columns)."""
     title = F.coalesce(F.nullif("title", F.lit("")), F.col("product_title"), F.lit(""))
-    base = products.withColumns({"_title": title, "_bullets": clean(_list("bullets"))})
+
+    def given_list(*names: str) -> Column:
+        """The first of the columns that is there and not empty."""
+        lists = [F.when(F.size(n) > 0, F.col(n)) for n in names if n in products.columns]
+        return F.coalesce(*lists, F.array().cast("array<string>"))
+
+    base = products.withColumns({"_title": title, "_bullets": clean(given_list("bullets", "core_attributes"))})
     base = base.withColumn("_corpus", F.lower(F.array_join(F.concat(F.array("_title"), "_bullets"), " ")))
     first_word = F.filter(F.split(F.trim("_title"), r"\s+"), lambda w: w != "")
     brand = F.coalesce(F.nullif("brand", F.lit("")), F.try_element_at(first_word, F.lit(1)))
@@ -56,14 +63,14 @@ def build_profiles(products: DataFrame) -> DataFrame:
     brand_words = words(F.col("_brand"))
     own = F.filter(tokens, lambda t: (F.length(t) >= 5) & ~F.array_contains(brand_words, F.lower(t)) & ~F.lower(t).isin(GENERIC))
     base = base.withColumns({
-        "core_functions": clean(F.concat(_list("functions"), _known(corpus, FUNCTIONS))), "_scenarios": clean(F.concat(_list("use_scenarios"), _known(corpus, SCENARIOS))),
-        "_pains": clean(F.concat(_list("pain_points"), _known(corpus, PAINS))), "_ingredients": clean(F.concat(_list("ingredients"), _known(corpus, INGREDIENTS, by_word=False))),
-        "product_aliases": F.slice(clean(F.concat(_list("aliases"), _known(corpus, PHRASES, by_word=False), own)), 1, 5),
+        "core_functions": clean(F.concat(given_list("functions", "primary_functions"), _known(corpus, FUNCTIONS))), "_scenarios": clean(F.concat(given_list("use_scenarios", "use_cases"), _known(corpus, SCENARIOS))),
+        "_pains": clean(F.concat(given_list("pain_points", "problems"), _known(corpus, PAINS))), "_ingredients": clean(F.concat(given_list("ingredients", "ingredients_or_components"), _known(corpus, INGREDIENTS, by_word=False))),
+        "product_aliases": F.slice(clean(F.concat(given_list("aliases", "common_names"), _known(corpus, PHRASES, by_word=False), own)), 1, 5),
     })
     keywords = clean(F.concat(F.array("_brand", "_name", "_category"), "core_functions", "_scenarios", "_pains", "_ingredients", F.slice(words(F.col("_title")), 1, 10)))
     return base.select(
         "asin", F.col("_brand").alias("brand"), F.col("_name").alias("product_name"), F.col("_category").alias("category"), "product_aliases", "core_functions",
-        F.col("_scenarios").alias("use_scenarios"), F.col("_pains").alias("pain_points"), F.col("_ingredients").alias("ingredients"), clean(_list("competitors")).alias("competitors"),
+        F.col("_scenarios").alias("use_scenarios"), F.col("_pains").alias("pain_points"), F.col("_ingredients").alias("ingredients"), clean(given_list("competitors", "competitor_products")).alias("competitors"),
         keywords.alias("keywords"), F.coalesce(F.nullif("source_status", F.lit("")), F.when(F.col("_title") != "", "available").otherwise("asin_only")).alias("source_status"),
         F.coalesce(F.nullif("source_url", F.lit("")), F.concat(F.lit("https://www.amazon.com/dp/"), "asin")).alias("source_url"),
     )
@@ -138,8 +145,10 @@ def evidence_queries(profiles: DataFrame, media: DataFrame, comments: DataFrame,
     p = profiles.select("profile_ord", "asin", anchor.alias("anchor"), own.alias("tokens"))
     good = media.where(F.col("relevance_tier").isin("HIGH", "MEDIUM") & F.col("deliverable_eligible"))
     asins = F.coalesce("matched_asins", F.array().cast("array<string>"))
-    # media without ASINs go with every profile; profiles are few (one row per product), so that side is checked and broadcast by the planner
-    pairs = good.where(F.size(asins) > 0).select("*", F.explode(F.array_distinct(asins)).alias("asin")).join(p, "asin").drop("matched_asins").unionByName(good.where(F.size(asins) == 0).drop("matched_asins").withColumn("_all", F.lit(1)).join(p.withColumn("_all", F.lit(1)), "_all").drop("_all"))
+    # media without ASINs go with every profile: the profiles come along as one row, an array of a run's products
+    every = p.agg(F.collect_list(F.struct(*p.columns)).alias("_p"))
+    alone = good.where(F.size(asins) == 0).drop("matched_asins").crossJoin(every).withColumn("_p", F.explode("_p")).select("*", "_p.*").drop("_p")  # one row on that side
+    pairs = good.where(F.size(asins) > 0).select("*", F.explode(F.array_distinct(asins)).alias("asin")).drop("matched_asins").join(p, "asin").unionByName(alone)
     caption = F.lower(F.coalesce("caption", F.lit("")))
     phrases = F.filter(_strings(CAPTION_PHRASES), lambda t: F.contains(caption, t))
     tags = F.filter(F.coalesce("hashtags", F.array().cast("array<string>")), lambda t: F.exists("tokens", lambda k: F.contains(F.regexp_replace(F.lower(t), "[^a-z0-9]+", ""), k)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import UI_LABELS, clean, compact, contains_terms, words
+from ..functions.text import UI_LABELS, clean, compact, distinct_folded, found_terms, words
 
 MODEL_VERSION = "grouped-semantic-gate-v2"
 # Group weights, phrases too generic for an alias, and the conflict vocabularies.
@@ -75,7 +75,7 @@ def _verdict(f: Column) -> Column:
 
 
 def score_media(media: DataFrame, profiles: DataFrame) -> DataFrame:
-    """media (with `evidence`) and its best profile's verdict. The earliest profile of the highest score wins, by score, not tier.
+    """media (with `evidence`) and its best profile's verdict. A later profile wins if its score exceeds the best one rounded.
 
     The profiles are one row: an array in profile order, one entry per product of a run. The media side is never
     shuffled. Each step is a column of its own, so a text is folded once and a term looked up once.
@@ -84,8 +84,11 @@ def score_media(media: DataFrame, profiles: DataFrame) -> DataFrame:
     entries = F.transform(F.map_entries("evidence"), lambda e: F.struct(e["key"].alias("source"), F.lower(e["value"]).alias("low"), compact(e["value"]).alias("packed")))
     folded = media.withColumn("_e", entries).withColumn("_page", F.array_join(F.transform("_e", lambda e: e["low"]), " "))
     page = F.col("_page")
-    folded = folded.withColumns({"_species": page.rlike(OTHER_SPECIES) & ~page.rlike(DOGS), "_product": page.rlike(OTHER_PRODUCTS) & ~page.rlike(FEEDING)}).drop("_page")
     scored = folded.crossJoin(packed)  # one row on that side
+    # a page is searched for other species and products only where some profile asks for it
+    asked = lambda flag: F.exists("_profiles", lambda p: p[flag])
+    searched = {"_species": asked("dog") & page.rlike(OTHER_SPECIES) & ~page.rlike(DOGS), "_product": asked("feeder") & page.rlike(OTHER_PRODUCTS) & ~page.rlike(FEEDING)}
+    scored = scored.withColumns(searched).drop("_page")
 
     def holds(t: Column):
         return lambda e: (t["low"] != "") & (F.contains(e["low"], t["low"]) | ((F.length(t["packed"]) >= 6) & F.contains(e["packed"], t["packed"])))
@@ -104,7 +107,9 @@ def score_media(media: DataFrame, profiles: DataFrame) -> DataFrame:
         return F.struct(*group, F.exists(h, lambda x: (x["g"] == 0) & x["brand"]).alias("brand"), F.exists(h, lambda x: (x["g"] == 0) & x["alias"]).alias("alias"), conflict.alias("conflict"))
 
     scored = scored.withColumn("_flags", F.zip_with("_profiles", "_hits", flags)).withColumn("_verdicts", F.transform("_flags", _verdict))
-    top = F.aggregate(F.transform("_verdicts", lambda v, i: F.struct(v["score"].alias("score"), i.alias("at"))), F.struct(F.lit(-1.0).alias("score"), F.lit(-1).alias("at")), lambda b, s: F.when(s["score"] > b["score"], s).otherwise(b))
+    # the best score is kept rounded, so an equal later profile whose sum lies above its own rounding replaces it
+    better = lambda b, s: F.when(s["score"] > b["score"], F.struct(F.round(s["score"], 3).alias("score"), s["at"].alias("at"))).otherwise(b)
+    top = F.aggregate(F.transform("_verdicts", lambda v, i: F.struct(v["score"].alias("score"), i.alias("at"))), F.struct(F.lit(-1.0).alias("score"), F.lit(-1).alias("at")), better)
     scored = scored.withColumn("_at", top["at"])
     at = F.col("_at")
     scored = scored.withColumns({"_v": F.when(at >= 0, F.get("_verdicts", at)), "_h": F.when(at >= 0, F.get("_hits", at)).otherwise(F.slice(F.coalesce(F.get("_hits", F.lit(0)), F.array()), 1, 0))})
@@ -138,12 +143,21 @@ def semantic_terms(profiles: DataFrame) -> DataFrame:
     return rows.select(part("d").alias("direct"), part("m").alias("medium"))
 
 
-def comment_label(text: Column, direct: Column, medium: Column) -> Column:
-    """HIGH for direct terms, MEDIUM for context terms, else LOW; a label, never a filter."""
-    d, m = contains_terms(text, direct), contains_terms(text, medium)
+def labelled(rows: DataFrame, text: str, direct: list[str], medium: list[str], into: str = "semantic") -> DataFrame:
+    """rows with a label of a text column: HIGH for direct terms, MEDIUM for context terms, else LOW; never a filter.
+
+    The terms are constants (of a run's profiles: semantic_terms), so each is a plain test on the text folded once.
+    """
+    found = {"_direct": (direct, "_folded"), "_medium": (medium, "_folded")}
+    folded = rows.withColumn("_folded", F.lower(F.coalesce(F.col(text), F.lit(""))))
+    folded = folded.withColumns({name: found_terms(F.col(c), terms) for name, (terms, c) in found.items()})
+    d, m = F.col("_direct"), F.col("_medium")
     tier = F.when(F.size(d) > 0, "HIGH").when(F.size(m) > 0, "MEDIUM").otherwise("LOW")
-    score = F.when(F.size(d) > 0, F.least(F.lit(1.0), F.lit(0.72) + F.lit(0.06) * F.size(d))).when(F.size(m) > 0, F.least(F.lit(0.79), F.lit(0.46) + F.lit(0.08) * F.size(m))).otherwise(F.lit(0.0))
-    return F.struct(tier.alias("tier"), F.round(score, 3).alias("score"), clean(F.concat(d, m)).alias("evidence_terms"), F.lit("comment semantic label; never a delivery filter").alias("reason"))
+    high, some = F.least(F.lit(1.0), F.lit(0.72) + F.lit(0.06) * F.size(d)), F.least(F.lit(0.79), F.lit(0.46) + F.lit(0.08) * F.size(m))
+    score = F.round(F.when(F.size(d) > 0, high).when(F.size(m) > 0, some).otherwise(F.lit(0.0)), 3)
+    reason = F.lit("comment semantic label; never a delivery filter")
+    label = F.struct(tier.alias("tier"), score.alias("score"), distinct_folded(F.concat(d, m)).alias("evidence_terms"), reason.alias("reason"))
+    return folded.withColumn(into, label).drop("_folded", "_direct", "_medium")
 
 
 def ranked(candidates: DataFrame) -> DataFrame:

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ingest import prefix_end
+
 # Cooldown seconds by level, kept events and delays, empty rounds that saturate.
 COOLDOWN = (3600, 14400, 43200)
 KEPT_EVENTS, KEPT_DELAYS = 250, 100
 SATURATED = 2
+MAXIMIZE = "maximize_relevant_comments"
 
 
 def streaks(rounds: DataFrame, by: list[str], order: list[str], growth: Column) -> DataFrame:
@@ -132,9 +135,8 @@ def residual_label(decision: Column, status: Column, tier: Column, delivered: Co
 def query_prefix(found: DataFrame, order: str, limit: int) -> DataFrame:
     """Queries run until the distinct candidates found before reach the limit. found: one row per (order, shortcode)."""
     fresh = found.groupBy("shortcode").agg(F.min(order).alias(order)).groupBy(order).agg(F.count("*").alias("n"))
-    per = found.select(order).distinct().join(fresh, order, "left")
-    before = F.coalesce(F.sum(F.coalesce("n", F.lit(0))).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return per.withColumn("before", before).where(F.col("before") < limit).select(order)
+    end = prefix_end(fresh, order, "n", limit)
+    return found.select(order).distinct().crossJoin(end).where(F.col("_end").isNull() | (F.col(order) <= F.col("_end"))).select(order)  # one row on that side
 
 
 def priority_done(priority: Column, attempted: Column) -> Column:
@@ -143,4 +145,4 @@ def priority_done(priority: Column, attempted: Column) -> Column:
 
 def soft_target(goal: Column, explicit: Column) -> Column:
     """A maximising goal treats its target as soft."""
-    return (goal == "maximize") | F.coalesce(explicit, F.lit(False))
+    return F.coalesce(goal == MAXIMIZE, F.lit(False)) | F.coalesce(explicit, F.lit(False))

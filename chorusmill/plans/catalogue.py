@@ -7,53 +7,51 @@ are action logs, orders and lineitem are volume. Results are scalars only.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import identity, text
-from ..operators import audit, ingest, merge, profiles, relevance, state
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from ..operators import audit, ingest, merge, profiles, relevance, run, state
+from . import captures
+from .registry import ORACLE_SQL, QUERIES, query
+from .registry import table as _t
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
 
-    return add
+def _q(values: list[str]) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
 
-def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+# ---- dedupe, provenance, delivery -------------------------------------------------------------
 
 
-def _q(values: list[str]) -> str:
-    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+def _document_rows(spark, d) -> DataFrame:
+    """Documents as comment rows: some with an id that several share, some without author or text, ord = doc_id."""
+    k = F.col("doc_id")
+    return _t(spark, d, "documents").select(
+        k.alias("ord"), F.lit(0).alias("pos"), F.col("lang").alias("media_id"), F.when(k % 4 == 0, F.concat(F.lit("d"), (k % 48).cast("string"))).alias("comment_id"), F.when(k % 9 != 0, F.col("source")).alias("author"),
+        F.when(k % 14 != 1, F.col("text")).alias("comment_text"), F.array("source").alias("amazon_asins"), F.when(k % 5 != 0, F.concat(F.lit("q"), (k % 7).cast("string"))).alias("matched_query"), F.lit(None).cast("array<string>").alias("matched_queries"),
+    )
 
 
-# ---- dedupe, provenance, delivery -------------------------------------------------------------
+DOCUMENT_ROWS = """WITH d AS (SELECT doc_id, source, CASE WHEN doc_id % 5 <> 0 THEN 'q' || (doc_id % 7) END AS q, lang AS media, CASE WHEN doc_id % 4 = 0 THEN 'd' || (doc_id % 48) END AS id, CASE WHEN doc_id % 9 <> 0 THEN source END AS author, CASE WHEN doc_id % 14 <> 1 THEN text END AS body FROM documents),
+k AS (SELECT *, id IS NOT NULL OR (author IS NOT NULL AND coalesce(body, '') <> '') AS ok, row(id, CASE WHEN id IS NULL THEN media END, CASE WHEN id IS NULL THEN author END, CASE WHEN id IS NULL THEN body END) AS key FROM d)
+"""
 
 
-@query("""
-SELECT sum(n) AS raw_rows, count(*) AS unique_rows, sum(n) - count(*) AS duplicate_rows
-FROM (SELECT lang, source, text, count(*) AS n FROM documents GROUP BY ALL)""")
+@query(DOCUMENT_ROWS + "SELECT count(*) AS raw_rows, count(*) FILTER (WHERE NOT ok) AS invalid_rows, count(*) FILTER (WHERE ok) - count(DISTINCT key) FILTER (WHERE ok) AS duplicate_rows FROM k")
 def tech_dedupe_counts(spark, d):
-    by_key = _t(spark, d, "documents").groupBy("lang", "source", "text").agg(F.count("*").alias("n"))
-    return by_key.agg(F.sum("n").alias("raw_rows"), F.count("*").alias("unique_rows"), (F.sum("n") - F.count("*")).alias("duplicate_rows"))
+    c = ingest.counters(_document_rows(spark, d))
+    return c.select(F.col("raw_captured_count").alias("raw_rows"), F.col("invalid_row_count").alias("invalid_rows"), F.col("technical_duplicate_count").alias("duplicate_rows"))
 
 
-@query("""
-SELECT md5(text) AS text_md5, min(doc_id) AS first_doc, string_agg(DISTINCT source, '|' ORDER BY source) AS sources, count(*) AS copies
-FROM documents GROUP BY text HAVING count(*) > 1""")
+@query(DOCUMENT_ROWS + """, qs AS (SELECT key, q, min(doc_id) AS first FROM k WHERE ok AND q IS NOT NULL GROUP BY 1, 2), ql AS (SELECT key, string_agg(q, '|' ORDER BY first) AS queries FROM qs GROUP BY 1)
+SELECT min(doc_id) AS first_doc, arg_min(md5(coalesce(body, '')), doc_id) AS text_md5, string_agg(DISTINCT source, '|' ORDER BY source) AS sources, any_value(coalesce(queries, '')) AS queries FROM k LEFT JOIN ql USING (key) WHERE ok GROUP BY key""")
 def dedupe_provenance_merge(spark, d):
-    g = _t(spark, d, "documents").groupBy("text").agg(F.min("doc_id").alias("first_doc"), F.array_join(F.array_sort(F.collect_set("source")), "|").alias("sources"), F.count("*").alias("copies"))
-    return g.where("copies > 1").select(F.md5(F.col("text").cast("binary")).alias("text_md5"), "first_doc", "sources", "copies")
+    u = ingest.dedupe(_document_rows(spark, d).where(ingest.is_valid_row()))
+    body = F.md5(F.coalesce("comment_text", F.lit("")).cast("binary"))
+    return u.select(F.col("ord").alias("first_doc"), body.alias("text_md5"), F.array_join("amazon_asins", "|").alias("sources"), F.array_join("matched_queries", "|").alias("queries"))
 
 
 @query("""
@@ -82,12 +80,12 @@ threads AS (SELECT conv_id, conv_id::VARCHAR AS media_id, conv_id || ':' || turn
 """
 
 
-@query(THREADS + """
-SELECT media_id, count(*) AS captured_rows, count(*) FILTER (WHERE trim(coalesce(text, '')) <> '') AS text_rows,
-  count(*) FILTER (WHERE parent_id IS NULL) AS main_rows, count(*) FILTER (WHERE parent_id IS NOT NULL) AS reply_rows FROM threads GROUP BY media_id""")
+@query(captures.CAPTURES + """ SELECT code AS media_id, sum(rows_)::BIGINT AS captured_rows, sum(texts)::BIGINT AS text_rows, sum(rows_ - replies)::BIGINT AS main_rows, sum(replies)::BIGINT AS reply_rows, arg_max(audit, c) AS last_status FROM aud GROUP BY 1""")
 def media_audit_counts(spark, d):
-    reply = F.col("parent_comment_id").isNotNull() | (F.col("depth") > 0)
-    return _thread_rows(spark, d).groupBy("media_id").agg(F.count("*").alias("captured_rows"), F.count_if(F.trim(F.coalesce("comment_text", F.lit(""))) != "").alias("text_rows"), F.count_if(~reply).alias("main_rows"), F.count_if(reply).alias("reply_rows"))
+    r = audit.capture_reports(ingest.valid(ingest.checked(captures.captures(spark, d))))
+    sums = {"captured_rows": "captured_rows", "text_rows": "text_rows", "main_rows": "main_comment_rows", "reply_rows": "reply_rows"}
+    counts = r.groupBy("media_id").agg(*(F.sum(c).alias(n) for n, c in sums.items()))
+    return counts.join(audit.latest_audits(r).select("media_id", F.col("audit_status").alias("last_status")), "media_id")
 
 
 @query(THREADS + """
@@ -98,29 +96,16 @@ def reply_lineage(spark, d):
     return rows.groupBy(F.coalesce("parent_author", F.lit("none")).alias("parent_author"), "author").agg(F.count("*").alias("n"))
 
 
-@query(THREADS + """,
-uniq AS (SELECT DISTINCT ON (comment_id) * FROM threads ORDER BY comment_id, conv_id, turn),
-elig AS (SELECT doc_id::VARCHAR AS media_id, min(toxic) = 0 AND max(toxic) = 0 AS ok FROM labels GROUP BY 1),
-del AS (SELECT u.* FROM uniq u LEFT JOIN elig e USING (media_id) WHERE coalesce(e.ok, true)),
-aud AS (SELECT media_id, count(*) AS n, count(*) FILTER (WHERE trim(coalesce(text, '')) <> '') AS texts FROM uniq GROUP BY media_id),
-st AS (SELECT *, CASE WHEN n = 0 THEN 'BLOCKED' WHEN texts = n AND n % 2 = 0 THEN 'PASS' ELSE 'PARTIAL' END AS status FROM aud)
-SELECT (SELECT count(*) FROM threads) AS raw_rows, (SELECT count(*) FROM uniq) AS unique_rows, (SELECT count(*) FROM del) AS delivered_rows,
-  (SELECT count(*) FROM del WHERE parent_id IS NOT NULL) AS replies, count(*) AS media_count, count(*) FILTER (WHERE status = 'PASS') AS pass_count, count(*) FILTER (WHERE status = 'PARTIAL') AS partial_count,
-  CASE WHEN count(*) > 0 AND bool_and(status = 'PASS') THEN 'PASS' ELSE 'WARNING' END AS quality_gate FROM st""")
+@query(captures.CAPTURES + captures.KEYED + """, fin AS (SELECT DISTINCT ON (code) *, mismatch + found_wrong AS wrong FROM aud ORDER BY code, c DESC)
+SELECT (SELECT count(*) FROM rws) AS raw_rows, (SELECT count(*) FROM uniq) AS unique_rows, (SELECT count(*) FROM rws WHERE NOT ok) AS invalid_rows, (SELECT count(*) FROM uniq WHERE parent IS NOT NULL OR t % 7 = 6) AS replies, count(*) AS media_count,
+ count(*) FILTER (WHERE audit = 'PASS') AS pass_count, count(*) FILTER (WHERE audit = 'PARTIAL') AS partial_count, sum(wrong)::BIGINT AS mismatches,
+ CASE WHEN sum(wrong) > 0 THEN 'FAIL' WHEN count(*) > 0 AND bool_and(audit = 'PASS') AND (SELECT count(*) FROM rws WHERE NOT ok) = 0 THEN 'PASS' ELSE 'WARNING' END AS quality_gate FROM fin""")
 def quality_gate(spark, d):
-    rows = _thread_rows(spark, d)
-    rows = rows.withColumns({"amazon_asins": F.array().cast("array<string>"), "matched_query": F.lit(None).cast("string"), "matched_queries": F.array().cast("array<string>")})
-    unique = ingest.dedupe(rows)
-    listed = _t(spark, d, "labels").groupBy(F.col("doc_id").cast("string").alias("media_id")).agg((F.max("toxic") == 0).alias("eligible"))
-    delivery = ingest.delivered(unique, listed)
-    media = unique.groupBy("media_id").agg(F.count("*").alias("n"), F.count_if(F.trim(F.coalesce("comment_text", F.lit(""))) != "").alias("texts"))
-    # a complete thread has an even number of turns; others have something left to expand
-    left = F.when((F.col("texts") == F.col("n")) & (F.col("n") % 2 == 0), 0).otherwise(1)
-    status = audit.audit_status(F.lit("ready"), F.lit("complete"), left, F.col("n"), F.col("n"))
-    a = media.withColumn("status", status).agg(F.count("*").alias("media_count"), F.count_if(F.col("status") == "PASS").alias("pass_count"), F.count_if(F.col("status") == "PARTIAL").alias("partial_count"))
-    counts = rows.agg(F.count("*").alias("raw_rows")).crossJoin(unique.agg(F.count("*").alias("unique_rows")))
-    counts = counts.crossJoin(delivery.agg(F.count("*").alias("delivered_rows"), F.count_if(F.col("parent_comment_id").isNotNull()).alias("replies"))).crossJoin(a)  # single rows
-    return counts.withColumn("quality_gate", audit.quality_gate(F.lit(0), F.col("media_count"), F.col("pass_count"), F.lit(0)))
+    m = run.ingest_run(ingest.checked(captures.captures(spark, d))).manifest
+    return m.select(
+        F.col("raw_captured_count").alias("raw_rows"), F.col("internal_raw_unique_count").alias("unique_rows"), F.col("invalid_row_count").alias("invalid_rows"), F.col("reply_count").alias("replies"), "media_count",
+        F.col("pass_media_count").alias("pass_count"), F.col("partial_media_count").alias("partial_count"), F.col("shortcode_mismatch_count").alias("mismatches"), "quality_gate",
+    )
 
 
 # ---- addresses --------------------------------------------------------------------------------
@@ -231,19 +216,21 @@ def relevance_tiers(spark, d):
 
 
 _ARGMAX = f"WITH t AS ({_DOC_TEXT}), h AS (SELECT *, {', '.join(_score_sql(p, k) for k, p in enumerate(PROFILES))} FROM t), s AS (SELECT doc_id, {', '.join(f'{_ladder_sql(k)[0]} AS t{k}, {_ladder_sql(k)[1]} AS s{k}' for k in range(3))} FROM h)"
-_BEST = "CASE WHEN s0 >= s1 AND s0 >= s2 THEN {0}0 WHEN s1 >= s2 THEN {0}1 ELSE {0}2 END"
+# the best score so far is kept rounded, so a later one above that rounding replaces it
+_ARGMAX += ", f AS (SELECT *, s1 > round(s0, 3) AS w1 FROM s), g AS (SELECT *, s2 > round(CASE WHEN w1 THEN s1 ELSE s0 END, 3) AS w2 FROM f)"
+_BEST = "CASE WHEN w2 THEN {0}2 WHEN w1 THEN {0}1 ELSE {0}0 END"
 
 
-@query(f"{_ARGMAX} SELECT {_BEST.format('t')} AS tier, round({_BEST.format('s')}, 3) AS score, count(*) AS n FROM s GROUP BY 1, 2")
+@query(f"{_ARGMAX} SELECT {_BEST.format('t')} AS tier, round({_BEST.format('s')}, 3) AS score, count(*) AS n FROM g GROUP BY 1, 2")
 def relevance_argmax(spark, d):
     s = relevance.score_media(_evidence_documents(spark, d), _profiles(spark))
     return s.groupBy(F.col("relevance_tier").alias("tier"), F.col("relevance_score").alias("score")).agg(F.count("*").alias("n"))
 
 
-@query(f"{_ARGMAX} SELECT CASE WHEN {_BEST.format('t')} IN ('HIGH', 'MEDIUM') THEN 'COLLECT' ELSE 'AUDIT_ONLY' END AS decision, doc_id FROM s ORDER BY CASE {_BEST.format('t')} WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 ELSE 2 END, round({_BEST.format('s')}, 3) DESC, doc_id LIMIT 30")
+@query(f"{_ARGMAX} SELECT CASE WHEN {_BEST.format('t')} IN ('HIGH', 'MEDIUM') THEN 'COLLECT' ELSE 'AUDIT_ONLY' END AS decision, doc_id FROM g ORDER BY CASE {_BEST.format('t')} WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 ELSE 2 END, round({_BEST.format('s')}, 3) DESC, doc_id LIMIT 30")
 def topk_candidates(spark, d):
     s = relevance.gated(relevance.score_media(_evidence_documents(spark, d), _profiles(spark))).withColumn("ord", F.col("doc_id"))
-    return relevance.ranked(s).limit(30).select("decision", "doc_id")
+    return relevance.ranked(s).limit(30).select("decision", "doc_id")  # a report of the best, whatever their decision
 
 
 _DIRECT, _MEDIUM = ["license", "apache license"], ["than", "for", "trash", "with"]
@@ -254,8 +241,7 @@ c AS (SELECT doc_id, {' + '.join(f"contains(low, '{x}')::INT" for x in _DIRECT)}
 SELECT doc_id, CASE WHEN dn > 0 THEN 'HIGH' WHEN mn > 0 THEN 'MEDIUM' ELSE 'LOW' END AS tier,
   round(CASE WHEN dn > 0 THEN least(1::DOUBLE, 0.72::DOUBLE + 0.06::DOUBLE * dn) WHEN mn > 0 THEN least(0.79::DOUBLE, 0.46::DOUBLE + 0.08::DOUBLE * mn) ELSE 0::DOUBLE END, 3) AS score FROM c""")
 def comment_semantics(spark, d):
-    label = relevance.comment_label(F.col("text"), F.array(*map(F.lit, _DIRECT)), F.array(*map(F.lit, _MEDIUM)))
-    return _t(spark, d, "documents").select("doc_id", label.alias("x")).select("doc_id", "x.tier", "x.score")
+    return relevance.labelled(_t(spark, d, "documents"), "text", _DIRECT, _MEDIUM, "x").select("doc_id", "x.tier", "x.score")
 
 
 @query(f"WITH t AS ({_DOC_TEXT}) SELECT contains(low, 'apache-license') AS plain, contains(packed, 'apachelicense') AS compacted, count(*) AS n FROM t GROUP BY 1, 2")
@@ -286,18 +272,19 @@ def word_tokens(spark, d):
     return w.select("doc_id", F.size("ws").alias("n_words"), F.size(F.array_distinct("ws")).alias("n_distinct"), F.try_element_at("ws", F.lit(1)).alias("first_word"))
 
 
-@query(r"""SELECT doc_id, trim(regexp_replace('  ' || substr(text, 1, 60) || E' \t;. ', '\s+', ' ', 'g'), ' ,;|-.') AS cleaned FROM documents""")
+@query(r"""SELECT doc_id, md5(trim(regexp_replace('  ' || coalesce(text, '') || E' \t;. ', '[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'), ' ,;|-.')) AS cleaned_md5 FROM documents""")
 def clean_text(spark, d):
-    return _t(spark, d, "documents").select("doc_id", text.clean_text(F.concat(F.lit("  "), F.substring("text", 1, 60), F.lit(" \t;. "))).alias("cleaned"))
-
-
-_COUNTS = [("6,565 comments", 6565), ("评论 6.6万", 66000), ("6,566", 6566), ("none", None), ("1.2k comments", 1200), ("View all 12 comments", 12), ("3M", 3000000), ("2.5万条评论", 25000)]
+    cleaned = text.clean_text(F.concat(F.lit("  "), F.coalesce("text", F.lit("")), F.lit(" \t;. ")))
+    return _t(spark, d, "documents").select("doc_id", F.md5(cleaned.cast("binary")).alias("cleaned_md5"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', {'NULL' if b is None else b}::BIGINT)" for a, b in _COUNTS) + ") AS t(label, count_value)")
+#: Rendered counts by doc_id: with commas, in ten thousands, thousands and millions, with words around, and none.
+@query("""SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN n_chars WHEN 1 THEN n_chars * 10000 WHEN 2 THEN n_chars * 1000 + 500 WHEN 3 THEN n_chars WHEN 4 THEN n_chars * 1000000 WHEN 5 THEN NULL ELSE n_chars * 10000 + 2500 END AS count_value FROM documents""")
 def compact_counts(spark, d):
-    rows = spark.createDataFrame([(a,) for a, _ in _COUNTS], "label string")
-    return rows.select("label", text.visible_count(F.col("label")).alias("count_value"))
+    n, k = F.col("n_chars").cast("string"), F.col("doc_id") % 7
+    label = F.when(k == 0, F.concat(F.format_number("n_chars", 0), F.lit(" comments"))).when(k == 1, F.concat(F.lit("评论 "), n, F.lit("万"))).when(k == 2, F.concat(n, F.lit(".5k comments")))
+    label = label.when(k == 3, F.concat(F.lit("View all\u00a0"), n, F.lit("\u00a0comments"))).when(k == 4, F.concat(n, F.lit("M"))).when(k == 5, F.lit("none")).otherwise(F.concat(n, F.lit(".25万条评论")))
+    return _t(spark, d, "documents").select("doc_id", text.visible_count(label).alias("count_value"))
 
 
 _NOTES = ["Please confirm you're human", "Too many requests today", "This account is private", "Sorry, this page isn't available.", "Log in to Instagram to continue", "操作过于频繁", "all is well"]
@@ -425,13 +412,12 @@ def audit_review_overlay(spark, d):
     return out.groupBy("relevance_tier", F.col("deliverable_eligible").alias("eligible")).agg(F.count("*").alias("n"))
 
 
-@query("""WITH s AS (SELECT user_id % 7 AS run, CASE event_type WHEN 'error' THEN 'rate_limited' WHEN 'view' THEN 'max_rounds' WHEN 'click' THEN 'semantic_low_audit_only' ELSE 'other' END AS r, value FROM events WHERE event_id % 500 = user_id % 7 OR event_type = 'purchase')
-SELECT run, CASE WHEN bool_or(r = 'rate_limited') THEN 'rate_limited' WHEN bool_or(r = 'max_rounds') THEN 'max_rounds' WHEN bool_or(r = 'semantic_low_audit_only') THEN 'semantic_low_audit_only' ELSE 'captures_exhausted' END AS stop_reason FROM s GROUP BY run""")
+@query("""WITH s AS (SELECT user_id, ts::DATE::VARCHAR AS day, CASE event_type WHEN 'error' THEN 'rate_limited' WHEN 'view' THEN 'max_rounds' WHEN 'click' THEN 'semantic_low_audit_only' ELSE 'other' END AS r FROM events)
+SELECT user_id, day, CASE WHEN bool_or(r = 'rate_limited') THEN 'rate_limited' WHEN bool_or(r = 'max_rounds') THEN 'max_rounds' WHEN bool_or(r = 'semantic_low_audit_only') THEN 'semantic_low_audit_only' ELSE 'captures_exhausted' END AS stop_reason FROM s GROUP BY 1, 2""")
 def stop_reason_priority(spark, d):
     reason = F.when(F.col("event_type") == "error", "rate_limited").when(F.col("event_type") == "view", "max_rounds").when(F.col("event_type") == "click", "semantic_low_audit_only").otherwise("other")
-    e = _t(spark, d, "events").where("event_id % 500 = user_id % 7 OR event_type = 'purchase'")
-    seen = e.groupBy((F.col("user_id") % 7).alias("run")).agg(F.collect_set(reason).alias("seen"))
-    return seen.select("run", audit.stop_reason(F.col("seen"), F.lit(0), 0, False).alias("stop_reason"))
+    seen = _t(spark, d, "events").groupBy("user_id", F.to_date("ts").cast("string").alias("day")).agg(F.collect_set(reason).alias("seen"))
+    return seen.select("user_id", "day", audit.stop_reason(F.col("seen"), F.lit(0), 0, False).alias("stop_reason"))
 
 
 @query("""WITH r AS (SELECT user_id % 50 AS run, count(*) AS rows_, max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS err FROM events GROUP BY 1),
@@ -446,19 +432,23 @@ def coverage_status(spark, d):
 
 @query(THREADS + """, uniq AS (SELECT * FROM threads), elig AS (SELECT doc_id::VARCHAR AS media_id, max(toxic) = 0 AS ok FROM labels GROUP BY 1),
 del AS (SELECT u.* FROM uniq u LEFT JOIN elig e USING (media_id) WHERE coalesce(e.ok, true)), m AS (SELECT media_id, count(*) AS n FROM uniq GROUP BY 1)
-SELECT (SELECT count(*) FROM uniq) AS internal_rows, (SELECT count(*) FROM del) AS delivered_rows, (SELECT count(*) FROM uniq) - (SELECT count(*) FROM del) AS excluded_rows, (SELECT count(*) FROM del WHERE parent_id IS NULL) AS main_rows,
- (SELECT count(*) FROM del WHERE parent_id IS NOT NULL) AS reply_rows, (SELECT count(*) FROM m) AS media_count, (SELECT count(*) FROM m WHERE n % 2 = 0) AS pass_count, 'captures_exhausted' AS stop_reason,
- CASE WHEN (SELECT bool_and(n % 2 = 0) FROM m) THEN 'PASS' ELSE 'WARNING' END AS gate""")
+SELECT (SELECT count(*) + count(*) FILTER (WHERE conv_id % 3 = 0) FROM uniq) AS raw_rows, (SELECT count(*) FILTER (WHERE conv_id % 3 = 0) FROM uniq) AS duplicate_rows, 0 AS invalid_rows, (SELECT count(*) FROM uniq) AS internal_rows, (SELECT count(*) FROM del) AS delivered_rows,
+ (SELECT count(*) FROM uniq) - (SELECT count(*) FROM del) AS excluded_rows, (SELECT count(*) FROM del WHERE parent_id IS NULL) AS main_rows, (SELECT count(*) FROM del WHERE parent_id IS NOT NULL) AS reply_rows, (SELECT count(*) FROM m) AS media_count,
+ (SELECT count(*) FROM m WHERE n % 2 = 0) AS pass_count, 'captures_exhausted' AS stop_reason, CASE WHEN (SELECT bool_and(n % 2 = 0) FROM m) THEN 'PASS' ELSE 'WARNING' END AS gate""")
 def manifest_rollup(spark, d):
-    rows = _thread_rows(spark, d)
+    threads = _thread_rows(spark, d).withColumns({"amazon_asins": F.array().cast("array<string>"), "matched_query": F.lit(None).cast("string"), "matched_queries": F.array().cast("array<string>")})
+    again = threads.where(F.col("ord") % 3 == 0).withColumn("ord", F.col("ord") + 1_000_000)  # captured twice
+    rows = threads.unionByName(again)
+    unique = ingest.dedupe(rows.where(ingest.is_valid_row()))
     listed = _t(spark, d, "labels").groupBy(F.col("doc_id").cast("string").alias("media_id")).agg((F.max("toxic") == 0).alias("eligible"))
     zero = F.lit(0)
-    audits = rows.groupBy("media_id").agg(F.count("*").alias("n")).select(
+    audits = unique.groupBy("media_id").agg(F.count("*").alias("n")).select(
         "media_id", F.when(F.col("n") % 2 == 0, "PASS").otherwise("PARTIAL").alias("audit_status"), F.lit(None).cast("string").alias("relevance_tier"), F.lit(None).cast("string").alias("stop_reason"),
         zero.alias("shortcode_mismatch_count"), zero.alias("route_fallback_attempt_count"), zero.alias("route_fallback_success_count"),
     )
-    m = audit.manifest(rows, ingest.delivered(rows, listed), audits, ingest.counters(rows))
+    m = audit.manifest(unique, ingest.delivered(unique, listed), audits, ingest.counters(rows))
     return m.select(
+        F.col("raw_captured_count").alias("raw_rows"), F.col("technical_duplicate_count").alias("duplicate_rows"), F.col("invalid_row_count").alias("invalid_rows"),
         F.col("internal_raw_unique_count").alias("internal_rows"), F.col("final_collected_count").alias("delivered_rows"), F.col("deliverable_excluded_count").alias("excluded_rows"), F.col("main_comment_count").alias("main_rows"), F.col("reply_count").alias("reply_rows"),
         "media_count", F.col("pass_media_count").alias("pass_count"), "stop_reason", F.col("quality_gate").alias("gate"),
     )
@@ -606,7 +596,8 @@ def incremental_skip(spark, d):
 UNION ALL SELECT c.conv_id, c.turn, t.depth + 1 FROM t JOIN conversations c ON c.conv_id = t.conv_id AND c.turn = t.turn + 1)
 SELECT conv_id, max(depth) AS depth, count(*) AS n FROM t GROUP BY 1""")
 def thread_tree(spark, d):
-    _t(spark, d, "conversations").select("conv_id", "turn").createOrReplaceTempView("thread_turns")
-    return spark.sql("""WITH RECURSIVE t AS (SELECT conv_id, min(turn) AS turn, 0 AS depth FROM thread_turns GROUP BY 1
-      UNION ALL SELECT c.conv_id, c.turn, t.depth + 1 FROM t JOIN thread_turns c ON c.conv_id = t.conv_id AND c.turn = t.turn + 1)
-      SELECT conv_id, max(depth) AS depth, count(*) AS n FROM t GROUP BY 1""")
+    turns = _t(spark, d, "conversations").select("conv_id", "turn")
+    sql = """WITH RECURSIVE t AS (SELECT conv_id, min(turn) AS turn, 0 AS depth FROM {turns} GROUP BY 1
+      UNION ALL SELECT c.conv_id, c.turn, t.depth + 1 FROM t JOIN {turns} c ON c.conv_id = t.conv_id AND c.turn = t.turn + 1)
+      SELECT conv_id, max(depth) AS depth, count(*) AS n FROM t GROUP BY 1"""
+    return spark.sql(sql, turns=turns)

@@ -11,9 +11,9 @@ LEDGER = "struct<round:int,pass:int,label:string,action:string,wait_ms:bigint,at
 CAPTURE = (
     "schema_version string, captured_at string, "
     f"media struct<media_url:string,media_id:string,owner:string,discovery:{DISCOVERY}>, "
-    "page struct<status:string,coverage:string,identity_verified:boolean,visible_comment_count:int,remaining_expand_controls:int,platform_comment_count:int,shortcode_mismatch_count:int>, "
+    "page struct<status:string,coverage:string,identity_verified:boolean,visible_comment_count:int,remaining_expand_controls:int,platform_comment_count:int,shortcode_mismatch_count:int,actual_shortcode:string,observed_shortcodes:array<string>>, "
     f"comments array<{COMMENT}>, "
-    f"continuous_scroll struct<round_count:int,expand_action_count:int,scroll_action_count:int,attempt_count:int,stop_reason:string,action_ledger:array<{LEDGER}>>, "
+    f"continuous_scroll struct<round_count:int,expand_action_count:int,scroll_action_count:int,attempt_count:int,stop_reason:string,expanded_thread_signatures:array<string>,scroll_frontier:map<string,string>,action_ledger:array<{LEDGER}>>, "
     "navigation struct<requested_url:string,rendered_url:string,working_media_url:string,requested_media_type:string,rendered_media_type:string,route_fallback_attempt_count:int,route_fallback_success_count:int>"
 )
 #: Columns of a raw comment row, in export order (fixed values).
@@ -27,13 +27,27 @@ RAW_COMMENT = (
 )
 RAW_FIELDS = [part.strip().split(" ")[0] for part in RAW_COMMENT.split(",") if " " in part.strip()]
 #: Columns of the exported media audit, in order (fixed values).
-AUDIT_FIELDS = (
-    "media_id media_type media_url discovery_media_type discovery_url requested_media_type requested_url rendered_media_type rendered_url working_media_url "
-    "route_fallback_attempt_count route_fallback_success_count media_owner relevance_tier relevance_score evidence_terms evidence_sources matched_groups group_hits "
-    "relevance_reason relevance_model_version deliverable_eligible collection_status audit_status page_status platform_comment_count captured_rows main_comment_rows "
-    "reply_rows final_unique_comment_count shortcode_mismatch_count expand_action_count scroll_round_count scroll_action_count remaining_expand_controls stop_reason reason"
-).split()
+AUDIT_FIELDS = [
+    "media_id", "media_type", "media_url", "discovery_media_type", "discovery_url", "requested_media_type", "requested_url",
+    "rendered_media_type", "rendered_url", "working_media_url", "route_fallback_attempt_count", "route_fallback_success_count",
+    "media_owner", "relevance_tier", "relevance_score", "evidence_terms", "evidence_sources", "matched_groups", "group_hits",
+    "relevance_reason", "relevance_model_version", "deliverable_eligible", "collection_status", "audit_status", "page_status",
+    "platform_comment_count", "captured_rows", "main_comment_rows", "reply_rows", "final_unique_comment_count",
+    "shortcode_mismatch_count", "expand_action_count", "scroll_round_count", "scroll_action_count", "remaining_expand_controls",
+    "stop_reason", "reason",
+]
+#: Columns of the exported candidate audit, in order (fixed values).
+CANDIDATE_FIELDS = [
+    "shortcode", "media_type", "url", "discovery_media_type", "discovery_url", "requested_media_type", "requested_url",
+    "rendered_media_type", "rendered_url", "working_media_url", "route_fallback_attempt_count", "route_fallback_success_count",
+    "owner", "caption", "hashtags", "matched_queries", "matched_asins", "relevance_tier", "relevance_score", "evidence_terms",
+    "evidence_sources", "relevance_model_version", "matched_groups", "group_hits", "deliverable_eligible", "decision",
+    "audit_status", "page_status", "platform_comment_count", "main_comment_rows", "reply_rows", "expand_action_count",
+    "scroll_round_count", "scroll_action_count", "retry_count", "stop_reason", "last_retry_error", "actual_shortcode",
+    "shortcode_mismatch_count",
+]
 PRODUCT = (
     "asin string, title string, product_title string, brand string, category string, product_type string, product_name string, bullets array<string>, functions array<string>, "
-    "use_scenarios array<string>, pain_points array<string>, ingredients array<string>, aliases array<string>, competitors array<string>, source_status string, source_url string"
+    "use_scenarios array<string>, pain_points array<string>, ingredients array<string>, aliases array<string>, competitors array<string>, source_status string, source_url string, "
+    "core_attributes array<string>, primary_functions array<string>, use_cases array<string>, problems array<string>, ingredients_or_components array<string>, common_names array<string>, competitor_products array<string>"
 )

@@ -13,11 +13,15 @@ from ..functions.text import clean_text, hashtags
 from ..schemas import CAPTURE, RAW_COMMENT
 
 
-def read_captures(spark: SparkSession, path: str) -> DataFrame:
-    """Capture documents with fingerprint (SHA-256 of the file), path and ord (by path); a byte-order mark is tolerated."""
+def read_captures(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """Capture documents with fingerprint (SHA-256 of the file), path and ord (by path); a byte-order mark is tolerated.
+
+    A file that is no JSON fails the query (strict), or is a row of nulls that ingest.checked marks as invalid.
+    """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     text = F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", "")
-    parsed = files.select("path", F.sha2("content", 256).alias("fingerprint"), F.from_json(text, CAPTURE).alias("c"))
+    mode = {"mode": "FAILFAST" if strict else "PERMISSIVE"}
+    parsed = files.select("path", F.sha2("content", 256).alias("fingerprint"), F.from_json(text, CAPTURE, mode).alias("c"))
     return parsed.select(F.col("path").alias("ord"), "fingerprint", "path", "c.*")
 
 
@@ -37,6 +41,36 @@ def read_optional_json(spark: SparkSession, path: str, schema: str) -> DataFrame
     return spark.read.schema(schema).json(path, multiLine=True) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
+CHECKPOINT = "stop_reason string, collection_goal string, settings struct<collection_goal:string>, amazon_asins array<string>, processed_capture_hashes array<string>"
+PLAN = "amazon_asins array<string>, seed_media_urls array<string>, queries array<struct<asin:string,query:string,query_family:string,family:string,generation_source:string,priority:int,executed:boolean,posts_found:int,qualified_posts:int>>"
+CANDIDATE = (
+    "shortcode string, media_type string, url string, discovery_media_type string, discovery_url string, requested_media_type string, requested_url string, "
+    "rendered_media_type string, rendered_url string, working_media_url string, route_fallback_attempt_count int, route_fallback_success_count int, owner string, "
+    "relevance_tier string, relevance_score double, evidence_terms array<string>, evidence_sources array<string>, matched_groups array<string>, "
+    "relevance_reason string, relevance_model_version string, deliverable_eligible boolean, decision string, stop_reason string, shortcode_mismatch_count int"
+)
+
+
+def read_checkpoint(spark: SparkSession, path: str) -> DataFrame:
+    return read_optional_json(spark, path, CHECKPOINT)
+
+
+def read_plan(spark: SparkSession, path: str) -> DataFrame:
+    return read_optional_json(spark, path, PLAN)
+
+
+def read_candidates(spark: SparkSession, path: str) -> DataFrame:
+    """The candidate audit, one row per candidate; none where there is no file."""
+    return read_optional_json(spark, path, CANDIDATE)
+
+
+def read_known(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of an earlier run that have an id, the last of each; malformed lines are skipped."""
+    rows = read_rows(spark, path, strict=False).where(F.coalesce("comment_id", F.lit("")) != "")
+    numbered = rows.withColumn("_n", F.monotonically_increasing_id())
+    return numbered.groupBy("comment_id").agg(F.max_by(F.struct(*rows.columns), "_n").alias("r")).select("r.*")
+
+
 def asins(spark: SparkSession, single: list[str] | None = None, joined: str | None = None, file: str | None = None, split_single: bool = False) -> DataFrame:
     """Distinct ASINs in order of first mention (ord, asin); a value that is none fails the query.
 
@@ -50,7 +84,8 @@ def asins(spark: SparkSession, single: list[str] | None = None, joined: str | No
         parts = parts.unionByName(spark.createDataFrame([(1, 0, joined)], "source int, line long, value string").select("source", "line", F.posexplode(cut("value")).alias("pos", "value")))
     if file:
         lines = spark.read.text(file).select(F.lit(2).alias("source"), F.monotonically_increasing_id().alias("line"), F.regexp_replace("value", "^﻿", "").alias("value"))
-        cells = F.split("value", ",") if file.lower().endswith(".csv") else cut("value")
+        quoted = F.regexp_extract_all("value", F.lit(r'("(?:[^"]|"")*"|[^,"]+)'), F.lit(1))  # a quoted cell may hold commas
+        cells = quoted if file.lower().endswith(".csv") else cut("value")
         parts = parts.unionByName(lines.select("source", "line", F.posexplode(cells).alias("pos", "value")))
     value = F.upper(F.trim(F.regexp_replace("value", '^"|"$', "")))
     named = parts.withColumn("value", value).where("value <> '' AND value <> 'ASIN'")

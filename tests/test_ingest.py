@@ -1,17 +1,41 @@
 from __future__ import annotations
 
 import json
+import xml.etree.ElementTree as ET
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
-from chorusmill.operators import audit, ingest, merge
+from chorusmill.operators import audit, ingest, merge, run
 from chorusmill.schemas import AUDIT_FIELDS, CAPTURE_TAG, RAW_FIELDS
 from chorusmill.sources import captures as sources
 from chorusmill.sources import sinks
 from chorusmill.streaming import incremental
 
 
+SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+
+def workbook(path):
+    """Rows of every sheet, found as a reader finds them: by content types, relations and style references."""
+    with zipfile.ZipFile(path) as z:
+        parts = {n: ET.fromstring(z.read(n)) for n in z.namelist()}
+    listed = {o.get("PartName").lstrip("/") for o in parts["[Content_Types].xml"] if o.get("PartName")}
+    assert listed <= set(parts)
+    styles = parts["xl/styles.xml"]
+    assert [f.get("patternType") for f in styles.iter(f"{SHEET}patternFill")] == ["none", "gray125"] and all(len(f) == 1 for f in styles.iter(f"{SHEET}fill"))
+    formats = len(styles.find(f"{SHEET}cellXfs"))
+    targets = {r.get("Id"): r.get("Target") for r in parts["xl/_rels/workbook.xml.rels"]}
+    out = {}
+    for sheet in parts["xl/workbook.xml"].iter(f"{SHEET}sheet"):
+        root = parts["xl/" + targets[sheet.get("{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id")]]
+        assert all(int(c.get("s")) < formats for c in root.iter(f"{SHEET}c"))
+        assert [e.tag[len(SHEET):] for e in root] == ["sheetViews", "cols", "sheetData", "autoFilter"]
+        out[sheet.get("name")] = [[float(c.findtext(f"{SHEET}v")) if c.get("t") is None else c.findtext(f"{SHEET}is/{SHEET}t") or "" for c in row] for row in root.iter(f"{SHEET}row")]
+    return out
+
+
 def comment(cid, text="hello", author="ann", parent=None, **more):
     return {"comment_id": cid, "parent_comment_id": parent, "author": author, "comment_text": text, "published_at": "2024-01-01T00:00:00Z"} | more
 
@@ -125,11 +149,16 @@ def test_sinks(spark, tmp_path):
     sinks.write_workbook(str(tmp_path / "w.xlsx"), [("Raw_Comments", RAW_FIELDS, sinks.sheet_rows(unique, RAW_FIELDS)), ("Media_Audit", AUDIT_FIELDS, [])])
     with zipfile.ZipFile(tmp_path / "w.xlsx") as z:
         assert "狗" in z.read("xl/worksheets/sheet1.xml").decode() and z.read("xl/worksheets/sheet2.xml").decode().count("<row") == 1
+    assert workbook(tmp_path / "w.xlsx")["Raw_Comments"][0] == RAW_FIELDS
     assert sinks.column_letters(1) == "A" and sinks.column_letters(27) == "AA" and sinks.column_letters(703) == "AAA"
 
 
 def test_asins(spark, tmp_path):
     (tmp_path / "a.csv").write_text("ASIN,b000000002\nB000000003,\n")
+    (tmp_path / "q.csv").write_text('ASIN,"B000000004"\n"B000000005, B000000006",x\n')
+    quoted = sources.asins(spark, file=str(tmp_path / "q.csv"))
+    with pytest.raises(Exception, match="not an ASIN: B000000005, B000000006"):
+        quoted.collect()
     got = sources.asins(spark, ["b000000001"], "B000000002, B000000001", str(tmp_path / "a.csv")).orderBy("ord")
     assert [r["asin"] for r in got.collect()] == ["B000000001", "B000000002", "B000000003"]
 
@@ -146,3 +175,52 @@ def test_incremental_rerun_is_a_no_op(spark, tmp_path):
     incremental.run(spark, str(folder), state)
     rows = {r["comment_id"]: r["comment_text"] for r in incremental.unique_rows(spark, state).collect()}
     assert rows == {"1": "hello", "2": "hello", "3": "hello"} and incremental.processed(spark, state).count() == 2
+
+
+def test_captures_without_comments_and_strict(spark, tmp_path):
+    bare = capture("A", [])
+    del bare["comments"]
+    (tmp_path / "x.json").write_text("{broken")
+    checked = read(spark, tmp_path, [bare, capture("B", None), capture("C", [comment("1")])])
+    assert sorted((r["error"] or "", r["ord"].rsplit("/", 1)[1].removeprefix("c")) for r in checked.collect()) == [("", "0.json"), ("", "1.json"), ("", "2.json"), ("schema_version", "x.json")]
+    assert [r["captured_rows"] for r in audit.capture_reports(ingest.valid(checked)).orderBy("ord").collect()] == [0, 0, 1]
+    with pytest.raises(Exception, match="invalid capture: schema_version"):
+        ingest.strict(checked).collect()
+    with pytest.raises(Exception, match="(?i)malformed"):
+        sources.read_captures(spark, str(tmp_path / "*.json"), strict=True).collect()
+
+
+def test_run_writes_everything(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    docs = [capture("A", [comment("1"), comment("1", "again"), comment("2", "x" * 40)]), capture("L", [comment("9")]), capture("B", [], {"status": "login_required"})]
+    checked = read(spark, tmp_path / "in", docs)
+    listed = [("A", "HIGH", True, "COLLECT", None, "o", 0), ("L", "LOW", False, "AUDIT_ONLY", None, "o", 0), ("N", "LOW", False, None, None, "owner", 3)]
+    candidates = spark.createDataFrame(listed, "shortcode string, relevance_tier string, deliverable_eligible boolean, decision string, stop_reason string, owner string, shortcode_mismatch_count int")
+    done = run.ingest_run(checked, ["B000000001"], "q", candidates, known_asins=["B000000000"])
+    plan = spark.createDataFrame([("a", "f", "s", True, 1, 0)], "query string, family string, generation_source string, executed boolean, posts_found int, qualified_posts int")
+    said = sinks.write_run(done, str(tmp_path / "out"), plan)["manifest"]
+    assert (said["raw_captured_count"], said["technical_duplicate_count"], said["internal_raw_unique_count"], said["final_collected_count"]) == (4, 1, 3, 2)
+    assert said["amazon_asins"] == ["B000000000", "B000000001"] and said["stop_reason"] == "login_required" and said["quality_gate"] == "FAIL" and said["shortcode_mismatch_count"] == 3
+    audits = {a["media_id"]: a for a in json.loads((tmp_path / "out" / "post_audit.json").read_text())}
+    assert audits["L"]["collection_status"] == "EXCLUDED_FROM_DELIVERABLE" and audits["N"]["media_owner"] == "owner" and audits["N"]["collection_status"] == "AUDIT_ONLY" and audits["N"]["audit_status"] == "PARTIAL"
+    sheets = workbook(tmp_path / "out" / "raw_comments.xlsx")
+    assert [len(rows) for rows in sheets.values()] == [3, 5, 2, len(said), 8] and list(sheets) == ["Raw_Comments", "Media_Audit", "Query_Plan", "Run_Summary", "Quality_Gate"]
+    assert ["raw_rows_equal_csv_rows", "true"] in sheets["Quality_Gate"] and sheets["Query_Plan"][1][4] == 1.0
+    later = audit.patched(done.manifest, {"rate_limit_count": 2, "recovery_phase": "ramp"}).first()
+    assert (later["rate_limit_count"], later["recovery_phase"], later["post_batch_size"]) == (2, "ramp", 5)
+    hard = run.ingest_run(checked, target=2).manifest.first()
+    assert (hard["final_collected_count"], hard["media_count"], hard["target_reached"], hard["stop_reason"]) == (2, 1, True, "target_comments_reached")
+
+
+def test_parents_with_one_id_do_not_multiply(spark):
+    rows = spark.createDataFrame([(0, 0, "A", "1", None, "ann"), (1, 0, "A", "1", None, "bob"), (2, 0, "A", "2", "1", "cid")], "ord int, pos int, media_id string, comment_id string, parent_comment_id string, author string")
+    got = ingest.lineage(rows).orderBy("ord").collect()
+    assert [(r["ord"], r["parent_author"]) for r in got] == [(0, None), (1, None), (2, "ann")]
+
+
+def test_known_rows_and_blank_authors(spark, tmp_path):
+    (tmp_path / "k.jsonl").write_text('{"comment_id": "1", "author": "a"}\n{"comment_id": "", "author": "b"}\n{bad\n{"comment_id": "1", "author": "c"}\n')
+    assert [r["author"] for r in sources.read_known(spark, str(tmp_path / "k.jsonl")).collect()] == ["c"]
+    assert sources.read_candidates(spark, str(tmp_path / "none.json")).count() == 0
+    rows = spark.createDataFrame([(0, 0, "A", None, "", "ann", "t"), (1, 0, "A", None, None, "ann", "t")], "attempt int, pos int, shortcode string, comment_id string, author string, username string, comment_text string")
+    assert merge.retry_merge(rows).count() == 1

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chorusmill.operators import profiles, relevance, state
+from chorusmill.operators import profiles, relevance, run, state
 from chorusmill.schemas import PRODUCT
 from chorusmill.sources import captures as sources
 
@@ -19,7 +19,9 @@ def feeder(spark):
 
 def test_profile(spark):
     p = feeder(spark).first()
-    assert p["category"] is None or p["category"] == "slow feeder dog bowl"
+    assert p["category"] == "slow feeder dog bowl"
+    other = profiles.build_profiles(product(spark, asin="B1", title="X", core_attributes=["Easy to clean"], primary_functions=["f"], use_cases=["u"], problems=["p"], ingredients_or_components=["i"], common_names=["n n"], competitor_products=["c"])).first()
+    assert other["core_functions"] == ["f", "easy to clean"] and other["use_scenarios"] == ["u"] and other["pain_points"] == ["p"] and other["ingredients"] == ["i"] and other["product_aliases"] == ["n n"] and other["competitors"] == ["c"]
     assert p["product_name"] == "Outward Hound Fun Feeder Slo Bowl" and "slow down eating" in p["core_functions"] and "Fun Feeder Slo Bowl" in p["product_aliases"]
     empty = profiles.build_profiles(product(spark, asin="B00TEST000")).first()
     assert empty["product_name"] == "B00TEST000" and empty["source_status"] == "asin_only" and empty["brand"] is None
@@ -46,8 +48,9 @@ def test_no_profile(spark):
 
 
 def test_comment_labels(spark):
-    direct, medium = F.array(F.lit("Fun Feeder")), F.array(F.lit("dog bowl"), F.lit("slow"))
-    got = [spark.range(1).select(relevance.comment_label(F.lit(t).cast("string"), direct, medium)).first()[0] for t in ("love FUN feeder", "a slow dog bowl", "hi", None)]
+    said = spark.createDataFrame([(0, "love FUN feeder"), (1, "a slow dog bowl"), (2, "hi"), (3, None)], "n int, said string")
+    got = [r["semantic"] for r in relevance.labelled(said, "said", ["Fun Feeder", " fun  feeder"], ["dog bowl", "slow"]).orderBy("n").collect()]
+    assert got[1]["evidence_terms"] == ["dog bowl", "slow"]
     assert [(g["tier"], g["score"]) for g in got] == [("HIGH", 0.78), ("MEDIUM", 0.62), ("LOW", 0.0), ("LOW", 0.0)]
 
 
@@ -102,3 +105,25 @@ def test_saved_pages(spark):
     links = spark.createDataFrame([("q", 0, "https://r.example/url?q=https%3A%2F%2Fwww.instagram.com%2Fp%2FA%2F", "short"), ("q", 1, "https://www.instagram.com/reel/A/", "longer #tag")], "query string, ord int, url string, text string")
     got = sources.search_links(links).collect()
     assert len(got) == 1 and got[0]["text"] == "longer #tag" and got[0]["media_type"] == "p"
+
+
+def test_candidate_operators(spark):
+    none, lists = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
+    c = spark.createDataFrame([(0, "A", "My Fun Feeder Slo Bowl"), (1, "B", "nothing")], "ord int, shortcode string, caption string")
+    c = c.withColumns({"evidence": relevance.rendered_evidence(F.col("caption"), lists, none, lists, none, none, lists), "stop_reason": none, "audit_status": F.lit("DISCOVERED")})
+    got = {r["shortcode"]: r for r in run.rechecked(c, feeder(spark)).collect()}
+    assert (got["A"]["audit_status"], got["B"]["audit_status"], got["B"]["stop_reason"], got["B"]["decision"]) == ("DISCOVERED", "PARTIAL", "semantic_gate_recheck_failed", "AUDIT_ONLY")
+    assert len(run.candidate_audit(c).columns) == 39 and run.candidate_audit(c).where("shortcode = 'A'").first()["owner"] is None
+    known = spark.createDataFrame([("P1", "Acme Pets!", 1), ("P1", "Later", 2)], "asin string, brand string, profile_ord int")
+    asked = spark.createDataFrame([("P1", "product_entity", True), ("P2", "product_entity", None), ("P1", "x", False)], "asin string, query_family string, executed boolean")
+    assert {(r["asin"], r["query_family"]): r["account_url"] for r in run.with_account(asked, known).collect()} == {("P1", "product_entity"): "https://www.instagram.com/acmepets/", ("P2", "product_entity"): None, ("P1", "x"): None}
+    assert run.pending_queries(asked).count() == 2
+    assert [r["asin"] for r in run.unknown_asins(spark.createDataFrame([(1, "P2"), (0, "P3"), (2, "P1")], "ord int, asin string"), known).collect()] == ["P3", "P2"]
+    assert run.run_asins(known, asked).first()[0] == ["P1", "P2"]
+
+
+def test_claims_and_nearest(spark):
+    log = spark.createDataFrame([("a", 1, "pending"), ("b", 2, "pending"), ("c", 3, "pending"), ("b", 4, "active"), ("a", 5, "active"), ("d", 6, "pending"), ("d", 7, "failed")], "job_id string, seq int, status string")
+    assert [r["job_id"] for r in run.claim_order(state.jobs(log)).collect()] == ["a", "b", "c"]
+    items = spark.createDataFrame([("v", 0, True, False, 1.0), ("v", 1, True, True, 9.0), ("v", 2, True, True, 9.0), ("v", 3, False, True, 0.0), ("w", 0, True, False, 5.0)], "view string, index int, in_viewport boolean, expanded boolean, distance double")
+    assert {r["view"]: r["index"] for r in run.nearest(items, ["view"]).collect()} == {"v": 1, "w": 0}

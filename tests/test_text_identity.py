@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chorusmill.functions import identity, text
 
@@ -26,7 +27,7 @@ def test_labels_and_restrictions(spark):
         spark, a=text.is_expansion_label(F.lit(" View all  12 more comments ")), b=text.is_expansion_label(F.lit("查看更多评论")), c=text.is_expansion_label(F.lit("comment")), d=text.is_trigger_label(F.lit("Open comments")), e=text.is_empty_label(F.lit("No comments yet.")),
         f=text.combined_label(F.array(F.lit(" a "), F.lit("a"), F.lit("b"))), g=text.restriction(F.lit("Please Try again later")), h=text.restriction(F.lit("fine")), i=text.visible_error(F.lit(""), F.lit("https://x/accounts/login/")),
         j=text.author_name(F.lit("@ann Verified")), k=text.like_text(F.lit("1,204 likes")), l=text.tag_slug(F.lit("Slow Feeder!")), m=text.tag_slug(F.lit("!!")), n=text.truth(F.lit(" Off ")), o=text.hashtags(F.lit("x #a_b #狗 #a_b")),
-        p=text.own_text(F.lit("ann\nnice bowl\nReply\n3 likes\n2d"), F.lit("ann"), F.array(F.lit("Reply")), F.lit("2d")), q=text.has_rate_limit(F.struct(F.array(F.lit("Too many requests")).alias("x"))),
+        p=text.own_text(F.lit("ann\nnice bowl\nReply\n3 likes\n2d"), F.lit("ann"), F.array(F.lit("Reply")), F.lit("2d")), q=text.has_rate_limit(F.struct(F.array(F.lit("Too many requests")).alias("x")), T.StructType([T.StructField("x", T.ArrayType(T.StringType()))])),
     )
     assert got == {"a": True, "b": True, "c": False, "d": True, "e": True, "f": "a | b", "g": "rate_limited", "h": "ready", "i": "login_required", "j": "ann", "k": "1,204", "l": "slowfeeder", "m": None, "n": False, "o": ["#a_b", "#狗"], "p": "nice bowl", "q": True}
 
@@ -40,10 +41,11 @@ def test_media_addresses(spark):
 
 
 def test_identity_checks(spark):
-    page = F.from_json(F.lit('{"identity_verified": true}'), "struct<identity_verified:boolean,shortcode_mismatch_count:int>")
+    page = F.from_json(F.lit('{"identity_verified": true, "shortcode_mismatch_count": 1, "observed_shortcodes": ["X"]}'), "struct<identity_verified:boolean,shortcode_mismatch_count:int,observed_shortcodes:array<string>>")
+    media = F.from_json(F.lit('{"media_url": "https://www.instagram.com/p/A/"}'), "struct<media_id:string,media_url:string>")
     comments = F.from_json(F.lit('[{"comment_url": null}, {"comment_url": "https://www.instagram.com/p/A/c/1/"}, {"comment_url": "https://www.instagram.com/p/B/"}]'), "array<struct<comment_url:string>>")
-    got = one(spark, strict=identity.mismatch_count(F.lit("A"), page, comments), loose=identity.collection_check(F.lit("A"), F.lit("https://www.instagram.com/p/A/"), page, comments))
-    assert got == {"strict": 2, "loose": {"mismatch_count": 1, "observed_shortcodes": ["A", "B"]}}
+    got = one(spark, strict=identity.mismatch_count(F.lit("A"), page, comments), loose=identity.collection_check(F.lit("A"), media, page, comments))
+    assert got == {"strict": 3, "loose": {"ok": False, "actual_shortcode": "A", "mismatch_count": 2, "observed_shortcodes": ["A", "B", "X"]}}
     p = lambda c: F.lit(f"https://www.instagram.com/p/{c}/")
     none = F.lit(None).cast("string")
     lists = F.array().cast("array<string>")
