@@ -7,6 +7,11 @@ sorted inner products of the halves, without going through the product. Vectors
 and are verified there in double precision. A pair counts in its first common filter only, so a filter
 returns each vector's number of links and a spanning forest instead of pairs.
 
+The code grows with a label's number of distinct vectors: the threshold is the one at which a filter holds LOAD
+vectors by chance, so chance meetings per vector stay the same at any size, and the number of filters per vector
+follows from the chance that a pair at the wanted cosine shares one, so recall does, too. In few dimensions the
+threshold stops where that chance falls below LEAST_SHARE.
+
 Equal vectors of a label are one class with a count, so copies never meet. A filter's group larger than
 CHUNK is cut into chunks, and each pair of chunks is a task of its own.
 """
@@ -24,63 +29,104 @@ from .common import materialize, tune
 from .components import connected_components
 
 CODES = 4
-#: Expected filters per vector over all codes; a pair at cosine 0.93 shares about two fifths of them.
-FILTERS_PER_VECTOR = 110
 LEAST = 10
-#: Threshold as an inner product, and in standard deviations of a random direction's (the lesser one holds).
-CAP, CAP_DEVIATIONS = 0.46875, 3.75
+#: Vectors that a filter holds by chance, and the size from which a label's code grows.
+LOAD, LEAST_SIZE = 0.1, 1024
+#: Least chance that a pair at the wanted cosine shares a filter; how often a pair may share none if filters were
+#: independent; and by how much more filters a vector has, as those of a product code are not.
+LEAST_SHARE, MISS, DEPENDENT = 0.2, 1e-6, 3.0
+#: Bytes of a worker's codebooks for one dimension and size; a code that needs more keeps a lower threshold instead.
+BOOK_BYTES = 256 << 20
 CHUNK = 512
 #: Groups up to this size are first compared all at once, as most meet by chance.
 SMALL_GROUP = 16
-#: Rows of the list of large filter groups up to which it is broadcast; beyond that it is joined by shuffle.
+#: Rows of the lists of large labels and filter groups up to which they are broadcast; beyond that they are joined by shuffle.
 BROADCAST_ROWS = 50_000
 
-_CODES: dict[int, tuple] = {}
-
-
-def _codes(dim: int):
-    """(rotations, codebooks of both halves, threshold) for a dimension; fixed by a seed, so every worker has the same."""
-    if dim not in _CODES:
+_CODES: dict[tuple, tuple] = {}
+
+
+def _tail(dim: int, grid: np.ndarray) -> np.ndarray:
+    """Share of random directions whose inner product with a unit vector is at least each (rising) grid value."""
+    weight = np.power(np.maximum(1 - grid * grid, 0), (dim - 3) / 2) if dim > 2 else 1 / np.sqrt(np.maximum(1 - grid * grid, 1e-9))
+    return np.cumsum(weight[::-1])[::-1] / weight.sum()
+
+
+def share_chance(dim: int, cap: float, cosine: float) -> float:
+    """Chance that a direction that exceeds cap for one vector does so for another one at that cosine."""
+    grid = np.linspace(-1, 1, 20_001)
+    weight = -np.diff(_tail(dim, grid), append=0.0)
+    at = np.flatnonzero(grid >= cap)
+    rest = _tail(max(2, dim - 1), grid)
+    reach = (cap - cosine * grid[at]) / np.maximum(math.sqrt(1 - cosine * cosine) * np.sqrt(np.maximum(1 - grid[at] ** 2, 0)), 1e-9)
+    inside = np.interp(np.clip(reach, -1, 1), grid, rest) * (reach <= 1)
+    return float((weight[at] * inside).sum() / max(weight[at].sum(), 1e-300))
+
+
+def plan(dim: int, size: int, cosine: float) -> tuple[float, int]:
+    """(threshold, filters of each half's codebook) for labels of up to `size` vectors."""
+    grid = np.linspace(-1, 1, 400_001)
+    tail = _tail(dim, grid)
+    cap = float(grid[max(0, int(np.searchsorted(-tail, -LOAD / size)) - 1)])
+    cap = max(0.0, min(cap, 0.95))
+    while cap > 0 and share_chance(dim, cap, cosine) < LEAST_SHARE:
+        cap -= 0.01
+    while True:
+        chance = min(share_chance(dim, cap, cosine), 0.999)
+        wanted = DEPENDENT * math.log(MISS) / math.log(1 - chance)
+        count = max(LEAST, math.ceil(math.sqrt(wanted / CODES / max(float(np.interp(cap, grid, tail)), 1e-15))))
+        if count * dim * CODES * 4 <= BOOK_BYTES or cap <= 0:
+            return cap, count
+        cap = max(0.0, cap - 0.01)
+
+
+def _codes(dim: int, size: int, cosine: float):
+    """(rotations, codebooks of both halves, threshold) for a dimension and size; fixed by a seed, so every worker has the same."""
+    key = (dim, size, cosine)
+    if key not in _CODES:
         rng = np.random.default_rng(20240607 + dim)
-        cap = min(CAP, CAP_DEVIATIONS / math.sqrt(dim))
-        grid = np.linspace(-1, 1, 400_001)
-        weight = np.power(np.maximum(1 - grid * grid, 0), (dim - 3) / 2) if dim > 2 else np.ones_like(grid)
-        tail = max(float(weight[grid >= cap].sum() / weight.sum()), 1e-12)
-        size = max(LEAST, math.ceil(math.sqrt(FILTERS_PER_VECTOR / CODES / tail)))
+        cap, count = plan(dim, size, cosine)
         half = max(1, dim // 2)
         codes = []
         for _ in range(CODES):
             rotation, _ = np.linalg.qr(rng.standard_normal((dim, dim)))
             books = []
             for a, b in ((0, half), (half, dim)):
-                c = rng.standard_normal((size, b - a))
+                c = rng.standard_normal((count, b - a))
                 books.append(c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300) * math.sqrt((b - a) / dim))
+                books[-1] = books[-1].astype(np.float32)
             codes.append((rotation, half, *books))
-        _CODES[dim] = (codes, cap)
-    return _CODES[dim]
-
-
-def decode(vectors: np.ndarray) -> list[np.ndarray]:
+        _CODES[key] = (codes, cap)
+    return _CODES[key]
+
+
+def _listed(head: np.ndarray, tail: np.ndarray, cap: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places whose products' sum is at least cap, or the floor below it that gives LEAST pairs."""
+    floor = cap
+    while True:
+        rows = np.flatnonzero(head >= floor - tail.max())
+        cols = np.flatnonzero(tail >= floor - head.max())
+        cols = cols[np.argsort(-tail[cols], kind="stable")]
+        reach = np.searchsorted(-tail[cols], head[rows] - floor, side="right")  # tails t with head + t >= floor
+        if reach.sum() >= LEAST or floor < -1:
+            break
+        floor -= 0.02
+    within = np.arange(int(reach.sum())) - np.repeat(np.cumsum(reach) - reach, reach)
+    return np.repeat(rows, reach), cols[within]
+
+
+def decode(vectors: np.ndarray, size: int = LEAST_SIZE, cosine: float = 0.93) -> list[np.ndarray]:
     """Sorted filter numbers of each unit vector: all it exceeds by the threshold, at least LEAST of each code."""
     n, dim = vectors.shape
-    codes, cap = _codes(dim)
+    codes, cap = _codes(dim, size, cosine)
     out: list[list[np.ndarray]] = [[] for _ in range(n)]
     for number, (rotation, half, head_book, tail_book) in enumerate(codes):
-        x = vectors @ rotation
+        x = (vectors @ rotation).astype(np.float32)
         head, tail = x[:, :half] @ head_book.T, x[:, half:] @ tail_book.T
-        size = head.shape[1]
-        order = np.argsort(-tail, axis=1)
-        falling = -np.take_along_axis(tail, order, axis=1)
+        count = head.shape[1]
         for k in range(n):
-            floor = cap
-            while True:
-                reach = np.searchsorted(falling[k], head[k] - floor, side="right")  # tails t with head + t >= floor
-                if reach.sum() >= LEAST or floor < -1:
-                    break
-                floor -= 0.02
-            rows = np.flatnonzero(reach)
-            cols = np.concatenate([order[k, : reach[r]] for r in rows])
-            out[k].append((number * size + np.repeat(rows, reach[rows])) * size + cols)
+            rows, cols = _listed(head[k], tail[k], cap)
+            out[k].append((number * count + rows) * count + cols)
     return [np.sort(np.concatenate(parts)) for parts in out]
 
 
@@ -98,20 +144,45 @@ def _vector(raw: bytes, dim: int) -> np.ndarray:
     return np.frombuffer(raw, "<f4" if len(raw) == 4 * dim else "<f8").astype(np.float64)
 
 
-def _decoded(batches):
-    for batch in batches:
-        rows = batch.column("vector").to_pylist()
-        raw = [_bytes(r) for r in rows]
-        found: list = [None] * len(rows)
-        sizes = np.array([len(r) for r in rows])
-        for dim in np.unique(sizes):
-            at = np.flatnonzero(sizes == dim)
-            x = np.stack([_vector(raw[k], dim) for k in at])
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            for a in range(0, len(at), 250):
-                for k, f in zip(at[a : a + 250], decode(x[a : a + 250]), strict=True):
-                    found[k] = f.astype(np.int32)
-        yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("rep"), batch.column("copies"), pa.array(sizes, pa.int32()), pa.array(raw, pa.binary()), pa.array(found, pa.list_(pa.int32()))], names=["label", "rep", "copies", "dim", "vector", "filters"])
+def _decoder(cosine: float):
+    def run(batches):
+        for batch in batches:
+            rows = batch.column("vector").to_pylist()
+            raw = [_bytes(r) for r in rows]
+            found: list = [None] * len(rows)
+            dims = np.array([len(r) for r in rows])
+            kinds = np.stack([dims, batch.column("size").to_numpy(zero_copy_only=False)], axis=1)
+            for dim, size in np.unique(kinds, axis=0).tolist():
+                at = np.flatnonzero((kinds == (dim, size)).all(axis=1))
+                x = np.stack([_vector(raw[k], dim) for k in at])
+                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                step = max(1, min(250, (8 << 20) // _codes(dim, size, cosine)[0][0][2].shape[0]))  # inner products held at once
+                for a in range(0, len(at), step):
+                    for k, f in zip(at[a : a + step], decode(x[a : a + step], size, cosine), strict=True):
+                        found[k] = f
+            fields = [batch.column("label"), batch.column("rep"), batch.column("copies"), pa.array(dims, pa.int32()), pa.array(raw, pa.binary()), pa.array(found, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(fields, names=["label", "rep", "copies", "dim", "vector", "filters"])
+
+    return run
+
+
+def _sized(classes: DataFrame) -> DataFrame:
+    """classes with the size class of their label and length: the power of two from its number of distinct vectors.
+
+    Labels up to LEAST_SIZE share one. The list of larger ones is broadcast if it is short; a longer one meets the
+    vectors by label and a salt, so that a label with a third of all vectors is spread.
+    """
+    keyed = classes.withColumn("dim", F.size("vector"))
+    large = keyed.groupBy("label", "dim").agg(F.count("*").alias("n")).where(F.col("n") > LEAST_SIZE)
+    power = F.pow(F.lit(2.0), F.ceil(F.log2("n"))).cast("long")
+    large = materialize(large.select("label", "dim", power.alias("size")), "sizes")
+    if large.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        out = keyed.join(F.broadcast(large), ["label", "dim"], "left")
+    else:
+        salts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        spread = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        out = keyed.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(salts)).cast("int")).join(spread, ["label", "dim", "salt"], "left").drop("salt")
+    return out.withColumn("size", F.coalesce("size", F.lit(LEAST_SIZE).cast("long")))
 
 
 def _first_common(a: np.ndarray, b: np.ndarray, here: int) -> bool:
@@ -228,7 +299,7 @@ def near_duplicates(vectors: DataFrame, limit: float = 0.93) -> DataFrame:
     """vec_id, n_links, component_id, kept of (vec_id, embedding, label): links need equal labels and cosine >= limit.
 
     Null labels, null or empty vectors, null or non-finite components and zero vectors link with nothing:
-    n_links 0, their own component. Vectors of different lengths never link. Rows that share a vec_id are
+    n_links 0, their own component. Vectors of different lengths never link. A cosine of exactly the limit links. Rows that share a vec_id are
     one node of the components, with the links of all of them. A null vec_id is kept under a null component. An empty table gives no
     rows; other columns, whatever their names, are not read.
     """
@@ -240,7 +311,8 @@ def near_duplicates(vectors: DataFrame, limit: float = 0.93) -> DataFrame:
     keyed = materialize(usable.withColumns({"digest": F.xxhash64("vector"), "mirror": F.xxhash64(F.reverse("vector"))}), "vectors")
     same = ["label", "digest", "mirror"]
     classes = keyed.groupBy(*same).agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.min("vector").alias("vector"))
-    decoded = materialize(classes.select("label", "rep", "copies", "vector").mapInArrow(_decoded, "label string, rep long, copies long, dim int, vector binary, filters array<int>"), "filters")
+    sized = _sized(materialize(classes.select("label", "rep", "copies", "vector"), "distinct-vectors")).select("label", "rep", "copies", "vector", "size")
+    decoded = materialize(sized.mapInArrow(_decoder(limit), "label string, rep long, copies long, dim int, vector binary, filters array<long>"), "filters")
     light = decoded.select("label", "dim", F.explode("filters").alias("filter"), "rep")
     group = ["label", "dim", "filter"]
     groups = materialize(light.groupBy(*group).agg(F.count("*").alias("n")).where("n > 1"), "groups")

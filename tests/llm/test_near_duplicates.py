@@ -150,13 +150,48 @@ def test_decoder_lists_every_filter():
     rng = np.random.default_rng(1)
     x = rng.standard_normal((5, 24))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    codes, cap = cap_filters._codes(24)
+    codes, cap = cap_filters._codes(24, cap_filters.LEAST_SIZE, 0.93)
     for v, got in zip(x, cap_filters.decode(x), strict=True):
         want = []
         for c, (rotation, half, head, tail) in enumerate(codes):
-            y = v @ rotation
+            y = (v @ rotation).astype(np.float32)
             scores = (y[:half] @ head.T)[:, None] + (y[half:] @ tail.T)[None, :]
             i, j = np.nonzero(scores >= cap)
             if len(i) >= cap_filters.LEAST:
                 want += ((c * len(head) + i) * len(head) + j).tolist()
         assert set(want) <= set(got.tolist())
+
+
+def test_code_grows_with_the_label():
+    for dim in (16, 64, 768):
+        plans = [cap_filters.plan(dim, n, 0.93) for n in (1 << 10, 1 << 14, 1 << 18, 1 << 30)]
+        assert plans[0] < plans[1] and plans[2][0] > plans[1][0] - 0.02 and plans[3][0] > plans[1][0] - 0.02 and all(cap_filters.share_chance(dim, cap, 0.93) > 0.19 for cap, _ in plans)
+        assert all(count * dim * cap_filters.CODES * 4 <= cap_filters.BOOK_BYTES for _, count in plans)
+    # in 64 dimensions a filter holds few vectors by chance at any size
+    caps = [cap_filters.plan(64, n, 0.93)[0] for n in (1 << 10, 1 << 16)]
+    grid = np.linspace(-1, 1, 400_001)
+    assert all(float(np.interp(cap, grid, cap_filters._tail(64, grid))) * n < 0.2 for cap, n in zip(caps, (1 << 10, 1 << 16), strict=True))
+
+
+def test_recall_of_searched_rows(spark, monkeypatch):
+    """Links of the rows whose id is divisible by 100 against brute force over all rows, pairs close to the limit among them."""
+    monkeypatch.setattr(cap_filters, "LEAST_SIZE", 256)  # so these labels have codes of their own size
+    rng = np.random.default_rng(12)
+    found = wanted = 0
+    for dim in (16, 64, 768):
+        base = rng.standard_normal((500, dim))
+        base /= np.linalg.norm(base, axis=1, keepdims=True)
+        side = rng.standard_normal(base.shape)
+        side -= (side * base).sum(axis=1, keepdims=True) * base
+        side /= np.linalg.norm(side, axis=1, keepdims=True)
+        cos = rng.uniform(0.9305, 0.96, (500, 1))
+        x = np.concatenate([base, cos * base + np.sqrt(1 - cos * cos) * side]).astype(np.float32)
+        ids = np.concatenate([np.arange(500) * 100, np.arange(500) * 100 + 1])
+        table = spark.createDataFrame([(int(i), v.tolist(), 1) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<float>, label int")
+        got = {r["vec_id"]: r["n_links"] for r in cap_filters.near_duplicates(table).collect()}
+        y = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+        want = dict(zip(ids.tolist(), ((y @ y.T >= 0.93).sum(axis=1) - 1).tolist(), strict=True))
+        assert all(got[i] <= want[i] for i in want)
+        asked = [i for i in want if i % 100 == 0]
+        found, wanted = found + sum(got[i] for i in asked), wanted + sum(want[i] for i in asked)
+    assert wanted >= 1500 and found >= 0.999 * wanted
