@@ -2,10 +2,14 @@
 
 One pattern finds all entities of a text. Distinct entities (type and normal form) get a surrogate made from
 a keyed digest: digits become digits, letters letters of the same case and script, separators stay; cards
-keep a valid check digit if they had one, addresses stay addresses, given names keep their gender. The same
-entity gets the same surrogate in the whole corpus. A surrogate that another entity has, or that is itself
-an entity of the corpus, is drawn anew for the later entity until all are distinct. Texts are cut at their
-entities and put together with the surrogates; texts without entities are passed through and never move.
+keep a valid check digit if they had one, addresses stay addresses, keys keep their prefix. Names are built
+from syllables, not from the names that are looked for, in the script, case and number of parts of the
+original; a given name keeps its gender, which all its mentions in the corpus decide, and is neutral where
+none tells. The same entity gets the same surrogate in the whole corpus, whatever its separators. An e-mail
+address is its domain, an entity of its own, and the box in it. A surrogate that another entity has, or that
+is itself an entity of the corpus, is drawn anew for the later entity until all are distinct; draws get longer
+where formats allow, so there is always another one. Texts are cut at their entities and put together with
+the surrogates; texts without entities are passed through and never move.
 """
 
 from __future__ import annotations
@@ -15,15 +19,31 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Lists that a surrogate name is drawn from (fixed values); also the given names that are known by gender.
+#: Given names that are known by gender (fixed values). Surrogates are never drawn from them.
 FEMALE = "Anna Maria Clara Elena Julia Laura Sofia Emma Alice Nora Eva Ida Marta Lucia Ines Paula Irene Helena Diana Sara Lena Greta Mary Jane Susan Linda Karen Sarah Emily Jessica".split()
 MALE = "John James Robert Michael David Thomas Peter Paul Martin Daniel Felix Oscar Hugo Victor Anton Simon Lukas Jonas Karl Henri Louis Pablo Diego Carlos Miguel Marco Bruno Stefan Erik Adam".split()
 FEMALE_CYRILLIC = "Анна Мария Елена Ольга Ирина Наталья Татьяна Светлана Вера Дарья".split()
 MALE_CYRILLIC = "Иван Пётр Сергей Алексей Дмитрий Николай Андрей Михаил Павел Олег".split()
+#: Syllables that surrogate names are built from (fixed values): a head, middles, an end that tells the gender.
+GIVEN_HEADS = "Bren Cal Dar Fen Gal Hal Jor Kel Lor Nel Per Quil Sel Tam Vel Wil Xan Yor Zel Orv Ulm Ilv Esk Ath Rhe".split()
+GIVEN_MIDS = "a e i o u ar el in or an er il on ul".split()
+FEMALE_ENDS = "delia lina nelle dette nora rissa sena myra".split()
+MALE_ENDS = "dus dric mund bert von wyn dor nard".split()
+NEUTRAL_ENDS = "lin ley ren ry dey vin bel sky".split()
+GIVEN_HEADS_CYRILLIC = "Бел Вар Гал Дор Жел Зор Кел Лор Мил Нор Рад Сев Тор Яр".split()
+GIVEN_MIDS_CYRILLIC = "а е и о у ар ел ин ор ан".split()
+FEMALE_ENDS_CYRILLIC = "дея лина нела дина сана рия".split()
+MALE_ENDS_CYRILLIC = "дор мир слав бор вид рик".split()
+NEUTRAL_ENDS_CYRILLIC = "лин рен вей дель ри сай".split()
 SURNAME_HEADS = "Al Ber Cor Dal Em Far Gar Hol Is Jan Kel Lor Mor Nor Ol Par Quin Ros Sel Tor Ul Ver Wel Yor Zan".split()
+SURNAME_MIDS = "a e i o u ken den rin sel mar ten vil dor lan".split()
 SURNAME_TAILS = "bach berg dale den feld ford gren ham hart holm ins ley lin man mond ner ridge son stad stein ton vale ville well wood".split()
 SURNAME_HEADS_CYRILLIC = "Бел Вол Гор Дан Ерм Жар Зор Кал Лаз Мед".split()
-SURNAME_TAILS_CYRILLIC = "ин ов ский енко ев анов их ук ян ич".split()
+SURNAME_MIDS_CYRILLIC = "а е и о у ен ор ал ин ас".split()
+SURNAME_TAILS_CYRILLIC = "гин ров ский ренко шев ланов ных чук дян вич".split()
+HAN_SURNAMES = "王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗"
+HAN_GIVEN = "安宁明华文德清远嘉瑞雪梅兰芳静婷伟强军杰"
+HAN_TITLES = "先生|女士|小姐"
 FEMALE_TITLES = "Mrs Ms Miss Madame Mme Mlle Frau Fräulein Señora Sra Señorita Госпожа".split()
 MALE_TITLES = "Mr Monsieur Herr Señor Sr Господин".split()
 OTHER_TITLES = "Dr Prof".split()
@@ -32,27 +52,36 @@ _LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _CYRILLIC_LOWER, _CYRILLIC_UPPER = "абвгдежзиклмнопрстуфхцчшэюя", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ"
 _GREEK_LOWER, _GREEK_UPPER = "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"
 
-_TITLES = "|".join([*FEMALE_TITLES, *MALE_TITLES, *OTHER_TITLES])
+TITLES = [*FEMALE_TITLES, *MALE_TITLES, *OTHER_TITLES]
+GIVEN = [*FEMALE, *MALE, *FEMALE_CYRILLIC, *MALE_CYRILLIC]
+_TITLES, _TITLES_UPPER = "|".join(TITLES), "|".join(t.upper() for t in TITLES)
 #: Given names that need no title before them: all listed ones, as a capitalised word must follow.
-_GIVEN = "|".join([*FEMALE, *MALE, *FEMALE_CYRILLIC, *MALE_CYRILLIC])
+_GIVEN, _GIVEN_UPPER = "|".join(GIVEN), "|".join(g.upper() for g in GIVEN)
 _NAME = r"\p{Lu}[\p{Ll}\p{M}]+(?:[-'’]\p{Lu}[\p{Ll}\p{M}]+)*+"
+_CAPS = r"\p{Lu}{2,}+(?:[-'’]\p{Lu}{2,}+)*+"
 
 #: Entity types in the order in which the pattern tries them. Each begins at a border, so a run is scanned once.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}](?:[\p{L}\p{N}-]*+)\.)+[\p{L}]{2,}+",
+    "key": r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|gh[opsu]_[0-9A-Za-z]{36,255}+|sk-[0-9A-Za-z_-]{20,255}+|xox[abprs]-[0-9A-Za-z-]{10,255}+)(?![0-9A-Za-z])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}+(?: ?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
     "ip6": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
-    "secret": r"(?<![0-9A-Za-z])(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{32,128}+(?![0-9A-Za-z])",
+    "secret": r"(?<![0-9A-Za-z])(?:(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{32,128}+|(?=[0-9A-F]*\d)(?=[0-9A-F]*[A-F])[0-9A-F]{32,128}+)(?![0-9A-Za-z])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\p{L}\d])\d(?:[ -]?\d){12,18}+(?![\p{L}\d])",
     "phone": r"(?<![\p{L}\d+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[-. ]\d{4}|\d{3}[-.]\d{3}[-.]\d{4})(?![\p{L}\d])",
-    "person": rf"(?<![\p{{L}}\p{{N}}])(?:(?:(?:{_TITLES})\.? )+{_NAME}(?: {_NAME}){{0,2}}|(?:{_GIVEN}) {_NAME}(?: {_NAME})?)(?![\p{{L}}\p{{N}}])",
+    "person": rf"(?<![\p{{L}}\p{{N}}])(?:(?:(?:{_TITLES})\.? )+{_NAME}(?: {_NAME}){{0,2}}|(?:{_GIVEN}) {_NAME}(?: {_NAME})?"
+    # in capitals: after a title, or a listed name and one word that stand alone among other text
+    rf"|(?:(?:{_TITLES_UPPER})\.? )+{_CAPS}(?: {_CAPS})?|(?<!\p{{Lu}}\p{{Lu}} )(?:{_GIVEN_UPPER}) {_CAPS}(?! \p{{Lu}}{{2}}))(?![\p{{L}}\p{{N}}])",
+    "han": rf"[{HAN_SURNAMES}]\p{{IsHan}}{{0,2}}?(?:{HAN_TITLES})",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every entity has; texts without it are not scanned further. Names begin with a capital, which is looked at first.
-MARKS = "[@0-9]"
-NAME_MARK = rf"[A-ZА-Я](?<=(?<![\p{{L}}\p{{N}}]).)(?<=(?=(?:{_TITLES}|{_GIVEN})[. ]).)"
+MARKS = rf"[@0-9]|sk-|xox|gh[opsu]_|{HAN_TITLES}"
+NAME_MARK = rf"[A-ZА-Я](?<=(?<![\p{{L}}\p{{N}}]).)(?<=(?=(?:{_TITLES}|{_GIVEN}|{_TITLES_UPPER}|{_GIVEN_UPPER})[. ]).)"
+#: Beyond how many mentions, or which share of all, an entity is hot: its surrogate is broadcast. No more than 1 / HOT_SHARE are.
+HOT_MENTIONS, HOT_SHARE = 50_000, 1e-4
 
 
 def _hint(text: Column) -> Column:
@@ -107,14 +136,22 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.transform(F.split(digits, "(?!^)(?!$)"), term), F.lit(0), lambda a, b: a + b)
 
 
-def _card(value: Column, seed: Column) -> Column:
-    """Same length, separators and first digit; a valid check digit if the original had one."""
-    drawn = F.concat(F.substring(value, 1, 1), F.substring(_same_classes(value, seed), F.lit(2), F.length(value)))
-    digits, original = F.regexp_replace(drawn, r"\D", ""), F.regexp_replace(value, r"\D", "")
-    body = F.substring(digits, F.lit(1), F.length(digits) - 1)
+def _laid(value: Column, drawn: Column) -> Column:
+    """drawn's characters, one by one, at the places of value's letters and digits; the separators stay."""
+
+    def one(c: Column, i: Column) -> Column:
+        rank = F.length(F.regexp_replace(F.substring(value, F.lit(1), i + 1), "[^0-9A-Za-z]", ""))
+        return F.when(c.rlike("[0-9A-Za-z]"), F.substring(drawn, rank, F.lit(1))).otherwise(c)
+
+    return F.array_join(F.transform(F.split(value, "(?!^)(?!$)"), one), "")
+
+
+def _card(digits: Column, seed: Column) -> Column:
+    """Same length and first digit; a valid check digit if the original had one."""
+    drawn = F.concat(F.substring(digits, 1, 1), F.substring(_same_classes(digits, seed), F.lit(2), F.length(digits)))
+    body = F.substring(drawn, F.lit(1), F.length(drawn) - 1)
     check = (10 - _luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10
-    fixed = F.concat(F.substring(drawn, F.lit(1), F.length(drawn) - 1), check.cast("string"))
-    return F.when(_luhn_sum(original) % 10 == 0, fixed).otherwise(drawn)
+    return F.when(_luhn_sum(digits) % 10 == 0, F.concat(body, check.cast("string"))).otherwise(drawn)
 
 
 def _ip(seed: Column) -> Column:
@@ -123,97 +160,145 @@ def _ip(seed: Column) -> Column:
     return F.concat_ws(".", octet(0, 11, 112), octet(1, 1, 254), octet(2, 1, 254), octet(3, 1, 254))
 
 
-def _phone(value: Column, seed: Column) -> Column:
-    """Country code, separators and lengths stay; groups never begin with 0 or 1 unless they did."""
-    code = F.regexp_extract(value, r"^\+\d{1,3}", 0)
-    return F.concat(code, _same_classes(F.substring(value, F.length(code) + 1, F.length(value)), seed))
+def _kept(value: Column, pattern: str, seed: Column, hexadecimal: bool = False) -> Column:
+    """What the pattern finds at the start stays, the rest keeps its classes."""
+    start = F.regexp_extract(value, f"^(?:{pattern})", 0)
+    return F.concat(start, _same_classes(F.substring(value, F.length(start) + 1, F.length(value)), seed, hexadecimal))
 
 
-def _email(value: Column, key: Column, attempt: Column) -> Column:
-    """Local part and domain labels keep their classes; the domain is keyed alone, so one domain stays one; the top level stays."""
-    local, domain = F.regexp_extract(value, "^(.*)@", 1), F.regexp_extract(value, "@(.*)$", 1)
-    top = F.regexp_extract(domain, r"\.[^.]+$", 0)
-    labels = F.substring(domain, F.lit(1), F.length(domain) - F.length(top))
-    return F.concat(_same_classes(local, _digest(key, F.lit("local"), F.lower(value), attempt)), F.lit("@"), _same_classes(labels, _digest(key, F.lit("domain"), F.lower(labels))), top)
+def _from(values: list[str] | str, number: Column) -> Column:
+    return F.element_at(F.array(*(F.lit(v) for v in values)), number % len(values) + 1)
 
 
-def _from(values: list[str], number: Column) -> Column:
-    return F.element_at(F.array(*(F.lit(v) for v in values)), number % len(values) + 1)
+def _name(value: Column, kind: Column, gender: Column, seed: Column, attempt: Column) -> Column:
+    """A name of the same script, gender, case and number of hyphened parts; every second attempt adds a syllable to each."""
+    cyrillic, latin = value.rlike(r"^[\p{IsCyrillic}'’-]+$"), value.rlike(r"^[\p{IsLatin}\p{M}'’-]+$")
+    mids = F.floor(attempt / 2).cast("int") + 1
 
+    def part(k: Column) -> Column:
+        base = k * 64
 
-def _name(value: Column, kind: Column, seed: Column, attempt: Column) -> Column:
-    """A name of the same script, gender and case; each attempt from the third on joins one part more, so there is always another one."""
-    cyrillic = value.rlike(r"\p{IsCyrillic}")
+        def of(heads: list[str], middles: list[str], ends: Column) -> Column:
+            inner = F.transform(F.sequence(F.lit(0), mids - 1), lambda j: _from(middles, _draw(seed, base + j + 2)))
+            return F.concat(_from(heads, _draw(seed, base)), F.array_join(inner, ""), ends)
 
-    def given(k: Column) -> Column:
-        n = _draw(seed, k)
-        female = F.when(cyrillic, _from(FEMALE_CYRILLIC, n)).otherwise(_from(FEMALE, n))
-        male = F.when(cyrillic, _from(MALE_CYRILLIC, n)).otherwise(_from(MALE, n))
-        return F.when(kind == "female", female).otherwise(male)
+        end = _draw(seed, base + 1)
+        by_gender = lambda f, m, n: F.when(gender == "female", _from(f, end)).when(gender == "male", _from(m, end)).otherwise(_from(n, end))
+        given = F.when(cyrillic, of(GIVEN_HEADS_CYRILLIC, GIVEN_MIDS_CYRILLIC, by_gender(FEMALE_ENDS_CYRILLIC, MALE_ENDS_CYRILLIC, NEUTRAL_ENDS_CYRILLIC)))
+        given = given.otherwise(of(GIVEN_HEADS, GIVEN_MIDS, by_gender(FEMALE_ENDS, MALE_ENDS, NEUTRAL_ENDS)))
+        surname = F.when(cyrillic, of(SURNAME_HEADS_CYRILLIC, SURNAME_MIDS_CYRILLIC, _from(SURNAME_TAILS_CYRILLIC, end)))
+        surname = surname.otherwise(of(SURNAME_HEADS, SURNAME_MIDS, _from(SURNAME_TAILS, end)))
+        return F.when(kind == "surname", surname).otherwise(given)
 
-    def surname(k: Column) -> Column:
-        n, m = _draw(seed, k), _draw(seed, k + 1)
-        return F.when(cyrillic, F.concat(_from(SURNAME_HEADS_CYRILLIC, n), _from(SURNAME_TAILS_CYRILLIC, m))).otherwise(F.concat(_from(SURNAME_HEADS, n), _from(SURNAME_TAILS, m)))
+    built = F.array_join(F.transform(F.sequence(F.lit(0), F.size(F.split(value, "-")) - 1), part), "-")
+    upper = (value == F.upper(value)) & (F.length(value) > 1)
+    # other scripts: letters of the same script, more of them with the attempts
+    other = F.concat(_same_classes(value, seed), _same_classes(F.repeat(F.lower(F.substring(value, -1, 1)), mids - 1), _digest(seed, F.lit("more"))))
+    return F.when(cyrillic | latin, F.when(upper, F.upper(built)).otherwise(built)).otherwise(other)
 
-    count = F.when(attempt == 0, 1).when(attempt < 3, 2).otherwise(attempt)
-    parts = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.when(kind == "surname", surname(k * 2)).otherwise(given(k * 2)))
-    return F.array_join(parts, "-")
+
+def _han(value: Column, seed: Column, attempt: Column) -> Column:
+    """A surname and as many given characters as there were (one at least), more with the attempts; the title stays."""
+    title = F.regexp_extract(value, f"({HAN_TITLES})$", 1)
+    n = F.greatest(F.lit(1), F.length(value) - F.length(title) - 1) + F.floor(attempt / 2).cast("int")
+    given = F.array_join(F.transform(F.sequence(F.lit(1), n), lambda k: _from(HAN_GIVEN, _draw(seed, k))), "")
+    return F.concat(_from(HAN_SURNAMES, _draw(seed, F.lit(0))), given, title)
 
 
 def _surrogate(key: str) -> Column:
-    value, kind, attempt = F.col("value"), F.col("type"), F.col("attempt").cast("string")
-    k = F.lit(key)
-    seed = _digest(k, kind, F.col("norm"), attempt)
-    out = F.when(kind == "email", _email(value, k, attempt)).when(kind == "ip", _ip(seed)).when(kind == "card", _card(value, seed)).when(kind == "phone", _phone(value, seed))
-    out = out.when(kind.isin("ip6", "secret"), _same_classes(value, seed, hexadecimal=True))
-    out = out.when(kind == "iban", F.concat(F.substring(value, 1, 2), _same_classes(F.substring(value, F.lit(3), F.length(value)), seed)))
-    out = out.when(kind.isin("female", "male", "surname"), _name(value, kind, seed, F.col("attempt")))
+    """Of (type, value, norm, gender, attempt); a mailbox's is its local part, a domain's its labels without the top level."""
+    value, kind, norm, attempt = F.col("value"), F.col("type"), F.col("norm"), F.col("attempt")
+    seed = _digest(F.lit(key), kind, norm, attempt.cast("string"))
+    longer = _same_classes(F.repeat(F.lit("a"), F.greatest(F.lit(0), attempt - 3)), _digest(seed, F.lit("more")))  # short ones run out of draws
+    out = F.when(kind == "mailbox", F.concat(_same_classes(F.regexp_extract(value, "^(.*)@", 1), seed), longer)).when(kind == "domain", F.concat(_same_classes(value, seed), longer))
+    out = out.when(kind == "ip", _ip(seed)).when(kind == "card", _laid(value, _card(norm, seed))).when(kind == "ssn", _laid(value, _same_classes(norm, seed)))
+    code = F.length(F.regexp_extract(value, r"^\+(\d{1,3})", 1))  # a country code stays
+    phone = F.concat(F.substring(norm, F.lit(1), code), F.substring(_same_classes(norm, seed), code + 1, F.length(norm)))
+    out = out.when(kind == "phone", _laid(value, phone)).when(kind == "iban", _laid(value, _kept(norm, ".{2}", seed)))
+    out = out.when(kind.isin("ip6", "secret"), _same_classes(value, seed, hexadecimal=True)).when(kind == "key", _kept(value, "AKIA|gh._|sk-|xox.-", seed))
+    out = out.when(kind.isin("given", "surname"), _name(value, kind, F.col("gender"), seed, attempt)).when(kind == "han", _han(value, seed, attempt))
     return out.otherwise(_same_classes(value, seed))
 
 
+def _domain(email: Column) -> Column:
+    """Labels of an address's domain without the top level."""
+    return F.regexp_extract(email, r"@(.*)\.[^.]+$", 1)
+
+
 def _parts(kind: Column, value: Column) -> Column:
-    """An entity as array of (type, value): itself, or a person's title-free name parts with their kinds."""
+    """An entity as array of (type, value, gender): itself, an address's box and domain, or a person's title-free name parts."""
     words = F.split(value, " ")
-    titles = [*FEMALE_TITLES, *MALE_TITLES, *OTHER_TITLES]
-    bare = lambda w: F.regexp_replace(w, r"\.$", "")
-    names = F.filter(words, lambda w: ~bare(w).isin(titles))
-    female = F.exists(words, lambda w: bare(w).isin(FEMALE_TITLES)) | names[0].isin(FEMALE + FEMALE_CYRILLIC)
+    bare = lambda w: F.lower(F.regexp_replace(w, r"\.$", ""))
+    of = lambda *lists: [x.lower() for each in lists for x in each]
+    names = F.filter(words, lambda w: ~bare(w).isin(of(TITLES)))
+    titled = lambda titles: F.exists(words, lambda w: bare(w).isin(of(titles)))
+    first = F.lower(names[0])
+    gender = F.when(titled(FEMALE_TITLES), "female").when(titled(MALE_TITLES), "male").when(first.isin(of(FEMALE, FEMALE_CYRILLIC)), "female").when(first.isin(of(MALE, MALE_CYRILLIC)), "male").otherwise("")
+    none = F.lit("")
+    entry = lambda t, v, g: F.struct(t.alias("type"), v.alias("value"), g.alias("gender"))
 
     def part(w: Column, i: Column) -> Column:
-        known = w.isin(FEMALE + FEMALE_CYRILLIC + MALE + MALE_CYRILLIC)
-        first_of_two = (i == 0) & (F.size(names) > 1)
-        return F.struct(F.when((i == 0) & (known | first_of_two), F.when(female, "female").otherwise("male")).otherwise("surname").alias("type"), w.alias("value"))
+        given = (i == 0) & ((F.size(names) > 1) | first.isin(of(GIVEN)))
+        return entry(F.when(given, "given").otherwise("surname"), w, F.when(given, gender).otherwise(none))
 
-    return F.when(kind == "person", F.transform(names, part)).otherwise(F.array(F.struct(kind.alias("type"), value.alias("value"))))
+    box = F.array(entry(F.lit("mailbox"), value, none), entry(F.lit("domain"), _domain(value), none))
+    return F.when(kind == "person", F.transform(names, part)).when(kind == "email", box).otherwise(F.array(entry(kind, value, none)))
 
 
 def _norm(kind: Column, value: Column) -> Column:
-    """What makes two spellings one entity: digits of numbers, lower case elsewhere."""
-    return F.when(kind.isin("card", "phone", "ssn"), F.regexp_replace(value, r"\D", "")).when(kind == "iban", F.regexp_replace(value, " ", "")).otherwise(F.lower(value))
+    """What makes two spellings one entity: digits of numbers, lower case elsewhere; names in Han without their title."""
+    digits = F.when(kind.isin("card", "phone", "ssn"), F.regexp_replace(value, r"\D", "")).when(kind == "iban", F.regexp_replace(value, " ", ""))
+    return digits.when(kind == "han", F.regexp_replace(value, f"(?:{HAN_TITLES})$", "")).otherwise(F.lower(value))
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """By entity over all tasks: drawing costs digests, and a small table would else be one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "type", "norm")
 
 
 def surrogate_table(found: DataFrame, key: str) -> DataFrame:
-    """(type, value, surrogate) for every distinct spelling in found (doc rows with `found` arrays).
+    """(type, value, surrogate, mentions) for every distinct spelling in found (doc rows with `found` arrays).
 
     Spellings of one normal form share their draw. Surrogates are distinct per type and normal form, differ
-    from their entity, and are no entity of the corpus; ties go to the lesser normal form.
+    from their entity, and are no entity of the corpus; ties go to the lesser normal form. A given name's
+    gender is the one that its mentions agree on.
     """
-    each = found.select(F.explode("found").alias("value")).distinct().withColumn("type", _entity_type(F.col("value")))
-    spelled = each.select(F.explode(_parts(F.col("type"), F.col("value"))).alias("p")).select("p.*").distinct()
-    spelled = spelled.withColumn("norm", _norm(F.col("type"), F.col("value"))).withColumn("attempt", F.lit(0))
-    table = materialize(spelled.withColumn("surrogate", _surrogate(key)), "surrogates")
+    each = found.select(F.explode("found").alias("value")).groupBy("value").agg(F.count("*").alias("n")).withColumn("type", _entity_type(F.col("value")))
+    parts = each.select("n", F.explode(_parts(F.col("type"), F.col("value"))).alias("p")).select("n", "p.*")
+    spelled = parts.groupBy("type", "value", _norm(F.col("type"), F.col("value")).alias("norm")).agg(
+        F.sum("n").alias("mentions"), F.bool_or(F.col("gender") == "female").alias("f"), F.bool_or(F.col("gender") == "male").alias("m")
+    )
+    told = spelled.where("f OR m").groupBy("type", "norm").agg(F.when(F.bool_and(~F.col("m")), "female").when(F.bool_and(~F.col("f")), "male").otherwise("").alias("gender"))
+    spelled = spelled.select("type", "value", "norm", "mentions").join(told, ["type", "norm"], "left").withColumns({"gender": F.coalesce("gender", F.lit("")), "attempt": F.lit(0)})
+    table = materialize(_spread(spelled).withColumn("surrogate", _surrogate(key)), "surrogates")
+    boxed = F.col("type") == "mailbox"
     while True:
-        drawn = _norm(F.col("type"), F.col("surrogate"))
+        # boxes are told apart within their domain, whose surrogate is none of the corpus
+        drawn = F.when(boxed, F.concat(F.lower("surrogate"), F.lit("@"), F.lower(F.regexp_extract("value", "@(.*)$", 1)))).otherwise(_norm(F.col("type"), F.col("surrogate")))
         real = table.select(F.col("norm").alias("taken")).distinct()
         keyed = table.select("type", "norm", drawn.alias("taken")).distinct()
         first = Window.partitionBy("type", "taken").orderBy("norm")
         twice = keyed.withColumn("place", F.row_number().over(first)).where("place > 1").select("type", "norm")
-        used = keyed.join(real, "taken", "left_semi").select("type", "norm")
-        again = materialize(twice.unionByName(used).distinct(), "collisions")
+        used = keyed.where(~boxed).join(real, "taken", "left_semi").select("type", "norm")
+        kept = table.where(boxed & (F.lower("surrogate") == F.lower(F.regexp_extract("value", "^(.*)@", 1)))).select("type", "norm")
+        again = materialize(twice.unionByName(used).unionByName(kept).distinct(), "collisions")
         if again.isEmpty():
-            return table.select("type", "value", "surrogate")
-        redo = table.join(again.withColumn("redo", F.lit(1)), ["type", "norm"], "left")
-        table = materialize(redo.withColumn("attempt", F.col("attempt") + F.coalesce("redo", F.lit(0))).withColumn("surrogate", F.when(F.col("redo") == 1, _surrogate(key)).otherwise(F.col("surrogate"))).drop("redo"), "surrogates")
+            return table.select("type", "value", "surrogate", "mentions")
+        redo = table.join(again.withColumn("redo", F.lit(1)), ["type", "norm"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("redo", F.lit(0)))
+        fresh = F.when(F.col("redo") == 1, _surrogate(key)).otherwise(F.col("surrogate"))
+        table = materialize(redo.withColumn("surrogate", fresh).drop("redo"), "surrogates")
+
+
+def _with_surrogates(parts: DataFrame, table: DataFrame) -> DataFrame:
+    """parts with their surrogates. Hot entities, no more than 1 / HOT_SHARE, are looked up in a broadcast list; the others meet by a shuffle."""
+    total = table.agg(F.coalesce(F.sum("mentions"), F.lit(0))).first()[0]
+    hot = table.where(F.col("mentions") > max(HOT_MENTIONS, total * HOT_SHARE)).select("type", "value", F.col("surrogate").alias("known"))
+    if hot.isEmpty():
+        return parts.join(table.select("type", "value", "surrogate"), ["type", "value"])
+    seen = parts.join(F.broadcast(hot), ["type", "value"], "left")
+    ready = seen.where("known IS NOT NULL").withColumnRenamed("known", "surrogate")
+    rest = seen.where("known IS NULL").drop("known").join(table.select("type", "value", "surrogate"), ["type", "value"])
+    return ready.unionByName(rest)
 
 
 def _assembled(text: Column, replaced: Column) -> Column:
@@ -236,10 +321,12 @@ def replace_entities(docs: DataFrame, key: str = "corpus-key-1") -> DataFrame:
     table = surrogate_table(dirty.select(F.col(mark("found")).alias("found")), key)
     each = dirty.select(F.col(mark("row")).alias("row"), F.posexplode(mark("found")).alias("place", "entity")).withColumn("kind", _entity_type(F.col("entity")))
     parts = each.select("row", "place", "kind", "entity", F.posexplode(_parts(F.col("kind"), F.col("entity"))).alias("at", "p")).select("row", "place", "kind", "entity", "at", "p.*")
-    drawn = parts.join(table, ["type", "value"]).groupBy("row", "place", "kind", "entity").agg(F.array_sort(F.collect_list(F.struct("at", "value", "surrogate"))).alias("names"))
+    drawn = _with_surrogates(parts.drop("gender"), table).groupBy("row", "place", "kind", "entity").agg(F.array_sort(F.collect_list(F.struct("at", "value", "surrogate"))).alias("names"))
     # a person's words are replaced one by one, titles stay
     words = F.transform(F.split("entity", " "), lambda w: F.coalesce(F.get(F.filter("names", lambda x: x["value"] == w), F.lit(0))["surrogate"], w))
-    spelled = F.when(F.col("kind") == "person", F.array_join(words, " ")).otherwise(F.col("names")[0]["surrogate"])
+    only = F.col("names")[0]["surrogate"]
+    mail = F.concat(only, F.lit("@"), F.col("names")[1]["surrogate"], F.regexp_extract("entity", r"\.[^.]+$", 0))
+    spelled = F.when(F.col("kind") == "person", F.array_join(words, " ")).when(F.col("kind") == "email", mail).otherwise(only)
     rows = drawn.select("row", "place", "kind", spelled.alias("surrogate")).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("place", "surrogate"))).alias("s"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
     joined = dirty.join(rows.select(F.col("row").alias(mark("row")), F.col("s").alias(mark("s")), F.col("kinds").alias(mark("kinds"))), mark("row"))
     done = joined.withColumn("text", _assembled(text, F.transform(mark("s"), lambda x: x["surrogate"]))).withColumns({"n_entities": F.size(mark("found")), "entity_types": F.col(mark("kinds"))})
