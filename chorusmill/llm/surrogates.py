@@ -67,25 +67,30 @@ PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}+(?: ?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
     "ip6": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
-    "secret": r"(?<![0-9A-Za-z])(?:(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{32,128}+|(?=[0-9A-F]*\d)(?=[0-9A-F]*[A-F])[0-9A-F]{32,128}+)(?![0-9A-Za-z])",
+    "secret": r"(?<![0-9A-Za-z])(?=[0-9A-Fa-f]{32})(?:(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{32,128}+|(?=[0-9A-F]*\d)(?=[0-9A-F]*[A-F])[0-9A-F]{32,128}+)(?![0-9A-Za-z])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\p{L}\d])\d(?:[ -]?\d){12,18}+(?![\p{L}\d])",
     "phone": r"(?<![\p{L}\d+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[-. ]\d{4}|\d{3}[-.]\d{3}[-.]\d{4})(?![\p{L}\d])",
-    "person": rf"(?<![\p{{L}}\p{{N}}])(?:(?:(?:{_TITLES})\.? )+{_NAME}(?: {_NAME}){{0,2}}|(?:{_GIVEN}) {_NAME}(?: {_NAME})?"
+    # a capitalised word before another one, which is looked at first
+    "person": rf"(?<![\p{{L}}\p{{N}}])(?=\p{{Lu}}\p{{L}}*+\.? \p{{Lu}})(?:(?:(?:{_TITLES})\.? )+{_NAME}(?: {_NAME}){{0,2}}|(?:{_GIVEN}) {_NAME}(?: {_NAME})?"
     # in capitals: after a title, or a listed name and one word that stand alone among other text
     rf"|(?:(?:{_TITLES_UPPER})\.? )+{_CAPS}(?: {_CAPS})?|(?<!\p{{Lu}}\p{{Lu}} )(?:{_GIVEN_UPPER}) {_CAPS}(?! \p{{Lu}}{{2}}))(?![\p{{L}}\p{{N}}])",
     "han": rf"[{HAN_SURNAMES}]\p{{IsHan}}{{0,2}}?(?:{HAN_TITLES})",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every entity has; texts without it are not scanned further. Names begin with a capital, which is looked at first.
-MARKS = rf"[@0-9]|sk-|xox|gh[opsu]_|{HAN_TITLES}"
-NAME_MARK = rf"[A-ZА-Я](?<=(?<![\p{{L}}\p{{N}}]).)(?<=(?=(?:{_TITLES}|{_GIVEN}|{_TITLES_UPPER}|{_GIVEN_UPPER})[. ]).)"
+MARKS = "[@0-9]"
+RARE_MARKS = ["AKIA", "gho_", "ghp_", "ghs_", "ghu_", "sk-", "xox", *HAN_TITLES.split("|")]
+NAME_MARK = rf"[A-ZА-Я](?<=(?<![\p{{L}}\p{{N}}]).)(?=\p{{L}}*+\.? \p{{Lu}})(?<=(?=(?:{_TITLES}|{_GIVEN}|{_TITLES_UPPER}|{_GIVEN_UPPER})[. ]).)"
 #: Beyond how many mentions, or which share of all, an entity is hot: its surrogate is broadcast. No more than 1 / HOT_SHARE are.
 HOT_MENTIONS, HOT_SHARE = 50_000, 1e-4
 
 
 def _hint(text: Column) -> Column:
-    return text.rlike(MARKS) | text.rlike(NAME_MARK)
+    out = text.rlike(MARKS)
+    for mark in RARE_MARKS:
+        out = out | F.contains(text, F.lit(mark))
+    return out | text.rlike(NAME_MARK)
 
 
 def _entity_type(value: Column) -> Column:
@@ -96,6 +101,11 @@ def _entity_type(value: Column) -> Column:
     return out
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with value evaluated once, however often body mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _digest(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("\u0001", *parts), 256)
 
@@ -139,19 +149,23 @@ def _luhn_sum(digits: Column) -> Column:
 def _laid(value: Column, drawn: Column) -> Column:
     """drawn's characters, one by one, at the places of value's letters and digits; the separators stay."""
 
-    def one(c: Column, i: Column) -> Column:
-        rank = F.length(F.regexp_replace(F.substring(value, F.lit(1), i + 1), "[^0-9A-Za-z]", ""))
-        return F.when(c.rlike("[0-9A-Za-z]"), F.substring(drawn, rank, F.lit(1))).otherwise(c)
+    def step(d: Column):
+        def one(done: Column, c: Column) -> Column:
+            n = F.length(d) - F.length(done["left"])
+            used = F.struct(F.concat(done["out"], F.substring(d, n + 1, F.lit(1))).alias("out"), F.substring(done["left"], F.lit(2), F.length(d)).alias("left"))
+            return F.when(c.rlike("[0-9A-Za-z]"), used).otherwise(F.struct(F.concat(done["out"], c).alias("out"), done["left"].alias("left")))
 
-    return F.array_join(F.transform(F.split(value, "(?!^)(?!$)"), one), "")
+        return F.aggregate(F.split(value, "(?!^)(?!$)"), F.struct(F.lit("").alias("out"), d.alias("left")), one, lambda done: done["out"])
+
+    return _let(drawn, step)
 
 
 def _card(digits: Column, seed: Column) -> Column:
     """Same length and first digit; a valid check digit if the original had one."""
-    drawn = F.concat(F.substring(digits, 1, 1), F.substring(_same_classes(digits, seed), F.lit(2), F.length(digits)))
-    body = F.substring(drawn, F.lit(1), F.length(drawn) - 1)
-    check = (10 - _luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10
-    return F.when(_luhn_sum(digits) % 10 == 0, F.concat(body, check.cast("string"))).otherwise(drawn)
+    body = F.concat(F.substring(digits, 1, 1), F.substring(_same_classes(digits, seed), F.lit(2), F.length(digits) - 2))
+    last = F.substring(_same_classes(digits, seed), -1, 1)
+    check = lambda b: ((10 - _luhn_sum(F.concat(b, F.lit("0"))) % 10) % 10).cast("string")
+    return _let(body, lambda b: F.concat(b, F.when(_luhn_sum(digits) % 10 == 0, check(b)).otherwise(last)))
 
 
 def _ip(seed: Column) -> Column:
@@ -207,8 +221,11 @@ def _han(value: Column, seed: Column, attempt: Column) -> Column:
 
 def _surrogate(key: str) -> Column:
     """Of (type, value, norm, gender, attempt); a mailbox's is its local part, a domain's its labels without the top level."""
+    return _let(_digest(F.lit(key), F.col("type"), F.col("norm"), F.col("attempt").cast("string")), _drawn)
+
+
+def _drawn(seed: Column) -> Column:
     value, kind, norm, attempt = F.col("value"), F.col("type"), F.col("norm"), F.col("attempt")
-    seed = _digest(F.lit(key), kind, norm, attempt.cast("string"))
     longer = _same_classes(F.repeat(F.lit("a"), F.greatest(F.lit(0), attempt - 3)), _digest(seed, F.lit("more")))  # short ones run out of draws
     out = F.when(kind == "mailbox", F.concat(_same_classes(F.regexp_extract(value, "^(.*)@", 1), seed), longer)).when(kind == "domain", F.concat(_same_classes(value, seed), longer))
     out = out.when(kind == "ip", _ip(seed)).when(kind == "card", _laid(value, _card(norm, seed))).when(kind == "ssn", _laid(value, _same_classes(norm, seed)))
@@ -230,19 +247,22 @@ def _parts(kind: Column, value: Column) -> Column:
     words = F.split(value, " ")
     bare = lambda w: F.lower(F.regexp_replace(w, r"\.$", ""))
     of = lambda *lists: [x.lower() for each in lists for x in each]
-    names = F.filter(words, lambda w: ~bare(w).isin(of(TITLES)))
-    titled = lambda titles: F.exists(words, lambda w: bare(w).isin(of(titles)))
-    first = F.lower(names[0])
-    gender = F.when(titled(FEMALE_TITLES), "female").when(titled(MALE_TITLES), "male").when(first.isin(of(FEMALE, FEMALE_CYRILLIC)), "female").when(first.isin(of(MALE, MALE_CYRILLIC)), "male").otherwise("")
     none = F.lit("")
     entry = lambda t, v, g: F.struct(t.alias("type"), v.alias("value"), g.alias("gender"))
 
-    def part(w: Column, i: Column) -> Column:
-        given = (i == 0) & ((F.size(names) > 1) | first.isin(of(GIVEN)))
-        return entry(F.when(given, "given").otherwise("surname"), w, F.when(given, gender).otherwise(none))
+    def person(names: Column) -> Column:
+        titled = lambda titles: F.exists(words, lambda w: bare(w).isin(of(titles)))
+        first = F.lower(names[0])
+        gender = F.when(titled(FEMALE_TITLES), "female").when(titled(MALE_TITLES), "male")
+        gender = gender.when(first.isin(of(FEMALE, FEMALE_CYRILLIC)), "female").when(first.isin(of(MALE, MALE_CYRILLIC)), "male").otherwise("")
+        given = (F.size(names) > 1) | first.isin(of(GIVEN))
+        head = entry(F.when(given, "given").otherwise("surname"), names[0], F.when(given, gender).otherwise(none))
+        rest = F.transform(F.slice(names, F.lit(2), F.size(names)), lambda w: entry(F.lit("surname"), w, none))
+        return F.concat(F.array(head), rest)
 
     box = F.array(entry(F.lit("mailbox"), value, none), entry(F.lit("domain"), _domain(value), none))
-    return F.when(kind == "person", F.transform(names, part)).when(kind == "email", box).otherwise(F.array(entry(kind, value, none)))
+    names = F.filter(words, lambda w: ~bare(w).isin(of(TITLES)))
+    return F.when(kind == "person", _let(names, person)).when(kind == "email", box).otherwise(F.array(entry(kind, value, none)))
 
 
 def _norm(kind: Column, value: Column) -> Column:
