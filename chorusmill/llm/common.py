@@ -6,7 +6,7 @@ import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Rows an Arrow batch may hold; keeps a Python worker's memory flat whatever the table's size.
 BATCH_ROWS = 1000
+#: Bytes of an Arrow batch beyond which it ends, so that long texts come in fewer rows.
+BATCH_BYTES = 32 << 20
 #: Bytes of text handled at once by the vectorised operators.
 BLOCK_BYTES = 4 << 20
 
@@ -33,13 +35,20 @@ def tune(spark: SparkSession) -> None:
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Folder for cut lineage: the cluster's spark.checkpoint.dir; only where unset (tests) a folder of this machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """Folder for cut lineage: the cluster's spark.checkpoint.dir, or the one that was set on the context.
+
+    Only a local session (tests) that has neither gets a folder of this machine; a cluster without one is an error.
+    """
+    set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or (set_dir.get() if set_dir.isDefined() else None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_SCRATCH:
         _OWN_SCRATCH[app] = tempfile.mkdtemp(prefix="chorusmill-")
@@ -115,7 +124,3 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
-
-
-def as_batches(schema: pa.Schema, columns: Iterable[pa.Array]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([c.cast(f.type) if c.type != f.type else c for c, f in zip(columns, schema, strict=True)], schema=schema)

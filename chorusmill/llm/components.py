@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import delete_table, materialize
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -22,13 +22,15 @@ def connected_components(links: DataFrame) -> DataFrame:
         ups = hooks.select(F.col("hi").alias("root"), "up")
         fresh = hooks.select(F.col("hi").alias("node"), F.col("up").alias("root"))
         if labels is None:
-            labels = fresh
+            labels = materialize(fresh, "labels")
         else:
             moved = labels.join(ups, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
-            labels = materialize(moved.unionByName(fresh), "labels")
+            before, labels = labels, materialize(moved.unionByName(fresh), "labels")
+            delete_table(before)
         lo, hi = ups.select(F.col("root").alias("lo"), F.col("up").alias("lo_up")), ups.select(F.col("root").alias("hi"), F.col("up").alias("hi_up"))
         x = edges.join(lo, "lo", "left").join(hi, "hi", "left").select(F.coalesce("lo_up", "lo").alias("a"), F.coalesce("hi_up", "hi").alias("b"))
-        edges = materialize(x.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), "edges")
+        last, edges = edges, materialize(x.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), "edges")
+        delete_table(last)
     if labels is None:
         return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
     return labels
@@ -41,4 +43,5 @@ def _shortened(hooks: DataFrame) -> DataFrame:
         further = hooks.select(F.col("hi").alias("up"), F.col("up").alias("next"))
         if hooks.join(further, "up", "left_semi").isEmpty():
             return hooks
-        hooks = materialize(hooks.join(further, "up", "left").select("hi", F.coalesce("next", "up").alias("up")), "hooks")
+        before, hooks = hooks, materialize(hooks.join(further, "up", "left").select("hi", F.coalesce("next", "up").alias("up")), "hooks")
+        delete_table(before)

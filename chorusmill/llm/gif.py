@@ -273,7 +273,11 @@ def _encode(batches):
 
 
 def store_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media: each whole text's UTF-8 bytes, padded with 255, as a stored GIF. Null text: empty."""
+    """doc_id, n_bytes, media: each whole text's UTF-8 bytes, padded with 255, as a stored GIF. Null text: empty.
+
+    Equal texts give equal bytes; repeated rows and null ids stay; an empty table gives no rows; other columns, whatever
+    their names, are not read.
+    """
     return materialize(texts_of(docs).mapInArrow(_encode, "doc_id long, n_bytes long, media binary"), "gif")
 
 

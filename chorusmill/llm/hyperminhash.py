@@ -318,6 +318,10 @@ def _class_links(docs: DataFrame, classes: DataFrame, num: int, den: int, words:
 
 
 def keep_first(docs: DataFrame, num: int = 80, den: int = 100, words: int = 5) -> DataFrame:
-    """The rows of docs, with all their columns, that near_duplicates() keeps: one document of each component."""
+    """The rows of docs, with all their columns, that near_duplicates() keeps: one document of each component.
+
+    Rows without text, words or id stay. Rows that share a doc_id stay or go together. Of equally near documents the least
+    doc_id stays. An empty table gives no rows; columns of any name come along as they are.
+    """
     gone = near_duplicates(docs, num, den, words).where("NOT kept").select("doc_id").distinct()
     return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)

@@ -232,5 +232,5 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 1024, end_id: int = 0)
 
 
 def sequences(pieces: DataFrame) -> DataFrame:
-    """Per sequence: its used length and its pieces in order (at most window pieces, so a bounded list)."""
+    """Per sequence: its used length and its pieces in order (at most window pieces, so a bounded list). No pieces: no rows."""
     return pieces.groupBy("sequence_id").agg(F.sum("length").alias("used"), F.array_sort(F.collect_list(F.struct("offset", "doc_id", "start", "length"))).alias("pieces"))

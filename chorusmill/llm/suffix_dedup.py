@@ -30,9 +30,11 @@ from .common import binary_column, blocks, materialize, mix64, release_shuffles
 
 LENGTH = 100
 GRAM = 20
-#: Documents and suffixes that the splitter sample holds at most.
-SAMPLE_DOCS = 3000
-SAMPLE_SUFFIXES = 60_000
+#: Documents and suffixes that the splitter sample holds at most, and for each bucket where that is more.
+SAMPLE_DOCS, DOCS_PER_BUCKET = 3000, 20
+SAMPLE_SUFFIXES, SUFFIXES_PER_BUCKET = 60_000, 400
+#: Rows of a payload at most: its documents are numbered in 16 bits.
+PAYLOAD_ROWS = 60_000
 #: Bytes whose names are made at once; a longer document comes in overlapping parts.
 BLOCK_BYTES = 1 << 20
 #: Segments below which the quicksort hands over to a plain sort.
@@ -233,16 +235,18 @@ def _sampler(length: int, gram: int):
             for keys, s in _spans_of(batch, length, gram):
                 pick = np.flatnonzero(mix64(s["spans"] ^ (keys[s["doc"], 0] * 31 + s["first"]).astype(np.uint64)) & np.uint64(7) == 0)
                 if len(pick):
-                    cols = [s["grams"][pick].astype(np.int64), s["spans"][pick].astype(np.int64), keys[s["doc"][pick], 0], keys[s["doc"][pick], 1], s["first"][pick]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["gram", "span", "id", "name", "first"])
+                    order = mix64(s["grams"][pick] + s["spans"][pick] * np.uint64(3) + s["first"][pick].astype(np.uint64)).astype(np.int64)
+                    cols = [order, s["grams"][pick].astype(np.int64), s["spans"][pick].astype(np.int64), keys[s["doc"][pick], 0], keys[s["doc"][pick], 1], s["first"][pick]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["order", "gram", "span", "id", "name", "first"])
 
     return run
 
 
 def _splitters(docs: DataFrame, parts: int, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    rows = docs.count()
-    some = docs if rows <= SAMPLE_DOCS else docs.sample(fraction=SAMPLE_DOCS / rows, seed=7)
-    got = _keyed(some).mapInArrow(_sampler(length, gram), "gram long, span long, id long, name long, first long").limit(SAMPLE_SUFFIXES).toArrow()
+    rows, wanted = docs.count(), max(SAMPLE_DOCS, DOCS_PER_BUCKET * parts)
+    some = docs if rows <= wanted else docs.sample(fraction=wanted / rows, seed=7)
+    sampled = _keyed(some).mapInArrow(_sampler(length, gram), "order long, gram long, span long, id long, name long, first long")
+    got = sampled.orderBy("order").limit(max(SAMPLE_SUFFIXES, SUFFIXES_PER_BUCKET * parts)).toArrow()  # of least hash, so from all documents alike
     cols = [got.column(k).to_numpy().astype(np.uint64 if k in ("gram", "span") else np.int64) for k in ("gram", "span", "id", "name", "first")]
     order = multikey_quicksort(cols)
     n = len(order)
@@ -250,9 +254,15 @@ def _splitters(docs: DataFrame, parts: int, length: int, gram: int) -> tuple[np.
     return tuple(c[pick] for c in cols)
 
 
+def _sliced(batches):
+    for batch in batches:
+        for first in range(0, batch.num_rows, PAYLOAD_ROWS):
+            yield batch.slice(first, PAYLOAD_ROWS)
+
+
 def _scatter(splitters: tuple[np.ndarray, ...], length: int, gram: int):
     def run(batches):
-        for batch in batches:
+        for batch in _sliced(batches):
             keys, parts, before = [], [], 0
             for some, s in _spans_of(batch, length, gram):
                 bucket = bucket_of((s["grams"], s["spans"], some[s["doc"], 0], some[s["doc"], 1], s["first"]), splitters)
@@ -318,7 +328,7 @@ def _open_strings(buckets: int, length: int):
     """Names of the open spans' strings; repeats within a batch are settled at once, the first ones are dealt by name."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _sliced(batches):
             raw, offs = binary_column(batch.column("text"))
             keys = np.stack([batch.column("id").to_numpy(zero_copy_only=False), batch.column("name").to_numpy(zero_copy_only=False)], axis=1).astype("<i8")
             high, low, doc, first = [], [], [], []
@@ -485,7 +495,11 @@ def _cleaner(length: int):
 
 
 def clean(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """docs with the repeated strings removed from text (a character cut in two goes whole); null texts become empty."""
+    """docs with the repeated strings removed from text (a character cut in two goes whole); null texts become empty.
+
+    Corpus order as in digests(): rows equal in doc_id and text are one document and fare alike, a null doc_id is first.
+    An empty table gives no rows; columns of any name come along as they are.
+    """
     base, marks = removed_ranges(docs, length, gram, rest=True)
     kind = base.schema["rest"].dataType.simpleString()
     out = base.join(marks.hint("shuffle_hash"), ["id", "name"], "left").select("text", "spans", "rest").mapInArrow(_cleaner(length), f"text string, rest {kind}")

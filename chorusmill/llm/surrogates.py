@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import delete_table, materialize
 
 #: Given names that are known by gender (fixed values). Surrogates are never drawn from them.
 FEMALE = "Anna Maria Clara Elena Julia Laura Sofia Emma Alice Nora Eva Ida Marta Lucia Ines Paula Irene Helena Diana Sara Lena Greta Mary Jane Susan Linda Karen Sarah Emily Jessica".split()
@@ -306,7 +306,9 @@ def surrogate_table(found: DataFrame, key: str) -> DataFrame:
             return table.select("type", "value", "surrogate", "mentions")
         redo = table.join(again.withColumn("redo", F.lit(1)), ["type", "norm"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("redo", F.lit(0)))
         fresh = F.when(F.col("redo") == 1, _surrogate(key)).otherwise(F.col("surrogate"))
-        table = materialize(redo.withColumn("surrogate", fresh).drop("redo"), "surrogates")
+        before, table = table, materialize(redo.withColumn("surrogate", fresh).drop("redo"), "surrogates")
+        delete_table(before)
+        delete_table(again)
 
 
 def _with_surrogates(parts: DataFrame, table: DataFrame) -> DataFrame:

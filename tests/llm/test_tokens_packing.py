@@ -9,7 +9,7 @@ import pytest
 from chorusmill.llm import packing, simple8b, tokens
 from chorusmill.llm.common import texts_of
 
-from .data import clashing, frame, odd_texts
+from .data import SCHEMA, clashing, frame, odd_texts
 
 PATH = tokens.vocabulary_path("byte_bpe_50k.json")
 
@@ -117,3 +117,31 @@ def test_empty_tables(spark):
     none = frame(spark, [])
     assert packing.pack(none, PATH).count() == 0
     assert simple8b.read_token_files(simple8b.write_token_files(none, PATH)).count() == 0
+
+
+def test_scratch_folder(spark, tmp_path, monkeypatch):
+    from chorusmill.llm import common
+
+    class Cluster:  # a session of a cluster that names no shared folder
+        def __init__(self, real):
+            self.conf, self.sparkContext = real.conf, self
+            self._jsc, self.master, self.applicationId = real.sparkContext._jsc, "spark://host:7077", "app"
+
+    if spark.conf.get("spark.checkpoint.dir", None) is None and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            common.scratch_dir(Cluster(spark))
+    monkeypatch.setattr(common, "scratch_dir", lambda _: str(tmp_path))
+    table = common.materialize(spark.range(3), "x")
+    assert table.count() == 3 and len(list((tmp_path / "chorusmill").iterdir())) == 1
+    common.delete_table(table)
+    assert not list((tmp_path / "chorusmill").iterdir())
+
+
+def test_one_doc_id_on_a_third_of_the_rows(spark):
+    from chorusmill.llm import simple8b
+
+    rows = [(7 if k % 3 == 0 else k, f"text {k % 40} of many", None, None, None) for k in range(900)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = sorted((r["start"], r["n_tokens"], r["doc_id"]) for r in simple8b.read_token_files(simple8b.write_token_files(docs, PATH)).collect())
+    assert len(got) == 900 and [x[2] for x in got] == sorted(r[0] for r in rows)
+    assert all(a[0] + a[1] == b[0] for a, b in zip(got, got[1:], strict=False)) and got[0][0] == 0
