@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identity, text
 from ..operators import audit, ingest, merge, profiles, relevance, run, state
-from . import captures
+from . import captures, rules  # noqa: F401 (registers its queries)
 from .registry import ORACLE_SQL, QUERIES, query
 from .registry import table as _t
 
