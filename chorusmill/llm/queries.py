@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cap_filters, gif, html_text, hyperminhash, language_id, packing, pieces, simple8b, suffix_dedup, surrogates
+from . import cap_filters, gif, html_text, hyperminhash, language_id, packing, pieces, simple8b, spelling, suffix_dedup, surrogates
 from .common import documents, tune
 from .tokens import vocabulary_path
 
@@ -52,6 +52,10 @@ def op10_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.read_token_files(simple8b.write_token_files(documents(spark, sf_dir), vocabulary_path("byte_bpe_50k.json"), end_id=2))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_gif": op2_gif,
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_cap_filters": op8_cap_filters,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_simple8b": op10_simple8b,
+    "op11_spelling": op11_spelling,
 }
 
 ORACLE_SQL: dict[str, str] = {}
