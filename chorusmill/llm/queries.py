@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cap_filters, collocations, gif, html_text, hyperminhash, language_id, packing, pieces, simple8b, spelling, suffix_dedup, surrogates
+from . import cap_filters, collocations, gif, html_text, hyperminhash, language_id, licences, packing, pieces, simple8b, spelling, suffix_dedup, surrogates
 from .common import documents, tune
 from .tokens import vocabulary_path
 
@@ -60,6 +60,10 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(documents(spark, sf_dir))
 
 
+def op13_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_gif": op2_gif,
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simple8b": op10_simple8b,
     "op11_spelling": op11_spelling,
     "op12_collocations": op12_collocations,
+    "op13_licences": op13_licences,
 }
 
 ORACLE_SQL: dict[str, str] = {}
