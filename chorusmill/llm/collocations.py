@@ -6,11 +6,11 @@ the places of its last word. Shifted by one place and ANDed with the bitmaps of
 the bitmaps of all longer phrases; their set bits are the shard's count. No bit is set between pieces, so no phrase crosses.
 Phrases grow depth-first: a bounded run of a shard's first words goes down to the wanted length before the next one.
 
-Which phrases are frequent only the sum over all shards tells, so there is a round for each length. Shards send counts by
-64-bit phrase names, dealt into ranges of names whose number follows the corpus; a range sums them and tells each shard
-which of its phrases go on (all others cannot be part of a longer frequent phrase). Names only choose what to look at:
-final counts are sums over words, not names, so two phrases of one name cannot spoil them. Nothing is held for a whole
-corpus in one place, and no list of phrases is broadcast.
+Which phrases are frequent only the sum over all shards tells, so there is a round for each length. Shards send the counts
+of what they found, dealt into ranges by a hash; the number of ranges follows the corpus. A range sums them, numbers what is
+frequent and tells each shard the numbers of its own (all others cannot be part of a longer frequent phrase). A word is
+counted by its bytes and a phrase by the numbers of what precedes its last word and of that word, so equal counts are those
+of equal phrases. Nothing is held for a whole corpus in one place, and no list of phrases is broadcast.
 """
 
 from __future__ import annotations
@@ -41,9 +41,8 @@ _CLEAN = bytes(_CUT if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b
 _STEP, _BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x100000001B3)
 
 SHARDS = "shard long, lang string, n_words long, ids binary, words binary, counts binary"
-NAMES = "span long, shard long, names binary, counts binary"
-KEPT = "shard long, size int, names binary"
-FOUND = f"{NAMES}, lang string, phrase string, n long"
+COUNTS = "span long, shard long, lang string, first binary, last binary, counts binary"
+KEPT = "shard long, size int, first binary, last binary, numbers binary, lang string, number long, prefix long, word long, phrase string, f long"
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -55,8 +54,8 @@ def _unpacked(data: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(pa.decompress(data[8:], decompressed_size=n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
 
 
-def word_names(words: list[bytes]) -> np.ndarray:
-    """64-bit names of words."""
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words; they only deal words out."""
     if not words:
         return np.zeros(0, np.uint64)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
@@ -69,27 +68,22 @@ def word_names(words: list[bytes]) -> np.ndarray:
     return mix64(np.add.reduceat(raw * powers[place], starts))
 
 
-def _joined(names: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Names of phrases that go on by a word."""
-    return mix64(names * _STEP + word)
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, each with its sum."""
+    if not len(keys):
+        return keys, counts.astype(np.int64)
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(counts[order].astype(np.int64), first)
 
 
-def _summed(names: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct names in order, each with its sum."""
-    if not len(names):
-        return names, counts.astype(np.int64)
-    order = np.argsort(names, kind="stable")
-    names = names[order]
-    first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
-    return names[first], np.add.reduceat(counts[order].astype(np.int64), first)
-
-
-def _among(names: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Which names are in known, which is sorted."""
+def _place(keys: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where keys are in known, which is sorted, and whether they are."""
     if not len(known):
-        return np.zeros(len(names), bool)
-    at = np.minimum(np.searchsorted(known, names), len(known) - 1)
-    return known[at] == names
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return at, known[at] == keys
 
 
 # ---- shards -----------------------------------------------------------------------------------
@@ -119,13 +113,13 @@ class _Open:
         self.parts.append(np.zeros(1, np.uint32))
         self.size += 1
 
-    def closed(self) -> Iterator[tuple[int, bytes, bytes, bytes]]:
-        """(n_words, ids, words, counts) of shards of at most SHARD_POSITIONS positions (a longer piece stays whole)."""
+    def closed(self, limit: int = SHARD_POSITIONS) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+        """(n_words, ids, words, counts) of shards of at most `limit` positions (a longer piece stays whole)."""
         ids, words = np.concatenate(self.parts), list(self.numbers)[1:]
         gaps, at = np.flatnonzero(ids == 0), 0
         while at < len(ids):
-            fits = gaps[np.searchsorted(gaps, at) : np.searchsorted(gaps, at + SHARD_POSITIONS)]
-            end = len(ids) if at + SHARD_POSITIONS >= len(ids) else int(fits[-1]) + 1 if len(fits) else int(gaps[np.searchsorted(gaps, at)]) + 1
+            fits = gaps[np.searchsorted(gaps, at) : np.searchsorted(gaps, at + limit)]
+            end = len(ids) if at + limit >= len(ids) else int(fits[-1]) + 1 if len(fits) else int(gaps[np.searchsorted(gaps, at)]) + 1
             part = ids[at:end]
             here = np.bincount(part, minlength=len(words) + 1)
             used = np.flatnonzero(here[1:]) + 1
@@ -141,8 +135,8 @@ def _words_of(data: bytes) -> list[bytes]:
     return pa.decompress(data[:-8], decompressed_size=n, codec="zstd", asbytes=True).split(b" ") if n else []
 
 
-def build_shards(docs: DataFrame) -> DataFrame:
-    """Shards of docs' texts by language; a null language is `und`, a null text is empty."""
+def build_shards(docs: DataFrame, limit: int = SHARD_POSITIONS, held: int = OPEN_POSITIONS) -> DataFrame:
+    """Shards of docs' texts by language, of about `limit` positions; a task holds at most `held` of them open. A null language is `und`."""
 
     def build(batches):
         task, done = TaskContext.get().partitionId(), 0
@@ -150,7 +144,7 @@ def build_shards(docs: DataFrame) -> DataFrame:
 
         def close(lang):
             nonlocal done
-            for n, ids, words, counts in pending.pop(lang).closed():
+            for n, ids, words, counts in pending.pop(lang).closed(limit):
                 yield pa.RecordBatch.from_pylist([{"shard": task << 24 | done, "lang": lang, "n_words": n, "ids": ids, "words": words, "counts": counts}], schema=layout)
                 done += 1
 
@@ -162,9 +156,9 @@ def build_shards(docs: DataFrame) -> DataFrame:
                     by_lang.setdefault(lang, []).append(text)
             for lang, texts in by_lang.items():
                 pending.setdefault(lang, _Open()).add(b"\xff".join(texts).lower().translate(_CLEAN))
-                if pending[lang].size >= SHARD_POSITIONS:
+                if pending[lang].size >= limit:
                     yield from close(lang)
-            while sum(x.size for x in pending.values()) > OPEN_POSITIONS:
+            while sum(x.size for x in pending.values()) > held:
                 yield from close(max(pending, key=lambda x: pending[x].size))
         for lang in list(pending):
             yield from close(lang)
@@ -173,88 +167,130 @@ def build_shards(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(build, SHARDS)
 
 
-# ---- counts by name ---------------------------------------------------------------------------
-
-
-def _dealt(shard: int, names: np.ndarray, counts: np.ndarray, spans: int) -> list[dict]:
-    """A shard's sorted names cut into the ranges they belong to."""
-    if not len(names):
-        return []
-    span = ((names >> np.uint64(32)) * np.uint64(spans)) >> np.uint64(32)
-    cuts = np.flatnonzero(np.concatenate([[True], span[1:] != span[:-1]]))
-    ends = np.append(cuts[1:], len(names))
-    return [{"span": int(span[a]), "shard": shard, "names": names[a:b].tobytes(), "counts": counts[a:b].astype(np.uint32).tobytes()} for a, b in zip(cuts, ends, strict=True)]
-
+# ---- counts over all shards -------------------------------------------------------------------
 
-_NAMES_LAYOUT = pa.schema([("span", pa.int64()), ("shard", pa.int64()), ("names", pa.binary()), ("counts", pa.binary())])
-_FOUND_LAYOUT = pa.schema([*_NAMES_LAYOUT, ("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
+_COUNTS_LAYOUT = pa.schema([("span", pa.int64()), ("shard", pa.int64()), ("lang", pa.string()), ("first", pa.binary()), ("last", pa.binary()), ("counts", pa.binary())])
+_KEPT_LAYOUT = pa.schema(
+    [("shard", pa.int64()), ("size", pa.int32()), ("first", pa.binary()), ("last", pa.binary()), ("numbers", pa.binary()), ("lang", pa.string())]
+    + [("number", pa.int64()), ("prefix", pa.int64()), ("word", pa.int64()), ("phrase", pa.string()), ("f", pa.int64())]
+)
 
 
-def _language_mark(lang: str) -> np.ndarray:
-    return word_names([b"\xfe" + lang.encode()])
+def _by_span(hashes: np.ndarray, spans: int) -> list[tuple[int, np.ndarray]]:
+    """(range, rows) of all ranges that hashes fall into."""
+    if not len(hashes):
+        return []
+    span = ((hashes >> np.uint64(32)) * np.uint64(spans)) >> np.uint64(32)
+    order = np.argsort(span, kind="stable")
+    cuts = np.flatnonzero(np.concatenate([[True], span[order][1:] != span[order][:-1]]))
+    return [(int(span[order[a]]), order[a:b]) for a, b in zip(cuts, np.append(cuts[1:], len(order)), strict=True)]
 
 
 def count_shard_words(shards: DataFrame, spans: int) -> DataFrame:
-    """The words of each shard by name, with their counts."""
+    """The words of each shard with their counts: first holds their numbers in the shard, last the words."""
 
     def one(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                names = word_names(_words_of(row["words"])) ^ _language_mark(row["lang"])
-                yield pa.RecordBatch.from_pylist(_dealt(row["shard"], *_summed(names, _unpacked(row["counts"], np.int64)), spans), schema=_NAMES_LAYOUT)
+                words, counts = _words_of(row["words"]), _unpacked(row["counts"], np.int64)
+                rows = []
+                for span, at in _by_span(word_hashes(words), spans):
+                    rows.append({"span": span, "shard": row["shard"], "lang": row["lang"], "first": at.astype(np.int64).tobytes(), "last": b" ".join(words[k] for k in at), "counts": counts[at].tobytes()})
+                yield pa.RecordBatch.from_pylist(rows, schema=_COUNTS_LAYOUT)
 
-    return shards.select("shard", "lang", "words", "counts").mapInArrow(one, NAMES)
+    return shards.select("shard", "lang", "words", "counts").mapInArrow(one, COUNTS)
 
 
-def frequent_names(counted: DataFrame, size: int, least: int) -> DataFrame:
-    """(shard, size, names): which names of each shard are frequent over all shards."""
+def frequent_words(counted: DataFrame, least: int) -> DataFrame:
+    """For each shard the numbers of its frequent words, by their numbers in the shard; and a row (lang, number, phrase, f) for each."""
 
     def one(table: pa.Table) -> pa.Table:
-        rows = table.select(["shard", "names", "counts"]).to_pylist()
-        names = [np.frombuffer(r["names"], np.uint64) for r in rows]
-        distinct, total = _summed(np.concatenate(names), np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in rows]))
-        frequent = distinct[total >= least]
-        kept = [(r["shard"], size, own[_among(own, frequent)].tobytes()) for r, own in zip(rows, names, strict=True)]
-        kept = [r for r in kept if r[2]]
-        columns = list(zip(*kept, strict=True)) or [(), (), ()]
-        return pa.table({"shard": pa.array(columns[0], pa.int64()), "size": pa.array(columns[1], pa.int32()), "names": pa.array(columns[2], pa.binary())})
+        rows = table.to_pylist()
+        total: dict[str, dict[bytes, int]] = {}
+        for row in rows:
+            row["words"], own = row["last"].split(b" "), total.setdefault(row["lang"], {})
+            for word, n in zip(row["words"], np.frombuffer(row["counts"], np.int64).tolist(), strict=True):
+                own[word] = own.get(word, 0) + n
+        out, number, base = [], {}, rows[0]["span"] << 32
+        for lang in sorted(total):
+            for word, n in total[lang].items():
+                if n >= least:
+                    number[lang, word] = base + len(number)
+                    out.append({"lang": lang, "size": 1, "number": number[lang, word], "phrase": word.decode(), "f": n})
+        for row in rows:
+            known = np.fromiter((number.get((row["lang"], w), -1) for w in row["words"]), np.int64, len(row["words"]))
+            live = known >= 0
+            if live.any():
+                out.append({"shard": row["shard"], "size": 1, "first": np.frombuffer(row["first"], np.int64)[live].tobytes(), "last": b"", "numbers": known[live].tobytes()})
+        return pa.Table.from_pylist(out, schema=_KEPT_LAYOUT)
+
+    return counted.select("span", "shard", "lang", "first", "last", "counts").groupBy("span").applyInArrow(one, KEPT)
+
+
+def frequent_pairs(counted: DataFrame, size: int, least: int) -> DataFrame:
+    """As frequent_words for phrases, which are pairs of numbers: what precedes the last word, and that word."""
 
-    return counted.select("span", "shard", "names", "counts").groupBy("span").applyInArrow(one, KEPT)
+    def one(table: pa.Table) -> pa.Table:
+        rows = table.select(["span", "shard", "first", "last", "counts"]).to_pylist()
+        parts = {c: [np.frombuffer(r[c], np.uint32 if c == "counts" else np.int64) for r in rows] for c in ("first", "last", "counts")}
+        first, last, counts = (np.concatenate(parts[c]) for c in ("first", "last", "counts"))
+        order = np.lexsort((last, first))
+        a, b = first[order], last[order]
+        begins = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        total = np.add.reduceat(counts[order].astype(np.int64), begins)
+        live = total >= least
+        number = np.where(live, (rows[0]["span"] << 32) + np.cumsum(live) - 1, -1)
+        each = np.empty(len(first), np.int64)
+        each[order] = np.repeat(number, np.diff(np.append(begins, len(order))))
+        n, none = int(live.sum()), lambda kind, k: pa.nulls(k, kind)
+        told = [none(pa.int64(), n), np.full(n, size, np.int32), *(none(pa.binary(), n) for _ in range(3)), none(pa.string(), n), number[live], a[begins][live], b[begins][live], none(pa.string(), n), total[live]]
+        tables, at = [pa.table([pa.array(c) if isinstance(c, np.ndarray) else c for c in told], schema=_KEPT_LAYOUT)], 0
+        kept = []
+        for row, own in zip(rows, parts["first"], strict=True):
+            part = slice(at, at + len(own))
+            at, on = at + len(own), each[part] >= 0
+            if on.any():
+                kept.append({"shard": row["shard"], "size": size, "first": own[on].tobytes(), "last": last[part][on].tobytes(), "numbers": each[part][on].tobytes()})
+        return pa.concat_tables([*tables, pa.Table.from_pylist(kept, schema=_KEPT_LAYOUT)])
+
+    return counted.select("span", "shard", "first", "last", "counts").groupBy("span").applyInArrow(one, KEPT)
 
 
 def _met(shards: DataFrame, kept: list[DataFrame]) -> DataFrame:
-    """Each shard's row together with the names of every size that go on in it."""
+    """Each shard's row together with what goes on in it, of every size."""
     none = [F.lit(None).cast(kind).alias(name) for name, kind in (("lang", "string"), ("n_words", "long"), ("ids", "binary"), ("words", "binary"))]
-    rows = shards.select("shard", "lang", "n_words", "ids", "words", F.lit(0).alias("size"), F.lit(None).cast("binary").alias("names"))
+    empty = [F.lit(None).cast("binary").alias(name) for name in ("first", "last", "numbers")]
+    rows = shards.select("shard", "lang", "n_words", "ids", "words", F.lit(0).alias("size"), *empty)
     for each in kept:
-        rows = rows.unionByName(each.select("shard", *none, "size", "names"))
+        rows = rows.unionByName(each.where("shard IS NOT NULL").select("shard", *none, "size", "first", "last", "numbers"))
     return rows
 
 
-def _shard_of(table: pa.Table) -> tuple[dict, dict[int, np.ndarray]]:
-    """The shard's own row, and its sorted frequent names by size."""
-    own, names = None, {}
+def _shard_of(table: pa.Table) -> tuple[dict, dict[int, list[np.ndarray]]]:
+    """The shard's own row; and by size what goes on, as arrays first, last, numbers."""
+    own, parts = None, {}
     for row in table.to_pylist():
         if row["size"] == 0:
             own = row
         else:
-            names.setdefault(row["size"], []).append(np.frombuffer(row["names"], np.uint64))
-    return own, {size: np.sort(np.concatenate(parts)) for size, parts in names.items()}
+            parts.setdefault(row["size"], []).append([np.frombuffer(row[c], np.int64) for c in ("first", "last", "numbers")])
+    return own, {size: [np.concatenate(x) for x in zip(*each, strict=True)] for size, each in parts.items()}
 
 
 def keep_frequent_words(shards: DataFrame, words: DataFrame) -> DataFrame:
-    """Shards without their rare words, whose places become empty; shards that are left empty go."""
+    """Shards of frequent words only, whose numbers over all shards replace the words; other words' places become empty."""
 
     def one(table: pa.Table) -> pa.Table:
-        own, names = _shard_of(table)
-        words = _words_of(own["words"])
-        frequent = np.flatnonzero(_among(word_names(words) ^ _language_mark(own["lang"]), names.get(1, np.zeros(0, np.uint64))))
-        number = np.zeros(len(words) + 1, np.uint32)
-        number[frequent + 1] = np.arange(1, len(frequent) + 1)
-        text = b" ".join(words[k] for k in frequent)
-        row = {"shard": own["shard"], "lang": own["lang"], "n_words": own["n_words"], "ids": _packed(number[_unpacked(own["ids"], np.uint32)]), "words": pa.compress(text, codec="zstd", asbytes=True) + len(text).to_bytes(8, "little"), "counts": b""}
+        own, parts = _shard_of(table)
+        rows = []
+        if 1 in parts:
+            at, _, number = parts[1]
+            ids = _unpacked(own["ids"], np.uint32)
+            renamed = np.zeros(int(ids.max()) + 1, np.uint32)
+            renamed[at + 1] = np.arange(1, len(at) + 1)
+            rows = [{"shard": own["shard"], "lang": own["lang"], "n_words": own["n_words"], "ids": _packed(renamed[ids]), "words": _packed(number), "counts": b""}]
         layout = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("n_words", pa.int64()), ("ids", pa.binary()), ("words", pa.binary()), ("counts", pa.binary())])
-        return pa.Table.from_pylist([row] if len(frequent) else [], schema=layout)
+        return pa.Table.from_pylist(rows, schema=layout)
 
     return _met(shards, [words]).groupBy("shard").applyInArrow(one, SHARDS)
 
@@ -277,10 +313,10 @@ class Bitmaps:
         self.starts = np.searchsorted(self.block, np.arange((len(ids) >> 4) + 3))  # a carry may reach one block further
         self.by_word = np.argsort(self.word, kind="stable")
 
-    def runs(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def runs(self, size: int = RUN_BLOCKS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(word, block, bits) of all words, word by word, a bounded number of blocks at a time."""
-        for at in range(0, len(self.by_word), RUN_BLOCKS):
-            part = self.by_word[at : at + RUN_BLOCKS]
+        for at in range(0, len(self.by_word), size):
+            part = self.by_word[at : at + size]
             yield self.word[part], self.block[part], self.bits[part]
 
     def extend(self, phrase: np.ndarray, block: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -300,93 +336,96 @@ class Bitmaps:
         return phrase[row], self.word[at], block[row], both[live]
 
 
-def _walk(own: dict, names: dict[int, np.ndarray], size: int, count_on: bool) -> tuple[list, list, list]:
-    """Depth-first over a shard: names and counts of possible phrases of `size` words (unless count_on is false), and the frequent ones of size - 1.
+class Known:
+    """A shard's frequent phrases by size: those of a size are in order of (place of the phrase before the last word, last word)."""
+
+    def __init__(self, words: np.ndarray, parts: dict[int, list[np.ndarray]]):
+        self.n, self.numbers, self.keys, self.rest = len(words), {1: words}, {}, {1: np.zeros(len(words), np.int64)}
+        order = np.argsort(words)
+        before, place = words[order], order
+        for size in sorted(s for s in parts if s > 1):
+            first, last, number = parts[size]
+            key = place[np.searchsorted(before, first)] * self.n + order[np.searchsorted(words[order], last)]
+            by_key = np.argsort(key)
+            self.keys[size], self.numbers[size] = key[by_key], number[by_key]
+            at, word = self.keys[size] // self.n, self.keys[size] % self.n
+            # the place of each phrase without its first word
+            self.rest[size] = word if size == 2 else self.find(size - 1, self.rest[size - 1][at], word)[0]
+            place = np.argsort(self.numbers[size])
+            before = self.numbers[size][place]
+
+    def find(self, size: int, at: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of phrases of a size by the place of what precedes the last word and that word; and whether they are frequent."""
+        return _place(at * self.n + word, self.keys.get(size, np.zeros(0, np.int64)))
+
 
-    A phrase is possible if it is frequent without its last word, and without its first. Returned are lists of arrays of
-    names and of counts, and rows (phrase, count) of the frequent phrases one word shorter.
+def _walk(own: dict, parts: dict[int, list[np.ndarray]], size: int, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Depth-first over a shard: possible phrases of `size` words as pairs of numbers, with their counts.
+
+    A phrase is possible if it is frequent without its last word, and without its first.
     """
-    words = _words_of(own["words"])
-    maps, name_of = Bitmaps(_unpacked(own["ids"], np.uint32), len(words)), word_names(words) ^ _language_mark(own["lang"])
-    n, none = len(words), np.zeros(0, np.uint64)
-    found_names, found_counts, told = [], [], []
-    for word, block, bits in maps.runs():
-        # phrases of the run by number: their words, their name, and their name without the first word
-        spelled, where = np.unique(word, return_inverse=True)
-        chain, full, rest = spelled[:, None], name_of[spelled], None
+    numbers = _unpacked(own["words"], np.int64)
+    maps, known = Bitmaps(_unpacked(own["ids"], np.uint32), len(numbers)), Known(numbers, parts)
+    keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at, block, bits in maps.runs(run):
         for length in range(2, size + 1):
-            if length == size and size == 2:
-                told.append((chain, np.bincount(where, np.bitwise_count(bits), len(chain)).astype(np.int64)))
-            if length == size and not count_on:
-                break
-            phrase, word, block, bits = maps.extend(where, block, bits)
-            key, where = np.unique(phrase * n + word, return_inverse=True)
-            at, last = key // n, key % n
-            name = _joined(full[at], name_of[last])
-            tail = name_of[last] if rest is None else _joined(rest[at], name_of[last])
-            count = np.bincount(where, np.bitwise_count(bits), len(key)).astype(np.int64)
+            at, word, block, bits = maps.extend(at, block, bits)
             if length == size:
-                live = _among(tail, names.get(size - 1, none)) if size > 2 else np.ones(len(key), bool)
-                found_names.append(name[live])
-                found_counts.append(count[live])
+                key, count = _summed(at * known.n + word, np.bitwise_count(bits))
+                at, word = key // known.n, key % known.n
+                live = known.find(size - 1, known.rest[size - 1][at], word)[1] if size > 2 else np.ones(len(key), bool)
+                keys.append(key[live])
+                counts.append(count[live])
                 break
-            live = _among(name, names.get(length, none))
-            number = np.cumsum(live) - 1
-            chain, full, rest = np.concatenate([chain[at[live]], last[live, None]], axis=1), name[live], tail[live]
-            if length == size - 1:
-                told.append((chain, count[live]))
-            on = np.flatnonzero(live[where])
-            where, block, bits = number[where[on]], block[on], bits[on]
-            if not len(on):
+            at, live = known.find(length, at, word)
+            at, block, bits = at[live], block[live], bits[live]
+            if not len(at):
                 break
-    rows = [(b" ".join(words[k] for k in chain), int(c)) for chains, counts in told for chain, c in zip(chains.tolist(), counts.tolist(), strict=True)]
-    return found_names, found_counts, rows
+    key, count = _summed(np.concatenate(keys), np.concatenate(counts))
+    return known.numbers.get(size - 1, numbers)[key // max(1, known.n)], numbers[key % max(1, known.n)], count
 
 
-def grow(shards: DataFrame, kept: list[DataFrame], size: int, longest: int, spans: int) -> DataFrame:
-    """Counts of possible phrases of `size` words by name, and the frequent phrases of size - 1 words by their words."""
+def grow(shards: DataFrame, kept: list[DataFrame], size: int, spans: int, run: int = RUN_BLOCKS) -> DataFrame:
+    """Counts of the possible phrases of `size` words of each shard."""
 
     def one(table: pa.Table) -> pa.Table:
-        own, names = _shard_of(table)
-        if own is None:
-            return pa.Table.from_pylist([], schema=_FOUND_LAYOUT)
-        by_name, counts, told = _walk(own, names, size, size <= longest)
+        own, parts = _shard_of(table)
+        first, last, count = _walk(own, parts, size, run) if own is not None and (size == 2 or size - 1 in parts) else (np.zeros(0, np.int64),) * 3
         rows = []
-        if by_name:
-            rows = _dealt(own["shard"], *_summed(np.concatenate(by_name), np.concatenate(counts)), spans)
-        rows += [{"lang": own["lang"], "phrase": p.decode(), "n": c} for p, c in told]
-        return pa.Table.from_pylist(rows, schema=_FOUND_LAYOUT)
+        for span, at in _by_span(mix64(mix64(first.astype(np.uint64)) * _STEP + last.astype(np.uint64)), spans):
+            rows.append({"span": span, "shard": own["shard"], "first": first[at].tobytes(), "last": last[at].tobytes(), "counts": count[at].astype(np.uint32).tobytes()})
+        return pa.Table.from_pylist(rows, schema=_COUNTS_LAYOUT)
 
-    return _met(shards, kept).groupBy("shard").applyInArrow(one, FOUND)
+    return _met(shards, kept).groupBy("shard").applyInArrow(one, COUNTS)
 
 
 # ---- phrases ----------------------------------------------------------------------------------
 
 
-def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5) -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, shard: int = SHARD_POSITIONS, run: int = RUN_BLOCKS, counts: int = RANGE_COUNTS) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, size, f), (lang, n)): all phrases of 1 to `longest` words that occur `least` times or more, and all word counts."""
     tune(docs.sparkSession)
-    whole = materialize(build_shards(docs), "phrase-shards")
+    whole = materialize(build_shards(docs, shard, 2 * shard), "phrase-shards")
     totals = materialize(whole.groupBy("lang").agg(F.sum("n_words").alias("n")), "phrase-totals")
-    spans = max(1, -(-(totals.agg(F.sum("n")).first()[0] or 0) // RANGE_COUNTS))
-    kept = [materialize(frequent_names(count_shard_words(whole, spans), 1, least), "phrase-names")]
+    spans = max(1, -(-(totals.agg(F.sum("n")).first()[0] or 0) // counts))
+    kept = [materialize(frequent_words(count_shard_words(whole, spans), least), "phrase-numbers")]
     shards = materialize(keep_frequent_words(whole, kept[0]), "phrase-shards")
     delete_table(whole)
-    told = []
-    for size in range(2, longest + 2):
-        found = materialize(grow(shards, kept[1:], size, longest, spans), "phrase-counts")
-        told.append(found)
-        if size <= longest:
-            kept.append(materialize(frequent_names(found.where("names IS NOT NULL"), size, least), "phrase-names"))
+    for size in range(2, longest + 1):
+        kept.append(materialize(frequent_pairs(grow(shards, kept[1:], size, spans, run), size, least), "phrase-numbers"))
         release_shuffles(docs.sparkSession)
-    by_words = [t.where("phrase IS NOT NULL").select("lang", "phrase", F.lit(size).alias("size"), "n") for size, t in enumerate(told, 1)]
-    every = by_words[0]
-    for each in by_words[1:]:
-        every = every.unionByName(each)
-    phrases = materialize(every.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("f")).where(F.col("f") >= least), "phrases")
-    for table in (*told, *kept, shards):
+    spelled = [kept[0].where("number IS NOT NULL").select("lang", "number", "phrase", "size", "f")]
+    words = spelled[0].select(F.col("number").alias("word"), F.col("phrase").alias("last"))
+    for each in kept[1:]:
+        before = spelled[-1].select("lang", F.col("number").alias("prefix"), F.col("phrase").alias("begun"))
+        pairs = each.where("number IS NOT NULL").select("number", "prefix", "word", "size", "f").join(before, "prefix").join(words, "word")
+        spelled.append(materialize(pairs.select("lang", "number", F.concat_ws(" ", "begun", "last").alias("phrase"), "size", "f"), "phrases"))
+    for table in (*kept[1:], shards):
         delete_table(table)
-    return phrases, totals
+    every = spelled[0]
+    for each in spelled[1:]:
+        every = every.unionByName(each)
+    return every.drop("number"), totals
 
 
 def scored(phrases: DataFrame, totals: DataFrame) -> DataFrame:
@@ -423,11 +462,12 @@ def best(candidates: DataFrame, most: int = 2000) -> DataFrame:
     return some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= most).drop("part")
 
 
-def collocations(docs: DataFrame, least: int = 100, longest: int = 5, most: int = 2000) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 100, longest: int = 5, most: int = 2000, **bounds: int) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the best-scoring phrases of each language of docs (lang, text).
 
     Null and empty texts have no words, a null language is `und`. Rows that repeat count as often as they occur, other
-    columns are not read, ties go to the lesser phrase. An empty table, or one without frequent phrases, gives no rows.
+    columns are not read, ties go to the lesser phrase. An empty table, or one without frequent phrases, gives no rows. `bounds`
+    (shard, run, counts) set the sizes of frequent_phrases, not the result.
     """
-    phrases, totals = frequent_phrases(docs, least, longest)
+    phrases, totals = frequent_phrases(docs, least, longest, **bounds)
     return best(without_parts(scored(phrases, totals)), most).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -55,18 +55,16 @@ def test_against_brute_force(spark):
         assert found(collocations.collocations(frame(spark, rows).repartition(3), least, longest, most)) == brute(rows, least, longest, most)
 
 
-def test_many_small_shards(spark, monkeypatch):
-    """Shards closed in the middle of documents, runs of few blocks, many ranges of names: the same result."""
+def test_many_small_shards(spark):
+    """Shards closed in the middle of documents, runs of few blocks, many ranges of counts: the same result."""
     rows = texts(5, 40) + odd_rows()
-    want = brute(rows, 4, 5, 500)
-    for name, value in (("SHARD_POSITIONS", 50), ("OPEN_POSITIONS", 90), ("RUN_BLOCKS", 7), ("RANGE_COUNTS", 40)):
-        monkeypatch.setattr(collocations, name, value)
     small = collocations._Open()
     for _, text, *_ in rows:
         small.add((text or "").encode().lower().translate(collocations._CLEAN))
-    closed = list(small.closed())
+    closed = list(small.closed(50))
     assert len(closed) > 10 and sum(c[0] for c in closed) == sum(len(p) for _, t, *_ in rows for p in pieces(t))
-    assert found(collocations.collocations(frame(spark, rows), 4, 5, 500)) == want
+    assert collocations.build_shards(frame(spark, rows), 50, 90).count() > 10
+    assert found(collocations.collocations(frame(spark, rows), 4, 5, 500, shard=50, run=7, counts=40)) == brute(rows, 4, 5, 500)
 
 
 def test_bitmaps_shift_over_blocks_and_stop_at_gaps():
