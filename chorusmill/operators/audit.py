@@ -179,8 +179,9 @@ MANIFEST_TAG = "instagram_raw_manifest_v1"
 
 
 def access_columns(access: dict) -> dict[str, Column]:
-    """The access-control columns of a manifest from a checkpoint's section; absent values have their defaults."""
-    paced = {k: F.lit(access.get(k, v)).cast("double" if isinstance(v, float) else "int") for k, v in PACING.items()}
+    """The access-control columns of a manifest from a checkpoint's section; absent values have their defaults, counts that are null are 0."""
+    known = access | {k: access.get(k) or 0 for k in ("rate_limit_count", "rate_limit_level")}
+    paced = {k: F.lit(known.get(k, v)).cast("double" if isinstance(v, float) else "int") for k, v in PACING.items()}
     return paced | {k: F.lit(access.get(k)).cast("string") for k in ACCESS_STATES}
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identity
 from ..schemas import CANDIDATE_FIELDS
+from ..tables import written
 from . import audit, ingest, merge, relevance
 
 # Round sources, the share of candidates that a resumed run takes first, and reasons.
@@ -39,42 +40,56 @@ def ingest_run(
 
     Blocked captures give an audit but no rows. A hard target ends the run with the capture that reaches it. candidates
     (schemas.CANDIDATE_FIELDS, some or all; of a shortcode listed twice the last by `ord` counts) decide eligibility, replace
-    the audits' relevance and are audited themselves where they were never captured.
+    the audits' relevance and are audited themselves, once for each listing, where they were never captured. The captures are
+    read once; checked captures, unique rows and audits are written tables that all results read.
     """
-    automation = automation or {}
-    reports = audit.capture_reports(ingest.valid(captures))
-    open_ = ingest.valid(captures).join(reports.where("audit_status = 'BLOCKED'").select("ord"), "ord", "left_anti")
-    rows = ingest.comment_rows(open_, asins, query)
+    good = written(ingest.valid(captures), "captures")
+    rows = ingest.comment_rows(good, asins, query)
+    unique = written(ingest.dedupe(rows.where(ingest.is_valid_row())), "rows")
     if target and not soft:
-        fresh = rows.where(ingest.is_valid_row()).groupBy(ingest.key_digest().alias("key")).agg(F.min("ord").alias("ord"))
-        end = ingest.prefix_end(fresh.groupBy("ord").agg(F.count("*").alias("n")), "ord", "n", target)
-        within = lambda t: t.crossJoin(end).where(F.col("_end").isNull() | (F.col("ord") <= F.col("_end"))).drop("_end")
-        rows, reports = within(rows), within(reports)
-    unique = ingest.dedupe(rows.where(ingest.is_valid_row()))
-    audits = audit.latest_audits(reports).drop("ord", "place")
+        end = ingest.prefix_end(unique.groupBy("ord").agg(F.count("*").alias("n")), "ord", "n", target).first()[0]
+        if end is not None:
+            good = good.where(F.col("ord") <= end)
+            rows = ingest.comment_rows(good, asins, query)
+            unique = written(ingest.dedupe(rows.where(ingest.is_valid_row())), "rows")
+    counted = rows.agg(F.count("*").alias("raw"), F.count_if(~ingest.is_valid_row()).alias("invalid")).first()
+    reports = audit.capture_reports(good)
+    counts = (counted["raw"], counted["invalid"], counted["raw"] - counted["invalid"] - unique.count())
+    named = sorted({*(asins or []), *(known_asins or [])})
+    return assembled(unique, audit.latest_audits(reports).drop("place"), counts, candidates, named, target, soft, smoke, automation, audit.last_restriction(reports).first()[0])
+
+
+def assembled(
+    unique: DataFrame, audits: DataFrame, counts: tuple[int, int, int], candidates: DataFrame | None, asins: list[str],
+    target: int, soft: bool, smoke: bool, automation: dict | None, stop: str | None,
+) -> IngestRun:
+    """The tables of a run from its unique rows, its media's last reports (with ord), and its counts of raw, invalid and duplicate rows."""
+    automation = automation or {}
+    audits = audits.drop("ord")
     if candidates is None:
         listed = audits.select("media_id", F.lit(True).alias("eligible")).where("false")
     else:
+        if "deliverable_eligible" not in candidates.columns:
+            candidates = candidates.withColumn("deliverable_eligible", F.lit(None).cast("boolean"))
         listing = last_listed(candidates)
-        audits = audits.unionByName(audit.synthetic_audits(listing, audits), allowMissingColumns=True)
+        audits = audits.unionByName(audit.synthetic_audits(candidates, audits), allowMissingColumns=True)
         named = listing.withColumn("present", F.array(*(F.lit(c) for c in audit.REVIEWED if c in listing.columns)))
         audits = audit.reviewed(audits, named)
         listed = listing.select(F.col("shortcode").alias("media_id"), F.coalesce("deliverable_eligible", F.lit(False)).alias("eligible"))
     delivery = ingest.delivered(unique, listed)
-    audits = audit.finished(audits, delivery)
-    manifest = audit.manifest(
-        unique, delivery, audits, ingest.counters(rows), target=target, soft=soft, automation=automation.get("stop_reason"), checkpoint=audit.last_restriction(reports)
-    )
-    named_asins = sorted({*(asins or []), *(known_asins or [])})
-    return IngestRun(unique, delivery, audits, audit.manifest_record(manifest, named_asins, target=target, soft=soft, smoke=smoke, automation=automation))
+    audits = written(audit.finished(audits, delivery), "audits")
+    counters = unique.sparkSession.createDataFrame([counts], "raw_captured_count long, invalid_row_count long, technical_duplicate_count long")
+    manifest = audit.manifest(unique, delivery, audits, counters, target=target, soft=soft, automation=automation.get("stop_reason"), checkpoint=stop)
+    return IngestRun(unique, delivery, audits, audit.manifest_record(manifest, asins, target=target, soft=soft, smoke=smoke, automation=automation))
 
 
 def last_listed(candidates: DataFrame) -> DataFrame:
-    """One row per shortcode; blank shortcodes go."""
+    """One row per shortcode, the last by `ord`; blank shortcodes go. Without ord a shortcode that is listed twice is an error."""
     named = candidates.where(F.coalesce("shortcode", F.lit("")) != "")
+    at = F.col("ord") if "ord" in named.columns else F.lit(0)
+    last = named.groupBy("shortcode").agg(F.max_by(F.struct(*named.columns), at).alias("r"), F.count("*").alias("n"))
     if "ord" not in named.columns:
-        return named.dropDuplicates(["shortcode"])
-    last = named.groupBy("shortcode").agg(F.max_by(F.struct(*named.columns), "ord").alias("r"))
+        last = last.where(F.when(F.col("n") > 1, F.raise_error(F.lit("candidates listed twice need an ord"))).otherwise(F.lit(True)))
     return last.select("r.*")
 
 

@@ -5,12 +5,15 @@ The SQL builds the same captures row by row and repeats the rules on its own.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import identity, text
-from ..operators import audit, ingest, merge, relevance, run, state
+from ..operators import audit, ingest, merge, relevance, resume, run, state
 from ..schemas import CAPTURE_TAG, COMMENT
+from ..tables import shared_folder
 from .registry import query, table
 
 NO_TEXT = "array<string>"
@@ -207,6 +210,45 @@ def run_manifest(spark, d):
     )
 
 
+def _resumed(spark, d) -> run.IngestRun:
+    """Three runs into one state: each gets all captures so far, so what earlier runs had comes again; then the last one again."""
+    folder = f"{shared_folder(spark)}/chorusmill-run/state-{uuid.uuid4().hex}"
+    every = ingest.checked(captures(spark, d)).withColumn("fingerprint", F.sha2(F.col("ord").cast("string"), 256))
+    for upto in (0, 1, 2, 2):
+        done = resume.resume_ingest(every.where(F.col("ord") % 3 <= upto), folder, [OWN_ASIN], candidates=candidates(spark, d), buckets=8)
+    return done
+
+
+ARRIVED = KEYED.replace("ORDER BY key, c, pos", "ORDER BY key, c % 3, c, pos")
+
+
+@query(CAPTURES + ARRIVED + f""" SELECT u.c AS ord, u.pos, u.cid AS comment_id, u.author, md5(coalesce(u.body, '')) AS text_md5,
+ (SELECT string_agg(DISTINCT a, ',' ORDER BY a) FROM (SELECT 'B00000000' || (r.c % 3) AS a FROM rws r WHERE r.key = u.key AND r.ok UNION ALL SELECT '{OWN_ASIN}')) AS asins,
+ 'q' || (u.c % 4) || ',r' || (u.c % 5) || coalesce((SELECT ',' || string_agg(q, ',' ORDER BY first) FROM (SELECT 'q' || (r.c % 4) AS q, min(row(r.c % 3, r.c)) AS first
+  FROM rws r WHERE r.key = u.key AND r.ok AND r.c % 4 <> u.c % 4 GROUP BY 1)), '') AS queries FROM uniq u""")
+def resumed_rows(spark, d):
+    rows = _resumed(spark, d).rows
+    text_md5 = F.md5(F.coalesce("comment_text", F.lit("")).cast("binary"))
+    return rows.select(
+        F.substring_index("ord", "/", -1).cast("long").alias("ord"), F.col("pos").cast("long").alias("pos"), "comment_id", "author", text_md5.alias("text_md5"),
+        F.array_join("amazon_asins", ",").alias("asins"), F.array_join("matched_queries", ",").alias("queries"),
+    )
+
+
+@query(CAPTURES + ARRIVED + LISTED.replace("ORDER BY code, c DESC", "ORDER BY code, c % 3 DESC, c DESC") + """ SELECT media_id, tier, audit AS audit_status, mismatches, stop AS stop_reason, routes AS route_attempts, owner, eligible,
+ CASE WHEN NOT eligible AND rows_ > 0 THEN 'EXCLUDED_FROM_DELIVERABLE' ELSE status END AS collection_status, (SELECT count(*) FROM deliv WHERE deliv.code = media_id) AS final_rows,
+ (SELECT count(*) FROM rws) AS raw_rows, (SELECT count(*) FROM rws WHERE NOT ok) AS invalid_rows, (SELECT count(*) FROM rws WHERE ok) - (SELECT count(*) FROM uniq) AS duplicate_rows FROM fin""")
+def resumed_audits(spark, d):
+    done = _resumed(spark, d)
+    counts = done.manifest.select(F.col("raw_captured_count").alias("raw_rows"), F.col("invalid_row_count").alias("invalid_rows"), F.col("technical_duplicate_count").alias("duplicate_rows"))
+    long = lambda c: F.col(c).cast("long")
+    audits = done.audits.select(
+        "media_id", F.col("relevance_tier").alias("tier"), "audit_status", long("shortcode_mismatch_count").alias("mismatches"), "stop_reason", long("route_fallback_attempt_count").alias("route_attempts"),
+        F.col("media_owner").alias("owner"), F.col("deliverable_eligible").alias("eligible"), "collection_status", F.col("final_unique_comment_count").alias("final_rows"),
+    )
+    return audits.crossJoin(counts)  # one row on that side
+
+
 @query(CAPTURES + """, ck AS (SELECT cap.*, CASE WHEN c % 21 = 0 THEN 'N' || (c % 50) ELSE code END AS want, CASE WHEN c % 31 = 0 THEN NULL ELSE code END AS own FROM cap),
 ls AS (SELECT c, CASE link WHEN 'own' THEN 'M' || m WHEN 'other' THEN 'ZZ' END AS lc FROM com),
 es AS (SELECT ck.c, count(lc) FILTER (WHERE lc <> want OR lc <> coalesce(own, '')) AS bad, list(lc) AS codes, count(ls.c) AS said FROM ck LEFT JOIN ls USING (c) GROUP BY 1),

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import audit, ingest
+from ..operators import ingest, resume
 from ..schemas import CAPTURE
-from ..sources.captures import exists
 
 
 def capture_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
@@ -19,39 +18,25 @@ def capture_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -
 
 
 def run(spark: SparkSession, captures: str, state: str, asins: list[str] | None = None, query: str | None = None, files_per_batch: int = 100) -> None:
-    """Process what is new and stop. Tables under `state`: processed, rows (before dedupe, append only), reports.
+    """Process what is new into the ingest state under `state` (operators.resume) and stop.
 
-    Each batch writes under its own id, so a batch that is run again after a failure replaces itself. A copy of a
-    processed file under another name is skipped by its fingerprint. Readers dedupe with ingest.dedupe, whose order
-    is (ord, pos) = (batch and path, place), so the first arrival wins across batches.
+    Each batch is one run of the state. A batch that is run again after a failure finds its number committed, or repeats it
+    as a whole. A copy of a processed file under another name is skipped by its fingerprint. The first arrival of a row wins
+    across batches, and no reader dedupes again.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        batch = batch.withColumn("ord", F.concat(F.lpad(F.lit(number).cast("string"), 12, "0"), F.lit("/"), "path"))
-        done = processed(spark, state, before=number)
-        fresh = ingest.unseen(batch, done)
-        good = ingest.valid(ingest.checked(fresh)).persist()
-        try:
-            reports = audit.capture_reports(good)
-            blocked = reports.where("audit_status = 'BLOCKED'").select("ord")
-            rows = ingest.comment_rows(good.join(blocked, "ord", "left_anti"), asins, query)
-            for name, table in (("rows", rows), ("reports", reports), ("processed", fresh.select("ord", "fingerprint", "path"))):
-                table.write.mode("overwrite").parquet(f"{state}/{name}/batch={number}")
-        finally:
-            good.unpersist()
+        resume.resume_ingest(ingest.checked(batch.withColumn("ord", F.col("path"))), state, asins, query, batch=number)
 
     stream = capture_stream(spark, captures, files_per_batch)
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{state}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 
-def processed(spark: SparkSession, state: str, before: int | None = None) -> DataFrame:
-    if not exists(spark, f"{state}/processed"):
-        return spark.createDataFrame([], "ord string, fingerprint string, path string, batch int")
-    table = spark.read.parquet(f"{state}/processed")
-    return table if before is None else table.where(F.col("batch") < before)
+def processed(spark: SparkSession, state: str) -> DataFrame:
+    """(ord, fingerprint) of the captures processed so far."""
+    return resume.open_state(spark, state).processed()
 
 
 def unique_rows(spark: SparkSession, state: str) -> DataFrame:
-    """The deduplicated rows of everything processed so far."""
-    rows = spark.read.parquet(f"{state}/rows").drop("batch")
-    return ingest.dedupe(rows.where(ingest.is_valid_row()))
+    """The unique rows of everything processed so far."""
+    return resume.current_rows(resume.open_state(spark, state))
