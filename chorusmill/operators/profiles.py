@@ -175,9 +175,14 @@ def evidence_queries(profiles: DataFrame, media: DataFrame, comments: DataFrame,
 
 
 def query_stats(queries: DataFrame, candidates: DataFrame) -> DataFrame:
-    """posts_found (kept once set) and qualified_posts per query. candidates: shortcode, source_query, matched_queries, decision."""
+    """executed (null: false), posts_found (kept once set, 0 for a query that was never executed) and qualified_posts per query.
+
+    candidates: shortcode, source_query, matched_queries, decision. Without the column nothing was executed.
+    """
     named = F.array_distinct(F.concat(F.array("source_query"), F.coalesce("matched_queries", F.array().cast("array<string>"))))
     each = candidates.select("shortcode", "decision", F.explode(named).alias("query")).where("query IS NOT NULL")
     stats = each.groupBy("query").agg(F.count_distinct("shortcode").alias("_found"), F.count_distinct(F.when(F.col("decision") == "COLLECT", F.col("shortcode"))).alias("_good"))
-    out = queries.join(stats, "query", "left")
-    return out.withColumns({"posts_found": F.coalesce("posts_found", "_found", F.lit(0)), "qualified_posts": F.coalesce("_good", F.lit(0))}).drop("_found", "_good")
+    executed = F.coalesce("executed", F.lit(False)) if "executed" in queries.columns else F.lit(False)
+    out = queries.join(stats, "query", "left").withColumn("executed", executed)
+    found = F.when(F.col("executed"), F.coalesce("_found", F.lit(0))).otherwise(F.lit(0))
+    return out.withColumns({"posts_found": F.coalesce("posts_found", found), "qualified_posts": F.coalesce("_good", F.lit(0))}).drop("_found", "_good")

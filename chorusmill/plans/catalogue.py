@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import identity, text
-from ..operators import audit, ingest, merge, profiles, relevance, run, state
+from ..operators import audit, ingest, merge, profiles, relevance, run, state, threads
 from . import captures, rules  # noqa: F401 (registers its queries)
 from .registry import ORACLE_SQL, QUERIES, query
 from .registry import table as _t
@@ -358,12 +358,16 @@ def query_plan_expansion(spark, d):
 @query("""WITH cand AS (SELECT doc_id, source, lang, CASE WHEN l.quality = 1 THEN 'COLLECT' ELSE 'AUDIT_ONLY' END AS decision FROM documents d LEFT JOIN labels l USING (doc_id)),
 named AS (SELECT doc_id, decision, source AS q FROM cand UNION SELECT doc_id, decision, lang FROM cand),
 asked AS (SELECT DISTINCT source AS q FROM documents UNION SELECT DISTINCT lang FROM documents UNION SELECT 'nothing')
-SELECT a.q AS query, count(DISTINCT n.doc_id) AS posts_found, count(DISTINCT CASE WHEN n.decision = 'COLLECT' THEN n.doc_id END) AS qualified_posts FROM asked a LEFT JOIN named n USING (q) GROUP BY 1""")
+state AS (SELECT q, CASE length(q) % 3 WHEN 0 THEN true WHEN 1 THEN false END AS executed, CASE WHEN q LIKE '%7' THEN 77 END AS kept FROM asked)
+SELECT a.q AS query, coalesce(executed, false) AS executed, coalesce(any_value(kept), CASE WHEN executed THEN count(DISTINCT n.doc_id) ELSE 0 END) AS posts_found,
+ count(DISTINCT CASE WHEN n.decision = 'COLLECT' THEN n.doc_id END) AS qualified_posts FROM state a LEFT JOIN named n USING (q) GROUP BY 1, executed""")
 def query_stats(spark, d):
     docs, labels = _t(spark, d, "documents"), _t(spark, d, "labels").select("doc_id", "quality")
     cand = docs.join(labels, "doc_id", "left").select(F.col("doc_id").alias("shortcode"), F.col("source").alias("source_query"), F.array("lang").alias("matched_queries"), F.when(F.col("quality") == 1, "COLLECT").otherwise("AUDIT_ONLY").alias("decision"))
-    asked = docs.select(F.col("source").alias("query")).union(docs.select("lang")).union(spark.createDataFrame([("nothing",)], "query string")).distinct().withColumn("posts_found", F.lit(None).cast("long"))
-    return profiles.query_stats(asked, cand).select("query", "posts_found", "qualified_posts")
+    asked = docs.select(F.col("source").alias("query")).union(docs.select("lang")).union(spark.createDataFrame([("nothing",)], "query string")).distinct()
+    size = F.length("query") % 3
+    asked = asked.withColumns({"executed": F.when(size == 0, True).when(size == 1, False), "posts_found": F.when(F.col("query").endswith("7"), 77).cast("long")})
+    return profiles.query_stats(asked, cand).select("query", "executed", "posts_found", "qualified_posts")
 
 
 @query("""WITH m AS (SELECT d.doc_id, lower(text) AS low FROM documents d JOIN labels l USING (doc_id) WHERE l.quality = 1),
@@ -596,8 +600,7 @@ def incremental_skip(spark, d):
 UNION ALL SELECT c.conv_id, c.turn, t.depth + 1 FROM t JOIN conversations c ON c.conv_id = t.conv_id AND c.turn = t.turn + 1)
 SELECT conv_id, max(depth) AS depth, count(*) AS n FROM t GROUP BY 1""")
 def thread_tree(spark, d):
-    turns = _t(spark, d, "conversations").select("conv_id", "turn")
-    sql = """WITH RECURSIVE t AS (SELECT conv_id, min(turn) AS turn, 0 AS depth FROM {turns} GROUP BY 1
-      UNION ALL SELECT c.conv_id, c.turn, t.depth + 1 FROM t JOIN {turns} c ON c.conv_id = t.conv_id AND c.turn = t.turn + 1)
-      SELECT conv_id, max(depth) AS depth, count(*) AS n FROM t GROUP BY 1"""
-    return spark.sql(sql, turns=turns)
+    turns = _t(spark, d, "conversations").select(F.col("conv_id").alias("tree"), F.col("turn").alias("node"), (F.col("turn") - 1).alias("parent"))
+    first = turns.groupBy("tree").agg(F.min("node").alias("root"))
+    trees = threads.reply_trees(turns).join(first, ["tree", "root"])
+    return trees.groupBy(F.col("tree").alias("conv_id")).agg(F.max("depth").cast("int").alias("depth"), F.count("*").alias("n"))

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chorusmill.operators import profiles, relevance, run, state
+from chorusmill.operators import profiles, relevance, run, state, threads
 from chorusmill.schemas import PRODUCT
 from chorusmill.sources import captures as sources
 
@@ -68,9 +68,20 @@ def test_query_plans(spark):
 
 
 def test_query_stats_keep_first_found(spark):
-    q = spark.createDataFrame([("a", 7), ("b", None)], "query string, posts_found int")
-    c = spark.createDataFrame([("1", "a", ["a", "b"], "COLLECT"), ("2", "b", None, "AUDIT_ONLY")], "shortcode string, source_query string, matched_queries array<string>, decision string")
-    assert sorted((r["query"], r["posts_found"], r["qualified_posts"]) for r in profiles.query_stats(q, c).collect()) == [("a", 7, 1), ("b", 2, 1)]
+    q = spark.createDataFrame([("a", 7, False), ("b", None, True), ("c", None, None), ("d", None, False)], "query string, posts_found int, executed boolean")
+    c = spark.createDataFrame([("1", "a", ["a", "b"], "COLLECT"), ("2", "b", None, "AUDIT_ONLY"), ("3", "c", ["d"], "COLLECT")], "shortcode string, source_query string, matched_queries array<string>, decision string")
+    got = profiles.query_stats(q, c).orderBy("query").select("query", "executed", "posts_found", "qualified_posts").collect()
+    assert [tuple(r) for r in got] == [("a", False, 7, 1), ("b", True, 2, 1), ("c", False, 0, 1), ("d", False, 0, 1)]
+    assert {r["posts_found"] for r in profiles.query_stats(q.select("query", F.lit(None).cast("int").alias("posts_found")), c).collect()} == {0}
+
+
+def test_reply_trees(spark):
+    chain = [("t", str(k), str(k - 1) if k else None) for k in range(3000)]
+    odd = [("u", "a", "gone"), ("u", "b", "a"), ("u", "c", "d"), ("u", "d", "e"), ("u", "e", "c"), ("u", "f", "c"), ("u", "g", "g"), ("u", None, "a"), (None, "a", None), (None, "b", "a"), ("v", "b", "0")]
+    got = {(r["tree"], r["node"]): (r["depth"], r["root"]) for r in threads.reply_trees(spark.createDataFrame(chain + odd, "tree string, node string, parent string")).collect()}
+    want = {("t", str(k)): (k, "0") for k in range(3000)} | {("u", "a"): (0, "a"), ("u", "b"): (1, "a"), (None, "a"): (0, "a"), (None, "b"): (1, "a"), ("v", "b"): (0, "b")}
+    assert got == want | {("u", k): (None, None) for k in "cdefg"}
+    assert threads.reply_trees(spark.createDataFrame([], "tree string, node string, parent string")).count() == 0
 
 
 def test_cooldown_saturation_retry(spark):
