@@ -8,9 +8,12 @@ its path to the body is the threshold from which blocks outside it count as text
 elements by their sums. An article or main element around the core counts whole, so its headings and short
 sections stay, but has no part in the choice of the core but for ties. Elements that are furniture by tag,
 role, class or id never count. By form, fieldset, class and id that holds only where enough text stands
-outside them: wrappers of the text that is otherwise found nowhere on the page are no furniture. Within the
-core, lists of links (LINKS links or more that make up LINK_SHARE of an element's text) are menus and go, unless
-nothing else is left.
+outside them: wrappers of the text that is otherwise found nowhere on the page are no furniture; threads of comments
+only wrap where a main element or an h1 stands in them. In an article or main, a section with a heading and more text than
+links is no furniture for a class word that may be its subject. Within the core, lists of links (LINKS links or more that
+make up LINK_SHARE of an element's text) are menus and go, unless a heading introduces them or nothing else is left. The
+last h1 before a core without one belongs to the text with the block it stands in, and so do elements of the
+same kind as two chosen ones beside them, however short.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,10 +42,14 @@ FURNITURE_WORDS = frozenset(
 )
 #: Of these, parts that are often longer than the text itself.
 THREAD_WORDS = frozenset("comment comments commentlist disqus reply replies respond".split())
+#: Of these, words that may as well be what a section is about; and words beside `header` that make it a text's own.
+SUBJECT_WORDS = frozenset("related recommended recommendations search social share sharing notice notices menu navigation consent login promotion subscription signup widget toolbar pagination".split())
+TITLE_WORDS = frozenset("post entry article story content title".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An element that may be a wrapper is one if the text outside furniture is less than this share of its own; the second is
-#: for those with such an element, the third for those with thread words or without elements that have text.
-WRAPPER_SHARE, HEADED_SHARE, THREAD_SHARE = 0.5, 1.0, 0.02
-HEADED = frozenset("article main h1".split())
+#: for those with such an element, the third for those without elements that have text.
+WRAPPER_SHARE, HEADED_SHARE, BARE_SHARE = 0.5, 1.0, 0.02
+HEADED, THREAD_HEADED = frozenset("article main h1".split()), frozenset("main h1".split())
 #: What makes an element a list of links.
 LINKS, LINK_SHARE = 3, 0.9
 HEADERS = frozenset(("header",))
@@ -66,7 +74,10 @@ class _Tree:
         self.inner = [0]  # formatting and empty elements that stand directly in a node
         self.dead = [False]
         self.rooted = [False]
+        self.named = [""]  # class attributes
+        self.open: Counter[str] = Counter()  # how many elements of a name are open
         self.soft: dict[int, tuple[object, bool]] = {}  # nodes that may be furniture or wrappers: what makes them alike, thread words
+        self.subjects: list[int] = []  # of these, sections whose class words may be their subject
         self.runs: list[tuple[int, int, str, bool]] = []  # block number, node, text, in a link
         self.block = 0
 
@@ -127,12 +138,13 @@ class _Tree:
         closes = CLOSED_BY.get(name)
         if links or closes or self.tag[stack[-1]] == "p":
             while len(stack) > 1 and self.tag[stack[-1]] in ("a", "p"):
-                links = 0 if self.tag[stack.pop()] == "a" else links
+                links = 0 if self.tag[stack[-1]] == "a" else links
+                self._cut(stack, len(stack) - 1)
         if closes and name != "p":
             k = len(stack) - 1
             while k > 0 and self.tag[stack[k]] not in SCOPES:
                 if self.tag[stack[k]] in closes:
-                    del stack[k:]
+                    self._cut(stack, k)
                     break
                 k -= 1
         self._push(name, rest, stack)
@@ -144,8 +156,8 @@ class _Tree:
         dead = self.dead[up] or name in FURNITURE or (name in HEADERS and not rooted)
         alike: object = None
         words: set[str] = set()
+        named = ""
         if not dead and len(rest) > 1:
-            named = ""
             for key, *value in _ATTR.findall(rest):
                 key, text = key.lower(), "".join(value)
                 if key in ("class", "id"):
@@ -161,19 +173,28 @@ class _Tree:
                     dead = dead or name not in ("html", "body")
                 elif key == "style":
                     dead = dead or _HIDDEN.search(text) is not None
-            if name not in NEVER_FURNITURE and (not words.isdisjoint(FURNITURE_WORDS) or ("header" in words and not rooted)):
+            if name not in NEVER_FURNITURE and (not words.isdisjoint(FURNITURE_WORDS) or ("header" in words and not rooted and words.isdisjoint(TITLE_WORDS))):
                 alike = (name, named) if named else len(self.parent)
         if alike is None and name in WRAPPERS:
             alike = len(self.parent)
         if alike is not None and not dead:
             self.soft[len(self.parent)] = alike, not words.isdisjoint(THREAD_WORDS)
+            if name == "section" and self.rooted[up] and words & FURNITURE_WORDS <= SUBJECT_WORDS:
+                self.subjects.append(len(self.parent))
         self.parent.append(up)
         self.tag.append(name)
         self.inner.append(0)
         self.dead.append(dead)
         self.rooted.append(rooted)
+        self.named.append(named)
+        self.open[name] += 1
         stack.append(len(self.parent) - 1)
 
+    def _cut(self, stack: list[int], k: int) -> None:
+        for node in stack[k:]:
+            self.open[self.tag[node]] -= 1
+        del stack[k:]
+
     def _close(self, name: str, stack: list[int], links: int) -> int:
         if name in INLINE or name in VOID or name in ("html", "body"):
             if name == "br":
@@ -181,12 +202,14 @@ class _Tree:
             return links
         if name != "a":
             self.block += 1
+        if not self.open[name]:
+            return links
         for k in range(len(stack) - 1, 0, -1):
             tag = self.tag[stack[k]]
             if tag == name:
                 if any(self.tag[s] == "a" for s in stack[k:]):
                     links = 0
-                del stack[k:]
+                self._cut(stack, k)
                 break
             if name in ("a", "p") and tag not in ("a", "p"):
                 break
@@ -250,18 +273,31 @@ def _furniture(tree: _Tree) -> list[bool]:
     """Which nodes are furniture: of the elements that may be wrappers, those whose weighted text exceeds all text outside furniture are none."""
     n = len(tree.parent)
     wrappers: set[object] = set()
-    off = _off(tree, wrappers)
     if not tree.soft:
-        return off
-    own, headed, wraps = [0] * n, [tree.tag[k] in HEADED for k in range(n)], [False] * n
+        return _off(tree, wrappers)
+    own, linked_own, wraps = [0] * n, [0] * n, [False] * n
+    headed, named, titled = ([tree.tag[k] in tags for k in range(n)] for tags in (HEADED, THREAD_HEADED, HEADINGS))
     for _, node, text, linked in tree.runs:
-        own[node] += 0 if linked else len(text.strip())
-    within = list(own)
+        (linked_own if linked else own)[node] += len(text.strip())
+    within, linked_within = list(own), list(linked_own)
     for k in range(n - 1, 0, -1):
-        within[tree.parent[k]] += within[k]
-        headed[tree.parent[k]] |= headed[k]
-        wraps[tree.parent[k]] |= within[k] > 0
-    weight = {k: within[k] * (THREAD_SHARE if thread or not wraps[k] else HEADED_SHARE if headed[k] else WRAPPER_SHARE) for k, (_, thread) in tree.soft.items()}
+        up = tree.parent[k]
+        within[up] += within[k]
+        linked_within[up] += linked_within[k]
+        for flags in (headed, named, titled):
+            flags[up] |= flags[k]
+        wraps[up] |= within[k] > 0
+    for k in tree.subjects:
+        if titled[k] and within[k] > linked_within[k]:
+            del tree.soft[k]
+    off = _off(tree, wrappers)
+
+    def share(k: int, thread: bool) -> float:
+        if thread:
+            return HEADED_SHARE if named[k] else 0.0
+        return BARE_SHARE if not wraps[k] else HEADED_SHARE if headed[k] else WRAPPER_SHARE
+
+    weight = {k: within[k] * share(k, thread) for k, (_, thread) in tree.soft.items()}
     outside = sum(own[k] for k in range(n) if not off[k])
     for k in sorted(weight, key=lambda k: (-weight[k], k)):
         if off[k] and not off[tree.parent[k]] and weight[k] > outside:
@@ -272,8 +308,13 @@ def _furniture(tree: _Tree) -> list[bool]:
 
 
 def _menus(tree: _Tree, off: list[bool], path: set[int]) -> list[bool]:
-    """off, and the elements beside the path to the core whose text is that of links, and all in them."""
+    """off, and the elements beside the path to the core whose text is that of links, and all in them.
+
+    Paragraphs are none, and neither is what follows a heading at once.
+    """
     n = len(tree.parent)
+    before: dict[int, int] = {}
+    led = [False] * n  # whether a heading comes just before, in this element or one that begins with it
     chars, linked, links = [0] * n, [0] * n, [0] * n
     for _, node, text, in_link in tree.runs:
         if not off[node]:
@@ -288,11 +329,42 @@ def _menus(tree: _Tree, off: list[bool], path: set[int]) -> list[bool]:
         links[up] += links[k]
     out = list(off)
     for k in range(1, n):
-        menu = k not in path and links[k] >= LINKS and linked[k] >= LINK_SHARE * chars[k]
+        up = tree.parent[k]
+        if chars[k] and not off[k]:
+            led[k] = tree.tag[before[up]] in HEADINGS if up in before else led[up]
+            before[up] = k
+        menu = k not in path and links[k] >= LINKS and linked[k] >= LINK_SHARE * chars[k] and tree.tag[k] != "p" and not led[k]
         out[k] = out[k] or out[tree.parent[k]] or menu
     return out if any(not out[node] and text.strip() for _, node, text, _ in tree.runs) else off
 
 
+def _complete(tree: _Tree, off: list[bool], whole: list[int], inside: list[bool], core: int, path: set[int]) -> None:
+    """Adds to inside the title's block before the core, and what is alike to two chosen blocks beside it."""
+    n = len(tree.parent)
+    linked = [0] * n
+    for _, node, text, in_link in tree.runs:
+        linked[node] += len(text.strip()) if in_link and not off[node] else 0
+    for k in range(n - 1, 0, -1):
+        linked[tree.parent[k]] += linked[k]
+    text = [not off[k] and whole[k] > 0 and 2 * linked[k] <= whole[k] and tree.tag[k] != "a" for k in range(n)]
+    fresh = set()
+    titles = [k for k in range(n) if tree.tag[k] == "h1" and text[k]]
+    if not any(inside[k] for k in titles):
+        at = max((k for k in titles if k < core), default=0)
+        while at and tree.parent[at] not in path:
+            at = tree.parent[at]
+        if at and text[at]:
+            fresh.add(at)
+    kind = lambda k: (tree.parent[k], tree.tag[k], tree.named[k])
+    beside = [k for k in range(1, n) if tree.parent[k] in path and tree.named[k] and text[k]]
+    chosen = Counter(kind(k) for k in beside if inside[k])
+    fresh.update(k for k in beside if not inside[k] and chosen[kind(k)] >= 2)
+    for k in range(1, n):
+        inside[k] = inside[k] or k in fresh or tree.parent[k] in fresh
+        if inside[k] and tree.parent[k] in fresh:
+            fresh.add(k)
+
+
 def extract(page: str | None) -> str:
     """The main text: blocks in page order joined by one newline, white space in a block as one space."""
     if not page:
@@ -324,6 +396,7 @@ def extract(page: str | None) -> str:
             inside[k] = dens[k] >= threshold or (root and sums[k] >= threshold)
     for k in path:  # text that stands between the blocks of the path
         inside[k] = True
+    _complete(tree, off, whole, inside, core, on_path)
     out, last = [], -1
     off = _menus(tree, off, on_path | {densest})
     for block, node, text, _ in tree.runs:
