@@ -8,7 +8,8 @@ original; a given name keeps its gender, which all its mentions in the corpus de
 none tells. The same entity gets the same surrogate in the whole corpus, whatever its separators. An e-mail
 address is its domain, an entity of its own, and the box in it. A surrogate that another entity has, or that
 is itself an entity of the corpus, is drawn anew for the later entity until all are distinct; draws get longer
-where formats allow, so there is always another one. Texts are cut at their entities and put together with
+where formats allow, so there is always another one. In a document that names a person, each of the name's parts that
+stands alone elsewhere is a mention of that person and gets the same surrogate. Texts are cut at their entities and put together with
 the surrogates; texts without entities are passed through and never move.
 """
 
@@ -47,32 +48,46 @@ HAN_TITLES = "先生|女士|小姐"
 FEMALE_TITLES = "Mrs Ms Miss Madame Mme Mlle Frau Fräulein Señora Sra Señorita Госпожа".split()
 MALE_TITLES = "Mr Monsieur Herr Señor Sr Господин".split()
 OTHER_TITLES = "Dr Prof".split()
+#: Further given names that are looked for (fixed values); their gender is told by titles only.
+MORE_GIVEN = (
+    "Olga Natasha Ivan Dmitri Sergei Alexei Nikolai Aisha Fatima Leila Amina Omar Ahmed Hassan Yusuf Ibrahim Mohammed Muhammad Karim Tariq Priya Anjali Lakshmi Arjun Ravi Sanjay Rahul Vikram "
+    "Kenji Hiroshi Yuki Akira Sakura Haruto Wei Ming Mei Xiaoming Nguyen Linh Kwame Chidi Ngozi Amara Giulia Matteo Luca Francesca Chiara Elodie Camille Margaux Thierry Olivier Benoit "
+    "Jürgen Günter Heike Ingrid Astrid Sven Björn Ewa Agnieszka Katarzyna Piotr Tomasz Zofia Joana Rodrigo Thiago Beatriz Fernanda Guillermo Alejandro Javier Raquel Elizabeth William Richard "
+    "Joseph Charles Christopher Matthew Anthony Andrew Joshua Kenneth Kevin Brian George Timothy Ronald Edward Jeffrey Jacob Nicholas Jonathan Stephen Patricia Jennifer Barbara Margaret Lisa "
+    "Nancy Betty Sandra Ashley Kimberly Donna Michelle Carol Amanda Melissa Deborah Stephanie Rebecca Sharon Cynthia Kathleen Angela Nicole Samantha Katherine Christine Rachel Catherine"
+).split()
+#: Words between a title or given name and a surname (fixed values).
+PARTICLES = "de la|de las|de los|de|del|della|di|da|dos|du|van der|van den|van|von der|von|zu|der|ter|ten|la|le|bin|ibn|al|el"
 
 _LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _CYRILLIC_LOWER, _CYRILLIC_UPPER = "абвгдежзиклмнопрстуфхцчшэюя", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ"
 _GREEK_LOWER, _GREEK_UPPER = "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"
 
 TITLES = [*FEMALE_TITLES, *MALE_TITLES, *OTHER_TITLES]
-GIVEN = [*FEMALE, *MALE, *FEMALE_CYRILLIC, *MALE_CYRILLIC]
+GIVEN = [*FEMALE, *MALE, *FEMALE_CYRILLIC, *MALE_CYRILLIC, *MORE_GIVEN]
 _TITLES, _TITLES_UPPER = "|".join(TITLES), "|".join(t.upper() for t in TITLES)
 #: Given names that need no title before them: all listed ones, as a capitalised word must follow.
 _GIVEN, _GIVEN_UPPER = "|".join(GIVEN), "|".join(g.upper() for g in GIVEN)
-_NAME = r"\p{Lu}[\p{Ll}\p{M}]+(?:[-'’]\p{Lu}[\p{Ll}\p{M}]+)*+"
+#: A name may have capitals inside (McDonald) or begin with one letter (O'Brien).
+_NAME = r"\p{Lu}(?:[\p{Ll}\p{M}]++|(?=['’]\p{Lu}\p{Ll}))(?:[-'’]?\p{Lu}[\p{Ll}\p{M}]++)*+"
+_AHEAD = rf"(?:(?:{PARTICLES}) )?\p{{Lu}}"
 _CAPS = r"\p{Lu}{2,}+(?:[-'’]\p{Lu}{2,}+)*+"
 
 #: Entity types in the order in which the pattern tries them. Each begins at a border, so a run is scanned once.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}](?:[\p{L}\p{N}-]*+)\.)+[\p{L}]{2,}+",
-    "key": r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|gh[opsu]_[0-9A-Za-z]{36,255}+|sk-[0-9A-Za-z_-]{20,255}+|xox[abprs]-[0-9A-Za-z-]{10,255}+)(?![0-9A-Za-z])",
+    "key": r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|gh[opsu]_[0-9A-Za-z]{36,}+|sk-[0-9A-Za-z_-]{20,}+|xox[abprs]-[0-9A-Za-z-]{10,}+)(?![0-9A-Za-z])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}+(?: ?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
-    "ip6": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
-    "secret": r"(?<![0-9A-Za-z])(?=[0-9A-Fa-f]{32})(?:(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{32,128}+|(?=[0-9A-F]*\d)(?=[0-9A-F]*[A-F])[0-9A-F]{32,128}+)(?![0-9A-Za-z])",
+    # whole, or with :: for a run of zeros, two groups and a digit at least
+    "ip6": r"(?<![0-9A-Za-z:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]*\d)[0-9A-Fa-f]{2,4}(?::[0-9A-Fa-f]{1,4}){0,5}::(?:[0-9A-Fa-f]{1,4}:){0,5}[0-9A-Fa-f]{1,4})(?![0-9A-Za-z:])",
+    "secret": r"(?<![0-9A-Za-z])(?=[0-9A-Fa-f]{32})(?:(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{32,}+|(?=[0-9A-F]*\d)(?=[0-9A-F]*[A-F])[0-9A-F]{32,}+)(?![0-9A-Za-z])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\p{L}\d])\d(?:[ -]?\d){12,18}+(?![\p{L}\d])",
-    "phone": r"(?<![\p{L}\d+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[-. ]\d{4}|\d{3}[-.]\d{3}[-.]\d{4})(?![\p{L}\d])",
+    "phone": r"(?<![\p{L}\d+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[-. ]\d{4}|\d{3}[-.]\d{3}[-.]\d{4}|0\d{2,4}[ -]\d{6,8}|0\d{2,4}[ -]\d{3,4}[ -]\d{3,4})(?![\p{L}\d])",
     # a capitalised word before another one, which is looked at first
-    "person": rf"(?<![\p{{L}}\p{{N}}])(?=\p{{Lu}}\p{{L}}*+\.? \p{{Lu}})(?:(?:(?:{_TITLES})\.? )+{_NAME}(?: {_NAME}){{0,2}}|(?:{_GIVEN}) {_NAME}(?: {_NAME})?"
+    "person": rf"(?<![\p{{L}}\p{{N}}])(?=\p{{Lu}}\p{{L}}*+\.? {_AHEAD})(?:(?:(?:{_TITLES})\.? )+(?:\p{{Lu}}\. ?)*+(?:(?:{PARTICLES}) )?{_NAME}(?: (?:(?:{PARTICLES}) )?{_NAME}){{0,2}}"
+    rf"|(?:{_GIVEN}) (?:\p{{Lu}}\. )*+(?:(?:{PARTICLES}) )?{_NAME}(?: {_NAME})?"
     # in capitals: after a title, or a listed name and one word that stand alone among other text
     rf"|(?:(?:{_TITLES_UPPER})\.? )+{_CAPS}(?: {_CAPS})?|(?<!\p{{Lu}}\p{{Lu}} )(?:{_GIVEN_UPPER}) {_CAPS}(?! \p{{Lu}}{{2}}))(?![\p{{L}}\p{{N}}])",
     "han": rf"[{HAN_SURNAMES}]\p{{IsHan}}{{0,2}}?(?:{HAN_TITLES})",
@@ -81,7 +96,11 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every entity has; texts without it are not scanned further. Names begin with a capital, which is looked at first.
 MARKS = "[@0-9]"
 RARE_MARKS = ["AKIA", "gho_", "ghp_", "ghs_", "ghu_", "sk-", "xox", *HAN_TITLES.split("|")]
-NAME_MARK = rf"[A-ZА-Я](?<=(?<![\p{{L}}\p{{N}}]).)(?=\p{{L}}*+\.? \p{{Lu}})(?<=(?=(?:{_TITLES}|{_GIVEN}|{_TITLES_UPPER}|{_GIVEN_UPPER})[. ]).)"
+NAME_MARK = rf"[A-ZА-Я](?<=(?<![\p{{L}}\p{{N}}]).)(?=\p{{L}}*+\.? {_AHEAD})(?<=(?=(?:{_TITLES}|{_GIVEN}|{_TITLES_UPPER}|{_GIVEN_UPPER})[. ]).)"
+#: Redraws after which the table is written as a whole; and how many collisions may be sent to every task.
+REDRAWS_A_TABLE, FEW_COLLISIONS = 8, 10_000
+#: Borders of capitalised words, names with hyphens and apostrophes as one.
+WORD_BORDERS = r"(?<![\p{L}\p{M}\p{N}])(?<![\p{L}\p{M}][-'’])(?=\p{Lu})|(?<=[\p{L}\p{M}])(?![\p{L}\p{M}\p{N}])(?![-'’]\p{Lu})"
 #: Beyond how many mentions, or which share of all, an entity is hot: its surrogate is broadcast. No more than 1 / HOT_SHARE are.
 HOT_MENTIONS, HOT_SHARE = 50_000, 1e-4
 
@@ -261,7 +280,8 @@ def _parts(kind: Column, value: Column) -> Column:
         return F.concat(F.array(head), rest)
 
     box = F.array(entry(F.lit("mailbox"), value, none), entry(F.lit("domain"), _domain(value), none))
-    names = F.filter(words, lambda w: ~bare(w).isin(of(TITLES)))
+    # particles and initials stay as they are
+    names = F.filter(words, lambda w: w.rlike(r"^\p{Lu}[^.]") & ~bare(w).isin(of(TITLES)))
     return F.when(kind == "person", _let(names, person)).when(kind == "email", box).otherwise(F.array(entry(kind, value, none)))
 
 
@@ -291,6 +311,7 @@ def surrogate_table(found: DataFrame, key: str) -> DataFrame:
     told = spelled.where("f OR m").groupBy("type", "norm").agg(F.when(F.bool_and(~F.col("m")), "female").when(F.bool_and(~F.col("f")), "male").otherwise("").alias("gender"))
     spelled = spelled.select("type", "value", "norm", "mentions").join(told, ["type", "norm"], "left").withColumns({"gender": F.coalesce("gender", F.lit("")), "attempt": F.lit(0)})
     table = materialize(_spread(spelled).withColumn("surrogate", _surrogate(key)), "surrogates")
+    written = [table]
     boxed = F.col("type") == "mailbox"
     while True:
         # boxes are told apart within their domain, whose surrogate is none of the corpus
@@ -304,11 +325,15 @@ def surrogate_table(found: DataFrame, key: str) -> DataFrame:
         again = materialize(twice.unionByName(used).unionByName(kept).distinct(), "collisions")
         if again.isEmpty():
             return table.select("type", "value", "surrogate", "mentions")
-        redo = table.join(again.withColumn("redo", F.lit(1)), ["type", "norm"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("redo", F.lit(0)))
-        fresh = F.when(F.col("redo") == 1, _surrogate(key)).otherwise(F.col("surrogate"))
-        before, table = table, materialize(redo.withColumn("surrogate", fresh).drop("redo"), "surrogates")
-        delete_table(before)
-        delete_table(again)
+        # only what is drawn anew is written anew
+        redo = materialize(table.join(again, ["type", "norm"], "left_semi").withColumn("attempt", F.col("attempt") + 1).withColumn("surrogate", _surrogate(key)), "surrogates")
+        table = table.join(F.broadcast(again) if again.count() < FEW_COLLISIONS else again, ["type", "norm"], "left_anti").unionByName(redo)
+        written.append(redo)
+        if len(written) > REDRAWS_A_TABLE:
+            whole = materialize(table, "surrogates")
+            for each in written:
+                delete_table(each)
+            table, written = whole, [whole]
 
 
 def _with_surrogates(parts: DataFrame, table: DataFrame) -> DataFrame:
@@ -323,8 +348,14 @@ def _with_surrogates(parts: DataFrame, table: DataFrame) -> DataFrame:
     return ready.unionByName(rest)
 
 
-def _assembled(text: Column, replaced: Column) -> Column:
-    pieces = F.split(text, ANY, -1)
+def _mentions(piece: Column, names: Column) -> Column:
+    """A text's capitalised words that are name parts of its persons (map names), replaced like these."""
+    words = F.transform(F.split(piece, WORD_BORDERS, -1), lambda w: F.coalesce(F.try_element_at(names, w), w))
+    return F.when(names.isNull() | ~piece.rlike(r"\p{Lu}"), piece).otherwise(F.array_join(words, ""))
+
+
+def _assembled(text: Column, replaced: Column, names: Column) -> Column:
+    pieces = F.transform(F.split(text, ANY, -1), lambda p: _mentions(p, names))
     return F.array_join(F.zip_with(pieces, replaced, lambda p, r: F.concat(F.coalesce(p, F.lit("")), F.coalesce(r, F.lit("")))), "")
 
 
@@ -343,13 +374,17 @@ def replace_entities(docs: DataFrame, key: str = "corpus-key-1") -> DataFrame:
     table = surrogate_table(dirty.select(F.col(mark("found")).alias("found")), key)
     each = dirty.select(F.col(mark("row")).alias("row"), F.posexplode(mark("found")).alias("place", "entity")).withColumn("kind", _entity_type(F.col("entity")))
     parts = each.select("row", "place", "kind", "entity", F.posexplode(_parts(F.col("kind"), F.col("entity"))).alias("at", "p")).select("row", "place", "kind", "entity", "at", "p.*")
-    drawn = _with_surrogates(parts.drop("gender"), table).groupBy("row", "place", "kind", "entity").agg(F.array_sort(F.collect_list(F.struct("at", "value", "surrogate"))).alias("names"))
+    ready = _with_surrogates(parts.drop("gender"), table)
+    drawn = ready.groupBy("row", "place", "kind", "entity").agg(F.array_sort(F.collect_list(F.struct("at", "value", "surrogate"))).alias("names"))
     # a person's words are replaced one by one, titles stay
     words = F.transform(F.split("entity", " "), lambda w: F.coalesce(F.get(F.filter("names", lambda x: x["value"] == w), F.lit(0))["surrogate"], w))
     only = F.col("names")[0]["surrogate"]
     mail = F.concat(only, F.lit("@"), F.col("names")[1]["surrogate"], F.regexp_extract("entity", r"\.[^.]+$", 0))
     spelled = F.when(F.col("kind") == "person", F.array_join(words, " ")).when(F.col("kind") == "email", mail).otherwise(only)
+    # a document's later mentions of a person by one name
+    known = ready.where("kind = 'person'").groupBy("row", "value").agg(F.min_by("surrogate", F.struct("place", "at")).alias("surrogate"))
+    known = known.groupBy(F.col("row").alias(mark("row"))).agg(F.map_from_entries(F.collect_list(F.struct("value", "surrogate"))).alias(mark("names")))
     rows = drawn.select("row", "place", "kind", spelled.alias("surrogate")).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("place", "surrogate"))).alias("s"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
-    joined = dirty.join(rows.select(F.col("row").alias(mark("row")), F.col("s").alias(mark("s")), F.col("kinds").alias(mark("kinds"))), mark("row"))
-    done = joined.withColumn("text", _assembled(text, F.transform(mark("s"), lambda x: x["surrogate"]))).withColumns({"n_entities": F.size(mark("found")), "entity_types": F.col(mark("kinds"))})
+    joined = dirty.join(rows.select(F.col("row").alias(mark("row")), F.col("s").alias(mark("s")), F.col("kinds").alias(mark("kinds"))), mark("row")).join(known, mark("row"), "left")
+    done = joined.withColumn("text", _assembled(text, F.transform(mark("s"), lambda x: x["surrogate"]), F.col(mark("names")))).withColumns({"n_entities": F.size(mark("found")), "entity_types": F.col(mark("kinds"))})
     return clean.unionByName(done.select(*clean.columns))

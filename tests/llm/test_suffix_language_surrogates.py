@@ -231,6 +231,7 @@ def twin(texts, key):
 
     g = surrogates
     plain = lambda p: p.replace(r"\p{Is", r"\p{")
+    token = regex.compile(r"(?<![\p{L}\p{M}\p{N}])(?<![\p{L}\p{M}][-'’])\p{Lu}[\p{L}\p{M}]*+(?:[-'’]\p{Lu}[\p{L}\p{M}]*+)*+(?![\p{N}])")
     kinds = {k: regex.compile(plain(p)) for k, p in g.PATTERNS.items()}
     whole = regex.compile(plain(g.ANY))
     sha = lambda *parts, by: hashlib.sha256(by.join(parts).encode()).hexdigest()
@@ -316,7 +317,7 @@ def twin(texts, key):
         if kind != "person":
             return [(kind, value, "")]
         bare = [w.removesuffix(".").lower() for w in value.split(" ")]
-        names = [w for w, b in zip(value.split(" "), bare, strict=True) if b not in low(g.TITLES)]
+        names = [w for w, b in zip(value.split(" "), bare, strict=True) if b not in low(g.TITLES) and regex.match(r"\p{Lu}[^.]", w)]
         gender = ""
         for tested, told, of in ((bare, "female", low(g.FEMALE_TITLES)), (bare, "male", low(g.MALE_TITLES)), ([names[0].lower()], "female", low(g.FEMALE, g.FEMALE_CYRILLIC)), ([names[0].lower()], "male", low(g.MALE, g.MALE_CYRILLIC))):
             gender = gender or (told if set(tested) & of else "")
@@ -355,7 +356,50 @@ def twin(texts, key):
             return " ".join(new.get(w, w) for w in v.split(" "))
         return f"{new[v]}@{list(new.values())[1]}.{v.rsplit('.', 1)[1]}" if kind == "email" else new[v]
 
-    return [None if t is None else whole.sub(lambda m: replaced(m[0]), t) for t in texts]
+    def written(t):
+        names = {}
+        for m in whole.finditer(t):
+            if kind_of(m[0]) == "person":
+                for k, value, _ in parts_of("person", m[0]):
+                    names.setdefault(value, table[(k, value)][2])
+        out, at = [], 0
+        for m in [*whole.finditer(t), None]:
+            between = t[at : m.start() if m else len(t)]
+            out += [token.sub(lambda w: names.get(w[0], w[0]), between), replaced(m[0]) if m else ""]
+            at = m.end() if m else at
+        return "".join(out)
+
+    return [None if t is None else written(t) for t in texts]
+
+
+#: Lines with what must not be left of them.
+LABELLED = [
+    ("Mr McDonald said", ["McDonald"]), ("Mr O'Brien said", ["O'Brien", "Brien"]), ("Ms de la Cruz said", ["Cruz"]), ("Mr. J. Smith said", ["Smith"]), ("Dr. J.R. Smith said", ["Smith"]), ("Frau von der Leyen kam", ["Leyen"]),
+    ("then Olga Petrova came", ["Olga", "Petrova"]), ("she met Aisha Khan", ["Aisha", "Khan"]), ("at 2001:db8::1 today", ["2001:db8::1"]), ("fe80::1ff:fe23:4567:890a", ["fe23"]), ("call 07911 123456", ["07911", "123456"]),
+    ("Alice Smith met Bob. Smith said hi to Alice.", ["Alice", "Smith"]), ("Mr Jones-Baker: Jones-Baker's house", ["Jones", "Baker"]), ("f" * 31 + "0" * 200, ["fff"]), ("ghp_" + "a1" * 200, ["a1a1"]), ("sk-" + "b2" * 300, ["b2b2"]), ("xoxb-" + "12-c" * 100, ["12-c"]),
+    ("Госпожа Иванова пришла. Иванова ушла.", ["Иванова"]),
+]
+
+
+def test_hand_labelled_lines(spark):
+    docs = spark.createDataFrame([(k, t, None, None, None) for k, (t, _) in enumerate(LABELLED)], SCHEMA)
+    got = {r["doc_id"]: r for r in surrogates.replace_entities(docs).collect()}
+    for k, (_, gone) in enumerate(LABELLED):
+        assert got[k]["n_entities"] >= 1 and not any(g in got[k]["text"] for g in gone), got[k]["text"]
+
+
+def test_lines_without_people_stay(spark):
+    texts = ["std::vector and ab::cd", "Version 1::2 of it", "The Smith family has no title here", "de la Cruz", "a 012 345 c", "Will Mark come? Mr. a", "Mr", "Mc Donald O' Brien"]
+    docs = spark.createDataFrame([(k, t, None, None, None) for k, t in enumerate(texts)], SCHEMA)
+    assert [r["text"] for r in surrogates.replace_entities(docs).orderBy("doc_id").collect()] == texts
+
+
+def test_later_mentions_stay_with_their_document(spark):
+    texts = ["Mrs Alice Smith came. Alice sat; Smith, ALICE, Smithson and non-Smith did not.", "Smith and Alice alone", "Mr Smith here. Smith there."]
+    docs = spark.createDataFrame([(k, t, None, None, None) for k, t in enumerate(texts)], SCHEMA)
+    got = [r["text"] for r in surrogates.replace_entities(docs).orderBy("doc_id").collect()]
+    given, surname = re.match(r"Mrs (\w+) (\w+) came", got[0]).groups()
+    assert got[0] == f"Mrs {given} {surname} came. {given} sat; {surname}, ALICE, Smithson and non-Smith did not." and got[1] == texts[1] and got[2] == f"Mr {surname} here. {surname} there."
 
 
 def test_surrogates_against_plain_python(spark):
