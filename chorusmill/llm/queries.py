@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cap_filters, collocations, gif, html_text, hyperminhash, language_id, licences, packing, pieces, simple8b, spelling, suffix_dedup, surrogates
+from . import cap_filters, collocations, gif, html_text, hyperminhash, language_id, licences, oracle, packing, pieces, simple8b, spelling, suffix_dedup, surrogates
 from .common import documents, tune
 from .tokens import vocabulary_path
 
@@ -80,4 +80,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_licences": op13_licences,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = dict(oracle.ORACLE_SQL)
