@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean, words
+from ..tables import written
 
 # Fixed values of the profile rules.
 FUNCTIONS = ["joint mobility", "joint health", "pain relief", "skin care", "oral care", "slow down eating", "slower eating", "longer mealtime", "puzzle enrichment", "non-slip feeding", "easy to clean"]
@@ -145,10 +146,11 @@ def evidence_queries(profiles: DataFrame, media: DataFrame, comments: DataFrame,
     p = profiles.select("profile_ord", "asin", anchor.alias("anchor"), own.alias("tokens"))
     good = media.where(F.col("relevance_tier").isin("HIGH", "MEDIUM") & F.col("deliverable_eligible"))
     asins = F.coalesce("matched_asins", F.array().cast("array<string>"))
-    # media without ASINs go with every profile: the profiles come along as one row, an array of a run's products
-    every = p.agg(F.collect_list(F.struct(*p.columns)).alias("_p"))
-    alone = good.where(F.size(asins) == 0).drop("matched_asins").crossJoin(every).withColumn("_p", F.explode("_p")).select("*", "_p.*").drop("_p")  # one row on that side
-    pairs = good.where(F.size(asins) > 0).select("*", F.explode(F.array_distinct(asins)).alias("asin")).drop("matched_asins").join(p, "asin").unionByName(alone)
+    # media without ASINs go with every profile: the profiles' ASINs come along as one row, an array of a run's products
+    every = p.agg(F.collect_set("asin").alias("_every"))
+    named = F.when(F.size(asins) > 0, F.array_distinct(asins)).otherwise(F.col("_every"))
+    pairs = good.crossJoin(every).select(*(c for c in media.columns if c != "matched_asins"), F.explode(named).alias("asin"))  # one row on that side
+    pairs = written(pairs.join(p, "asin"), "evidence")  # both kinds of evidence read it
     caption = F.lower(F.coalesce("caption", F.lit("")))
     phrases = F.filter(_strings(CAPTION_PHRASES), lambda t: F.contains(caption, t))
     tags = F.filter(F.coalesce("hashtags", F.array().cast("array<string>")), lambda t: F.exists("tokens", lambda k: F.contains(F.regexp_replace(F.lower(t), "[^a-z0-9]+", ""), k)))

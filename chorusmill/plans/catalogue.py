@@ -357,10 +357,10 @@ def query_plan_expansion(spark, d):
 
 @query("""WITH cand AS (SELECT doc_id, source, lang, CASE WHEN l.quality = 1 THEN 'COLLECT' ELSE 'AUDIT_ONLY' END AS decision FROM documents d LEFT JOIN labels l USING (doc_id)),
 named AS (SELECT doc_id, decision, source AS q FROM cand UNION SELECT doc_id, decision, lang FROM cand),
-asked AS (SELECT DISTINCT source AS q FROM documents UNION SELECT DISTINCT lang FROM documents UNION SELECT 'nothing')
-state AS (SELECT q, CASE length(q) % 3 WHEN 0 THEN true WHEN 1 THEN false END AS executed, CASE WHEN q LIKE '%7' THEN 77 END AS kept FROM asked)
+asked AS (SELECT DISTINCT source AS q FROM documents UNION SELECT DISTINCT lang FROM documents UNION SELECT 'nothing'),
+spent AS (SELECT q, CASE length(q) % 3 WHEN 0 THEN true WHEN 1 THEN false END AS executed, CASE WHEN q LIKE '%7' THEN 77 END AS kept FROM asked)
 SELECT a.q AS query, coalesce(executed, false) AS executed, coalesce(any_value(kept), CASE WHEN executed THEN count(DISTINCT n.doc_id) ELSE 0 END) AS posts_found,
- count(DISTINCT CASE WHEN n.decision = 'COLLECT' THEN n.doc_id END) AS qualified_posts FROM state a LEFT JOIN named n USING (q) GROUP BY 1, executed""")
+ count(DISTINCT CASE WHEN n.decision = 'COLLECT' THEN n.doc_id END) AS qualified_posts FROM spent a LEFT JOIN named n USING (q) GROUP BY 1, executed""")
 def query_stats(spark, d):
     docs, labels = _t(spark, d, "documents"), _t(spark, d, "labels").select("doc_id", "quality")
     cand = docs.join(labels, "doc_id", "left").select(F.col("doc_id").alias("shortcode"), F.col("source").alias("source_query"), F.array("lang").alias("matched_queries"), F.when(F.col("quality") == 1, "COLLECT").otherwise("AUDIT_ONLY").alias("decision"))
@@ -386,6 +386,60 @@ def evidence_queries(spark, d):
     return q.select("query", F.col("evidence_shortcodes")[0].cast("long").alias("first_doc"), "priority")
 
 
+ASKED_BEFORE = ["Anchor Bowl DRY food", "worthless bowl anchor"]
+
+
+@query(f"""WITH p(po, asin, anchor) AS (VALUES (0, 'X', 'Anchor Bowl'), (1, 'Y', 'Other Dish')),
+pair AS (SELECT doc_id, lower(coalesce(text, '')) AS low, p.* FROM documents JOIN p ON CASE doc_id % 3 WHEN 0 THEN asin = 'X' WHEN 1 THEN asin = 'Y' ELSE true END WHERE doc_id % 5 < 4 AND doc_id % 7 <> 0),
+terms AS (SELECT *, list_filter(['licensed under', 'worthless', 'trash'], lambda t: contains(low, t)) AS found, CASE doc_id % 4 WHEN 0 THEN ['wet food', 'dry food'] WHEN 1 THEN ['gobbles'] ELSE [] END AS said FROM pair),
+sig AS (SELECT po, asin, anchor, doc_id, doc_id AS ord, 0 AS kind, 'rendered_caption' AS name, unnest(said) AS signal, generate_subscripts(said, 1) AS place, NULL AS cid FROM terms
+ UNION ALL SELECT po, asin, anchor, doc_id, doc_id, 1, 'rendered_media', unnest(found), generate_subscripts(found, 1), NULL FROM terms
+ UNION ALL SELECT po, asin, anchor, doc_id, doc_id, 2, 'rendered_hashtag', 'anchor fan' || doc_id % 3, 1, NULL FROM terms WHERE po = 0
+ UNION ALL SELECT po, asin, anchor, doc_id, doc_id, 3, 'verified_comment', unnest(['chew marks ' || doc_id % 2, 'ok', 'bowl']), generate_subscripts([1, 2, 3], 1), 'c' || doc_id FROM terms WHERE doc_id % 6 IN (0, 1)),
+q AS (SELECT *, anchor || ' ' || signal AS query FROM sig WHERE length(signal) >= 4 AND NOT contains(lower(anchor), signal) AND NOT contains(signal, lower(anchor))),
+g AS (SELECT *, list_sort(list_filter(regexp_extract_all(lower(query), '[A-Za-z0-9][A-Za-z0-9+.-]*'), lambda w: length(w) > 2 AND NOT list_contains({_q(text.STOP_WORDS)}, w))) AS sign FROM q),
+one AS (SELECT DISTINCT ON (sign) * FROM g ORDER BY sign, po, kind, ord, place),
+new AS (SELECT * FROM one WHERE lower(query) NOT IN ('anchor bowl dry food', 'worthless bowl anchor') AND sign NOT IN (['anchor', 'bowl', 'dry', 'food'], ['anchor', 'bowl', 'worthless']))
+SELECT query, asin, name AS evidence_kind, doc_id::VARCHAR AS shortcode, coalesce(cid, '') AS comment_id, 67 - row_number() OVER (ORDER BY po, kind, ord, place) AS priority FROM new ORDER BY po, kind, ord, place LIMIT 12""")
+def evidence_signals(spark, d):
+    """All four kinds of evidence for two products, with comments and with queries that were asked before."""
+    k, none = F.col("doc_id"), F.lit(None).cast("array<string>")
+    terms = F.array(F.lit("licensed under"), F.lit("worthless"), F.lit("trash"))
+    media = _t(spark, d, "documents").select(
+        k.alias("ord"), k.cast("string").alias("shortcode"), F.when(k % 4 == 0, "Dry food and WET food").when(k % 4 == 1, "Gobbles it").alias("caption"), text.contains_terms(F.col("text"), terms).alias("evidence_terms"),
+        F.array(F.concat(F.lit("#anchor_fan"), (k % 3).cast("string")), F.lit("#unknown")).alias("hashtags"), F.when(k % 3 == 0, F.array(F.lit("X"))).when(k % 3 == 1, F.array(F.lit("Y"))).otherwise(none).alias("matched_asins"),
+        F.when(k % 5 < 3, "HIGH").when(k % 5 == 3, "MEDIUM").otherwise("LOW").alias("relevance_tier"), (k % 7 != 0).alias("deliverable_eligible"),
+    )
+    said = _t(spark, d, "documents").select(
+        k.alias("ord"), k.cast("string").alias("media_id"), F.concat(F.lit("c"), k.cast("string")).alias("comment_id"), F.when(k % 6 == 0, "HIGH").when(k % 6 == 1, "MEDIUM").otherwise("LOW").alias("comment_relevance_tier"),
+        F.array(F.concat(F.lit("chew marks "), (k % 2).cast("string")), F.lit("ok"), F.lit("bowl")).alias("comment_evidence_terms"),
+    )
+    rows = [(0, "X", None, None, None, ["Anchor Bowl"], ["slow chew"]), (1, "Y", None, None, None, ["Other Dish"], [])]
+    p = spark.createDataFrame(rows, "profile_ord int, asin string, brand string, product_name string, category string, product_aliases array<string>, core_functions array<string>")
+    q = profiles.evidence_queries(p, media, said, spark.createDataFrame([(x,) for x in ASKED_BEFORE], "query string"), limit=12)
+    first = lambda c: F.coalesce(F.try_element_at(c, F.lit(1)), F.lit(""))
+    return q.select("query", "asin", "evidence_kind", first("evidence_shortcodes").alias("shortcode"), first("evidence_comment_ids").alias("comment_id"), F.col("priority").cast("long").alias("priority"))
+
+
+@query("""WITH t AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS shown, coalesce(source, '') AS src FROM documents),
+v AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN src END AS caption, CASE WHEN doc_id % 4 <> 3 THEN shown ELSE '' END AS visible, regexp_extract(shown, '^\\S+(?: \\S+){0,5}') AS head, regexp_extract(shown, '\\S+(?: \\S+){0,7}$') AS foot FROM t),
+n AS (SELECT *, list_filter([lower(head), foot, 'words that stand on no page at all', 'short'], lambda a: length(a) >= 20 AND contains(lower(visible), lower(a))) AS near FROM v),
+l AS (SELECT *, list_reduce(list_prepend('', near), lambda b, a: CASE WHEN length(a) > length(b) THEN a ELSE b END) AS longest FROM n),
+e AS (SELECT doc_id, coalesce(caption, '') AS caption, CASE WHEN doc_id % 2 = 0 THEN 'own.er ' || 'acc' || doc_id % 5 ELSE 'own.er' END AS account, CASE doc_id % 5 WHEN 0 THEN 'Reels' WHEN 1 THEN '' ELSE '#a #b' || doc_id % 5 END AS hashtags,
+ CASE WHEN coalesce(caption, '') = '' AND visible <> '' AND len(near) > 0 THEN longest WHEN doc_id % 6 = 0 THEN 'alt ' || doc_id ELSE '' END AS image FROM l)
+SELECT doc_id, nullif(caption, '') AS caption, account, CASE WHEN hashtags NOT IN ('', 'Reels') THEN hashtags END AS hashtags, md5(nullif(image, '')) AS alt_md5 FROM e""")
+def rendered_parts(spark, d):
+    """Every part of what a page shows: captions, accounts, tags, and the longest image text that the page repeats."""
+    k, none = F.col("doc_id"), F.lit(None).cast("string")
+    shown = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))
+    alts = F.array(F.lower(F.regexp_extract(shown, r"^\S+(?: \S+){0,5}", 0)), F.regexp_extract(shown, r"\S+(?: \S+){0,7}$", 0), F.lit("words that stand on no page at all"), F.lit("short"), none)
+    tags = F.when(k % 5 == 0, F.array(F.lit("Reels"))).when(k % 5 > 1, F.array(F.lit("#a"), F.concat(F.lit("#b"), (k % 5).cast("string"))))
+    accounts = F.when(k % 2 == 0, F.array(F.lit("own.er"), F.concat(F.lit("acc"), (k % 5).cast("string"))))
+    e = relevance.rendered_evidence(F.when(k % 3 == 0, F.col("source")), accounts, F.lit("own.er"), tags, F.when(k % 6 == 0, F.concat(F.lit(" alt "), k.cast("string"))), F.when(k % 4 != 3, F.col("text")), alts)
+    m = _t(spark, d, "documents").select("doc_id", e.alias("e"))
+    return m.select("doc_id", F.col("e")["caption"].alias("caption"), F.col("e")["account"].alias("account"), F.col("e")["hashtags"].alias("hashtags"), F.md5(F.col("e")["alt_text"].cast("binary")).alias("alt_md5"))
+
+
 # ---- audits -----------------------------------------------------------------------------------
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import identity, text
 from ..operators import audit, ingest, merge, relevance, run, state
 from ..sources import captures as saved
-from ..sources import sinks
+from ..sources import cards, sinks
 from .captures import CAPTURES, KEYED, captures
 from .registry import query
 from .registry import table as _t
@@ -333,6 +333,31 @@ def product_pages(spark, d):
     return r.select("asin", "title", "brand", F.array_join("bullets", "|").alias("bullets"), "category", "available")
 
 
+@query("""SELECT 'C' || conv_id AS media_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, (turn + 1)::VARCHAR AS comment_id, CASE WHEN turn % 2 = 1 THEN turn::VARCHAR END AS parent_comment_id, turn % 2 AS depth,
+ role || turn AS author, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS text_md5, '2024-01-' || (10 + turn % 20) AS published_at, turn || 'd' AS published_label, CASE WHEN turn % 3 = 0 THEN (turn * 1000 + 5)::VARCHAR END AS likes,
+ 'https://www.instagram.com/p/C' || conv_id || '/c/' || (turn + 1) || '/' AS comment_url FROM conversations WHERE conv_id % 7 <> 3 AND trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''""")
+def page_comments(spark, d):
+    """Conversations as saved pages: even turns are cards of a post, odd ones replies in a list of their own; some pages are of another post."""
+    c, t, lit, join = F.col("conv_id").cast("string"), F.col("turn"), F.lit, F.concat
+    who, number = join("role", t.cast("string")), (t + 1).cast("string")
+    escaped = F.replace(F.replace(F.replace(F.coalesce("text", lit("")), lit("&"), lit("&amp;")), lit("<"), lit("&lt;")), lit(">"), lit("&gt;"))
+    likes = F.when(t % 3 == 0, join(lit("<div><span>"), (t * 1000 + 5).cast("string"), lit(" likes</span></div>"))).otherwise("")
+    card = join(
+        lit("<div><span><a href='/"), who, lit("/'>"), who, lit("</a></span><div>"), escaped, lit("</div><span><a href='/p/C"), c, lit("/c/"), number, lit("/'><time datetime='2024-01-"), (10 + t % 20).cast("string"), lit("'>"), t.cast("string"),
+        lit("d</time></a></span>"), likes, lit("<div role='button'><span>Reply</span></div></div>"),
+    )
+    item = F.when(t % 2 == 1, join(lit("<ul><li>"), card, lit("</li></ul></li>"))).otherwise(join(lit("<li>"), card))
+    items = _t(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", item.alias("i")))), lambda x: x["i"]), "").alias("items"))
+    url = join(lit(ADDRESS + "p/C"), c, lit("/"))
+    own = F.when(F.col("conv_id") % 7 == 3, ADDRESS + "p/OTHER/").otherwise(url)
+    html = join(lit("<html><head><meta property='og:url' content='"), own, lit("'></head><body><article><header><a href='/o/'>o</a></header><ul>"), F.col("items"), lit("</ul></article></body></html>"))
+    r = cards.comment_cards(items.select(url.alias("url"), html.alias("html")))
+    return r.select(
+        "media_id", F.col("pos").cast("long").alias("pos"), "comment_id", "parent_comment_id", F.col("depth").cast("long").alias("depth"), "author", F.md5(F.col("comment_text").cast("binary")).alias("text_md5"), "published_at", "published_label",
+        F.col("like_count").alias("likes"), "comment_url",
+    )
+
+
 @query(f"""SELECT '{ADDRESS}p/M' || i || '/' AS url, i % 3 <> 1 AND NOT (i % 3 = 2 AND i % 5 <> 0) AS verified, CASE WHEN i % 3 = 0 THEN 'own.er' END AS owner, 'own.er' AS accounts, 'red ' || i || ' #tag' || (i % 7) AS caption,
  'Seen ' || i AS visible_text, CASE WHEN i % 4 = 0 THEN 'a long picture ' || i ELSE 'short' END AS alt FROM (SELECT p_partkey AS i FROM part)""")
 def media_pages(spark, d):

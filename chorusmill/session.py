@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: int = 8, shuffle_partitions: int | None = None, memory: str = "8g") -> SparkSession:
+def local_session(cores: int = 8, shuffle_partitions: int | None = None, memory: str = "8g", shared: str | None = None) -> SparkSession:
+    """A session of this machine; `shared` is its folder for written tables (spark.checkpoint.dir)."""
+    builder = SparkSession.builder if shared is None else SparkSession.builder.config("spark.checkpoint.dir", shared)
     return (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName("chorusmill")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cores))
         .config("spark.sql.adaptive.enabled", "true")

@@ -9,9 +9,9 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from chorusmill.session import local_session
 
-    s = local_session(cores=4, shuffle_partitions=4, memory="6g")
+    s = local_session(cores=4, shuffle_partitions=4, memory="6g", shared=str(tmp_path_factory.mktemp("shared")))
     s.sparkContext.setLogLevel("ERROR")
     yield s

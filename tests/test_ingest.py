@@ -153,6 +153,28 @@ def test_sinks(spark, tmp_path):
     assert sinks.column_letters(1) == "A" and sinks.column_letters(27) == "AA" and sinks.column_letters(703) == "AAA"
 
 
+def test_single_files_are_joined_from_parts(spark, tmp_path):
+    import csv as plain
+
+    rows = [(k, f'a "quoted" {k}', None if k % 3 else "x,y\r\nz", [str(k)] if k % 2 else None, "狗 \t") for k in range(25)]
+    table = spark.createDataFrame(rows, "k int, a string, b string, c array<string>, d string")
+    for name, t, want in (("full", table.repartition(4, "k").sortWithinPartitions("k"), 25), ("none", table.where("false"), 0)):
+        sinks.write_csv_file(t, ["k", "a", "b", "c", "absent", "d"], str(tmp_path / f"{name}.csv"))
+        with open(tmp_path / f"{name}.csv", encoding="utf-8-sig", newline="") as f:
+            header, *got = list(plain.reader(f))
+        assert header == ["k", "a", "b", "c", "absent", "d"] and len(got) == want
+        expected = [[str(k), a, b or "", json.dumps(c) if c else "", "", d] for k, a, b, c, d in rows] if want else []
+        assert sorted(got) == sorted(expected)
+        sinks.write_json_array(t, str(tmp_path / f"{name}.json"))
+        assert sorted(r["k"] for r in json.loads((tmp_path / f"{name}.json").read_text(encoding="utf-8"))) == list(range(want))
+    sinks.write_csv_file(table.limit(1), ["k"], str(tmp_path / "full.csv"))  # takes the other's place
+    assert (tmp_path / "full.csv").read_text(encoding="utf-8-sig").split() == ["k", "0"]
+    with pytest.raises(Exception, match="broken"):
+        sinks.write_json_array(table.withColumn("k", F.raise_error(F.lit("broken"))), str(tmp_path / "full.json"))
+    assert len(json.loads((tmp_path / "full.json").read_text(encoding="utf-8"))) == 25
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["full.csv", "full.json", "none.csv", "none.json"]
+
+
 def test_asins(spark, tmp_path):
     (tmp_path / "a.csv").write_text("ASIN,b000000002\nB000000003,\n")
     (tmp_path / "q.csv").write_text('ASIN,"B000000004"\n"B000000005, B000000006",x\n')
