@@ -325,6 +325,46 @@ def profile_categories(spark, d):
     return profiles.build_profiles(_products(spark, d)).select("asin", "brand", "category", "product_name", "source_status", "source_url")
 
 
+def _held(values: list[str], by_word: bool = True) -> str:
+    """SQL: which of the phrases the corpus holds, as a whole or word by word."""
+    every = " OR len(list_filter(string_split(p, ' '), lambda w: NOT contains(corpus, w))) = 0" if by_word else ""
+    return f"list_filter({_q(values)}, lambda p: contains(corpus, lower(p)){every})"
+
+
+#: SQL: a list without the values that equal an earlier one in lower case.
+_ONCE = "list_filter({0}, lambda x, i: x IS NOT NULL AND x <> '' AND list_position(list_transform({0}, lambda y: lower(y)), lower(x)) = i)"
+
+
+@query(f"""WITH t AS (SELECT 'P' || lpad(p_partkey::VARCHAR, 9, '0') AS asin, p_partkey AS k, p_brand AS brand, CASE WHEN p_partkey % 5 <> 0 THEN p_type END AS category,
+ p_name || CASE p_partkey % 6 WHEN 0 THEN ' with glucosamine and MSM' WHEN 1 THEN ' Fun Feeder Slo Bowl' WHEN 2 THEN ' non-slip feeding' WHEN 3 THEN ' Senior dog mobility joint' WHEN 4 THEN ' clean to easy' ELSE '' END AS title,
+ CASE p_partkey % 4 WHEN 0 THEN ['Longer mealtime', 'eating too fast'] WHEN 1 THEN ['Omega 3 oil', 'BPA-Free'] ELSE [] END AS bullets FROM part),
+c AS (SELECT *, lower(title || CASE WHEN len(bullets) > 0 THEN ' ' || array_to_string(bullets, ' ') ELSE '' END) AS corpus FROM t),
+own AS (SELECT *, CASE WHEN regexp_matches(corpus, '(slow|slo|puzzle)\\s+(feeder|feeding|bowl)') THEN 'slow feeder dog bowl' WHEN contains(corpus, 'dog bowl') THEN 'dog bowl' WHEN contains(corpus, 'joint') AND (contains(corpus, 'dog') OR contains(corpus, 'pet')) THEN 'dog joint supplement' END AS derived,
+ list_filter(regexp_extract_all(title, '[A-Za-z0-9+.-]+'), lambda w: length(w) >= 5 AND NOT list_contains({_q(profiles.GENERIC)}, lower(w)) AND NOT list_contains(list_filter(regexp_extract_all(lower(brand), '[A-Za-z0-9][A-Za-z0-9+.-]*'), lambda b: length(b) > 2), lower(w))) AS names,
+ list_filter(regexp_extract_all(lower(title), '[A-Za-z0-9][A-Za-z0-9+.-]*'), lambda w: length(w) > 2 AND NOT list_contains({_q(text.STOP_WORDS)}, w)) AS tokens FROM c),
+f AS (SELECT *, list_concat(CASE WHEN k % 5 = 0 THEN ['joint health', 'Own use'] ELSE [] END, {_held(profiles.FUNCTIONS)}) AS functions, list_concat(CASE WHEN k % 3 = 0 THEN ['Daily USE'] ELSE [] END, {_held(profiles.SCENARIOS)}) AS scenarios,
+ {_held(profiles.PAINS)} AS pains, {_held(profiles.INGREDIENTS, False)} AS ingredients, list_concat(list_concat(CASE WHEN k % 7 = 0 THEN ['Known Name', 'known name'] ELSE [] END, {_held(profiles.PHRASES, False)}), names) AS named FROM own),
+o AS (SELECT *, {_ONCE.format('functions')} AS fs, {_ONCE.format('scenarios')} AS ss, {_ONCE.format('named')} AS aliases FROM f),
+w AS (SELECT *, list_concat(list_concat(list_concat([brand, title, coalesce(category, derived)], fs), ss), list_concat(list_concat(pains, ingredients), tokens[1:10])) AS every FROM o)
+SELECT asin, array_to_string(fs, '|') AS functions, array_to_string(ss, '|') AS scenarios, array_to_string(pains, '|') AS pains, array_to_string(ingredients, '|') AS ingredients, array_to_string(aliases[1:5], '|') AS aliases, array_to_string({_ONCE.format('every')}, '|') AS keywords FROM w""")
+def profile_terms(spark, d):
+    """The lists of a profile: what products say of themselves, then what the dictionaries find in title and bullets."""
+    k, none = F.col("p_partkey"), F.lit(None).cast("array<string>")
+    words = lambda *values: F.array(*(F.lit(v) for v in values))
+    more = {0: " with glucosamine and MSM", 1: " Fun Feeder Slo Bowl", 2: " non-slip feeding", 3: " Senior dog mobility joint", 4: " clean to easy"}
+    title = F.col("p_name")
+    for rest, said in more.items():
+        title = F.when(k % 6 == rest, F.concat("p_name", F.lit(said))).otherwise(title)
+    p = _t(spark, d, "part").select(
+        F.concat(F.lit("P"), F.lpad(k.cast("string"), 9, "0")).alias("asin"), F.lit("").alias("title"), title.alias("product_title"), F.col("p_brand").alias("brand"), F.when(k % 5 != 0, F.col("p_type")).alias("category"),
+        F.lit(None).cast("string").alias("product_type"), title.alias("product_name"), F.when(k % 4 == 0, words("Longer  mealtime.", " eating too fast")).alias("bullets"), F.when(k % 4 == 1, words("Omega 3 oil", "", "BPA-Free;")).alias("core_attributes"),
+        F.when(k % 5 == 0, words("joint health", "Own use")).alias("functions"), F.when(k % 3 == 0, words("Daily USE")).alias("use_cases"), F.when(k % 7 == 0, words("Known Name", "known name")).alias("common_names"), none.alias("aliases"),
+        F.lit(None).cast("string").alias("source_status"), F.lit(None).cast("string").alias("source_url"),
+    )
+    listed = {"functions": "core_functions", "scenarios": "use_scenarios", "pains": "pain_points", "ingredients": "ingredients", "aliases": "product_aliases", "keywords": "keywords"}
+    return profiles.build_profiles(p).select("asin", *(F.array_join(c, "|").alias(n) for n, c in listed.items()))
+
+
 SEEDS = PARTS + r""", plan AS (
 SELECT asin, ord, 0 AS slot, 'product_entity' AS family, 100 AS priority, CASE WHEN NOT contains(lower(name), lower(brand)) THEN brand || ' ' || name ELSE name END AS q FROM prof
 UNION ALL SELECT asin, ord, 1, 'decision_intent', 95, name || ' review' FROM prof
