@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions import identity, text
 from ..operators import audit, ingest, merge, relevance, resume, run, state
-from ..schemas import CAPTURE_TAG, COMMENT
+from ..schemas import CAPTURE_TAG, COMMENT, RAW_COMMENT, RAW_FIELDS
+from ..sources import captures as sources
+from ..sources import sinks
 from ..tables import shared_folder
 from .registry import query, table
 
@@ -210,6 +212,57 @@ def run_manifest(spark, d):
     )
 
 
+# ---- files ------------------------------------------------------------------------------------------
+
+
+def _folder(spark, name: str) -> str:
+    return f"{shared_folder(spark)}/chorusmill-run/{name}-{uuid.uuid4().hex}"
+
+
+@query(CAPTURES + """ SELECT cap.c AS ord, error, CASE WHEN error IS NULL THEN mismatch END AS mismatch, CASE WHEN error IS NULL THEN CASE WHEN mismatch = 0 AND c % 23 <> 0 THEN n ELSE 0 END END AS accepted, true AS hashed
+FROM cap JOIN wrong USING (c)""")
+def captures_from_files(spark, d):
+    """Captures written as JSON files, one a capture, and read again as files."""
+    folder = _folder(spark, "capture-files")
+    captures(spark, d).withColumn("captured_at", F.col("ord").cast("string")).drop("ord").write.option("maxRecordsPerFile", 1).json(folder)
+    c = ingest.checked(sources.read_captures(spark, f"{folder}/*.json"))
+    good = F.col("error").isNull()
+    return c.select(
+        F.col("captured_at").cast("long").alias("ord"), "error", F.when(good, F.col("mismatch").cast("long")).alias("mismatch"), F.when(good, F.size("accepted").cast("long")).alias("accepted"),
+        F.col("fingerprint").rlike("^[0-9a-f]{64}$").alias("hashed"),
+    )
+
+
+@query(CAPTURES + KEYED + " SELECT u.c AS ord, u.pos, u.cid AS comment_id, u.author, md5(u.body) AS text_md5, 'q' || (u.c % 4) AS matched_query, CASE WHEN u.parent IS NOT NULL OR u.t % 7 = 6 THEN 1 ELSE 0 END AS depth FROM uniq u")
+def rows_from_jsonl(spark, d):
+    """Unique rows written as JSON lines, and read again strictly."""
+    folder = _folder(spark, "raw-comments")
+    unique = ingest.dedupe(_rows(spark, d).where(ingest.is_valid_row()))
+    sinks.write_jsonl(unique, folder)
+    r = sources.read_rows(spark, folder, schema=f"ord long, pos int, {RAW_COMMENT}")
+    return r.select("ord", F.col("pos").cast("long").alias("pos"), "comment_id", "author", F.md5(F.col("comment_text").cast("binary")).alias("text_md5"), "matched_query", "depth")
+
+
+@query(CAPTURES + KEYED + " SELECT coalesce(u.cid, '') AS comment_id, coalesce(u.author, '') AS author, md5(coalesce(u.body, '')) AS text_md5, 'q' || (u.c % 4) AS matched_query, 'M' || u.m AS media_id FROM uniq u")
+def rows_from_csv(spark, d):
+    """Unique rows written as one CSV file, and read again."""
+    path = _folder(spark, "raw-comments") + ".csv"
+    sinks.write_csv_file(ingest.dedupe(_rows(spark, d).where(ingest.is_valid_row())), RAW_FIELDS, path)
+    r = spark.read.csv(path, header=True, multiLine=True, escape='"', lineSep="\r\n", emptyValue="")
+    text = lambda c: F.coalesce(c, F.lit(""))
+    return r.select(text("comment_id").alias("comment_id"), text("author").alias("author"), F.md5(text("comment_text").cast("binary")).alias("text_md5"), "matched_query", "media_id")
+
+
+@query("SELECT 'P' || lpad(p_partkey::VARCHAR, 9, '0') AS asin, 2 AS source FROM part UNION ALL SELECT 'B000000001', 0")
+def asin_file(spark, d):
+    """ASINs of one argument, then of a CSV file with a header, lower case and repeats."""
+    path = _folder(spark, "asins") + ".csv"
+    p = table(spark, d, "part").select("p_partkey", F.concat(F.when(F.col("p_partkey") % 2 == 0, "p").otherwise("P"), F.lpad(F.col("p_partkey").cast("string"), 9, "0")).alias("a"))
+    sinks.write_joined(p.orderBy("p_partkey").select(F.concat_ws(",", F.col("a"), F.lit(""), F.when(F.col("p_partkey") % 3 == 0, F.upper("a"))).alias("value")), path, begin="ASIN,,asin\n")
+    found = sources.asins(spark, ["b000000001"], file=path)
+    return found.select("asin", F.col("ord.source").alias("source"))
+
+
 def _resumed(spark, d) -> run.IngestRun:
     """Three runs into one state: each gets all captures so far, so what earlier runs had comes again; then the last one again."""
     folder = f"{shared_folder(spark)}/chorusmill-run/state-{uuid.uuid4().hex}"

@@ -65,10 +65,14 @@ def read_candidates(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_known(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of an earlier run that have an id, the last of each; malformed lines are skipped."""
-    rows = read_rows(spark, path, strict=False).where(F.coalesce("comment_id", F.lit("")) != "")
-    numbered = rows.withColumn("_n", F.monotonically_increasing_id())
-    return numbered.groupBy("comment_id").agg(F.max_by(F.struct(*rows.columns), "_n").alias("r")).select("r.*")
+    """Rows of an earlier run that have an id, the last of each by file and line; malformed lines are skipped."""
+    rows = read_rows(spark, path, strict=False)
+    if not exists(spark, path):
+        return rows
+    # ids grow along a split, whose place in its file is known
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("line"))
+    named = rows.select("*", place.alias("_place")).where(F.coalesce("comment_id", F.lit("")) != "")
+    return named.groupBy("comment_id").agg(F.max_by(F.struct(*rows.columns), "_place").alias("r")).select("r.*")
 
 
 def asins(spark: SparkSession, single: list[str] | None = None, joined: str | None = None, file: str | None = None, split_single: bool = False) -> DataFrame:
