@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import identity, text
-from ..operators import audit, ingest, merge, relevance, run, state
+from ..operators import audit, ingest, jobs, merge, relevance, run, state
 from ..sources import captures as saved
 from ..sources import cards, sinks
 from .captures import CAPTURES, KEYED, captures
@@ -219,6 +219,37 @@ def claimed_jobs(spark, d):
     return run.claim_order(state.jobs(e)).limit(12).select("job_id", "queue")  # twelve workers' first claims
 
 
+JOB_KIND = "CASE event_type WHEN 'signup' THEN 'enqueue' WHEN 'click' THEN 'claim' WHEN 'view' THEN 'progress' WHEN 'purchase' THEN 'complete' ELSE CASE event_id % 3 WHEN 0 THEN 'fail' WHEN 1 THEN 'abandon' ELSE 'claim' END END"
+
+
+@query(f"""WITH RECURSIVE m AS (SELECT event_id AS seq, epoch(ts) AS said, CASE WHEN event_id % 400 <> 399 THEN user_id * 100 + event_id // 1000 END AS job, {JOB_KIND} AS kind, CASE WHEN event_id % 2 = 0 THEN 'e' || event_id % 5 END AS error FROM events),
+lap AS (SELECT job, seq, 1 AS late, 'expire' AS kind, NULL AS error FROM (SELECT *, lead(said, 1, epoch(TIMESTAMP '2024-02-01')) OVER (PARTITION BY job ORDER BY seq) - said AS silent FROM m WHERE job IS NOT NULL) WHERE kind IN ('claim', 'progress') AND silent > 21600),
+own AS (SELECT job, seq, 0 AS late, kind, error FROM m WHERE job IS NOT NULL AND kind <> 'progress'),
+step AS (SELECT * FROM own UNION ALL SELECT * FROM lap UNION ALL SELECT j.job, m.seq, 0, 'restart', NULL FROM m, (SELECT DISTINCT job FROM (SELECT job FROM own UNION ALL SELECT job FROM lap)) j WHERE m.job IS NULL),
+num AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY seq, late) AS n FROM step),
+fold AS (SELECT DISTINCT job, 0::BIGINT AS n, NULL::VARCHAR AS status, NULL::VARCHAR AS error, 0 AS attempts, NULL::BIGINT AS claimed, NULL::BIGINT AS requeued FROM num
+ UNION ALL SELECT f.job, f.n + 1, CASE WHEN kind = 'enqueue' AND status IS NULL THEN 'pending' WHEN kind = 'claim' AND status = 'pending' THEN 'active' WHEN kind IN ('expire', 'restart') AND status = 'active' THEN 'pending' WHEN kind = 'complete' AND status = 'active' THEN 'completed'
+   WHEN kind = 'fail' OR (kind = 'abandon' AND status IN ('active', 'pending')) THEN 'failed' ELSE status END,
+  CASE WHEN kind = 'fail' THEN coalesce(s.error, 'extension_job_failed') WHEN kind = 'abandon' AND status IN ('active', 'pending') THEN coalesce(s.error, 'controller_stopped') WHEN kind IN ('claim', 'complete', 'expire', 'restart') AND status IN ('active', 'pending') AND NOT (kind = 'claim' AND status = 'active') AND NOT (kind <> 'claim' AND status = 'pending') THEN NULL ELSE f.error END,
+  attempts + CASE WHEN kind = 'claim' AND status = 'pending' THEN 1 ELSE 0 END, CASE WHEN kind = 'claim' AND status = 'pending' THEN s.seq ELSE claimed END, CASE WHEN kind IN ('expire', 'restart') AND status = 'active' THEN s.seq ELSE requeued END
+ FROM fold f JOIN num s ON s.job = f.job AND s.n = f.n + 1)
+SELECT DISTINCT ON (job) job::VARCHAR AS job_id, status, error, attempts, claimed, requeued FROM fold ORDER BY job, n DESC""")
+def job_leases(spark, d):
+    """Jobs with leases of six hours: lapses, restarts, failures and abandoned jobs from their messages."""
+    k = F.col("event_id")
+    error = F.when(k % 3 == 0, "fail").when(k % 3 == 1, "abandon").otherwise("claim")
+    names = {"signup": "enqueue", "click": "claim", "view": "progress", "purchase": "complete"}
+    kind = error
+    for event, name in names.items():
+        kind = F.when(F.col("event_type") == event, name).otherwise(kind)
+    restart = k % 400 == 399
+    messages = _t(spark, d, "events").select(
+        F.when(~restart, (F.col("user_id") * 100 + F.floor(k / 1000)).cast("string")).alias("job_id"), k.alias("seq"), F.col("ts").cast("timestamp").alias("at"), F.when(restart, "restart").otherwise(kind).alias("kind"),
+        F.when(k % 2 == 0, F.concat(F.lit("e"), (k % 5).cast("string"))).alias("error"),
+    )
+    return jobs.job_states(messages, 6 * 3600, "2024-02-01 00:00:00").select("job_id", "status", "error", F.col("attempts").cast("long").alias("attempts"), "claimed", "requeued")
+
+
 # ---- candidates, queries and plans ----------------------------------------------------------------
 
 SCORED = "CASE p_partkey % 4 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' WHEN 2 THEN 'LOW' END"
