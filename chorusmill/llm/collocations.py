@@ -46,12 +46,28 @@ KEPT = "shard long, size int, first binary, last binary, numbers binary, lang st
 
 
 def _packed(values: np.ndarray) -> bytes:
-    return len(values).to_bytes(8, "little") + pa.compress(values.tobytes(), codec="zstd", asbytes=True)
+    """Numbers compressed byte place by byte place, as most high bytes are zero."""
+    places = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T)
+    return len(values).to_bytes(8, "little") + pa.compress(places.tobytes(), codec="zstd", asbytes=True)
 
 
 def _unpacked(data: bytes, kind: type) -> np.ndarray:
-    n = int.from_bytes(data[:8], "little")
-    return np.frombuffer(pa.decompress(data[8:], decompressed_size=n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
+    n, size = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    places = np.frombuffer(pa.decompress(data[8:], decompressed_size=n * size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(places.reshape(size, n).T).reshape(-1).view(kind)
+
+
+def _steps(ordered: np.ndarray) -> bytes:
+    """Numbers in order, as the steps between them."""
+    return _packed(np.diff(ordered, prepend=np.int64(0)))
+
+
+def _climbed(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(data, np.int64))
+
+
+def _text_packed(text: bytes) -> bytes:
+    return pa.compress(text, codec="zstd", asbytes=True) + len(text).to_bytes(8, "little")
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -126,7 +142,7 @@ class _Open:
             number = np.zeros(len(words) + 1, np.uint32)
             number[used] = np.arange(1, len(used) + 1)
             if len(used):
-                yield int(here[1:].sum()), _packed(number[part]), pa.compress(text := b" ".join(words[k - 1] for k in used), codec="zstd", asbytes=True) + len(text).to_bytes(8, "little"), _packed(here[used])
+                yield int(here[1:].sum()), _packed(number[part]), _text_packed(b" ".join(words[k - 1] for k in used)), _packed(here[used])
             at = end
 
 
@@ -195,7 +211,7 @@ def count_shard_words(shards: DataFrame, spans: int) -> DataFrame:
                 words, counts = _words_of(row["words"]), _unpacked(row["counts"], np.int64)
                 rows = []
                 for span, at in _by_span(word_hashes(words), spans):
-                    rows.append({"span": span, "shard": row["shard"], "lang": row["lang"], "first": at.astype(np.int64).tobytes(), "last": b" ".join(words[k] for k in at), "counts": counts[at].tobytes()})
+                    rows.append({"span": span, "shard": row["shard"], "lang": row["lang"], "first": _steps(at), "last": _text_packed(b" ".join(words[k] for k in at)), "counts": _packed(counts[at])})
                 yield pa.RecordBatch.from_pylist(rows, schema=_COUNTS_LAYOUT)
 
     return shards.select("shard", "lang", "words", "counts").mapInArrow(one, COUNTS)
@@ -208,8 +224,8 @@ def frequent_words(counted: DataFrame, least: int) -> DataFrame:
         rows = table.to_pylist()
         total: dict[str, dict[bytes, int]] = {}
         for row in rows:
-            row["words"], own = row["last"].split(b" "), total.setdefault(row["lang"], {})
-            for word, n in zip(row["words"], np.frombuffer(row["counts"], np.int64).tolist(), strict=True):
+            row["words"], own = _words_of(row["last"]), total.setdefault(row["lang"], {})
+            for word, n in zip(row["words"], _unpacked(row["counts"], np.int64).tolist(), strict=True):
                 own[word] = own.get(word, 0) + n
         out, number, base = [], {}, rows[0]["span"] << 32
         for lang in sorted(total):
@@ -221,7 +237,7 @@ def frequent_words(counted: DataFrame, least: int) -> DataFrame:
             known = np.fromiter((number.get((row["lang"], w), -1) for w in row["words"]), np.int64, len(row["words"]))
             live = known >= 0
             if live.any():
-                out.append({"shard": row["shard"], "size": 1, "first": np.frombuffer(row["first"], np.int64)[live].tobytes(), "last": b"", "numbers": known[live].tobytes()})
+                out.append({"shard": row["shard"], "size": 1, "first": _steps(_climbed(row["first"])[live]), "last": _packed(known[:0]), "numbers": _packed(known[live])})
         return pa.Table.from_pylist(out, schema=_KEPT_LAYOUT)
 
     return counted.select("span", "shard", "lang", "first", "last", "counts").groupBy("span").applyInArrow(one, KEPT)
@@ -232,7 +248,7 @@ def frequent_pairs(counted: DataFrame, size: int, least: int) -> DataFrame:
 
     def one(table: pa.Table) -> pa.Table:
         rows = table.select(["span", "shard", "first", "last", "counts"]).to_pylist()
-        parts = {c: [np.frombuffer(r[c], np.uint32 if c == "counts" else np.int64) for r in rows] for c in ("first", "last", "counts")}
+        parts = {"first": [_climbed(r["first"]) for r in rows], "last": [_unpacked(r["last"], np.int64) for r in rows], "counts": [_unpacked(r["counts"], np.uint32) for r in rows]}
         first, last, counts = (np.concatenate(parts[c]) for c in ("first", "last", "counts"))
         order = np.lexsort((last, first))
         a, b = first[order], last[order]
@@ -250,7 +266,7 @@ def frequent_pairs(counted: DataFrame, size: int, least: int) -> DataFrame:
             part = slice(at, at + len(own))
             at, on = at + len(own), each[part] >= 0
             if on.any():
-                kept.append({"shard": row["shard"], "size": size, "first": own[on].tobytes(), "last": last[part][on].tobytes(), "numbers": each[part][on].tobytes()})
+                kept.append({"shard": row["shard"], "size": size, "first": _steps(own[on]), "last": _packed(last[part][on]), "numbers": _packed(each[part][on])})
         return pa.concat_tables([*tables, pa.Table.from_pylist(kept, schema=_KEPT_LAYOUT)])
 
     return counted.select("span", "shard", "first", "last", "counts").groupBy("span").applyInArrow(one, KEPT)
@@ -273,10 +289,17 @@ def _shard_of(table: pa.Table) -> tuple[dict, dict[int, list[np.ndarray]]]:
         if row["size"] == 0:
             own = row
         else:
-            parts.setdefault(row["size"], []).append([np.frombuffer(row[c], np.int64) for c in ("first", "last", "numbers")])
+            parts.setdefault(row["size"], []).append([_climbed(row["first"]), _unpacked(row["last"], np.int64), _unpacked(row["numbers"], np.int64)])
     return own, {size: [np.concatenate(x) for x in zip(*each, strict=True)] for size, each in parts.items()}
 
 
+def _folded(ids: np.ndarray) -> np.ndarray:
+    """A shard's places without words that stand alone between gaps, which are in no phrase, and with one place for each gap."""
+    before, after = np.concatenate([[0], ids[:-1]]), np.concatenate([ids[1:], [0]])
+    kept = np.where((before == 0) & (after == 0), 0, ids).astype(np.uint32)
+    return kept[(kept > 0) | (np.concatenate([[1], kept[:-1]]) > 0)]
+
+
 def keep_frequent_words(shards: DataFrame, words: DataFrame) -> DataFrame:
     """Shards of frequent words only, whose numbers over all shards replace the words; other words' places become empty."""
 
@@ -288,7 +311,7 @@ def keep_frequent_words(shards: DataFrame, words: DataFrame) -> DataFrame:
             ids = _unpacked(own["ids"], np.uint32)
             renamed = np.zeros(int(ids.max()) + 1, np.uint32)
             renamed[at + 1] = np.arange(1, len(at) + 1)
-            rows = [{"shard": own["shard"], "lang": own["lang"], "n_words": own["n_words"], "ids": _packed(renamed[ids]), "words": _packed(number), "counts": b""}]
+            rows = [{"shard": own["shard"], "lang": own["lang"], "n_words": own["n_words"], "ids": _packed(_folded(renamed[ids])), "words": _packed(number), "counts": b""}]
         layout = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("n_words", pa.int64()), ("ids", pa.binary()), ("words", pa.binary()), ("counts", pa.binary())])
         return pa.Table.from_pylist(rows, schema=layout)
 
@@ -393,7 +416,8 @@ def grow(shards: DataFrame, kept: list[DataFrame], size: int, spans: int, run: i
         first, last, count = _walk(own, parts, size, run) if own is not None and (size == 2 or size - 1 in parts) else (np.zeros(0, np.int64),) * 3
         rows = []
         for span, at in _by_span(mix64(mix64(first.astype(np.uint64)) * _STEP + last.astype(np.uint64)), spans):
-            rows.append({"span": span, "shard": own["shard"], "first": first[at].tobytes(), "last": last[at].tobytes(), "counts": count[at].astype(np.uint32).tobytes()})
+            at = at[np.argsort(first[at], kind="stable")]
+            rows.append({"span": span, "shard": own["shard"], "first": _steps(first[at]), "last": _packed(last[at]), "counts": _packed(count[at].astype(np.uint32))})
         return pa.Table.from_pylist(rows, schema=_COUNTS_LAYOUT)
 
     return _met(shards, kept).groupBy("shard").applyInArrow(one, COUNTS)

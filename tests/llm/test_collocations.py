@@ -80,6 +80,16 @@ def test_bitmaps_shift_over_blocks_and_stop_at_gaps():
     assert sum(int(b).bit_count() for b in maps.bits) == np.count_nonzero(ids)
 
 
+def test_packing_and_folding():
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 5, 1000):
+        values = rng.integers(0, 1 << 45, n)
+        assert np.array_equal(collocations._unpacked(collocations._packed(values), np.int64), values)
+        assert np.array_equal(collocations._climbed(collocations._steps(np.sort(values))), np.sort(values))
+    fold = lambda *ids: collocations._folded(np.array(ids, np.uint32)).tolist()
+    assert fold(0, 0, 5, 6, 0, 7, 0, 8, 9, 0, 0) == [0, 5, 6, 0, 8, 9, 0] and fold(3) == [0] and fold() == [] and fold(1, 2) == [1, 2]
+
+
 def test_scores_beyond_64_bits(spark):
     f = {"a": 3 * 10**15, "b": 7 * 10**15, "c": 10**15 + 9, "a b": 10**15 + 1, "b c": 10**14, "a b c": 99_999_999_999_999}
     phrases = spark.createDataFrame([("en", p, len(p.split()), n) for p, n in f.items()], "lang string, phrase string, size int, f long")
