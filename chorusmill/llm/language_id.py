@@ -325,17 +325,23 @@ def predict(docs: DataFrame, path: str, model: Model | None = None) -> DataFrame
 def _keeper(model: Model, least: float, lang_type: pa.DataType | None):
     predicting = _predictor(model)
 
+    def kept(batch):
+        text = batch.column("text").cast(pa.string()).fill_null("")
+        ids = pa.nulls(batch.num_rows, pa.int64())
+        probe = pa.RecordBatch.from_arrays([ids, text, pa.array([False] * batch.num_rows)], names=["doc_id", "text", "held_out"])
+        found = next(predicting(iter([probe])))
+        lang, score = found.column("lang_pred"), found.column("score")
+        if lang_type is not None:
+            at = batch.schema.get_field_index("lang")
+            batch = batch.set_column(at, batch.schema.field(at), lang.cast(lang_type))
+        return batch.filter(pc.and_(pc.not_equal(lang, UNDETERMINED), pc.greater_equal(score, least)))
+
     def run(batches):
-        for batch in batches:
-            text = batch.column("text").cast(pa.string()).fill_null("")
-            ids = pa.nulls(batch.num_rows, pa.int64())
-            probe = pa.RecordBatch.from_arrays([ids, text, pa.array([False] * batch.num_rows)], names=["doc_id", "text", "held_out"])
-            found = next(predicting(iter([probe])))
-            lang, score = found.column("lang_pred"), found.column("score")
-            if lang_type is not None:
-                at = batch.schema.get_field_index("lang")
-                batch = batch.set_column(at, batch.schema.field(at), lang.cast(lang_type))
-            yield batch.filter(pc.and_(pc.not_equal(lang, UNDETERMINED), pc.greater_equal(score, least)))
+        try:
+            yield from map(kept, batches)
+        finally:  # the worker goes on to other stages, which need the memory of the word scores
+            _STATE.pop("scorer key", None)
+            _STATE.pop("scorer", None)
 
     return run
 

@@ -166,7 +166,7 @@ def power_of_two_cuts(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int
 _PIECES = "task int, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, local_sequence long, offset long"
 
 
-def _packer(path: str, window: int, end_id: int):
+def _packer(path: str, window: int, end_id: int, last_use: bool):
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def flush(task, first, docs, coded):
@@ -215,17 +215,20 @@ def _packer(path: str, window: int, end_id: int):
                         docs, coded, held = [], [], 0
         if docs:
             yield flush(task, seq, docs, coded)[0]
+        if last_use:
+            enc.cache.clear()
 
     return run
 
 
-def pack(docs: DataFrame, vocabulary: str, window: int = 1024, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, window: int = 1024, end_id: int = 0, last_use: bool = False) -> DataFrame:
     """Pieces of every document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Null or empty text: only the end id. Repeated rows are packed each. An empty table gives no pieces.
-    Sequence ids have no gaps. Other columns of docs, whatever their names, are not read.
+    Sequence ids have no gaps. Other columns of docs, whatever their names, are not read. With last_use a worker
+    drops its chunk cache after each task, as other stages of a pipeline need the memory.
     """
-    pieces = materialize(texts_of(docs).mapInArrow(_packer(vocabulary, window, end_id), _PIECES), "pieces")
+    pieces = materialize(texts_of(docs).mapInArrow(_packer(vocabulary, window, end_id, last_use), _PIECES), "pieces")
     made = pieces.groupBy("task").agg((F.max("local_sequence") + 1).alias("made"))
     before = made.select("task", (F.sum("made").over(Window.orderBy("task")) - F.col("made")).alias("before"))
     return pieces.join(F.broadcast(before), "task").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("before") + F.col("local_sequence")).alias("sequence_id"), "offset")

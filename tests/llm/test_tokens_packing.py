@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -122,14 +123,9 @@ def test_empty_tables(spark):
 def test_scratch_folder(spark, tmp_path, monkeypatch):
     from chorusmill.llm import common
 
-    class Cluster:  # a session of a cluster that names no shared folder
-        def __init__(self, real):
-            self.conf, self.sparkContext = real.conf, self
-            self._jsc, self.master, self.applicationId = real.sparkContext._jsc, "spark://host:7077", "app"
-
-    if spark.conf.get("spark.checkpoint.dir", None) is None and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-            common.scratch_dir(Cluster(spark))
+    context = SimpleNamespace(_jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False))), master="spark://host:7077", applicationId="app")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):  # a cluster that names no shared folder
+        common.scratch_dir(SimpleNamespace(conf={}, sparkContext=context))
     monkeypatch.setattr(common, "scratch_dir", lambda _: str(tmp_path))
     table = common.materialize(spark.range(3), "x")
     assert table.count() == 3 and len(list((tmp_path / "chorusmill").iterdir())) == 1
