@@ -54,7 +54,7 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in windows of 1024 tokens."""
     tune(spark)
-    return packing.pack(docs, vocabulary_path("byte_bpe_50k.json"), window=1024, end_id=0)
+    return packing.pack(docs, vocabulary_path("byte_bpe_50k.json"), window=1024, end_id=0, last_use=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
