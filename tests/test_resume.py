@@ -1,10 +1,12 @@
 from __future__ import annotations
 
 import json
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
+from chorusmill import tables
 from chorusmill.operators import ingest, resume, run
 from chorusmill.schemas import RAW_FIELDS
 
@@ -110,3 +112,11 @@ def test_candidates_listed_twice(spark, checked):
 def test_null_counts_of_access_are_zero(checked):
     m = run.ingest_run(checked, automation={"access_control": {"rate_limit_count": None, "rate_limit_level": None, "post_batch_size": 7}}).manifest.first()
     assert (m["rate_limit_count"], m["rate_limit_level"], m["post_batch_size"]) == (0, 0, 7)
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    context = SimpleNamespace(_jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False))), master="spark://host:7077", applicationId="app")
+    named = SimpleNamespace(conf={"spark.checkpoint.dir": "hdfs://x/shared/"}, sparkContext=context)
+    assert tables.shared_folder(named) == "hdfs://x/shared"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        tables.shared_folder(SimpleNamespace(conf={}, sparkContext=context))

@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from chorusmill.operators import profiles, rounds
+from chorusmill.sources import sinks
 
 from .test_relevance_plans_state import feeder
 
@@ -21,7 +24,7 @@ def plan_of(found):
     return {r["query"]: r for r in found.plan.collect()}
 
 
-def test_rounds_until_nothing_grows(spark):
+def test_rounds_until_nothing_grows(spark, tmp_path):
     p = feeder(spark)
     seeds = [r["query"] for r in profiles.seed_queries(p).orderBy(F.desc("priority")).collect()]
     more = [r["query"] for r in profiles.expansion_queries(p, profiles.seed_queries(p)).collect()]
@@ -36,12 +39,17 @@ def test_rounds_until_nothing_grows(spark):
     assert (rows[seeds[1]]["posts_found"], rows[seeds[1]]["qualified_posts"], rows[seeds[2]]["posts_found"]) == (2, 1, 0)
     assert {r["shortcode"]: list(r["matched_queries"]) for r in first.candidates.collect()} == {"A": seeds[:2], "B": [seeds[0]], "C": [more[0]]}
 
-    asked = [r["query"] for r in rounds.discover(p, table, shown, most_rounds=3).plan.where("round = 3").collect()]
+    plan = sinks.write_discovery(first, p, str(tmp_path), 30, 1000)
+    assert [q["query"] for q in plan["queries"]][: len(seeds)] == seeds and plan["product_profiles"][0]["asin"] == plan["amazon_asins"][0]
+    back = {name: json.loads((tmp_path / f"{name}.json").read_text(encoding="utf-8")) for name in ("media_candidates", "conversation_map", "query_plan")}
+    assert {c["shortcode"]: c["decision"] for c in back["media_candidates"]} == {"A": "COLLECT", "B": "AUDIT_ONLY", "C": "COLLECT"} and back["query_plan"]["queries"][0]["posts_found"] == 2 and len(back["conversation_map"]["product_profiles"]) == 1
+
+    asked = [r["query"] for r in rounds.new_queries("evidence", 3, p, first.plan, first.candidates, None, 3).collect()]
     assert asked  # evidence of A and C
     grown = spark.createDataFrame([*links, (asked[-1], 0, address("D"))], "query string, place int, url string")
-    soft = rounds.discover(p, grown, shown)
+    soft = rounds.discover(p, grown, shown, most_rounds=3)
     log = [(r["kind"], r["newly_eligible"], r["streak"]) for r in soft.rounds.orderBy("round").collect()]
-    assert log[:3] == [("seed", 1, 0), ("expansion", 1, 0), ("evidence", 1, 0)] and [x[2] for x in log[-2:]] == [1, 2] and all(x[0] == "evidence" for x in log[2:])
+    assert log == [("seed", 1, 0), ("expansion", 1, 0), ("evidence", 1, 0)]
     assert soft.candidates.where("deliverable_eligible").count() == 3
     queries = [r["query"].lower() for r in soft.plan.collect()]
     assert len(queries) == len(set(queries))
