@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: What a job whose messages name no reason failed of (fixed values).
 FAILED, ABANDONED = "extension_job_failed", "controller_stopped"
+#: Ranges of places that a log is cut into to find restarts; each is one group.
+RANGES = 4096
 _STATE = "struct<status:string,error:string,attempts:int,claimed:bigint,requeued:bigint>"
 
 
@@ -18,6 +20,27 @@ def lapses(messages: DataFrame, lease_seconds: int, now: str) -> DataFrame:
     return quiet.select("job_id", "seq", F.lit("expire").alias("kind"), F.lit(None).cast("string").alias("error"))
 
 
+def restarts_met(messages: DataFrame) -> DataFrame:
+    """(job_id, seq, kind, error): for each claim the first restart at its place or after. A job is active only from a claim on, and
+    that restart puts it back, so no other one changes its state.
+
+    Places are cut into ranges: a restart is looked for in the claim's own range, then in the least restarts of later ranges.
+    """
+    restart = F.col("job_id").isNull() & (F.col("kind") == "restart")
+    claim = F.col("job_id").isNotNull() & (F.col("kind") == "claim")
+    places = messages.where(claim | restart).select("job_id", "seq", F.when(restart, F.col("seq")).alias("restart"))
+    # in doubles, which keep the order of places and do not overflow
+    ends = places.agg(F.min("seq").cast("double").alias("low"), F.max("seq").cast("double").alias("high"))  # one row
+    cut = F.floor((F.col("seq").cast("double") - F.col("low")) * RANGES / (F.col("high") - F.col("low") + 1))
+    dealt = places.crossJoin(ends).withColumn("range", F.coalesce(cut, F.lit(0)))
+    later = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    beyond = dealt.groupBy("range").agg(F.min("restart").alias("restart")).select("range", F.min("restart").over(later).alias("beyond"))
+    here = F.min("restart").over(Window.partitionBy("range").orderBy(F.desc("seq")))
+    claims = dealt.withColumn("here", here).where("job_id IS NOT NULL").join(beyond, "range")
+    met = claims.select("job_id", F.coalesce("here", "beyond").alias("seq")).where("seq IS NOT NULL")
+    return met.select("job_id", "seq", F.lit("restart").alias("kind"), F.lit(None).cast("string").alias("error"))
+
+
 def _after(state: Column, m: Column) -> Column:
     """A job's state after a message. Messages of a job that is not active change nothing, but for a failure."""
     kind, active = m["kind"], state["status"] == "active"
@@ -43,21 +66,20 @@ def job_states(messages: DataFrame, lease_seconds: int = 0, now: str | None = No
     Kinds: enqueue, claim, progress, complete, fail, abandon, and restart, which has no job and puts all active jobs back. An
     active job that says nothing for longer than the lease (0: none; measured to `now` at the end) is pending again, and what
     it says later is not heard until it is claimed anew. Progress only renews leases, so a job's state follows from its other
-    messages: as many as it has attempts, however long it ran. Jobs whose first message is no enqueue have no state but a
+    messages and the first restart after each claim: as many as it has attempts, however long it ran. Jobs whose first message is no enqueue have no state but a
     failure. An empty log gives no rows.
     """
     own = messages.where("job_id IS NOT NULL")
     steps = own.where("kind <> 'progress'").select("job_id", "seq", "kind", "error")
     if lease_seconds > 0:
         steps = steps.unionByName(lapses(own, lease_seconds, now))
+    steps = steps.unionByName(restarts_met(messages))
     # at one place a lapse follows the message that it comes after
     step = F.struct("seq", F.when(F.col("kind") == "expire", 1).otherwise(0).alias("late"), "kind", "error")
     each = steps.groupBy("job_id").agg(F.min("seq").alias("first_seq"), F.collect_list(step).alias("steps"))
-    restarts = messages.where("job_id IS NULL AND kind = 'restart'").select(F.struct(F.col("seq"), F.lit(0).alias("late"), F.lit("restart").alias("kind"), F.lit(None).cast("string").alias("error")).alias("r"))
-    whole = each.crossJoin(restarts.agg(F.collect_list("r").alias("restarts")))  # one row on that side: a run's restarts
     none = F.struct(F.lit(None).cast("string").alias("status"), F.lit(None).cast("string").alias("error"), F.lit(0).alias("attempts"), F.lit(None).cast("bigint").alias("claimed"), F.lit(None).cast("bigint").alias("requeued")).cast(_STATE)
-    state = F.aggregate(F.array_sort(F.concat("steps", "restarts")), none, _after)
-    return whole.select("job_id", "first_seq", state.alias("s")).select("job_id", "s.status", "s.error", "s.attempts", "first_seq", "s.claimed", "s.requeued")
+    state = F.aggregate(F.array_sort("steps"), none, _after)
+    return each.select("job_id", "first_seq", state.alias("s")).select("job_id", "s.status", "s.error", "s.attempts", "first_seq", "s.claimed", "s.requeued")
 
 
 def claim_ranks(states: DataFrame) -> list[Column]:

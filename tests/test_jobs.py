@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime
 import random
+import time
 
 from chorusmill.operators import jobs
 
@@ -74,3 +75,30 @@ def test_claim_order(spark):
     states = jobs.job_states(spark.createDataFrame(rows, SCHEMA), 3600, str(at(100)))
     assert [r["job_id"] for r in jobs.next_jobs(states, 9).collect()] == pending == ["e", "a", "c", "d", "f"]
     assert jobs.job_states(spark.createDataFrame([], SCHEMA), 60, str(START)).count() == 0
+
+
+def test_restarts_are_met_once_a_claim(spark, monkeypatch):
+    """As many rows as claims that a restart follows, whatever the number of restarts; a job's state does not hold them all."""
+    rng = random.Random(4)
+    for ranges in (1, 7, 4096):
+        monkeypatch.setattr(jobs, "RANGES", ranges)
+        rows, end = log(rng, 400)
+        rows += [("tie", 150, START, "claim", None), (None, 150, START, "restart", None), ("late", 10**12, end, "claim", None)]
+        places = [seq for job, seq, _, kind, _ in rows if job is None and kind == "restart"]
+        want = sorted((job, min(p for p in places if p >= seq)) for job, seq, _, kind, _ in rows if kind == "claim" and any(p >= seq for p in places))
+        assert sorted((r["job_id"], r["seq"]) for r in jobs.restarts_met(spark.createDataFrame(rows, SCHEMA)).collect()) == want
+    unbroken = [r for r in rows if r[3] != "restart"]
+    assert jobs.restarts_met(spark.createDataFrame(unbroken, SCHEMA)).count() == 0
+
+
+def test_many_jobs_and_many_restarts(spark):
+    """20,000 jobs and 5,000 restarts: what is folded grows with the sum of both, not with their product."""
+    k = spark.range(45_000).selectExpr("id AS seq", "timestamp_seconds(1704067200 + id) AS at")
+    messages = k.selectExpr(
+        "CASE WHEN seq < 20000 THEN concat('j', seq) WHEN seq < 40000 THEN concat('j', seq - 20000) END AS job_id", "seq", "at",
+        "CASE WHEN seq < 20000 THEN 'enqueue' WHEN seq < 40000 THEN 'claim' ELSE 'restart' END AS kind", "CAST(NULL AS string) AS error",
+    )
+    began = time.monotonic()
+    got = jobs.job_states(messages).groupBy("status", "attempts", "requeued").count().collect()
+    assert [tuple(r) for r in got] == [("pending", 1, 40_000, 20_000)]
+    assert time.monotonic() - began < 60
