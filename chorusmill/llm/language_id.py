@@ -275,23 +275,62 @@ def _counted(batches):
             yield pa.RecordBatch.from_arrays([pa.array(langs), pa.array(words), pa.array(list(found.values()), pa.int64())], names=["lang", "word", "n"])
 
 
-def train(docs: DataFrame, path: str) -> Model:
-    """Learn from text and lang of rows that are not held out: TRAIN_ROWS rows per language of least hash, all their words.
+def training_words(docs: DataFrame) -> tuple[DataFrame | None, dict[str, int]]:
+    """(lang, word, n) of the training rows, and the labelled rows of each language.
 
+    Learn from text and lang of rows that are not held out: TRAIN_ROWS rows per language of least hash, all their words.
     Row counts for the prior cover all such rows. Null texts, null langs and null ids are no training rows.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     per_lang = {r["lang"]: r["n"] for r in usable.groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count("*").alias("n")).collect()}
     if not per_lang:
-        return Model([], np.zeros(0), np.zeros((1, 0)), path)
+        return None, per_lang
     # first a share of each language that is near the bound, then the bound itself over those few rows
     space = 1 << 32
     limit = F.create_map(*(x for lang, n in per_lang.items() for x in (F.lit(lang), F.lit(min(space, 2 * TRAIN_ROWS * space // n)))))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(space))
     near = usable.select(F.col("lang").cast("string").alias("lang"), F.col("text"), place.alias("place")).where(F.col("place") <= limit[F.col("lang")])
     first = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place", F.xxhash64("text")))).where(F.col("rank") <= TRAIN_ROWS)
-    counted = first.select("lang", "text").mapInArrow(_counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    return fit([(r["lang"], r["word"], r["n"]) for r in counted.collect()], per_lang, path)
+    words = first.select("lang", "text").mapInArrow(_counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return words, per_lang
+
+
+def train(docs: DataFrame, path: str) -> Model:
+    """The model of the training words, learned where the driver is; for few languages and words."""
+    words, per_lang = training_words(docs)
+    if words is None:
+        return Model([], np.zeros(0), np.zeros((1, 0)), path)
+    return fit([(r["lang"], r["word"], r["n"]) for r in words.collect()], per_lang, path)
+
+
+def train_in_tasks(docs: DataFrame, path: str) -> Model:
+    """The same model, equal but for rounding: a language's probabilities depend on its own words alone, so a task learns each
+    language from its bounded sample, and the driver gets the probabilities only, not words and their segmentations."""
+    words, per_lang = training_words(docs)
+    if words is None:
+        return Model([], np.zeros(0), np.zeros((1, 0)), path)
+    learned = {r["lang"]: np.frombuffer(r["logp"]) for r in words.groupBy("lang").applyInArrow(_learner(path), "lang string, logp binary").collect()}
+    return _joined(learned, per_lang, path)
+
+
+def _learner(path: str):
+    def run(table: pa.Table) -> pa.Table:
+        lang = table.column("lang")[0].as_py()
+        model = fit(list(zip(*(table.column(x).to_pylist() for x in ("lang", "word", "n")), strict=True)), {lang: 1}, path)
+        return pa.table({"lang": [lang], "logp": pa.array([model.logp[:, 0].tobytes()], pa.binary())})
+
+    return run
+
+
+def _joined(learned: dict[str, np.ndarray], rows: dict[str, int], path: str) -> Model:
+    """The model of languages learned one by one; a language without words has all pieces alike, as in `fit`."""
+    if not learned:
+        return fit([], rows, path)
+    languages = sorted(rows)
+    pieces = len(next(iter(learned.values())))
+    alike = np.full(pieces, -np.log(pieces))
+    prior = np.array([np.log(rows[x] / sum(rows.values())) for x in languages])
+    return Model(languages, prior, np.stack([learned.get(x, alike) for x in languages], axis=1), path)
 
 
 def _predictor(model: Model):
@@ -317,7 +356,7 @@ def predict(docs: DataFrame, path: str, model: Model | None = None) -> DataFrame
     Null text or no letters, or nothing to learn from: `und` with score 0. Equal texts get equal results;
     an empty table gives no rows; other columns, whatever their names, are not read.
     """
-    model = model or train(docs, path)
+    model = model or train_in_tasks(docs, path)
     rows = texts_of(docs).withColumn("held_out", F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
     return rows.mapInArrow(_predictor(model), "doc_id long, held_out boolean, lang_pred string, score double")
 
@@ -354,7 +393,7 @@ def keep_identified(docs: DataFrame, path: str, model: Model | None = None, leas
     and ties (the language first in order) are decided alike; columns of any name, lang excepted, stay as they are.
     Where nothing can be learned (no labelled rows), all rows stay as they are. An empty table gives no rows.
     """
-    model = model or train(docs, path)
+    model = model or train_in_tasks(docs, path)
     if not model.languages:
         return docs
     lang = next((f.dataType.simpleString() for f in docs.schema if f.name == "lang"), None)

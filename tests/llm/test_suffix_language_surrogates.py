@@ -158,6 +158,23 @@ def test_all_words_of_the_training_rows_count(spark, monkeypatch):
     assert seen == {"de": 40_000, "zu": 40_000} and len({(x, w) for x, w, _ in counts}) == 80_000
 
 
+def test_languages_are_learned_in_tasks(spark, monkeypatch):
+    """The driver neither segments words nor holds them; a language without words has all pieces alike."""
+    texts = {"en": "the theory of the other house", "de": "größe und weiter " + "größe" * 12, "zz": "12 34 !!"}
+    docs = spark.createDataFrame([(k, f"{texts[x]} {'abcdefghij'[k % 10] * 3}" if x != "zz" else texts[x], x, None, None) for k, x in enumerate(["en", "de", "de", "zz"] * 9)], SCHEMA)
+    want = language_id.train(docs, PATH)
+
+    def refuse(*_):
+        raise AssertionError("learned on the driver")
+
+    monkeypatch.setattr(language_id, "_lattice_tools", refuse)
+    got = language_id.train_in_tasks(docs, PATH)
+    assert got.languages == want.languages == ["de", "en", "zz"] and np.allclose(got.prior, want.prior)
+    assert got.logp.shape == want.logp.shape and np.allclose(got.logp, want.logp, rtol=1e-9)
+    assert {r["lang_pred"] for r in language_id.predict(docs.where("lang = 'de'"), PATH, got).collect()} == {"de"}
+    assert language_id.keep_identified(docs, PATH).count() == 27  # those with letters
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables are not here")
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
