@@ -1,8 +1,8 @@
 """GIF media columns: LZW code streams, palettes, disposal, transparency and interlace; timed frames with colour histograms.
 
 Code widths follow from a code's place after the last clear code, so a stream is cut into codes by array
-arithmetic, and a code stands for a slice of what was already written: entry j is the output of code j
-and one byte more. An encoder of the same format stores byte payloads as 8-bit samples.
+arithmetic; entry j of the table is the output of code j and one byte more. An encoder of the same format stores
+byte payloads as 8-bit samples.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ FRAME_ROWS = 64
 DELAY = 10
 #: Histogram bins per colour channel.
 BINS = 4
+#: The bin of a channel's value.
+_BIN_OF = (np.arange(256) * BINS >> 8).astype(np.uint8)
 _MAX_CODE = 4096
 
 
@@ -46,6 +48,11 @@ def _widths(clear: int, n: int) -> np.ndarray:
 
 
 _WIDTHS8 = _widths(256, _MAX_CODE)
+_FULL = np.full(_MAX_CODE, 12)
+_FULL_SUMS = np.cumsum(_FULL)
+_LITERALS = [bytes((k,)) for k in range(256)]
+#: Which of 16 bits, the lowest first, a code of so many bits has.
+_LANES = np.arange(16)[None, :] < np.arange(13)[:, None]
 
 
 def lzw_encode(data: bytes) -> bytes:
@@ -82,27 +89,28 @@ def lzw_encode(data: bytes) -> bytes:
         run = b - a - 1
         last = min(run + 1, len(codes) - a - 1)
         widths[a + 1 : a + 1 + last] = _WIDTHS8[:last]
-    c = np.array(codes, np.int64)
-    lanes = np.arange(12)
-    bits = ((c[:, None] >> lanes) & 1).astype(np.uint8)
-    return np.packbits(bits[lanes[None, :] < widths[:, None]], bitorder="little").tobytes()
+    low_first = np.array(codes, "<u2").view(np.uint8).reshape(-1, 2)
+    return np.packbits(np.unpackbits(low_first, axis=1, bitorder="little")[_LANES[widths]], bitorder="little").tobytes()
 
 
 def lzw_decode(stream: bytes, min_bits: int, expected: int) -> bytes:
     """Samples of an LZW stream, cut or filled with 0 to expected ones; a broken stream yields what precedes the break."""
     clear, end = 1 << min_bits, (1 << min_bits) + 1
-    base = clear + 2
+    literals = _LITERALS[:clear] + [None] * (clear - 256)
     raw = np.frombuffer(stream + b"\0\0\0\0", np.uint8).astype(np.int64)
     n_bits = len(stream) * 8
     table = _WIDTHS8 if min_bits == 8 else _widths(clear, _MAX_CODE)
+    table_sums = np.cumsum(table)
     out = bytearray()
-    at = 0
+    # most streams begin with a clear code: the codes after it are cut at once
+    begin = int(table[0])
+    at = begin if (int(raw[0]) | int(raw[1]) << 8) & ((1 << begin) - 1) == clear else 0
     while at < n_bits and len(out) < expected:
         codes: list[int] = []
         done = False
         while True:
-            widths = table if not codes else np.full(_MAX_CODE, 12)
-            ends = at + np.cumsum(widths)
+            widths, sums = (table, table_sums) if not codes else (_FULL, _FULL_SUMS)
+            ends = at + sums
             k = int(np.searchsorted(ends, n_bits, side="right"))
             if k == 0:
                 done = True
@@ -122,26 +130,27 @@ def lzw_decode(stream: bytes, min_bits: int, expected: int) -> bytes:
             if k < len(widths):
                 done = True
                 break
-        starts: list[int] = []
-        sizes: list[int] = []
+        # entry j: the output of code j and the first sample of the next one; the last may be asked for before that sample is known
+        entries: list[bytes | None] = [*literals, None, None]
+        prev = b""
+        parts: list[bytes] = []
+        grow, put = entries.append, parts.append
         for c in codes:
-            s = len(out)
-            if c < clear:
-                out.append(c)
-                n = 1
+            if c < len(entries):
+                e = entries[c]
+                if e is None:
+                    raise ValueError("samples have 8 bits")
+                if prev:
+                    grow(prev + e[:1])
+            elif c == len(entries) and prev:
+                e = prev + prev[:1]
+                grow(e)
             else:
-                j = c - base
-                if j >= len(starts):
-                    done = True
-                    break
-                a, n = starts[j], sizes[j] + 1
-                if a + n <= s:
-                    out += out[a : a + n]
-                else:
-                    out += out[a:s]
-                    out.append(out[a])
-            starts.append(s)
-            sizes.append(n)
+                done = True
+                break
+            put(e)
+            prev = e
+        out += b"".join(parts)
         if done:
             break
     del out[expected:]
@@ -227,7 +236,10 @@ def composited(width: int, height: int, frames: list[Frame]):
         part = f.samples[: area[0].stop - area[0].start, : area[1].stop - area[1].start] if f.top < height and f.left < width else f.samples[:0, :0]
         drawn = part != f.transparent
         if part.size:
-            canvas[area][drawn] = f.palette[part[drawn]]
+            if drawn.all():
+                canvas[area] = f.palette.take(part, axis=0)
+            else:
+                canvas[area][drawn] = f.palette[part[drawn]]
             shown[area] |= drawn
         yield f, canvas, shown
         if f.disposal == 2:
@@ -238,7 +250,8 @@ def composited(width: int, height: int, frames: list[Frame]):
 
 def histogram(canvas: np.ndarray, shown: np.ndarray) -> np.ndarray:
     """Counts of the shown pixels over BINS^3 colours."""
-    c = (canvas[shown].astype(np.int64) * BINS) >> 8
+    drawn = canvas.reshape(-1, 3) if shown.all() else canvas[shown]
+    c = _BIN_OF[drawn]
     return np.bincount((c[:, 0] * BINS + c[:, 1]) * BINS + c[:, 2], minlength=BINS**3)
 
 

@@ -3,15 +3,17 @@ from __future__ import annotations
 import hashlib
 import random
 import struct
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from chorusmill.llm import gif, html_text, pieces
 from chorusmill.llm.common import texts_of
 from chorusmill.llm.tokens import vocabulary_path
 
-from .data import clashing, frame, odd_texts
+from .data import clashing, frame, odd_texts, prose
 
 MODEL = vocabulary_path("piece_bpe_32k.model")
 
@@ -207,3 +209,55 @@ def test_density_against_every_subtree():
                 base = math.log(c * lc / max(1, c - lc) + share * c + math.e)
                 want = c / t * math.log(max(1.0, c * t / (max(1, lc) * max(1, lt)))) / max(math.log(base), 0.1)
             assert math.isclose(got[k], want, rel_tol=1e-9, abs_tol=1e-12)
+
+
+def lzw_by_slices(stream, min_bits, expected):
+    """The decoder as it is described: a code is a slice of what was written, one byte longer each time it is met."""
+    clear, bits, at, out, known = 1 << min_bits, int.from_bytes(stream, "little"), 0, bytearray(), []
+    while len(out) < expected:
+        width = max(min(12, (clear + 2 + max(len(known) - 1, 0)).bit_length()), min_bits + 1)
+        if at + width > 8 * len(stream):
+            break
+        c, at = bits >> at & ((1 << width) - 1), at + width
+        if c == clear:
+            known = []
+            continue
+        if c == clear + 1 or c - clear - 2 >= len(known):
+            break
+        a, n = (c, 1) if c < clear else known[c - clear - 2]
+        known.append((len(out), 2 if c < clear else n + 1))
+        for k in range(n):
+            out.append(c if c < clear else out[a + k])
+    return bytes(out[:expected]) + bytes(max(0, expected - len(out)))
+
+
+def test_gif_decoding_makes_entries_once():
+    """Whole and broken streams against slices; a code costs one step of the table, so long runs of one byte stay cheap."""
+    rng = random.Random(11)
+    for k in range(150):
+        data = bytes(rng.randrange(rng.choice([1, 2, 5, 256])) for _ in range(rng.choice([1, 3, 80, 700, 12_000 if k % 30 == 0 else 9])))
+        stream = gif.lzw_encode(data)
+        assert gif.lzw_decode(stream, 8, len(data)) == lzw_by_slices(stream, 8, len(data)) == data
+        broken = bytearray(stream)
+        broken[rng.randrange(len(broken))] ^= 1 << rng.randrange(8)
+        broken = bytes(broken[: rng.randrange(len(broken) + 1)])
+        for bits in (2, 4, 8):
+            assert gif.lzw_decode(broken, bits, len(data)) == lzw_by_slices(broken, bits, len(data))
+
+
+def test_gif_decoding_time():
+    """Decoding with its histograms takes at most 0.85 of the time of encoding (1.11 by slices, 0.61 now), best of several runs."""
+    raw = [gif.pad(" ".join(prose(random.Random(k), 500)).encode()) for k in range(40)]
+    media = [gif.store(r) for r in raw]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array([len(r) for r in raw], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+
+    def best(work):
+        spans = []
+        for _ in range(9):
+            began = time.process_time()
+            work()
+            spans.append(time.process_time() - began)
+        return min(spans)
+
+    ratio = best(lambda: list(gif._digests(iter([batch])))) / best(lambda: [gif.store(r) for r in raw])
+    assert ratio < 0.85
